@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,18 +81,31 @@ def _orders(distance: int) -> list[list[tuple[int, int]]]:
     return [[pieces[i], pieces[j], *(p for k, p in enumerate(pieces) if k not in (i, j))] for i, j in combinations(range(n), 2)]
 
 
-def _reordered(fp: Column, order: list[tuple[int, int]]) -> Column:
-    out, free = F.lit(0).cast("long"), BITS
-    for low, width in order:
-        free -= width
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)), free))
-    return out
+def gray_rank(words: np.ndarray) -> np.ndarray:
+    """Places in the Gray sequence; leading bits depend on leading bits alone."""
+    for step in (1, 2, 4, 8, 16, 32):
+        words = words ^ (words >> np.uint64(step))
+    return words
 
 
-def _gray_rank(word: Column) -> Column:
-    for step in (1, 2, 4, 8, 16, 32):
-        word = word.bitwiseXOR(F.shiftrightunsigned(word, step))
-    return word
+def _posted(distance: int):
+    """Rows (fp, rep) to one row an order, with the upper node and the rank inside it."""
+    orders = _orders(distance)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for k, order in enumerate(orders):
+                word, free = np.zeros_like(fp), BITS
+                for low, width in order:
+                    free -= width
+                    word |= (fp >> np.uint64(low) & np.uint64((1 << width) - 1)) << np.uint64(free)
+                rank, head = gray_rank(word), sum(w for _, w in order[:2])
+                node, inside = rank >> np.uint64(BITS - head), rank & np.uint64((1 << BITS - head) - 1)
+                columns = (np.full(len(fp), k, np.int32), node.view(np.int64), inside.view(np.int64))
+                yield pa.record_batch([*map(pa.array, columns), batch.column("fp"), batch.column("rep")], names=["order", "node", "rank", "fp", "rep"])
+
+    return run
 
 
 class _Forest:
@@ -243,15 +256,11 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     doc_id that a chain of links of at most `distance` differing bits reaches."""
     prints = cut(with_fingerprint(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    orders = _orders(distance)
-    head = [sum(w for _, w in order[:2]) for order in orders]
-    rows = F.array(*(F.struct(F.lit(k).alias("order"), F.lit(BITS - head[k]).alias("low"), _gray_rank(_reordered(F.col("fp"), order)).alias("rank")) for k, order in enumerate(orders)))
     index = (
         distinct.where("rep IS NOT NULL")
-        .select("fp", "rep", F.explode(rows).alias("o"))
-        .select(F.col("o.order").alias("order"), F.expr("shiftrightunsigned(o.rank, o.low)").alias("node"), F.col("o.rank").alias("rank"), "fp", "rep")
+        .mapInArrow(_posted(distance), "order int, node long, rank long, fp long, rep long")
         .repartition("order", "node")
-        .sortWithinPartitions("order", "node", F.col("rank").bitwiseXOR(F.lit(-(1 << 63))))
+        .sortWithinPartitions("order", "node", "rank")
     )
     links = index.select("order", "node", "fp", "rep").mapInArrow(_index_pass(distance), "a long, b long")
     joined = components(links)

@@ -43,10 +43,7 @@ def test_spanning_forest_joins_the_same_components_as_all_pairs():
     for n, flips in ((2, 3), (300, 4), (700, 6), (900, 64)):
         base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
         words = np.unique(np.array([int(base[rng.integers(3)]) ^ sum({1 << int(b) for b in rng.integers(0, 64, rng.integers(0, flips))}) for _ in range(n)], dtype=np.uint64))
-        rank = words.copy()
-        for step in (1, 2, 4, 8, 16, 32):
-            rank ^= rank >> np.uint64(step)
-        words = words[np.argsort(rank)]
+        words = words[np.argsort(simhash.gray_rank(words))]
         prints = dict(enumerate(int(w) for w in words))
         want = plain_components(prints)
         forest = simhash._Forest(len(words))
