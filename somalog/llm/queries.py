@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from somalog.llm import mixing, simhash, substring
+from somalog.llm import mixing, simhash, substring, toxicity
 from somalog.llm.common import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,13 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.with_size(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size")
     return mixing.mix(cut(sized)).select("doc_id", "size", "source_size", "target", "taken")

@@ -34,8 +34,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somalog.llm.common import cut
-
 WIDTH, MER = 20, 5
 CHUNK_WORDS = 1_500_000
 #: Buckets for each input partition.
@@ -168,11 +166,11 @@ def _edges(buckets: int, width: int, mer: int, chunk_words: int):
     def flush(docs: list) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk(docs, width, mer)
         paths = chunk.settle()
-        if len(paths):
-            none = pa.nulls(len(paths), pa.int32())
-            yield pa.record_batch([none, pa.nulls(len(paths), pa.binary()), *(pa.array(paths[c]) for c in ("doc", "uid", "start", "n", "source", "source_start"))], schema=_EDGES)
+        if len(paths):  # they ride along, in buckets of their documents
+            bucket = pa.array((_mixed(paths["uid"].to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32))
+            yield pa.record_batch([bucket, pa.nulls(len(paths), pa.binary()), *(pa.array(paths[c]) for c in ("doc", "uid", "start", "n", "source", "source_start"))], schema=_EDGES)
         for bucket, blob in chunk.packed(buckets):
-            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), *(pa.nulls(1, _EDGES.field(k).type) for k in range(2, 8))], schema=_EDGES)
+            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), *(pa.array([0], _EDGES.field(k).type) for k in range(2, 8))], schema=_EDGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -193,10 +191,14 @@ def _edges(buckets: int, width: int, mer: int, chunk_words: int):
     return run
 
 
-def _meet(blobs: pd.DataFrame) -> pd.DataFrame:
-    key, least, doc, uid, start = (np.concatenate(x) for x in zip(*map(_unpacked, blobs["blob"]), strict=True))
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    edges = rows["blob"].notna()
+    settled = rows.loc[~edges, ["doc", "uid", "start", "n", "source", "source_start"]]
+    if not edges.any():
+        return settled
+    key, least, doc, uid, start = (np.concatenate(x) for x in zip(*map(_unpacked, rows.loc[edges, "blob"]), strict=True))
     at, lead = earlier(_mixed(key ^ least), least, doc, start)
-    return _paths(at, lead, doc, uid, start)
+    return pd.concat([settled.astype(np.int64), _paths(at, lead, doc, uid, start)])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -209,9 +211,8 @@ def repeated_paths(docs: DataFrame, width: int = WIDTH, mer: int = MER, chunk_wo
     word `start` on, that stand earlier in `source` from word `source_start` on."""
     keyed = _keyed(docs).drop("doc_id")
     buckets = max(8, BUCKETS * keyed.rdd.getNumPartitions())
-    edges = cut(keyed.mapInArrow(_edges(buckets, width, mer, chunk_words), "bucket int, blob binary, " + SPANS))
-    met = edges.where("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInPandas(_meet, SPANS)
-    return edges.where("bucket IS NULL").select("doc", "uid", "start", "n", "source", "source_start").union(met)
+    edges = keyed.mapInArrow(_edges(buckets, width, mer, chunk_words), "bucket int, blob binary, " + SPANS)
+    return edges.groupBy("bucket").applyInPandas(_meet, SPANS)
 
 
 def _kept(width: int):
