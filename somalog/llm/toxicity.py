@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are learned from labelled documents. Both hold a part that zstandard
-trains on the words of ordinary documents. The toxic dictionary also holds word pieces that
-toxic documents use far more often than ordinary ones; the ordinary one has unmatchable filler of
+trains on the words of ordinary documents. The toxic dictionary also holds beginnings of words
+that toxic documents use far more often than ordinary ones; the ordinary one has unmatchable filler of
 the same length there, so that both put everything else at the same distance. A text is cut into
 windows of `window` words, each is compressed with either dictionary, and the difference in
 length is the evidence that the window gives. (Dictionaries trained by zstandard alone on the two
@@ -12,7 +12,8 @@ dictionaries hold, which keeps zstandard from storing short windows raw. A logis
 a document's strongest windows, fitted on the labelled documents, gives the score.
 
 Labels are learned from a sample of at most `per_class` documents of each class, taken by hash of
-doc_id from the rows that are not held out. Everything is scored, whole texts.
+doc_id from the rows that are not held out. A text and its near copies in the sample
+count once. Everything is scored, whole texts.
 
 Defined results: null and empty texts have no evidence and get the score of that; a document
 without doc_id is scored and not held out; repeated rows are scored alike; without labels of
@@ -30,19 +31,40 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from somalog.llm.common import cut
 
-PER_CLASS, GRAM, WINDOW, BASE_BYTES = 4000, 5, 8, 16_000
-GRAMS, PIECES, WORDS = 4000, 600, 20_000
-#: A telling gram is in this share of toxic documents at least, its log odds are higher by ODDS,
-#: and its likelihood ratio statistic rules out chance among some 100,000 grams.
+PER_CLASS, STEMS, WINDOW, BASE_BYTES = 4000, range(4, 9), 8, 16_000
+STEMS_KEPT, WORDS = 2000, 20_000
+#: A telling stem is in this share of toxic documents at least, its log odds are higher by ODDS,
+#: and its likelihood ratio statistic rules out chance among some 100,000 stems.
 RARE, ODDS, SURPRISE = 0.005, 2.5, 30.0
 _SPLIT = b"\x00"
-FEATURES = 4
+#: So many bytes of a word are numbered, with these.
+DEPTH, PLACES = 8, bytes(range(1, 9))
+FEATURES = 5
+CACHED = 200_000
+
+
+#: Odd factors that give independent orders of shingle hashes.
+_ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _least_shingles(texts: pd.Series) -> pd.Series:
+    """For each order, the least hash of a text's shingles of five words."""
+
+    def of(text: bytes) -> list[int]:
+        words = _words(text)
+        hashes = np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))], np.uint64)
+        return [int((hashes * np.uint64(f) ^ (hashes >> np.uint64(29))).min().view(np.int64)) for f in _ORDERS]
+
+    return texts.map(of)
 
 
 @dataclass(frozen=True)
@@ -63,23 +85,28 @@ def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _grams(word: bytes) -> list[bytes]:
-    word = b" " + word
-    return [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
+def _stems(word: bytes) -> list[bytes]:
+    """A word's beginnings, of bounded length."""
+    return [word[:n] for n in STEMS if n <= len(word)]
+
+
+def coded(word: bytes) -> bytes:
+    """A word with its leading bytes numbered, so that what matches there is a beginning."""
+    n = min(len(word), DEPTH)
+    out = bytearray(2 * n)
+    out[::2], out[1::2] = PLACES[:n], word[:n]
+    return bytes(out) + word[n:]
 
 
-def _pieces(word: bytes, telling: set[bytes]) -> list[bytes]:
-    """The stretches of a word that telling grams cover."""
-    word, out, end = b" " + word, [], -1
-    for i in range(len(word) - GRAM + 1):
-        if word[i : i + GRAM] in telling:
-            if out and i <= end:
-                out[-1] = word[start : i + GRAM]
-            else:
-                start = i
-                out.append(word[i : i + GRAM])
-            end = i + 1
-    return out
+def _pieces(telling: dict[bytes, int]) -> list[bytes]:
+    """Telling stems, often ones last: each grown as long as it keeps half of its documents."""
+    found = {}
+    for stem in sorted(telling):
+        if not any(stem[:n] in telling for n in STEMS if n < len(stem)):
+            while more := [s for s in telling if len(s) == len(stem) + 1 and s.startswith(stem) and 2 * telling[s] >= telling[stem]]:
+                stem = max(more, key=lambda s: (telling[s], s))
+            found[stem] = telling[stem]
+    return [coded(s) for s in sorted(found, key=lambda s: (found[s], s))]
 
 
 def _counted(texts: DataFrame, of) -> DataFrame:
@@ -108,7 +135,7 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 class _Evidence:
     def __init__(self, toxic: bytes, ordinary: bytes, marker: bytes, window: int) -> None:
-        self.marker, self.window = marker, window
+        self.marker, self.window, self.seen = marker, window, {}
         self.by = [self._compressor(x) for x in (ordinary, toxic)]
 
     @staticmethod
@@ -120,21 +147,23 @@ class _Evidence:
 
     def features(self, text: bytes | None) -> list[float]:
         """Bytes that the toxic dictionary saves: in the best window, in the next best, and in
-        all; and the windows where it saves more than a chance match does."""
-        words, k = _words(text), self.window
+        all; the windows where it saves more than a chance match does; and all windows."""
+        words, k, seen = _words(text), self.window, self.seen
+        if len(seen) > CACHED:
+            seen.clear()
         ordinary, toxic = self.by
         best = next_best = total = strong = 0
         for i in range(0, len(words), k):
-            part = self.marker + b" " + b" ".join(words[i : i + k]) + b" "
+            part = self.marker + b"".join([seen.get(w) or seen.setdefault(w, coded(w)) for w in words[i : i + k]])
             gain = len(ordinary(part)) - len(toxic(part))
-            if gain > 1:
+            if gain > 4:
                 total += gain
-                strong += gain > 3
+                strong += gain > 6
                 if gain > best:
                     best, next_best = gain, best
                 elif gain > next_best:
                     next_best = gain
-        return [best, next_best, math.log1p(total), math.log1p(strong)]
+        return [best, next_best, math.log1p(total), math.log1p(strong), math.log1p(len(words) // k)]
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, ...]:
@@ -158,26 +187,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, window
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 x per_class rows
-    texts = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(sample, "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic"))
+    texts = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(sample, "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic", _least_shingles("text").alias("least")))
+    for k in range(len(_ORDERS)):  # a text and its near copies count once, or one group of copies would decide what is telling
+        texts = texts.withColumn("_k", F.col("least")[k]).dropDuplicates(["_k", "toxic"])
+    texts = cut(texts.select("text", "toxic"))
     size = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return None
 
-    grams = _counted(texts, lambda text: {g for w in set(_words(text)) for g in _grams(w)})
+    stems = _counted(texts, lambda text: {g for w in set(_words(text)) for g in _stems(w)})
     p, q, share = F.col("toxic").cast("double"), F.col("ordinary").cast("double"), size[1] / (size[0] + size[1])
     odds = F.log((p + 0.5) / (size[1] + 1)) - F.log((q + 0.5) / (size[0] + 1))
     surprise = 2 * (p * F.log(p / ((p + q) * share)) + F.when(q > 0, q * F.log(q / ((p + q) * (1 - share)))).otherwise(0.0))
-    chosen = grams.where((p >= max(3.0, RARE * size[1])) & (odds > ODDS)).where(surprise > SURPRISE)
-    telling = {bytes(r.item) for r in chosen.orderBy(F.desc("toxic"), "item").limit(GRAMS).collect()}
-    pieces = _counted(texts.where("toxic = 1"), lambda text: (p for w in _words(text) for p in _pieces(w, telling)))
-    found = [bytes(r.item) for r in pieces.orderBy(F.desc("toxic"), "item").limit(PIECES).collect()]
+    chosen = stems.where((p >= max(3.0, RARE * size[1])) & (odds > ODDS)).where(surprise > SURPRISE)
+    telling = {bytes(r.item): r.toxic for r in chosen.orderBy(F.desc("toxic"), "item").limit(STEMS_KEPT).collect()}
     common = _counted(texts.where("toxic = 0"), _words).orderBy(F.desc("ordinary"), "item").limit(WORDS).collect()
 
     rng = random.Random(8)
-    samples = [b" " + bytes(r.item) + b" " for r in common for _ in range(min(1 + r.ordinary // 50, 30))]
+    samples = [coded(bytes(r.item)) for r in common for _ in range(min(1 + r.ordinary // 50, 30))]
     rng.shuffle(samples)
     base = _trained(samples, BASE_BYTES)
-    own = _SPLIT.join(reversed(found)) + _SPLIT
+    own = _SPLIT.join(_pieces(telling)) + _SPLIT  # what is most frequent stands last, and so nearest
     marker, filler = (bytes(rng.randrange(128, 192) for _ in range(k)) for k in (48, len(own)))
     toxic, ordinary = base + own + marker, base + filler + marker
 
