@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somalog.llm import media, mixing, simhash, substring, toxicity
+from somalog.llm import media, mixing, pieces, simhash, substring, toxicity
 from somalog.llm.common import cut
 
+#: The vocabulary that op5 and the pipeline encode with.
+VOCABULARY = "piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -21,6 +24,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where the public tokenizer files are on this machine and on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, vocabulary_path()).select("doc_id", "n_ids", "exact", "ids")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = media.media_columns(_table(spark, sf_dir, "documents"))
     return columns.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "width", "height", "depth")
