@@ -55,7 +55,8 @@ class Pieces:
                     self.tails.setdefault(plain[i:], None)
                 self.tails[plain] = (score, k)
         self.unknown = lowest - UNKNOWN_PENALTY
-        self.known: dict[str, array] = {}
+        self.known: dict[str, array] = {}  # the latest words
+        self.older: dict[str, array] = {}  # those before
 
     def _spelled(self, start: int, end: int, k: int, text: str) -> list[int]:
         return [k] if k >= 0 else [self.bytes[b] for b in text[start:end].encode()]
@@ -73,7 +74,7 @@ class Pieces:
                     break
                 if hit is not None and end - length in best:
                     value = best[end - length] + hit[0]
-                    if value >= top or length == 1:
+                    if value >= top:
                         top, start, k = value, end - length, hit[1]
             best[end], back[end] = top, (start, k)
             best.pop(end - longest, None)
@@ -104,7 +105,36 @@ class Pieces:
             shared = min(shared, at)
         return shared
 
+    def _word(self, text: str) -> array:
+        """The same for a stretch that is short enough to finish before anything is final."""
+        get, longest, unknown = self.tails.get, self.longest, self.unknown
+        best, back = [0.0], [(0, -1)]
+        for end in range(1, len(text) + 1):
+            top, path = best[-1] + unknown, (end - 1, -1)
+            for start in range(end - 1, max(end - longest, 0) - 1, -1):
+                hit = get(text[start:end], 0)
+                if hit:
+                    value = best[start] + hit[0]
+                    if value >= top:
+                        top, path = value, (start, hit[1])
+                elif hit == 0:
+                    break
+            best.append(top)
+            back.append(path)
+        end, out = len(text), []
+        while end:
+            start, k = back[end]
+            if k < 0:
+                out += reversed(self._spelled(start, end, k, text))
+            else:
+                out.append(k)
+            end = start
+        out.reverse()
+        return array("i", out)
+
     def _segment(self, text: str) -> array:
+        if len(text) <= LONG:
+            return self._word(text)
         return array("i", [k for group in self.stream(text) for k in group])
 
     def encode(self, text: str) -> array:
@@ -114,14 +144,17 @@ class Pieces:
             if n:
                 out.extend(self.bytes[b] for b in MARK.encode())
             part = part if n else f" {part}"
-            known = self.known
+            known, older = self.known, self.older
             for segment in _SEGMENTS.findall(part) if self.closed else [part] if part else []:
                 ids = known.get(segment)
                 if ids is None:
-                    ids = self._segment(segment)
+                    ids = older.get(segment)
+                    if ids is None:
+                        ids = self._segment(segment)
                     if len(segment) <= LONG:
                         if len(known) >= REMEMBERED:
-                            known.clear()
+                            known, older = {}, known
+                            self.known, self.older = known, older
                         known[segment] = ids
                 out += ids
         return out
