@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somalog.llm import media, mixing, pieces, quality, simhash, substring, toxicity
+from somalog.llm import media, mixing, pieces, pii, quality, simhash, substring, toxicity
 from somalog.llm.common import cut
 
 #: The vocabulary that op5 and the pipeline encode with.
@@ -24,6 +24,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, pii.key_of(spark))
+
+
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
