@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somalog.llm import media, mixing, pieces, pii, quality, simhash, substring, toxicity
+from somalog.llm import ann, media, mixing, pieces, pii, quality, simhash, substring, toxicity
 from somalog.llm.common import cut
 
 #: The vocabulary that op5 and the pipeline encode with.
@@ -50,6 +50,11 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "width", "height", "depth")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
