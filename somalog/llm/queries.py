@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somalog.llm import ann, media, mixing, pieces, pii, quality, simhash, substring, toxicity
+from somalog.llm import ann, license_scan, media, mixing, pieces, pii, quality, simhash, substring, toxicity
 from somalog.llm.common import cut
 
 #: The vocabulary that op5 and the pipeline encode with.
@@ -24,6 +24,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymize(docs, pii.key_of(spark))
@@ -105,4 +109,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": OP9_SQL}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op9_mix_sources": OP9_SQL}
