@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK, UNKNOWN_PENALTY = "▁", 10.0
-REMEMBERED, LONG, CHECK_EVERY = 200_000, 48, 32
+REMEMBERED, LONG, CHECK_EVERY = 300_000, 48, 32
 _SEGMENTS = re.compile(r" *[^ ]+| +")
 
 
@@ -41,7 +41,8 @@ class Pieces:
     def __init__(self, vocabulary: list[tuple[str, float, str]]) -> None:
         self.bytes = [0] * 256
         self.table: list[bytes] = []
-        self.tails: dict[str, tuple[float, int] | None] = {}
+        self.tails: dict[str, tuple[float, int] | None] = {}  # pieces, and ends of pieces
+        self.tree: dict = {}  # by character; 0 holds a piece's score and id
         self.longest, lowest, self.closed = 1, 0.0, True
         for k, (piece, score, kind) in enumerate(vocabulary):
             plain = piece.replace(MARK, " ")
@@ -54,6 +55,10 @@ class Pieces:
                 for i in range(1, len(plain)):
                     self.tails.setdefault(plain[i:], None)
                 self.tails[plain] = (score, k)
+                node = self.tree
+                for c in plain:
+                    node = node.setdefault(c, {})
+                node[0] = (score, k)
         self.unknown = lowest - UNKNOWN_PENALTY
         self.known: dict[str, array] = {}  # the latest words
         self.older: dict[str, array] = {}  # those before
@@ -107,23 +112,26 @@ class Pieces:
 
     def _word(self, text: str) -> array:
         """The same for a stretch that is short enough to finish before anything is final."""
-        get, longest, unknown = self.tails.get, self.longest, self.unknown
-        best, back = [0.0], [(0, -1)]
-        for end in range(1, len(text) + 1):
-            top, path = best[-1] + unknown, (end - 1, -1)
-            for start in range(end - 1, max(end - longest, 0) - 1, -1):
-                hit = get(text[start:end], 0)
-                if hit:
-                    value = best[start] + hit[0]
-                    if value >= top:
-                        top, path = value, (start, hit[1])
-                elif hit == 0:
+        root, unknown, n = self.tree, self.unknown, len(text)
+        best, came, ids = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            base, node, end = best[start], root, start
+            if base + unknown > best[start + 1]:
+                best[start + 1], came[start + 1], ids[start + 1] = base + unknown, start, -1
+            while end < n:
+                node = node.get(text[end])
+                if node is None:
                     break
-            best.append(top)
-            back.append(path)
+                end += 1
+                hit = node.get(0)
+                if hit is not None:
+                    value = base + hit[0]
+                    if value > best[end]:
+                        best[end], came[end], ids[end] = value, start, hit[1]
         end, out = len(text), []
         while end:
-            start, k = back[end]
+            start, k = came[end], ids[end]
             if k < 0:
                 out += reversed(self._spelled(start, end, k, text))
             else:
