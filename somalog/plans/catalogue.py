@@ -1,17 +1,506 @@
-"""The query catalogue over the star-schema tables, with SQL counterparts."""
+"""The query catalogue over the star-schema tables, with SQL counterparts.
+
+Every query is an operator of this package applied to a table that stands in for its own input;
+QUERIES and SQL hold both sides under one name.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from somalog.functions import scalars as fn
+from somalog.operators import asof, consensus, layout, merge, sessions, solve, view
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+TWELVE_HOURS = 12 * asof.HOUR
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, and its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _ms(ts: str) -> Column:
+    """Milliseconds of a time without zone, taken as UTC whatever the session's zone is."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts}) div 1000")
+
+
+_SESSIONS = """
+s AS (
+    SELECT event_id AS session_id, user_id, epoch_ms(ts) AS start_ms, epoch_ms(ts) + 43200000 AS end_ms FROM events WHERE event_type = 'signup'),
+n AS (SELECT *, lead(start_ms) OVER ({} ORDER BY start_ms, session_id) AS next_ms FROM s),
+m AS (
+    SELECT n.session_id, n.user_id, e.event_id, epoch_ms(e.ts) AS at, e.value, e.user_id AS sample_user
+    FROM n JOIN events e ON e.event_type <> 'signup' {} AND epoch_ms(e.ts) >= n.start_ms
+        AND epoch_ms(e.ts) <= n.end_ms + 1000 AND (n.next_ms IS NULL OR epoch_ms(e.ts) < n.next_ms))"""
+_KEYED = _SESSIONS.format("PARTITION BY user_id", "AND e.user_id = n.user_id")
+_UNKEYED = _SESSIONS.format("", "")
+_R1 = "floor({0} * 10 + 0.5) / CAST(10 AS DOUBLE)"
+
+
+def _session_rows(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'signup'").select(F.col("event_id").alias("session_id"), "user_id", _ms("ts").alias("start_ms")).withColumn("end_ms", F.col("start_ms") + TWELVE_HOURS)
+
+
+def _sample_rows(events: DataFrame, user: str = "user_id") -> DataFrame:
+    return events.where("event_type <> 'signup'").select("event_id", F.col("user_id").alias(user), _ms("ts").alias("at"), "value")
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events")
+    return asof.attach(_sample_rows(events), _session_rows(events), ["user_id"], "at", "start_ms", "end_ms", "session_id")
+
+
+@query(f"""WITH {_KEYED}
+SELECT session_id, count(*) AS n, {_R1.format("avg(value)")} AS average, {_R1.format("min(value)")} AS least, {_R1.format("max(value)")} AS most
+FROM (SELECT DISTINCT session_id, at, value FROM m WHERE value IS NOT NULL) GROUP BY session_id""")
+def asof_session_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = _matched(spark, sf_dir)
+    return sessions.statistics(sessions.distinct_samples(matched, "session_id", "at", None, "value"), "session_id")
+
+
+@query(f"""WITH {_UNKEYED}
+SELECT session_id, count(*) AS n, {_R1.format("avg(value)")} AS average, {_R1.format("min(value)")} AS least, {_R1.format("max(value)")} AS most
+FROM (SELECT DISTINCT session_id, at, value FROM m WHERE value IS NOT NULL) GROUP BY session_id""")
+def asof_global_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events")
+    matched = asof.attach(_sample_rows(events, "sample_user"), _session_rows(events), [], "at", "start_ms", "end_ms", "session_id")
+    return sessions.statistics(sessions.distinct_samples(matched, "session_id", "at", None, "value"), "session_id")
+
+
+@query(f"""WITH {_KEYED}
+SELECT m.session_id, m.event_id, m.user_id, m.at - s.start_ms AS offset_ms FROM m JOIN s USING (session_id)""")
+def asof_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir).select("session_id", "event_id", "user_id", (F.col("at") - F.col("start_ms")).alias("offset_ms"))
+
+
+@query(f"""WITH {_KEYED}, a AS (
+    SELECT session_id, count(*) AS n, {_R1.format("avg(value)")} AS average FROM (SELECT DISTINCT session_id, at, value FROM m WHERE value IS NOT NULL) GROUP BY session_id)
+SELECT s.session_id, s.user_id, coalesce(a.n, 0) AS n, a.average FROM s LEFT JOIN a USING (session_id)""")
+def session_left_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events")
+    found = asof_session_enrich(spark, sf_dir).select("session_id", "n", "average")
+    return _session_rows(events).join(found, "session_id", "left").select("session_id", "user_id", F.coalesce("n", F.lit(0)).alias("n"), "average")
+
+
+@query(f"""WITH {_KEYED} SELECT DISTINCT session_id, at, value FROM m WHERE value IS NOT NULL""")
+def sample_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    twice = _matched(spark, sf_dir)
+    return sessions.distinct_samples(twice.union(twice), "session_id", "at", None, "value").select("session_id", "at", "value")
+
+
+@query(f"""WITH f AS (SELECT l_orderkey, {_R1.format("sum(DISTINCT l_extendedprice)")} AS total FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE f.total END AS energy
+FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
+def fallback_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared value where there is one, else the sum of distinct samples."""
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice").withColumn("at", F.lit(0))
+    totals = sessions.distinct_sum(sessions.distinct_samples(lines, "l_orderkey", "at", None, "l_extendedprice"), "l_orderkey")
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("declared"))
+    joined = orders.join(totals, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select("o_orderkey", sessions.declared_or(F.col("declared"), F.col("total")).alias("energy"))
+
+
+@query(f"""WITH {_KEYED}, d AS (SELECT DISTINCT session_id, at, value FROM m WHERE value IS NOT NULL)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY at, value) - 1 AS pos, at, value AS bpm FROM d""")
+def ordered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sessions.distinct_samples(_matched(spark, sf_dir), "session_id", "at", None, "value")
+    rows = sessions.ordered(kept.withColumn("end_at", F.lit(None).cast("string")), "session_id").select("session_id", F.posexplode("samples"))
+    return rows.select("session_id", F.col("pos").cast("long").alias("pos"), "col.at", "col.bpm")
+
+
+_HALVES = "SELECT o_orderkey AS seq, {} AS id, o_orderkey % 2 = 1 AS incoming, o_totalprice FROM orders"
+
+
+@query(f"""WITH r AS ({_HALVES.format("o_custkey")}),
+k AS (SELECT *, max(CASE WHEN incoming THEN seq END) OVER (PARTITION BY id) AS last FROM r)
+SELECT seq, id, incoming, o_totalprice FROM k WHERE coalesce(last, seq) <= seq""")
+def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 2 == 1).alias("incoming"), "o_totalprice")
+    return merge.merged(rows, ["id"], "seq", "incoming").select("seq", "id", "incoming", "o_totalprice")
+
+
+@query("""WITH r AS (
+    SELECT doc_id AS seq, doc_id % 700 AS id, doc_id % 3 = 0 AS incoming,
+           CASE WHEN lang <> 'de' THEN source || '/' || CAST(n_chars % 50 AS VARCHAR) END AS upload FROM documents),
+k AS (SELECT *, max(CASE WHEN incoming THEN seq END) OVER (PARTITION BY id) AS a,
+             CASE WHEN upload IS NOT NULL THEN max(CASE WHEN incoming THEN seq END) OVER (PARTITION BY upload) END AS b FROM r)
+SELECT seq, id, incoming, upload FROM k WHERE coalesce(a, seq) <= seq AND coalesce(b, seq) <= seq""")
+def merge_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"),
+        (F.col("doc_id") % 700).alias("id"),
+        (F.col("doc_id") % 3 == 0).alias("incoming"),
+        F.when(F.col("lang") != "de", F.concat("source", F.lit("/"), (F.col("n_chars") % 50).cast("string"))).alias("upload"),
+    )
+    return merge.merged(rows, ["id", "upload"], "seq", "incoming").select("seq", "id", "incoming", "upload")
+
+
+_PERTURBED = "CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END"
+
+
+@query(f"""SELECT count(*) FILTER (WHERE c_custkey % 11 = 0 OR {_PERTURBED} IS DISTINCT FROM c_acctbal) AS n_changed, count(*) AS n_rows FROM customer""")
+def changed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a perturbed copy that are new or differ from what is stored, by canonical JSON; the
+    copy writes its fields in another order."""
+    stored = _t(spark, sf_dir, "customer")
+    copy = stored.withColumn("c_acctbal", F.expr(_PERTURBED)).select("c_custkey", F.to_json(F.struct("c_acctbal", "c_name", "c_custkey")).alias("payload"))
+    old = stored.where("c_custkey % 11 <> 0").select("c_custkey", F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("payload"))
+    return merge.changed(old, copy, "c_custkey", "payload").agg(F.count_if("changed").alias("n_changed"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN l.quality ELSE CAST(d.n_chars % 2 AS INTEGER) END AS reading, coalesce(l.toxic = 1, false) AS reviewed
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def reviewed_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored value that was reviewed is kept; else the new one counts."""
+    joined = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    reviewed = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    return joined.select("doc_id", F.when(reviewed, F.col("quality")).otherwise((F.col("n_chars") % 2).cast("int")).alias("reading"), reviewed.alias("reviewed"))
+
+
+_PERIOD = "CASE WHEN o_orderkey % 97 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m') END"
+
+
+def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    time = F.when(F.col("o_orderkey") % 97 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    return _t(spark, sf_dir, "orders").withColumn("period", fn.period(fn.event_time(F.lit(None).cast("string"), time)))
+
+
+@query(f"SELECT {_PERIOD} AS period, count(*) AS n, min(o_orderkey) AS first_key, 'data/events/' || {_PERIOD} || '.json' AS path FROM orders GROUP BY 1")
+def period_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _periods(spark, sf_dir).groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
+    return rows.withColumn("path", F.concat(F.lit("data/events/"), "period", F.lit(".json")))
+
+
+@query(f"""SELECT period, row_number() OVER (ORDER BY CASE WHEN period = 'unknown' THEN NULL ELSE period END DESC NULLS LAST) AS file_rank FROM (SELECT DISTINCT {_PERIOD} AS period FROM orders)""")
+def period_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month files, newest first and the unknown month last."""
+    order = W.orderBy(F.when(F.col("period") != "unknown", F.col("period")).desc_nulls_last())
+    return _periods(spark, sf_dir).select("period").distinct().withColumn("file_rank", F.row_number().over(order).cast("long"))
+
+
+#: SQL for the list's columns over events, by the view's names.
+_ITEMS_SQL = """SELECT event_id, user_id, epoch_ms(ts) AS date_value, event_type AS type, 'src' || CAST(user_id % 5 AS VARCHAR) AS source,
+    CASE WHEN event_id % 7 <> 0 THEN value END AS duration_minutes, CASE WHEN event_id % 5 <> 0 THEN floor(value) END AS active_energy_kcal,
+    CASE WHEN event_id % 3 <> 0 THEN value / 2 END AS weight_kg, CASE WHEN event_id % 4 <> 0 THEN floor(value / 10) END AS fat_percent,
+    CASE WHEN event_id % 11 <> 0 THEN floor(value / 3) END AS average_bpm, event_type || ' User ' || CAST(user_id AS VARCHAR) AS search_text FROM events"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value, id_ = F.col("value"), F.col("event_id")
+    return _t(spark, sf_dir, "events").select(
+        "event_id",
+        "user_id",
+        _ms("ts").alias("date_value"),
+        F.col("event_type").alias("type"),
+        F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("source"),
+        F.when(id_ % 7 != 0, value).alias("duration_minutes"),
+        F.when(id_ % 5 != 0, F.floor(value)).cast("double").alias("active_energy_kcal"),
+        F.when(id_ % 3 != 0, value / 2).alias("weight_kg"),
+        F.when(id_ % 4 != 0, F.floor(value / 10)).cast("double").alias("fat_percent"),
+        F.when(id_ % 11 != 0, F.floor(value / 3)).cast("double").alias("average_bpm"),
+        F.concat("event_type", F.lit(" User "), F.col("user_id").cast("string")).alias("search_text"),
+    )
+
+
+def _view_rank(order: str) -> None:
+    column, down = view.ORDERS[order]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = view.ranked_view(_items(spark, sf_dir), order, "event_id", ["user_id"])
+        return rows.select("user_id", "event_id", F.col("view_rank").cast("long").alias("view_rank"))
+
+    name = f"view_rank_{order.replace('-', '_')}"
+    QUERIES[name] = run
+    SQL[name] = f"""WITH i AS ({_ITEMS_SQL})
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY {column} {"DESC" if down else "ASC"} NULLS LAST, date_value DESC NULLS LAST, event_id) AS view_rank FROM i"""
+
+
+for _order in view.ORDERS:
+    _view_rank(_order)
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type <> 'click' AND user_id % 5 <> 0 AND contains(lower(event_type || ' User ' || CAST(user_id AS VARCHAR)), 'user 1')")
+def view_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"click": "Workout", "view": "Body composition"}
+    items = _items(spark, sf_dir).withColumn("kind", F.col("type")).withColumn("type", F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in names.items() for x in p)), F.col("type")), F.col("type")))
+    items = items.withColumn("source", F.when(F.col("source") == "src0", "ACCUNIQ").otherwise(F.col("source")))
+    test = view.visible({"show_workout": False, "show_accuniq": False, "show_body": True}, " USER 1 ")
+    return items.where(test).select("event_id", F.col("kind").alias("event_type"))
+
+
+@query("SELECT count(*) FILTER (WHERE event_type <> 'click') AS n_visible, count(*) AS n_total FROM events")
+def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.counts(_items(spark, sf_dir), F.col("type") != "click")
+
+
+_WHOLE = "CAST(CAST(floor({} + 0.5) AS BIGINT) AS VARCHAR)"
+
+
+@query(f"""SELECT o_orderkey, concat_ws(' · ', CASE WHEN o_orderkey % 3 <> 0 THEN {_WHOLE.format("o_totalprice / 1000")} || ' min' END,
+    CASE WHEN o_orderkey % 4 <> 0 THEN {_WHOLE.format("o_totalprice / 100")} || ' kcal' END,
+    CASE WHEN o_orderkey % 5 <> 0 THEN {_WHOLE.format("o_totalprice / 2000")} || ' bpm avg' END) AS summary FROM orders""")
+def summary_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    line = view.workout_summary(F.when(key % 3 != 0, price / 1000), F.when(key % 4 != 0, price / 100), F.when(key % 5 != 0, price / 2000))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", line.alias("summary"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN floor(o_totalprice / 1000 + 0.5) END AS duration_minutes,
+    CASE WHEN o_orderkey % 4 <> 0 THEN floor(o_totalprice / 100 + 0.5) END AS active_energy_kcal, CASE WHEN o_orderkey % 5 <> 0 THEN floor(o_totalprice / 2000 + 0.5) END AS average_bpm FROM orders""")
+def row_reparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers read back from the summary line."""
+    read = view.reread(F.col("summary"), F.lit("Workout"))
+    return summary_line(spark, sf_dir).select("o_orderkey", *read).select("o_orderkey", "duration_minutes", "active_energy_kcal", "average_bpm")
+
+
+@query("""WITH l AS (SELECT l_orderkey, count(*) AS n, avg(l_quantity) AS average FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT count(*) AS n_logs, min(epoch_ms(o_orderdate)) AS first_start, max(epoch_ms(o_orderdate)) AS last_start, count(average) AS n_with_average,
+    count(*) FILTER (WHERE n > 0) AS n_with_samples, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_samples FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("average"))
+    logs = _t(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(_ms("o_orderdate").alias("start"), "average", "n")
+    return sessions.review_summary(logs, "start", "average", "n")
+
+
+_KIND = """CASE WHEN page_id % 5 = 0 THEN 'apple_health_zip' WHEN page_id % 5 = 1 THEN 'apple_health_xml' WHEN page_id % 5 IN (2, 3) THEN 'body_composition_report' ELSE 'unknown' END"""
+
+
+@query(f"SELECT page_id, {_KIND} AS kind FROM pages")
+def upload_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("page_id") % 5
+    name = F.concat("url", F.when(turn == 0, "/A.ZIP").when(turn == 1, "/b.xml").when(turn == 2, "/c.JPeG").otherwise("/d.dat"))
+    return _t(spark, sf_dir, "pages").select("page_id", fn.upload_kind(name, F.when(turn == 3, "image/heic")).alias("kind"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)\bACCUNIQ\b|Selvas\s+Healthcare|Comprehensive\s+Evaluation|ACCUNIQ\s+Manager') THEN 'accuniq'
+    WHEN regexp_matches(t, '(?i)\bTANITA\b|DC\s*[-–]?\s*360|VISCERAL\s+FAT\s+RATING|BIOELECTRICAL\s+DATA') THEN 'tanita' ELSE 'unknown' END AS source
+FROM (SELECT doc_id, text || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'dc - 360.pdf' WHEN 1 THEN 'my accuniq scan' WHEN 2 THEN 'xTANITAx' ELSE '' END AS t FROM documents)""")
+def report_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("doc_id") % 4
+    name = F.when(turn == 0, "dc - 360.pdf").when(turn == 1, "my accuniq scan").when(turn == 2, "xTANITAx").otherwise("")
+    return _t(spark, sf_dir, "documents").select("doc_id", fn.report_source(F.col("text"), name).alias("source"))
+
+
+@query(r"""SELECT event_id, TRY_CAST(nullif(regexp_extract(props, '([+-]?\d+(?:\.\d+)?)', 1), '') AS DOUBLE) AS first_number FROM events""")
+def first_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", fn.number(F.regexp_extract("props", r"([+-]?\d+(?:\.\d+)?)", 1)).alias("first_number"))
+
+
+@query(r"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '>([^<>]{1,80})<', 1)) AS raw FROM pages),
+d AS (SELECT page_id, trim(regexp_replace(raw, '[ \t\r\n]+', ' ', 'g')) AS v FROM c),
+e AS (SELECT page_id, v, len(string_split(v, ' ')) AS words, length(v) AS size FROM d WHERE v <> '')
+SELECT page_id, v AS best FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY words DESC, size DESC, v) AS r FROM e) WHERE r = 1""")
+def best_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all candidates the one of most words, then the longest."""
+    found = F.transform(F.regexp_extract_all("html", F.lit(r">([^<>]{1,80})<"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " ")))
+    merit = F.transform(F.filter(found, lambda x: x != ""), lambda x: F.struct((-F.size(F.split(x, " "))).alias("w"), (-F.length(x)).alias("n"), x.alias("v")))
+    return _t(spark, sf_dir, "pages").select("page_id", F.array_min(merit)["v"].alias("best")).where("best IS NOT NULL")
+
+
+@query("""SELECT c_custkey, 'id' AS path, 'number' AS kind, CAST(c_custkey AS VARCHAR) AS value FROM customer
+UNION ALL SELECT c_custkey, 'source.name', 'text', c_name FROM customer
+UNION ALL SELECT c_custkey, 'source.segment', 'text', coalesce(CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END, '') FROM customer
+UNION ALL SELECT c_custkey, 'active', 'boolean', CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END FROM customer""")
+def flatten_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))).withColumn("active", F.col("c_custkey") % 2 == 0)
+    return view.flattened(rows.withColumn("id", F.col("c_custkey")), "c_custkey", {"id": ("id", "number"), "c_name": ("source.name", "text"), "c_mktsegment": ("source.segment", "text"), "active": ("active", "boolean")})
+
+
+@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS canonical FROM events""")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", fn.canonical_json(F.col("props")).alias("canonical"))
+
+
+_EXPECT = "l_extendedprice * (1 - l_discount)"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN {_R1.format(_EXPECT)} ELSE l_extendedprice END AS price,
+    l_linenumber % 3 = 0 AS derived, l_linenumber % 3 <> 0 AND abs(l_extendedprice - {_EXPECT}) > 0.25 AS warned FROM lineitem""")
+def derive_and_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing value is derived from its identity; one that is there is checked against it."""
+    expected = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    printed = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_extendedprice"))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(printed, fn.round1(expected)).alias("price"), printed.isNull().alias("derived"), F.coalesce(F.abs(printed - expected) > 0.25, F.lit(False)).alias("warned"))
+
+
+@query("""SELECT p_partkey, (CAST(p_partkey % 2 = 0 AS INTEGER) + CAST(p_partkey % 3 = 0 AS INTEGER) + CAST(p_partkey % 5 = 0 AS INTEGER) + 1) / CAST(4 AS DOUBLE) AS completeness FROM part""")
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    parts = [F.when(key % 2 == 0, F.col("p_size")), F.when(key % 3 == 0, F.col("p_brand")), F.when(key % 5 == 0, F.col("p_type")), F.col("p_name")]
+    return _t(spark, sf_dir, "part").select("p_partkey", sessions.completeness(parts).alias("completeness"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, lower(CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE lower(l_returnflag) END) AS same,
+    CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE lower(l_returnflag) END AS value, l_linenumber AS rank, l_linestatus = 'F' AS observed FROM lineitem),
+g AS (SELECT l_orderkey, same, count(*) FILTER (WHERE observed) AS n_observed, count(*) AS n, min(rank) AS rank, arg_min(value, rank) AS value FROM v GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n_observed DESC, n DESC, rank) AS k,
+    count(*) FILTER (WHERE n_observed > 0) OVER (PARTITION BY l_orderkey) > 1 AS conflicted FROM g)
+SELECT l_orderkey, value, n_observed, n, conflicted FROM r WHERE k = 1""")
+def consensus_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("rank"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise(F.lower("l_returnflag")).alias("vote"), (F.col("l_linestatus") == "F").alias("observed"))
+    return consensus.text_vote(votes, ["l_orderkey"], "vote", "rank", F.col("observed"))
+
+
+@query()
+def consensus_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of numbers within a tolerance; the order of readings decides, which SQL lacks."""
+    votes = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("rank"), F.col("l_discount").alias("vote"), (F.col("l_linestatus") == "F").alias("observed"))
+    return consensus.number_vote(votes, ["l_orderkey"], "vote", "rank", "observed", 0.015)
+
+
+@query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount - CAST(0.015 AS DOUBLE) * l_quantity DESC, l_linenumber) AS candidate_rank FROM lineitem""")
+def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = consensus.ranked(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_discount", "l_quantity", "l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", F.col("candidate_rank").cast("long").alias("candidate_rank"))
+
+
+@query("""WITH b AS (SELECT l_returnflag, CAST(floor(l_extendedprice / 400) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY l_returnflag) AS total FROM b)
+SELECT l_returnflag, min(bin) AS percentile FROM c WHERE seen >= total * CAST(0.985 AS DOUBLE) GROUP BY 1""")
+def hist_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = layout.histogram(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], F.floor(F.col("l_extendedprice") / 400))
+    return layout.histogram_percentile(bins, ["l_returnflag"], 0.985)
+
+
+@query("SELECT p_brand, median(p_retailprice) AS median FROM part GROUP BY p_brand")
+def median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.median(_t(spark, sf_dir, "part"), ["p_brand"], "p_retailprice")
+
+
+@query("""WITH n AS (SELECT a.p_brand, a.p_partkey, a.p_size, (SELECT count(*) FROM part b WHERE b.p_brand = a.p_brand AND abs(b.p_size - a.p_size) <= 8) AS size, count(*) OVER (PARTITION BY a.p_brand) AS total FROM part a),
+c AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY size DESC, p_partkey) AS r FROM n)
+SELECT c.p_brand, median(p.p_size) AS position, count(*) AS cluster_size, max(total) AS sample_size
+FROM c JOIN part p ON p.p_brand = c.p_brand AND abs(p.p_size - c.p_size) <= 8 WHERE r = 1 AND size >= 3 AND size >= CAST(0.25 AS DOUBLE) * total GROUP BY 1""")
+def dominant_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.dominant_cluster(_t(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size", "p_partkey", 8)
+
+
+_DAYS = "SELECT DISTINCT user_id, CAST(floor(epoch_ms(ts) / 86400000) AS BIGINT) AS day FROM events"
+
+
+@query(f"""WITH d AS ({_DAYS}), f AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY user_id ORDER BY day) > 2 THEN 1 WHEN lag(day) OVER (PARTITION BY user_id ORDER BY day) IS NULL THEN 1 ELSE 0 END AS new FROM d),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY day) AS run FROM f)
+SELECT user_id, min(day) AS run_start, max(day) AS run_end, count(*) AS n FROM r GROUP BY user_id, run HAVING max(day) - min(day) + 1 >= 4""")
+def runs_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _t(spark, sf_dir, "events").select("user_id", F.floor(_ms("ts") / 86_400_000).alias("day")).distinct()
+    return layout.runs(days, ["user_id"], "day", max_gap=1, least=4)
+
+
+_POS = "(o_totalprice % 1000) / 1000"
+_CLAMP = f"greatest(CAST(0 AS DOUBLE), least(CAST(0.999999 AS DOUBLE), {_POS}))"
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, {_CLAMP} AS x FROM orders), s AS (SELECT *, CAST(floor(x * 4) AS INTEGER) AS k FROM p),
+v AS (SELECT *, CAST(greatest(0, least(95, floor((x - k * CAST(0.25 AS DOUBLE)) / CAST(0.25 AS DOUBLE) * 100 / 5 + CAST(0.5 AS DOUBLE)) * 5)) AS INTEGER) AS pct FROM s)
+SELECT o_orderkey, ['-', '0', '+', '++'][k + 1] AS level, pct AS section_percent, ['-', '0', '+', '++'][k + 1] || ': ' || CAST(pct AS VARCHAR) || '%' AS reading FROM v""")
+def band_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fn.position_reading(F.lit("bmi"), F.col("o_totalprice") % 1000 / 1000)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", found.alias("r")).select("o_orderkey", "r.level", "r.section_percent", "r.reading")
+
+
+def _composition_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 3).alias("k"), (F.col("l_orderkey") % 3 * 10 + F.col("l_linenumber")).alias("place"), F.col("l_quantity").alias("v"))
+
+
+@query("""WITH f AS (SELECT CAST(floor(l_orderkey / 3) AS BIGINT) AS k, l_orderkey % 3 * 10 + l_linenumber AS p, l_quantity AS v FROM lineitem WHERE l_quantity > 0 AND l_quantity < 300),
+z AS (SELECT k, max(v) AS top FROM f GROUP BY k HAVING count(*) BETWEEN 7 AND 20), g AS (SELECT f.*, top FROM f JOIN z USING (k)),
+a AS (SELECT w.k, w.top, w.p AS pw, w.v AS weight, x.p AS pf, x.v AS ffm, y.p AS pa, y.v AS fat FROM g w JOIN g x ON x.k = w.k AND x.p <> w.p AND w.v > x.v JOIN g y ON y.k = w.k AND y.p <> w.p AND y.p <> x.p AND abs(w.v - x.v - y.v) <= CAST(1.2 AS DOUBLE)),
+b AS (SELECT a.*, x.p AS pm, x.v AS muscle, y.p AS pi, y.v AS minerals FROM a JOIN g x ON x.k = a.k AND x.p NOT IN (pw, pf, pa) AND ffm > x.v JOIN g y ON y.k = a.k AND y.p NOT IN (pw, pf, pa, x.p) AND abs(ffm - x.v - y.v) <= 1),
+c AS (SELECT b.*, x.p AS pt, x.v AS water, y.p AS pp, y.v AS protein FROM b JOIN g x ON x.k = b.k AND x.p NOT IN (pw, pf, pa, pm, pi) AND muscle > x.v JOIN g y ON y.k = b.k AND y.p NOT IN (pw, pf, pa, pm, pi, x.p) AND x.v > y.v AND abs(muscle - x.v - y.v) <= CAST(1.2 AS DOUBLE)),
+s AS (SELECT *, abs(weight - ffm - fat) + abs(ffm - muscle - minerals) + abs(muscle - water - protein) + CASE WHEN weight = top THEN CAST(0 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END + CASE WHEN minerals < protein THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS score FROM c)
+SELECT k, weight, ffm, fat, muscle, minerals, water, protein, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score, pw, pf, pa, pm, pi, pt, pp) AS r FROM s) WHERE r = 1""")
+def composition_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return solve.composition(_composition_input(spark, sf_dir), "k", "place", "v")
+
+
+@query()
+def range_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of an order to ranges around its discounts, one to one at the least cost."""
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_discount") * 500).alias("low"), (F.col("l_discount") * 500 + 2 + F.col("l_tax") * 100).alias("high"))
+    item = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "low", "high"))).alias("x")
+    rows = lines.groupBy("l_orderkey").agg(item).withColumn("of", solve.assigned_ranges(*(F.transform("x", lambda r, c=c: r[c]) for c in ("l_quantity", "low", "high"))))
+    return rows.select("l_orderkey", F.posexplode("of")).select("l_orderkey", F.col("pos").alias("value_place"), F.col("col").alias("range_place"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('key AIzaABCDEFGHIJKLMNOPQRSTU' || CAST(doc_id AS VARCHAR) || ' at https://x.org/?a=1&API_KEY=s3cret' || CAST(doc_id AS VARCHAR) || '&b=2 ' || text,
+    'AIza[0-9A-Za-z_-]{20,}', '[redacted-api-key]', 'g'), '(?i)([?&](?:key|api_key)=)[^&\s]+', '\1[redacted]', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS redacted FROM documents""")
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("key AIzaABCDEFGHIJKLMNOPQRSTU"), key, F.lit(" at https://x.org/?a=1&API_KEY=s3cret"), key, F.lit("&b=2 "), F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", fn.redacted(text).alias("redacted"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT (o_custkey % 10 = 3 AND strftime(o_orderdate, '%Y-%m') = '1996-03')")
+def delete_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes ids from the one month that they name; the same id in another month stays."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    return _t(spark, sf_dir, "orders").where(~((month == "1996-03") & (F.col("o_custkey") % 10 == 3))).select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT event_id, user_id, avg(CASE WHEN value > 50 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS fraction FROM events""")
+def smoothed_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.smoothed_fraction(_t(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("value") > 50).select("event_id", "user_id", "fraction")
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+08:00' AS time_text, (epoch_ms(ts) // 1000) * 1000 - 28800000 AS ms, strftime(ts, '%Y-%m') AS period FROM events""")
+def date_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0800"))
+    rows = _t(spark, sf_dir, "events").select("event_id", fn.export_time(raw).alias("time_text"))
+    return rows.select("event_id", "time_text", fn.epoch_ms(F.col("time_text")).alias("ms"), fn.period(F.col("time_text")).alias("period"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_totalprice / 60 WHEN 1 THEN o_totalprice * 60 ELSE o_totalprice END AS minutes FROM orders""")
+def duration_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("o_orderkey") % 4
+    unit = F.when(turn == 0, "Sec").when(turn == 1, "hr").when(turn == 2, "min")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", fn.minutes(F.col("o_totalprice"), unit).alias("minutes"))
+
+
+@query("""WITH p AS (SELECT o_orderkey, CAST(o_orderkey % 4 * 20 + o_custkey % 20 AS INTEGER) AS at, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS d FROM orders),
+q AS (SELECT o_orderkey, greatest(0, least(79, at + d)) AS at FROM p)
+SELECT o_orderkey, ['-', '0', '+', '++'][at // 20 + 1] || ': ' || CAST(at % 20 * 5 AS VARCHAR) || '%' AS stepped FROM q""")
+def step_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = F.array(*(F.lit(x) for x in fn.FOUR_LEVELS))
+    text = F.concat(F.element_at(levels, (F.col("o_orderkey") % 4 + 1).cast("int")), F.lit(": "), (F.col("o_custkey") % 20 * 5 + F.col("o_custkey") % 5).cast("string"), F.lit("%"))
+    direction = F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", fn.stepped_reading(text, direction, fn.FOUR_LEVELS).alias("stepped"))
+
+
+@query("""SELECT o_orderkey, floor((o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN CAST(0.1 AS DOUBLE) ELSE CAST(-0.1 AS DOUBLE) END) * CAST(10 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(10 AS DOUBLE) AS stepped FROM orders""")
+def decimal_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    direction = F.when(F.col("o_orderkey") % 2 == 0, 1.0).otherwise(-1.0)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", fn.decimal_step(F.col("o_totalprice"), direction).alias("stepped"))
+
+
+@query("""SELECT c_custkey, replace(replace(replace('<' || c_name || '> & "' || c_mktsegment || '"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS half,
+    to_base64(encode(c_name)) AS coded, c_name AS decoded FROM customer""")
+def text_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = F.concat(F.lit("<"), "c_name", F.lit('> & "'), "c_mktsegment", F.lit('"'))
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", F.replace(fn.escaped_html(marked), F.lit("&quot;"), F.lit('"')).alias("half"), fn.base64_from_text(F.col("c_name")).alias("coded"))
+    return rows.select("c_custkey", "half", "coded", fn.text_from_base64(F.col("coded")).alias("decoded"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
