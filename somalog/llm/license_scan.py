@@ -75,8 +75,8 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame
     text = F.coalesce("text", F.lit(""))
     whole = docs.select("doc_id", F.xxhash64(text).alias("key"), F.sha2(canonical(F.col("text")), 256).alias("text_sha256"))
     whole = whole.join(digests.select(F.col("digest").alias("text_sha256"), "license_id"), "text_sha256", "left")
-    lines = docs.select("doc_id", F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n"))).select("doc_id", "key", "pos", canonical(F.col("col")).alias("form"))
-    found = lines.where(F.length("form") > 0).select("doc_id", "key", "pos", F.sha2("form", 256).alias("digest")).join(digests, "digest")
+    lines = docs.select("doc_id", F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")))
+    found = lines.select("doc_id", "key", "pos", F.sha2(canonical(F.col("col")), 256).alias("digest")).join(digests, "digest")  # no known form is empty
     notices = found.groupBy("doc_id", "key").agg(F.countDistinct("pos").alias("n"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     same = whole["doc_id"].eqNullSafe(notices["doc_id"]) & (whole["key"] == notices["key"])
     return whole.join(notices, same, "left").select(whole["doc_id"], "text_sha256", "license_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), "notices")
