@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK, UNKNOWN_PENALTY = "▁", 10.0
-REMEMBERED, LONG, CHECK_EVERY = 300_000, 48, 32
+REMEMBERED, LONG, CHECK_EVERY = 120_000, 48, 32
+#: So many texts' ids leave a task at once.
+ROWS = 500
 _SEGMENTS = re.compile(r" *[^ ]+| +")
 
 
@@ -185,7 +187,7 @@ def load(path: str) -> Pieces:
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             ids, sizes, exact = array("i"), [], []
             for text in batch.column(batch.schema.get_field_index("_text")):
                 text = text.as_py()
