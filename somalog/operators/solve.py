@@ -6,7 +6,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,36 +14,54 @@ from pyspark.sql import types as T
 PARTS = ("weight", "ffm", "fat", "muscle", "minerals", "water", "protein")
 
 
+def _triples(v: np.ndarray, most: float, ordered: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """Places (a, b, c), all different, with |v[a] - v[b] - v[c]| <= most and the given order of
+    values between parts of the triple."""
+    x = np.array(np.nonzero(np.abs(v[:, None, None] - v[None, :, None] - v[None, None, :]) <= most))
+    fits = (x[0] != x[1]) & (x[0] != x[2]) & (x[1] != x[2])
+    for i, j in ordered:
+        fits &= v[x[i]] > v[x[j]]
+    return x[:, fits]
+
+
+def solved(v: np.ndarray) -> tuple[float, ...] | None:
+    """The best (weight, ffm, fat, muscle, minerals, water, protein, score) of some numbers.
+
+    Three kinds of triples are found by themselves and then joined on the part they share."""
+    first, second, third = _triples(v, 1.2, ((0, 1),)), _triples(v, 1.0, ((0, 1),)), _triples(v, 1.2, ((0, 1), (1, 2)))
+    i, j = np.nonzero(first[1][:, None] == second[0][None, :])
+    five = np.vstack([first[:, i], second[1:, j]])
+    five = five[:, (five[3] != five[0]) & (five[3] != five[2]) & (five[4] != five[0]) & (five[4] != five[2])]
+    i, j = np.nonzero(five[3][:, None] == third[0][None, :])
+    seven = np.vstack([five[:, i], third[1:, j]])
+    seven = seven[:, ~((seven[5:, None, :] == seven[None, :5, :]).any(axis=(0, 1)))]
+    if not seven.shape[1]:
+        return None
+    w, f, a, m, n, t, p = v[seven]
+    score = np.abs(w - f - a) + np.abs(f - m - n) + np.abs(m - t - p) + np.where(w == v.max(), 0.0, 2.0) + np.where(n < p, 0.0, 1.0)
+    best = np.lexsort((*seven[::-1], score))[0]
+    return (*(float(x[best]) for x in (w, f, a, m, n, t, p)), float(score[best]))
+
+
+_SOLUTION = T.StructType([T.StructField(name, T.DoubleType()) for name in (*PARTS, "score")])
+
+
+@F.pandas_udf(_SOLUTION)
+def _solutions(values: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([solved(np.asarray(v, float)) or (None,) * 8 for v in values], columns=[*PARTS, "score"], dtype=float)
+
+
 def composition(values: DataFrame, key: str, place: str, value: str) -> DataFrame:
     """(key, weight, ffm, fat, muscle, minerals, water, protein, score) from 7 to 20 numbers a key.
 
     Weight = ffm + fat, ffm = muscle + minerals and muscle = water + protein must hold nearly;
-    the best score wins, then the smallest places. Three joins, each filtered at once, so no
-    more than the combinations that can still hold are ever made.
+    the best score wins, then the smallest places. Keys with other counts are left out before
+    their numbers are gathered, so no array is longer than 20.
     """
-    fine = values.where((F.col(value) > 0) & (F.col(value) < 300)).select(key, F.col(place).alias("p"), F.col(value).cast("double").alias("v"))
-    sized = fine.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).where(F.col("n").between(7, 20))
-    fine = fine.join(sized, key)
-    named = lambda name: fine.select(key, F.col("p").alias(f"p_{name}"), F.col("v").alias(name))
-
-    def off(a: str, b: str, c: str) -> Column:
-        return F.abs(F.col(a) - F.col(b) - F.col(c))
-
-    def new(name: str, *taken: str) -> Column:
-        out = F.lit(True)
-        for t in taken:
-            out = out & (F.col(f"p_{name}") != F.col(f"p_{t}"))
-        return out
-
-    found = fine.select(key, "top", F.col("p").alias("p_weight"), F.col("v").alias("weight")).join(named("ffm"), key).where(new("ffm", "weight") & (F.col("weight") > F.col("ffm")))
-    found = found.join(named("fat"), key).where(new("fat", "weight", "ffm") & (off("weight", "ffm", "fat") <= 1.2))
-    found = found.join(named("muscle"), key).where(new("muscle", "weight", "ffm", "fat") & (F.col("ffm") > F.col("muscle")))
-    found = found.join(named("minerals"), key).where(new("minerals", "weight", "ffm", "fat", "muscle") & (off("ffm", "muscle", "minerals") <= 1.0))
-    found = found.join(named("water"), key).where(new("water", "weight", "ffm", "fat", "muscle", "minerals") & (F.col("muscle") > F.col("water")))
-    found = found.join(named("protein"), key).where(new("protein", *PARTS[:-1]) & (F.col("water") > F.col("protein")) & (off("muscle", "water", "protein") <= 1.2))
-    score = off("weight", "ffm", "fat") + off("ffm", "muscle", "minerals") + off("muscle", "water", "protein") + F.when(F.col("weight") == F.col("top"), 0.0).otherwise(2.0) + F.when(F.col("minerals") < F.col("protein"), 0.0).otherwise(1.0)
-    best = F.min(F.struct(score.alias("score"), *(f"p_{name}" for name in PARTS), *PARTS)).alias("b")
-    return found.groupBy(key).agg(best).select(key, *(F.col(f"b.{name}").alias(name) for name in PARTS), F.col("b.score").alias("score"))
+    fine = values.where((F.col(value) > 0) & (F.col(value) < 300)).select(key, place, F.col(value).cast("double").alias("_v"))
+    few = fine.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(7, 20)).select(key)
+    arrays = fine.join(few, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(place, "_v"))), lambda x: x["_v"]).alias("_v"))
+    return arrays.select(key, _solutions("_v").alias("_s")).select(key, "_s.*").where("score IS NOT NULL")
 
 
 def range_cost(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:

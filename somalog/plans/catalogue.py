@@ -44,12 +44,12 @@ def _ms(ts: str) -> Column:
 
 _SESSIONS = """
 s AS (
-    SELECT event_id AS session_id, user_id, epoch_ms(ts) AS start_ms, epoch_ms(ts) + 43200000 AS end_ms FROM events WHERE event_type = 'signup'),
+    SELECT event_id AS session_id, user_id, (epoch_us(ts) // 1000) AS start_ms, (epoch_us(ts) // 1000) + 43200000 AS end_ms FROM events WHERE event_type = 'signup'),
 n AS (SELECT *, lead(start_ms) OVER ({} ORDER BY start_ms, session_id) AS next_ms FROM s),
 m AS (
-    SELECT n.session_id, n.user_id, e.event_id, epoch_ms(e.ts) AS at, e.value, e.user_id AS sample_user
-    FROM n JOIN events e ON e.event_type <> 'signup' {} AND epoch_ms(e.ts) >= n.start_ms
-        AND epoch_ms(e.ts) <= n.end_ms + 1000 AND (n.next_ms IS NULL OR epoch_ms(e.ts) < n.next_ms))"""
+    SELECT n.session_id, n.user_id, e.event_id, (epoch_us(e.ts) // 1000) AS at_ms, e.value, e.user_id AS sample_user
+    FROM n JOIN events e ON e.event_type <> 'signup' {} AND (epoch_us(e.ts) // 1000) >= n.start_ms
+        AND (epoch_us(e.ts) // 1000) <= n.end_ms + 1000 AND (n.next_ms IS NULL OR (epoch_us(e.ts) // 1000) < n.next_ms))"""
 _KEYED = _SESSIONS.format("PARTITION BY user_id", "AND e.user_id = n.user_id")
 _UNKEYED = _SESSIONS.format("", "")
 _R1 = "floor({0} * 10 + 0.5) / CAST(10 AS DOUBLE)"
@@ -70,7 +70,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_KEYED}
 SELECT session_id, count(*) AS n, {_R1.format("avg(value)")} AS average, {_R1.format("min(value)")} AS least, {_R1.format("max(value)")} AS most
-FROM (SELECT DISTINCT session_id, at, value FROM m WHERE value IS NOT NULL) GROUP BY session_id""")
+FROM (SELECT DISTINCT session_id, at_ms, value FROM m WHERE value IS NOT NULL) GROUP BY session_id""")
 def asof_session_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = _matched(spark, sf_dir)
     return sessions.statistics(sessions.distinct_samples(matched, "session_id", "at", None, "value"), "session_id")
@@ -78,7 +78,7 @@ def asof_session_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_UNKEYED}
 SELECT session_id, count(*) AS n, {_R1.format("avg(value)")} AS average, {_R1.format("min(value)")} AS least, {_R1.format("max(value)")} AS most
-FROM (SELECT DISTINCT session_id, at, value FROM m WHERE value IS NOT NULL) GROUP BY session_id""")
+FROM (SELECT DISTINCT session_id, at_ms, value FROM m WHERE value IS NOT NULL) GROUP BY session_id""")
 def asof_global_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events")
     matched = asof.attach(_sample_rows(events, "sample_user"), _session_rows(events), [], "at", "start_ms", "end_ms", "session_id")
@@ -86,13 +86,13 @@ def asof_global_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_KEYED}
-SELECT m.session_id, m.event_id, m.user_id, m.at - s.start_ms AS offset_ms FROM m JOIN s USING (session_id)""")
+SELECT m.session_id, m.event_id, m.user_id, m.at_ms - s.start_ms AS offset_ms FROM m JOIN s USING (session_id)""")
 def asof_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir).select("session_id", "event_id", "user_id", (F.col("at") - F.col("start_ms")).alias("offset_ms"))
 
 
 @query(f"""WITH {_KEYED}, a AS (
-    SELECT session_id, count(*) AS n, {_R1.format("avg(value)")} AS average FROM (SELECT DISTINCT session_id, at, value FROM m WHERE value IS NOT NULL) GROUP BY session_id)
+    SELECT session_id, count(*) AS n, {_R1.format("avg(value)")} AS average FROM (SELECT DISTINCT session_id, at_ms, value FROM m WHERE value IS NOT NULL) GROUP BY session_id)
 SELECT s.session_id, s.user_id, coalesce(a.n, 0) AS n, a.average FROM s LEFT JOIN a USING (session_id)""")
 def session_left_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events")
@@ -100,30 +100,30 @@ def session_left_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _session_rows(events).join(found, "session_id", "left").select("session_id", "user_id", F.coalesce("n", F.lit(0)).alias("n"), "average")
 
 
-@query(f"""WITH {_KEYED} SELECT DISTINCT session_id, at, value FROM m WHERE value IS NOT NULL""")
+@query(f"""WITH {_KEYED} SELECT DISTINCT session_id, at_ms, value FROM m WHERE value IS NOT NULL""")
 def sample_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = _matched(spark, sf_dir)
-    return sessions.distinct_samples(twice.union(twice), "session_id", "at", None, "value").select("session_id", "at", "value")
+    return sessions.distinct_samples(twice.union(twice), "session_id", "at", None, "value").select("session_id", F.col("at").alias("at_ms"), "value")
 
 
-@query(f"""WITH f AS (SELECT l_orderkey, {_R1.format("sum(DISTINCT l_extendedprice)")} AS total FROM lineitem GROUP BY l_orderkey)
+@query(f"""WITH f AS (SELECT l_orderkey, {_R1.format("sum(DISTINCT l_quantity)")} AS total FROM lineitem GROUP BY l_orderkey)
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE f.total END AS energy
 FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
 def fallback_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A declared value where there is one, else the sum of distinct samples."""
-    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice").withColumn("at", F.lit(0))
-    totals = sessions.distinct_sum(sessions.distinct_samples(lines, "l_orderkey", "at", None, "l_extendedprice"), "l_orderkey")
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity").withColumn("at", F.lit(0))
+    totals = sessions.distinct_sum(sessions.distinct_samples(lines, "l_orderkey", "at", None, "l_quantity"), "l_orderkey")
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("declared"))
     joined = orders.join(totals, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select("o_orderkey", sessions.declared_or(F.col("declared"), F.col("total")).alias("energy"))
 
 
-@query(f"""WITH {_KEYED}, d AS (SELECT DISTINCT session_id, at, value FROM m WHERE value IS NOT NULL)
-SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY at, value) - 1 AS pos, at, value AS bpm FROM d""")
+@query(f"""WITH {_KEYED}, d AS (SELECT DISTINCT session_id, at_ms, value FROM m WHERE value IS NOT NULL)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY at_ms, value) - 1 AS pos, at_ms, value AS bpm FROM d""")
 def ordered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = sessions.distinct_samples(_matched(spark, sf_dir), "session_id", "at", None, "value")
     rows = sessions.ordered(kept.withColumn("end_at", F.lit(None).cast("string")), "session_id").select("session_id", F.posexplode("samples"))
-    return rows.select("session_id", F.col("pos").cast("long").alias("pos"), "col.at", "col.bpm")
+    return rows.select("session_id", F.col("pos").cast("long").alias("pos"), F.col("col.at").alias("at_ms"), "col.bpm")
 
 
 _HALVES = "SELECT o_orderkey AS seq, {} AS id, o_orderkey % 2 = 1 AS incoming, o_totalprice FROM orders"
@@ -197,7 +197,7 @@ def period_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: SQL for the list's columns over events, by the view's names.
-_ITEMS_SQL = """SELECT event_id, user_id, epoch_ms(ts) AS date_value, event_type AS type, 'src' || CAST(user_id % 5 AS VARCHAR) AS source,
+_ITEMS_SQL = """SELECT event_id, user_id, (epoch_us(ts) // 1000) AS date_value, event_type AS type, 'src' || CAST(user_id % 5 AS VARCHAR) AS source,
     CASE WHEN event_id % 7 <> 0 THEN value END AS duration_minutes, CASE WHEN event_id % 5 <> 0 THEN floor(value) END AS active_energy_kcal,
     CASE WHEN event_id % 3 <> 0 THEN value / 2 END AS weight_kg, CASE WHEN event_id % 4 <> 0 THEN floor(value / 10) END AS fat_percent,
     CASE WHEN event_id % 11 <> 0 THEN floor(value / 3) END AS average_bpm, event_type || ' User ' || CAST(user_id AS VARCHAR) AS search_text FROM events"""
@@ -272,7 +272,7 @@ def row_reparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT l_orderkey, count(*) AS n, avg(l_quantity) AS average FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT count(*) AS n_logs, min(epoch_ms(o_orderdate)) AS first_start, max(epoch_ms(o_orderdate)) AS last_start, count(average) AS n_with_average,
+SELECT count(*) AS n_logs, min((epoch_us(o_orderdate) // 1000)) AS first_start, max((epoch_us(o_orderdate) // 1000)) AS last_start, count(average) AS n_with_average,
     count(*) FILTER (WHERE n > 0) AS n_with_samples, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_samples FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
 def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("average"))
@@ -349,20 +349,20 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT l_orderkey, lower(CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE lower(l_returnflag) END) AS same,
-    CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE lower(l_returnflag) END AS value, l_linenumber AS rank, l_linestatus = 'F' AS observed FROM lineitem),
+    CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE lower(l_returnflag) END AS value, CAST(round(l_extendedprice * 100) AS BIGINT) AS rank, l_linestatus = 'F' AS observed FROM lineitem),
 g AS (SELECT l_orderkey, same, count(*) FILTER (WHERE observed) AS n_observed, count(*) AS n, min(rank) AS rank, arg_min(value, rank) AS value FROM v GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n_observed DESC, n DESC, rank) AS k,
     count(*) FILTER (WHERE n_observed > 0) OVER (PARTITION BY l_orderkey) > 1 AS conflicted FROM g)
 SELECT l_orderkey, value, n_observed, n, conflicted FROM r WHERE k = 1""")
 def consensus_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("rank"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise(F.lower("l_returnflag")).alias("vote"), (F.col("l_linestatus") == "F").alias("observed"))
+    votes = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("rank"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise(F.lower("l_returnflag")).alias("vote"), (F.col("l_linestatus") == "F").alias("observed"))
     return consensus.text_vote(votes, ["l_orderkey"], "vote", "rank", F.col("observed"))
 
 
 @query()
 def consensus_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes of numbers within a tolerance; the order of readings decides, which SQL lacks."""
-    votes = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("rank"), F.col("l_discount").alias("vote"), (F.col("l_linestatus") == "F").alias("observed"))
+    votes = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("rank"), F.col("l_discount").alias("vote"), (F.col("l_linestatus") == "F").alias("observed"))
     return consensus.number_vote(votes, ["l_orderkey"], "vote", "rank", "observed", 0.015)
 
 
@@ -393,7 +393,7 @@ def dominant_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.dominant_cluster(_t(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size", "p_partkey", 8)
 
 
-_DAYS = "SELECT DISTINCT user_id, CAST(floor(epoch_ms(ts) / 86400000) AS BIGINT) AS day FROM events"
+_DAYS = "SELECT DISTINCT user_id, CAST(floor((epoch_us(ts) // 1000) / 86400000) AS BIGINT) AS day FROM events"
 
 
 @query(f"""WITH d AS ({_DAYS}), f AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY user_id ORDER BY day) > 2 THEN 1 WHEN lag(day) OVER (PARTITION BY user_id ORDER BY day) IS NULL THEN 1 ELSE 0 END AS new FROM d),
@@ -426,7 +426,7 @@ a AS (SELECT w.k, w.top, w.p AS pw, w.v AS weight, x.p AS pf, x.v AS ffm, y.p AS
 b AS (SELECT a.*, x.p AS pm, x.v AS muscle, y.p AS pi, y.v AS minerals FROM a JOIN g x ON x.k = a.k AND x.p NOT IN (pw, pf, pa) AND ffm > x.v JOIN g y ON y.k = a.k AND y.p NOT IN (pw, pf, pa, x.p) AND abs(ffm - x.v - y.v) <= 1),
 c AS (SELECT b.*, x.p AS pt, x.v AS water, y.p AS pp, y.v AS protein FROM b JOIN g x ON x.k = b.k AND x.p NOT IN (pw, pf, pa, pm, pi) AND muscle > x.v JOIN g y ON y.k = b.k AND y.p NOT IN (pw, pf, pa, pm, pi, x.p) AND x.v > y.v AND abs(muscle - x.v - y.v) <= CAST(1.2 AS DOUBLE)),
 s AS (SELECT *, abs(weight - ffm - fat) + abs(ffm - muscle - minerals) + abs(muscle - water - protein) + CASE WHEN weight = top THEN CAST(0 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END + CASE WHEN minerals < protein THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS score FROM c)
-SELECT k, weight, ffm, fat, muscle, minerals, water, protein, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score, pw, pf, pa, pm, pi, pt, pp) AS r FROM s) WHERE r = 1""")
+SELECT k, weight, ffm, fat, muscle, minerals, water, protein, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score, pw, pf, pa, pm, pi, pt, pp, weight, ffm, fat, muscle, minerals, water, protein) AS r FROM s) WHERE r = 1""")
 def composition_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solve.composition(_composition_input(spark, sf_dir), "k", "place", "v")
 
@@ -460,7 +460,7 @@ def smoothed_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.smoothed_fraction(_t(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("value") > 50).select("event_id", "user_id", "fraction")
 
 
-@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+08:00' AS time_text, (epoch_ms(ts) // 1000) * 1000 - 28800000 AS ms, strftime(ts, '%Y-%m') AS period FROM events""")
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+08:00' AS time_text, ((epoch_us(ts) // 1000) // 1000) * 1000 - 28800000 AS ms, strftime(ts, '%Y-%m') AS period FROM events""")
 def date_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0800"))
     rows = _t(spark, sf_dir, "events").select("event_id", fn.export_time(raw).alias("time_text"))
