@@ -17,8 +17,10 @@ def distinct_samples(matched: DataFrame, session: str, at: str, end_at: str | No
 
 
 def statistics(samples: DataFrame, session: str) -> DataFrame:
-    """(session, n, average, least, most) of distinct samples, to one decimal."""
-    return samples.groupBy(session).agg(F.count("value").alias("n"), round1(F.avg("value")).alias("average"), round1(F.min("value")).alias("least"), round1(F.max("value")).alias("most"))
+    """(session, n, average, least, most) of distinct samples, to one decimal. Values are summed as
+    decimals of six places, so the order in which they arrive does not matter."""
+    average = F.sum(F.col("value").cast("decimal(20,6)")).cast("double") / F.count("value")
+    return samples.groupBy(session).agg(F.count("value").alias("n"), round1(average).alias("average"), round1(F.min("value")).alias("least"), round1(F.max("value")).alias("most"))
 
 
 def ordered(samples: DataFrame, session: str) -> DataFrame:
@@ -30,7 +32,7 @@ def ordered(samples: DataFrame, session: str) -> DataFrame:
 
 def distinct_sum(samples: DataFrame, session: str) -> DataFrame:
     """(session, total): the sum of distinct samples, to one decimal."""
-    return samples.groupBy(session).agg(round1(F.sum("value")).alias("total"))
+    return samples.groupBy(session).agg(round1(F.sum(F.col("value").cast("decimal(20,6)")).cast("double")).alias("total"))
 
 
 def declared_or(declared: Column, computed: Column) -> Column:

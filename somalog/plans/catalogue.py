@@ -52,6 +52,7 @@ m AS (
         AND (epoch_us(e.ts) // 1000) <= n.end_ms + 1000 AND (n.next_ms IS NULL OR (epoch_us(e.ts) // 1000) < n.next_ms))"""
 _KEYED = _SESSIONS.format("PARTITION BY user_id", "AND e.user_id = n.user_id")
 _UNKEYED = _SESSIONS.format("", "")
+_AVG = "CAST(sum(CAST(value AS DECIMAL(20,6))) AS DOUBLE) / count(*)"
 _R1 = "floor({0} * 10 + 0.5) / CAST(10 AS DOUBLE)"
 
 
@@ -69,7 +70,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_KEYED}
-SELECT session_id, count(*) AS n, {_R1.format("avg(value)")} AS average, {_R1.format("min(value)")} AS least, {_R1.format("max(value)")} AS most
+SELECT session_id, count(*) AS n, {_R1.format(_AVG)} AS average, {_R1.format("min(value)")} AS least, {_R1.format("max(value)")} AS most
 FROM (SELECT DISTINCT session_id, at_ms, value FROM m WHERE value IS NOT NULL) GROUP BY session_id""")
 def asof_session_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = _matched(spark, sf_dir)
@@ -77,7 +78,7 @@ def asof_session_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_UNKEYED}
-SELECT session_id, count(*) AS n, {_R1.format("avg(value)")} AS average, {_R1.format("min(value)")} AS least, {_R1.format("max(value)")} AS most
+SELECT session_id, count(*) AS n, {_R1.format(_AVG)} AS average, {_R1.format("min(value)")} AS least, {_R1.format("max(value)")} AS most
 FROM (SELECT DISTINCT session_id, at_ms, value FROM m WHERE value IS NOT NULL) GROUP BY session_id""")
 def asof_global_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events")
@@ -92,7 +93,7 @@ def asof_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_KEYED}, a AS (
-    SELECT session_id, count(*) AS n, {_R1.format("avg(value)")} AS average FROM (SELECT DISTINCT session_id, at_ms, value FROM m WHERE value IS NOT NULL) GROUP BY session_id)
+    SELECT session_id, count(*) AS n, {_R1.format(_AVG)} AS average FROM (SELECT DISTINCT session_id, at_ms, value FROM m WHERE value IS NOT NULL) GROUP BY session_id)
 SELECT s.session_id, s.user_id, coalesce(a.n, 0) AS n, a.average FROM s LEFT JOIN a USING (session_id)""")
 def session_left_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events")
@@ -436,7 +437,7 @@ def range_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities of an order to ranges around its discounts, one to one at the least cost."""
     lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_discount") * 500).alias("low"), (F.col("l_discount") * 500 + 2 + F.col("l_tax") * 100).alias("high"))
     item = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "low", "high"))).alias("x")
-    rows = lines.groupBy("l_orderkey").agg(item).withColumn("of", solve.assigned_ranges(*(F.transform("x", lambda r, c=c: r[c]) for c in ("l_quantity", "low", "high"))))
+    rows = lines.groupBy("l_orderkey").agg(item).withColumn("of", solve.assigned_ranges(F.col("x.l_quantity"), F.col("x.low"), F.col("x.high")))
     return rows.select("l_orderkey", F.posexplode("of")).select("l_orderkey", F.col("pos").alias("value_place"), F.col("col").alias("range_place"))
 
 
@@ -474,9 +475,9 @@ def duration_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "orders").select("o_orderkey", fn.minutes(F.col("o_totalprice"), unit).alias("minutes"))
 
 
-@query("""WITH p AS (SELECT o_orderkey, CAST(o_orderkey % 4 * 20 + o_custkey % 20 AS INTEGER) AS at, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS d FROM orders),
-q AS (SELECT o_orderkey, greatest(0, least(79, at + d)) AS at FROM p)
-SELECT o_orderkey, ['-', '0', '+', '++'][at // 20 + 1] || ': ' || CAST(at % 20 * 5 AS VARCHAR) || '%' AS stepped FROM q""")
+@query("""WITH p AS (SELECT o_orderkey, CAST(o_orderkey % 4 * 20 + o_custkey % 20 AS INTEGER) AS p, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS d FROM orders),
+q AS (SELECT o_orderkey, greatest(0, least(79, p + d)) AS q FROM p)
+SELECT o_orderkey, ['-', '0', '+', '++'][q // 20 + 1] || ': ' || CAST(q % 20 * 5 AS VARCHAR) || '%' AS stepped FROM q""")
 def step_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = F.array(*(F.lit(x) for x in fn.FOUR_LEVELS))
     text = F.concat(F.element_at(levels, (F.col("o_orderkey") % 4 + 1).cast("int")), F.lit(": "), (F.col("o_custkey") % 20 * 5 + F.col("o_custkey") % 5).cast("string"), F.lit("%"))
