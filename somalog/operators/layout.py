@@ -32,8 +32,9 @@ def dominant_cluster(rows: DataFrame, by: Sequence[str], value: str, order: str,
 
     Neighbours are counted with a range frame, not with a self join.
     """
-    near = Window.partitionBy(*by).orderBy(value).rangeBetween(-tolerance, tolerance)
-    counted = rows.withColumn("_size", F.count(F.lit(1)).over(near)).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    keys, reach = ", ".join(f"`{k}`" for k in by), f"{float(tolerance)!r}D"
+    near = F.expr(f"count(1) OVER (PARTITION BY {keys} ORDER BY CAST(`{value}` AS DOUBLE) RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)")
+    counted = rows.withColumn("_size", near).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     best = counted.groupBy(*by).agg(F.max(F.struct(F.col("_size"), (-F.col(order)).alias("o"), F.col(value).alias("centre"))).alias("b"), F.max("_total").alias("sample_size"))
     best = best.where((F.col("b._size") >= 3) & (F.col("b._size") >= 0.25 * F.col("sample_size")))
     members = rows.join(best, list(by)).where(F.abs(F.col(value) - F.col("b.centre")) <= tolerance)

@@ -124,7 +124,7 @@ def section(text: Column, starts: str, ends: str) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def read_lines(rows: Column) -> Column:
