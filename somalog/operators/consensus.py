@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOLERANCE = 0.11
 WARNING_WEIGHT = 0.015
@@ -30,26 +33,35 @@ def text_vote(votes: DataFrame, key: list[str], value: str, rank: str, observed:
     return best.select(*key, F.col("_b.value").alias("value"), F.col("_b.n_observed").alias("n_observed"), F.col("_b.n").alias("n"), "conflicted")
 
 
+_VOTE = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("n_observed", T.LongType()), T.StructField("n", T.LongType()), T.StructField("conflicted", T.BooleanType())])
+
+
+def _voted(values: Sequence[float], seen: Sequence[bool], tolerance: float) -> tuple[float, int, int, bool]:
+    """The winner among numbers that come in order of rank."""
+    firsts, observed, sizes = [], [], []
+    for v, s in zip(values, seen, strict=True):
+        home = next((k for k, first in enumerate(firsts) if abs(first - v) <= tolerance), len(firsts))
+        if home == len(firsts):
+            firsts.append(v)
+            observed.append(0)
+            sizes.append(0)
+        observed[home] += bool(s)
+        sizes[home] += 1
+    best = max(range(len(firsts)), key=lambda k: (observed[k], sizes[k], -k))
+    return firsts[best], observed[best], sizes[best], sum(n > 0 for n in observed) > 1
+
+
 def number_vote(votes: DataFrame, key: list[str], value: str, rank: str, observed: str, tolerance: float = TOLERANCE) -> DataFrame:
     """The same for numbers, which agree with a group if they are within tolerance of its first.
 
-    Which group a number joins depends on the order, so a field of a report is one group of
-    rows; it has as many rows as a report has readings.
+    Which group a number joins depends on the order, so a field's readings are gathered in one
+    array; a field has as many as a report has readings, a few.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in votes.schema}
-
-    def vote(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(rank, kind="stable")
-        groups: list[list] = []  # first value, observed, size, best rank
-        for v, r, seen in rows[[value, rank, observed]].itertuples(index=False):
-            home = next((g for g in groups if abs(g[0] - v) <= tolerance), None)
-            if home is None:
-                home = [v, 0, 0, r]
-                groups.append(home)
-            home[1] += bool(seen)
-            home[2] += 1
-        best = max(groups, key=lambda g: (g[1], g[2], -g[3]))
-        return pd.DataFrame([[*rows[key].iloc[0], best[0], best[1], best[2], sum(g[1] > 0 for g in groups) > 1]], columns=[*key, "value", "n_observed", "n", "conflicted"])
-
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), "value double", "n_observed long", "n long", "conflicted boolean"])
-    return votes.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias(value), rank, observed).groupBy(*key).applyInPandas(vote, schema)
+
+    @F.pandas_udf(_VOTE)
+    def vote(values: pd.Series, seen: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_voted(v, s, tolerance) for v, s in zip(values, seen, strict=True)], columns=_VOTE.names)
+
+    spoken = votes.where(F.col(value).isNotNull())
+    inorder = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(value).cast("double").alias("v"), F.coalesce(F.col(observed), F.lit(False)).alias("s"))))
+    return spoken.groupBy(*key).agg(inorder.alias("_a")).select(*key, vote(F.col("_a.v"), F.col("_a.s")).alias("_w")).select(*key, "_w.*")

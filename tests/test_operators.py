@@ -104,6 +104,30 @@ def test_view(spark):
     assert tuple(r) == ("70 kg · 52.5 kg muscle", "60 min · 101 bpm avg", "Metrics · Body BMR kJ", "Record ID", False)
 
 
+def plain_solution(v):
+    best = None
+    places = range(len(v))
+    for w in places:
+        for f in places:
+            if f == w or not v[w] > v[f]:
+                continue
+            for a in places:
+                if a in (w, f) or abs(v[w] - v[f] - v[a]) > 1.2:
+                    continue
+                for m in places:
+                    for n in places:
+                        if len({w, f, a, m, n}) < 5 or not v[f] > v[m] or abs(v[f] - v[m] - v[n]) > 1.0:
+                            continue
+                        for t in places:
+                            for p in places:
+                                if len({w, f, a, m, n, t, p}) < 7 or not v[m] > v[t] > v[p] or abs(v[m] - v[t] - v[p]) > 1.2:
+                                    continue
+                                score = abs(v[w] - v[f] - v[a]) + abs(v[f] - v[m] - v[n]) + abs(v[m] - v[t] - v[p]) + 2 * (v[w] != max(v)) + (not v[n] < v[p])
+                                if best is None or score < best[-1]:
+                                    best = (*(float(v[k]) for k in (w, f, a, m, n, t, p)), float(score))
+    return best
+
+
 def test_solver_and_ranges(spark):
     numbers = [40.0, 40.0, 12.0, 52.0, 4.0, 56.0, 14.0, 70.0]
     table = spark.createDataFrame([("a", i, v) for i, v in enumerate(numbers)] + [("few", 0, 1.0)] + [("many", i, 5.0) for i in range(30)], "k string, p int, v double")
@@ -111,6 +135,10 @@ def test_solver_and_ranges(spark):
     assert (r.weight, r.ffm, r.fat, r.muscle, r.minerals, r.water, r.protein) == (70, 56, 14, 52, 4, 40, 12)
     import numpy as np
 
+    for seed in range(12):
+        v = np.random.default_rng(seed).integers(1, 30, 8 + seed % 3).astype(float)
+        assert solve.solved(v) == plain_solution(v)
+
     rng = np.random.default_rng(7)
     from itertools import permutations
 
