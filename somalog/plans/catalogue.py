@@ -6,14 +6,18 @@ QUERIES and SQL hold both sides under one name.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from somalog.functions import scalars as fn
-from somalog.operators import asof, consensus, layout, merge, sessions, solve, view
+from somalog.operators import asof, consensus, layout, merge, reports, sessions, solve, view
+from somalog.sources import health_export, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -494,6 +498,90 @@ def text_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "half", "coded", fn.text_from_base64(F.col("coded")).alias("decoded"))
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, for data that a query derives and reads."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-derived-")
+    return f"{root}/derived-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {_UNKEYED},
+e AS (SELECT DISTINCT session_id, (at_ms // 1000) AS at_s, value AS bpm FROM (
+    SELECT n.session_id, epoch_us(e.ts) // 1000 AS at_ms, e.value FROM n JOIN events e ON e.event_type = 'view'
+        AND epoch_us(e.ts) // 1000000 >= n.start_ms // 1000 AND epoch_us(e.ts) // 1000000 <= n.start_ms // 1000 + 3600 + 1
+        AND (n.next_ms IS NULL OR epoch_us(e.ts) // 1000000 < n.next_ms // 1000))),
+a AS (SELECT session_id, count(*) AS n, {_R1.format("CAST(sum(CAST(bpm AS DECIMAL(20,6))) AS DOUBLE) / count(*)")} AS average FROM e GROUP BY 1)
+SELECT 'apple-health:strength:' || strftime(to_timestamp(start_ms // 1000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS id,
+    CAST(60 AS DOUBLE) AS duration_minutes, coalesce(a.n, 0) AS n_samples, a.average AS average_bpm FROM s LEFT JOIN a USING (session_id)""")
+def xml_workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events written as an export (sign-ups as workouts of an hour, views as heart rates) and read
+    back: XML scans, as-of join, distinct samples, statistics."""
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000"))
+    later = F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000"))
+    quoted = lambda **a: F.concat(*(x for k, v in a.items() for x in (F.lit(f' {k}="'), v, F.lit('"'))))
+    workout = F.concat(F.lit("<Workout"), quoted(workoutActivityType=F.lit(health_export.STRENGTH), duration=F.lit("3600"), durationUnit=F.lit("sec"), startDate=stamp, endDate=later), F.lit("/>"))
+    record = F.concat(F.lit("<Record"), quoted(type=F.lit(health_export.HEART_RATE), unit=F.lit("count/min"), startDate=stamp, endDate=stamp, value=F.col("value").cast("string")), F.lit("/>"))
+    folder = _scratch(spark)
+    lines = _t(spark, sf_dir, "events").where("event_type IN ('signup', 'view')").select(F.when(F.col("event_type") == "signup", workout).otherwise(record).alias("value"))
+
+    def framed(batches):  # a document a file
+        yield pd.DataFrame({"value": ["<HealthData>"]})
+        yield from batches
+        yield pd.DataFrame({"value": ["</HealthData>"]})
+
+    lines.mapInPandas(framed, "value string").write.text(folder)
+    logs = health_export.import_xml(spark, folder)
+    return logs.select("id", "duration_minutes", F.coalesce(F.size("heart_rate_bpm.samples"), F.lit(0)).cast("long").alias("n_samples"), F.col("heart_rate_bpm.average_bpm").alias("average_bpm"))
+
+
+_LOG = "o_custkey % 500"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, {_LOG} AS id, strftime(o_orderdate, '%Y-%m') AS period, o_orderkey % 4 = 0 AS second FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY period, id ORDER BY second DESC, o_orderkey DESC) AS back FROM r)
+SELECT period, id, o_orderkey AS seq FROM k WHERE back = 1""")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders saved as logs in two batches by month and id, and read again: the last one stays."""
+    root, key = _scratch(spark), F.concat(F.lit("log:"), F.expr(_LOG).cast("string"))
+    raw = F.to_json(F.struct(key.alias("id"), F.lit("order").alias("kind"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("start_at"), F.col("o_orderkey").alias("seq")))
+    logs = _t(spark, sf_dir, "orders").select(raw.alias("raw"), F.col("o_orderkey").alias("place"))
+    for second in (False, True):
+        store.save(spark, root, logs.where((F.col("place") % 4 == 0) == second))
+    found = store.read(spark, root).select("period", F.from_json("raw", "id string, seq long").alias("f"))
+    return found.select("period", F.substring("f.id", 5, 20).cast("long").alias("id"), "f.seq")
+
+
+_W = "CAST(40 + o_custkey % 600 / CAST(10 AS DOUBLE) AS DOUBLE)"
+_F = "CAST(5 + o_orderkey % 150 / CAST(10 AS DOUBLE) AS DOUBLE)"
+
+
+@query(f"""WITH v AS (SELECT o_orderkey, {_W} AS w, {_F} AS f FROM orders)
+SELECT o_orderkey, w AS weight_kg, f AS fat_mass_kg, {_R1.format("(w - f)")} AS ffm_kg, {_R1.format("(f / w * 100)")} AS fat_percent, CAST(0.3 AS DOUBLE) AS completeness FROM v""")
+def receipt_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts printed from orders and parsed: what is missing is derived from identities."""
+    text = F.concat(F.lit("input\nage 30\nRE SULT\nweight "), fn.number_text(F.expr(_W)), F.lit(" kg\nFAI MASS "), fn.number_text(F.expr(_F)), F.lit("kg\nDESIRABLE RANGE\n"))
+    docs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), text.alias("text"), F.lit("").alias("source_name"))
+    return reports.receipts(docs).select(F.col("doc").alias("o_orderkey"), "weight_kg", "fat_mass_kg", "ffm_kg", "fat_percent", "completeness")
+
+
+@query(f"""WITH v AS (SELECT o_orderkey, {_W} AS w, {_F} AS f, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)
+SELECT o_orderkey, d || 'T07:05:00' AS measured_at_local, f AS fat_mass_kg, CAST(o_orderkey % 900 + 1000 AS DOUBLE) AS bmr_kcal, CAST(-2.5 AS DOUBLE) AS weight_control_kg, 'Type ' || CAST(o_orderkey % 3 AS VARCHAR) AS body_type FROM v""")
+def report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports printed from orders and parsed, without a table."""
+    text = F.concat(
+        F.lit("Date/Time of measurement: "),
+        F.date_format("o_orderdate", "yyyy.MM.dd"),
+        F.lit(" 7:05\nBMR "),
+        (F.col("o_orderkey") % 900 + 1000).cast("string"),
+        F.lit(" kcal Weight Control -2,5 kg\nBody Type: Type "),
+        (F.col("o_orderkey") % 3).cast("string"),
+        F.lit("\nBody Composition Analysis\nBody Fat kg "),
+        fn.number_text(F.expr(_F)),
+        F.lit("\nThank you"),
+    )
+    docs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), text.alias("text"), F.lit("").alias("source_name"))
+    return reports.printed_reports(docs).select(F.col("doc").alias("o_orderkey"), "measured_at_local", "fat_mass_kg", "bmr_kcal", "weight_control_kg", "body_type")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
