@@ -60,11 +60,17 @@ def canonical(text: Column) -> Column:
     return F.trim(text)
 
 
+def beginning(text: Column) -> Column:
+    """The first three characters of a text's first word, which its canonical form has as well:
+    equivalent spellings agree in them."""
+    return F.translate(F.substring(F.regexp_extract(text, "[A-Za-z0-9\\x{80}-\\x{10FFFF}]+", 0), 1, 3), UPPER, LOWER)
+
+
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license_id): one row for each canonical form, a few tens in all."""
+    """(digest, license_id, beginning): one row for each canonical form, a few tens in all."""
     rows = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in known))
     texts = spark.range(1, numPartitions=1).select(F.inline(rows)).withColumn("form", canonical(F.col("text")))
-    return texts.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    return texts.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(beginning(F.col("form"))).alias("beginning"))
 
 
 def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
@@ -75,7 +81,8 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame
     text = F.coalesce("text", F.lit(""))
     whole = docs.select("doc_id", F.xxhash64(text).alias("key"), F.sha2(canonical(F.col("text")), 256).alias("text_sha256"))
     whole = whole.join(digests.select(F.col("digest").alias("text_sha256"), "license_id"), "text_sha256", "left")
-    lines = docs.select("doc_id", F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")))
+    begin = [r.beginning for r in digests.select("beginning").distinct().collect()]  # of a fixed table
+    lines = docs.select("doc_id", F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n"))).where(beginning(F.col("col")).isin(begin))
     found = lines.select("doc_id", "key", "pos", F.sha2(canonical(F.col("col")), 256).alias("digest")).join(digests, "digest")  # no known form is empty
     notices = found.groupBy("doc_id", "key").agg(F.countDistinct("pos").alias("n"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     same = whole["doc_id"].eqNullSafe(notices["doc_id"]) & (whole["key"] == notices["key"])

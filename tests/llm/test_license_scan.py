@@ -25,3 +25,8 @@ def test_variants_of_one_text_match(spark):
 def test_known_texts_differ_and_find_themselves(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(KNOWN)], "doc_id long, text string")
     assert {r.doc_id: r.license_id for r in license_scan.scan(docs).collect()} == dict(enumerate(name for name, _ in KNOWN))
+
+
+def test_spellings_keep_beginnings():
+    for other, kept in license_scan.SPELLINGS:
+        assert other[:3] == kept[:3] and " " not in other[:3]
