@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from somalog.llm.common import cut
 
 BUCKETS, TARGET_DOCS, KEEP, SEED = 10_000, 10_000, 0.8, 20
-CACHED = 200_000
+CACHED = 100_000
 _TOKENS = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff\s]+")
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 

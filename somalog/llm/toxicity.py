@@ -48,7 +48,7 @@ _SPLIT = b"\x00"
 #: So many bytes of a word are numbered, with these.
 DEPTH, PLACES = 8, bytes(range(1, 9))
 FEATURES = 5
-CACHED = 200_000
+CACHED = 50_000
 
 
 #: Odd factors that give independent orders of shingle hashes.
