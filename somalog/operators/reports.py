@@ -194,9 +194,10 @@ def receipts(docs: DataFrame) -> DataFrame:
         lines(section(F.col("t"), "INPUT", result)).alias("input"),
         lines(section(F.col("t"), result, r"DESIRABLE|INDICATOR|PHYSIQUE\s+RATING|BIOELECTRICAL")).alias("result"),
         lines(section(F.col("t"), "DESIRABLE", r"INDICATOR|PHYSIQUE\s+RATING|BIOELECTRICAL")).alias("range"),
+        F.when(F.col("t").contains("BIOELECTRICAL"), lines(section(F.col("t"), "BIOELECTRICAL", r"\z"))).alias("block"),
     )
-    read = cut.select("*", *(read_lines(F.col(c)).alias(f"{c}_read") for c in ("input", "result", "range")))
-    rows = read.select("doc", "source_name", "t", "input", "result_read", "range_read", *(value_behind(F.col(f"{part}_read"), label, exclude, low, high, ahead).alias(name) for name, (part, label, exclude, low, high, ahead) in RECEIPT_FIELDS.items()))
+    read = cut.select("*", *(read_lines(F.col(c)).alias(f"{c}_read") for c in ("input", "result", "range", "block")))
+    rows = read.select("doc", "source_name", "t", "input", "result_read", "range_read", "block_read", *(value_behind(F.col(f"{part}_read"), label, exclude, low, high, ahead).alias(name) for name, (part, label, exclude, low, high, ahead) in RECEIPT_FIELDS.items()))
 
     kcal = values_behind(F.col("result_read"), "BMR", (), 1000, 3000, 3)
     nearest = F.array_min(F.transform(kcal, lambda x, i: F.struct(F.abs(x - F.col("bmr_kj") / 4.184).alias("off"), i.alias("i"), x.alias("v"))))["v"]
@@ -251,13 +252,41 @@ def receipts(docs: DataFrame) -> DataFrame:
         "bmr_kcal",
         limits("FAT%", 2, 70).alias("fat_percent_range"),
         limits("FATMASS", 1, 150).alias("fat_mass_range"),
-        one_of(PHYSIQUES, F.regexp_extract("t", r"PHYSIQUE\s+RATING[^\n]*(?:\n[^\n]*)?", 0)).alias("physique_rating"),
+        fn.blank_to_null(F.regexp_extract(F.regexp_extract("t", r"(?s)PHYSIQUE\s+RATING.*?(?=BIOELECTRICAL|\z)", 0), rf"\b({'|'.join(PHYSIQUES)})\b", 1)).alias("physique_rating"),
+        impedance(F.col("block_read")).alias("bioelectrical"),
         (F.col("_core") / F.lit(float(len(RECEIPT_CORE)))).alias("completeness"),
         "warnings",
         "derived_fields",
     )
 
 
+def _resistances(values: Column) -> Column:
+    """The two of some numbers that a resistance falls by nearly 65 between; else the first two."""
+    fine = F.array_distinct(F.filter(values, lambda v: v.between(250, 1000)))
+    pairs = F.flatten(F.transform(fine, lambda a, i: F.transform(fine, lambda b, j: F.struct(F.abs(a - b - 65).alias("off"), i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b")))))
+    near = F.array_min(F.filter(pairs, lambda p: (p["a"] - p["b"]).between(15, 220) & (p["a"] / p["b"] <= 1.5)))
+    return F.when(near.isNotNull(), F.array(near["a"], near["b"])).when(F.size(fine) >= 2, F.slice(fine, 1, 2))
+
+
+def _reactances(values: Column, most: int) -> Column:
+    fine = F.filter(values, lambda v: F.abs(v).between(3, most))
+    return F.when(F.size(fine) >= 2, F.transform(F.slice(fine, 1, 2), lambda v: -F.abs(v)))
+
+
+def impedance(read: Column) -> Column:
+    """Map of frequency to (r_ohm, x_ohm) from the lines of the impedance block: labelled rows
+    first, then the first row of two resistances, and the reactances in the three lines after it."""
+    placed = F.transform(read, lambda x, i: F.struct(i.alias("i"), x["label"].alias("label"), x["ahead0"].alias("v"), _resistances(x["ahead0"]).alias("r")))
+    labelled_r = F.filter(placed, lambda p: p["label"].rlike("^(?:R|K)") & (F.size(p["v"]) >= 2) & p["r"].isNotNull())
+    any_r = F.filter(placed, lambda p: p["r"].isNotNull())
+    r = F.coalesce(F.try_element_at(labelled_r, F.lit(1)), F.try_element_at(any_r, F.lit(1)))
+    labelled_x = F.transform(F.filter(placed, lambda p: p["label"].startswith("X")), lambda p: _reactances(p["v"], 300))
+    after = F.transform(F.filter(placed, lambda p: (p["i"] > r["i"]) & (p["i"] <= r["i"] + 3)), lambda p: _reactances(p["v"], 200))
+    x = F.coalesce(*(F.try_element_at(F.filter(found, lambda v: v.isNotNull()), F.lit(1)) for found in (labelled_x, after)))
+    at = lambda n: F.struct(F.try_element_at(r["r"], F.lit(n)).alias("r_ohm"), F.try_element_at(x, F.lit(n)).alias("x_ohm"))
+    return F.when(r.isNotNull() | x.isNotNull(), F.create_map(F.lit("6.25_khz"), at(1), F.lit("50_khz"), at(2)))
+
+
 def receipt_time(text: Column, name: Column) -> Column:
     """`YYYY-MM-DDTHH:MM:00`: the file name's date before the printed one, the first time that a
     clock can show, midnight without one; null without a date."""
@@ -271,6 +300,50 @@ def receipt_time(text: Column, name: Column) -> Column:
     return F.concat(date, F.lit("T"), F.coalesce(clock, F.lit("00:00")), F.lit(":00"))
 
 
+def receipt_records(parsed: DataFrame, source_name: Column) -> DataFrame:
+    """Parsed receipts as stored records: identity, source, input, metrics, ranges, extraction."""
+    metrics = [c for c in (*RECEIPT_FIELDS, "bmr_kcal") if c not in ("age", "height_cm", "clothes_weight_kg")]
+    return parsed.select(
+        F.lit(1).alias("schema_version"),
+        fn.stamp_id("tanita:", F.col("measured_at_local"), F.lit(None).cast("string")).alias("id"),
+        F.lit("body_composition").alias("kind"),
+        "measured_at_local",
+        F.struct(F.lit("tanita_receipt").alias("type"), F.lit("TANITA DC-360").alias("device"), fn.blank_to_null(source_name).alias("filename")).alias("source"),
+        F.struct("body_type", "gender", "age", "height_cm", "clothes_weight_kg").alias("input"),
+        F.map_filter(F.create_map(*(x for c in metrics for x in (F.lit(c), F.col(c)))), lambda k, v: v.isNotNull()).alias("metrics"),
+        F.struct(F.col("fat_percent_range").alias("fat_percent"), F.col("fat_mass_range").alias("fat_mass_kg")).alias("reference_ranges"),
+        F.struct("physique_rating").alias("qualitative"),
+        "bioelectrical",
+        F.struct("completeness", "warnings", "derived_fields").alias("extraction"),
+    )
+
+
+def review_fields(text: Column, signs: dict[str, str], derived: Column) -> Column:
+    """Paths whose sign a text shows, in order, without those that were derived."""
+    shown = F.array_compact(F.array(F.lit("measured_at_local"), *(F.when(text.rlike(f"(?i){sign}"), path) for path, sign in signs.items())))
+    return F.array_except(F.array_distinct(shown), F.coalesce(derived, F.array().cast("array<string>")))
+
+
+#: What shows that a printed report has a field (fixed values).
+REPORT_SIGNS = {
+    "metrics.body_water_l": r"Body\s+Water",
+    "metrics.protein_kg": r"Protein\s+kg",
+    "metrics.minerals_kg": r"Minerals\s+kg",
+    "metrics.fat_mass_kg": r"Body\s+Fat\s+kg",
+    "metrics.muscle_mass_kg": r"Muscle\s+Mass",
+    "metrics.ffm_kg": r"Fat[- ]Free\s+Mass",
+    "metrics.weight_kg": r"\bWeight\b",
+    "metrics.bmr_kcal": r"\bBMR\b",
+    "metrics.tdee_kcal": r"\bTDE\b",
+    "metrics.physical_age": r"Physical\s+Age",
+    "analysis.score": r"\bAnalysis\b",
+    "qualitative.body_type": r"Body\s+Type\s*:",
+    "targets.target_weight_kg": r"Target\s+Weight",
+    "targets.weight_control_kg": r"Weight\s+Control",
+    "targets.muscle_control_kg": r"Muscle\s+Control",
+    "targets.fat_control_kg": r"Fat\s+Control",
+}
+
 _N, _R = r"([\d.,]+)", r"\(([\d.,]+)\s*~\s*([\d.,]+)\)"
 #: The table of a printed report on one line: names of its groups, and its pattern.
 TABLE_GROUPS = ("body_water_l", "body_water_min", "body_water_max", "body_water_sum", "protein_kg", "protein_min", "protein_max", "muscle_mass_kg", "muscle_mass_min", "muscle_mass_max", "minerals_kg", "minerals_min", "minerals_max", "ffm_kg", "ffm_min", "ffm_max", "fat_mass_kg", "fat_mass_min", "fat_mass_max", "weight_kg", "weight_min", "weight_max")

@@ -29,6 +29,9 @@ FAT % 10.0 - 22.0 %
 FAT MASS 8.0 - 17.6kg
 PHYSIQUE RATING STANDARD
 BIOELECTRICAL DATA
+6.25kHz 50kHz
+R 600.0 530.0
+X -25.0 -45.0
 """
 REPORT = """Manager
 Date/Time of measurement: 30.01.15 10:30
@@ -71,6 +74,8 @@ def test_receipts(spark):
     assert (a.measured_at_local, a.weight_kg, a.fat_percent, a.bmr_kcal, a.bmr_kj) == ("2030-01-15T18:45:00", 80.0, 20.0, 1793.0, 7500.0)
     assert (a.body_type, a.gender, a.age, a.height_cm, a.clothes_weight_kg, a.physique_rating) == ("STANDARD", "MALE", 30.0, 180.0, 0.5, "STANDARD")
     assert a.completeness == 1.0 and a.warnings == [] and tuple(a.fat_percent_range) == (10.0, 22.0)
+    assert {k: tuple(v) for k, v in a.bioelectrical.items()} == {"6.25_khz": (600.0, -25.0), "50_khz": (530.0, -45.0)}
+    assert got["c"].bioelectrical is None
     assert got["b"].bmr_kcal == 1793 and "normalized to 1793" in " ".join(got["b"].warnings)
     assert got["c"].measured_at_local == "2030-02-01T00:00:00"
     assert got["d"].weight_kg is None and got["d"].completeness == 0
@@ -96,3 +101,12 @@ def test_free_texts(spark):
     assert got[("a", "qualitative.body_type")] == "Standard Body Type: Standard muscular build"
     pairs = spark.createDataFrame([("", "x"), ("Standard", "Standard build"), ("Standard", "Std"), ("a b", "a b"), ("x", "")], "c string, r string")
     assert [r[0] for r in pairs.select(reports.prefers_recovered(pairs.c, pairs.r)).collect()] == [True, True, False, False, False]
+
+
+def test_records_and_review_fields(spark):
+    rows = docs(spark, ("a", RECEIPT, "2030-01-15 x.pdf"), ("b", "RESULT\nWEIGHT 80.0kg", ""))
+    got = {r.id: r for r in reports.receipt_records(reports.receipts(rows), reports.F.lit("2030-01-15 x.pdf")).collect()}
+    assert set(got) == {"tanita:2030-01-15T18:45:00", "tanita:pending"}
+    assert got["tanita:pending"].metrics == {"weight_kg": 80.0} and got["tanita:2030-01-15T18:45:00"].metrics["bmi"] == 24.7
+    shown = docs(spark, ("a", REPORT, "")).select(reports.review_fields(reports.F.col("text"), reports.REPORT_SIGNS, reports.F.array(reports.F.lit("metrics.weight_kg")))).first()[0]
+    assert shown[0] == "measured_at_local" and "analysis.score" in shown and "metrics.weight_kg" not in shown
