@@ -582,6 +582,58 @@ def report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.printed_reports(docs).select(F.col("doc").alias("o_orderkey"), "measured_at_local", "fat_mass_kg", "bmr_kcal", "weight_control_kg", "body_type")
 
 
+@query("""SELECT p_partkey, 'Metrics · ' || upper(p_brand[1:1]) || p_brand[2:] || ' BMR kJ' AS label, p_partkey % 2 = 1 AS editable FROM part""")
+def field_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brand = F.concat(F.lower(F.substring("p_brand", 1, 1)), F.substring("p_brand", 2, 50))
+    path = F.concat(F.lit("metrics."), brand, F.lit("_bmr_kj"))
+    shown = F.when(F.col("p_partkey") % 2 == 1, F.lit("indicators.bmi.reading")).otherwise(F.lit("indicators.bmi.level"))
+    return _t(spark, sf_dir, "part").select("p_partkey", view.field_label(path).alias("label"), view.editor_path_visible(shown).alias("editable"))
+
+
+@query("""SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'TANITA DC-360' WHEN 1 THEN 'Apple Health' WHEN 2 THEN 'own device' ELSE 'Unknown' END AS source,
+    CASE WHEN event_type = 'view' THEN 'Workout' ELSE event_type END AS kind FROM events""")
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("user_id") % 4
+    type_ = F.when(turn == 0, "tanita_receipt").when(turn == 1, "apple_health").when(turn == 2, "other")
+    kind = F.when(F.col("event_type") == "view", "workout").otherwise(F.col("event_type"))
+    return _t(spark, sf_dir, "events").select("event_id", fn.source_label(type_, F.when(turn == 2, "own device")).alias("source"), fn.kind_label(kind).alias("kind"))
+
+
+@query("""WITH w AS (SELECT l_orderkey, count(*) FILTER (WHERE l_quantity > 25) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey, o_custkey FROM orders JOIN w ON l_orderkey = o_orderkey WHERE n > 0 AND o_totalprice BETWEEN 1000 AND 200000""")
+def plausible_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a plausible value that some other row knows: range filter and existence."""
+    known = _t(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
+    return _t(spark, sf_dir, "orders").where(F.col("o_totalprice").between(1000, 200_000)).join(known, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT o_orderkey, TRY_CAST(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(o_custkey AS VARCHAR) WHEN 2 THEN '255' ELSE NULL END AS DOUBLE) AS value FROM orders""")
+def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn, key = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    text = F.when(turn == 0, F.concat(key, F.lit("d"))).when(turn == 1, F.concat(F.lit("  "), key, F.lit(" "))).when(turn == 2, F.lit("0xFF")).otherwise(F.lit(""))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", fn.number(text).alias("value"))
+
+
+@query("""SELECT user_id, epoch_us(min(ts)) // 1000 AS first_ms, row_number() OVER (ORDER BY strftime(min(ts), '%Y-%m-%dT%H:%M:%S'), user_id) AS log_rank FROM events GROUP BY user_id""")
+def log_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oldest first by time text, then id."""
+    logs = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.min(_ms("ts")).alias("first_ms"), F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+    return logs.withColumn("log_rank", F.row_number().over(W.orderBy("at", "user_id")).cast("long")).select("user_id", "first_ms", "log_rank")
+
+
+@query("""SELECT doc_id, item AS word, pos FROM (SELECT doc_id, unnest(w) AS item, unnest(range(len(w))) AS pos FROM (
+    SELECT doc_id, string_split(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS w FROM documents)) WHERE item <> ''""")
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of documents set as boxes on pages, ten to a line, and put in rows again."""
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    boxes = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page"), F.posexplode(words).alias("pos", "text")).where("text <> ''")
+    line, x = F.floor(F.col("pos") / 10), F.col("pos") % 10 * 20
+    placed = boxes.select("page", "text", x.cast("double").alias("left"), (x + 15).cast("double").alias("right"), (line * 30 + F.col("pos") % 3).cast("double").alias("top"), (line * 30 + 12 + F.col("pos") % 3).cast("double").alias("bottom"))
+    found = layout.words_to_rows(placed)
+    order = W.partitionBy("page").orderBy("row", "place")
+    return found.select(F.col("page").cast("long").alias("doc_id"), F.col("text").alias("word"), (F.row_number().over(order) - 1).cast("long").alias("pos"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
