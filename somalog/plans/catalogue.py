@@ -42,7 +42,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _ms(ts: str) -> Column:
-    """Milliseconds of a time without zone, taken as UTC whatever the session's zone is."""
+    """Milliseconds of a time without zone, as UTC (in a session whose zone does not change its clocks)."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts}) div 1000")
 
 

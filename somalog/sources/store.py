@@ -62,10 +62,9 @@ def all_logs(spark: SparkSession, root: str) -> DataFrame:
     stored; records inside it are not compared.)"""
     rows = parsed(read(spark, root))
     rank = file_rank(F.col("period"))
-    first = rows.agg(F.min(rank).alias("_newest"))
-    ranked = rows.withColumn("_rank", rank).join(F.broadcast(first))  # one row
-    ranked = ranked.withColumn("_incoming", F.col("_rank") != F.col("_newest")).withColumn("_seq", F.struct("_rank", "place")).withColumn("_upload", merge.upload_key(F.col("kind"), F.col("source.type"), F.col("source.filename")))
-    kept = merge.merged(ranked, ["id", "_upload"], "_seq", "_incoming").drop("_rank", "_newest", "_incoming", "_seq", "_upload")
+    newest_rank = read(spark, root).agg(F.min(rank)).first()[0] or ""  # of a partition column
+    ranked = rows.withColumn("_rank", rank).withColumn("_incoming", F.col("_rank") != newest_rank).withColumn("_seq", F.struct("_rank", "place")).withColumn("_upload", merge.upload_key(F.col("kind"), F.col("source.type"), F.col("source.filename")))
+    kept = merge.merged(ranked, ["id", "_upload"], "_seq", "_incoming").drop("_rank", "_incoming", "_seq", "_upload")
     return kept.withColumn("event_time", fn.event_time(F.col("measured_at_local"), F.col("start_at")))
 
 
