@@ -251,25 +251,33 @@ def _index_pass(distance: int):
     return run
 
 
+def _links(nodes: DataFrame, distance: int) -> DataFrame:
+    """(fp, rep), distinct fingerprints, to links (a, b) between their reps."""
+    index = (
+        nodes.mapInArrow(_posted(distance), "order int, node long, rank long, fp long, rep long")
+        .repartition("order", "node")
+        .sortWithinPartitions("order", "node", "rank")
+    )
+    return index.select("order", "node", "fp", "rep").mapInArrow(_index_pass(distance), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id): the fingerprint as 16 hex digits, and the smallest
     doc_id that a chain of links of at most `distance` differing bits reaches."""
     prints = cut(with_fingerprint(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    index = (
-        distinct.where("rep IS NOT NULL")
-        .mapInArrow(_posted(distance), "order int, node long, rank long, fp long, rep long")
-        .repartition("order", "node")
-        .sortWithinPartitions("order", "node", "rank")
-    )
-    links = index.select("order", "node", "fp", "rep").mapInArrow(_index_pass(distance), "a long, b long")
-    joined = components(links)
+    joined = components(_links(distinct.where("rep IS NOT NULL"), distance))
     groups = distinct.join(joined, distinct["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """docs without all but one document of each group of near copies: the one that names it.
-    Documents without a doc_id in a group that has one go; repeated rows of one doc_id are one."""
-    named = near_duplicates(docs, distance).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs without all but one row of each group of near copies: the one with the smallest
+    doc_id (null last), and of several texts under that doc_id the one with the smallest hash.
+    Here all fingerprints link, those without a doc_id too, and every group keeps a row."""
+    row = F.xxhash64("doc_id", "text")
+    prints = cut(docs.select("doc_id", row.alias("_row"), _fingerprints(F.col("text").cast("binary")).alias("fp")))
+    joined = components(_links(cut(prints.select("fp", F.col("fp").alias("rep")).distinct()), distance))
+    grouped = prints.join(joined, prints["fp"] == joined["node"], "left").withColumn("_group", F.coalesce("component", "fp"))
+    least = grouped.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
+    return docs.withColumn("_row", row).join(least.select("least._row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -85,3 +85,16 @@ def test_near_duplicates_against_all_pairs(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
+
+
+def test_keep_one_keeps_a_row_of_every_group(spark):
+    rng = random.Random(4)
+    one, two, three, four = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(4))
+    rows = [(None, one), (None, two), (None, two), (5, three), (5, four), (5, four), (None, four), (7, three), (8, None), (None, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, one), (None, two), (5, three), (5, four), (8, None)], key=str)
+
+
+def test_links_of_fingerprints_by_themselves(spark):
+    near = simhash.components(simhash._links(spark.createDataFrame([(v, v) for v in (0, 15, 255)], "fp long, rep long"), 4))
+    assert {r.node: r.component for r in near.collect()} == {0: 0, 15: 0, 255: 0}
