@@ -4,10 +4,18 @@ What is found is validated (Luhn for card numbers, mod 97 for IBANs, the calenda
 octets for IPv4 addresses, digit counts for telephone and social security numbers), turned into
 a whole number below the size of its format, and permuted there by a keyed Feistel network with
 cycle walking. So a card number becomes a valid card number of the same length, a date a date in
-the same notation; the same value gets the same pseudonym wherever and however it is written,
+the same notation (dates after the 12th stay after the 12th, so slash dates keep their reading:
+month first, or day first where only that is a date); the same value gets the same pseudonym wherever and however it is written,
 different values get different ones, and the key's holder can turn them back. Mail addresses
 are treated alike: letters stay letters and digits digits before the @.
 
+Numbers often stand next to each other. What fails validation is tried again without its last
+groups of digits, and then from later groups on; a telephone number ends where another number
+that is valid by itself begins, and after ten digits if its country code is 1. Elsewhere the
+groups that follow with a blank count as its digits, up to fourteen. Of overlapping candidates
+that are all valid the first counts, and of those the longest (one card number in ten is valid
+by chance).
+
 Defined results: a null text stays null, an empty one empty; repeated rows change alike;
 an empty table gives an empty result; other columns pass, but for `n_found`.
 """
@@ -31,18 +39,28 @@ ROUNDS = 10
 FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 
 MAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b")
-NUMBER = re.compile(
+_FIRST = (
     r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
     r"|(?P<iso>(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-]))"
     r"|(?P<date>(?<![\d./])\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4}(?![\d/]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
-    r"|(?P<card>(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d]))"
 )
+_PHONE = r"(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
+_CARD = r"(?P<card>(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d]))"
+NUMBER, OTHER = re.compile(f"{_FIRST}|{_PHONE}|{_CARD}"), re.compile(f"{_FIRST}|{_CARD}")
+KINDS = ("iban", "ip", "iso", "date", "ssn", "phone", "card")
+#: Between groups of digits or letters.
+GAP = re.compile(r"(?<=[\w)])[ .-]+(?=[\w(])")
+#: Country codes of one and two digits; the others have three.
+COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 HINT = re.compile(r"[@0-9]")
 
 
+def _kind(found: re.Match) -> str:
+    return next(k for k in KINDS if found.groupdict().get(k) is not None)
+
+
 class Feistel:
     """A keyed permutation of 0..size-1 for every size and kind of value."""
 
@@ -152,7 +170,13 @@ class Pseudonyms:
             x = date(year, month, day).toordinal() - FIRST_DAY
         except ValueError:
             return None
-        return date.fromordinal(FIRST_DAY + self._permuted(x, DAYS, "date")) if 0 <= x < DAYS else None
+        if not 0 <= x < DAYS:
+            return None
+        while True:  # walk on until the day is on the same side of the 12th
+            x = self._permuted(x, DAYS, "date")
+            out = date.fromordinal(FIRST_DAY + x)
+            if (out.day > 12) == (day > 12):
+                return out
 
     def iso(self, text: str) -> str | None:
         day = self._day(*map(int, text.split("-")))
@@ -162,11 +186,12 @@ class Pseudonyms:
         sep = "." if "." in text else "/"
         a, b, year = text.split(sep)
         a, b, year = int(a), int(b), int(year)
-        day = self._day(year, b, a) if sep == "." else self._day(year, a, b)  # day first with dots, month first with slashes
+        day_first = sep == "." or a > 12 >= b  # day first with dots, month first with slashes if that is a date
+        day = self._day(year, b, a) if day_first else self._day(year, a, b)
         if not day:
             return None
         pad = 2 if len(text) == 10 else 1
-        first, second = (day.day, day.month) if sep == "." else (day.month, day.day)
+        first, second = (day.day, day.month) if day_first else (day.month, day.day)
         return f"{first:0{pad}d}{sep}{second:0{pad}d}{sep}{day.year}"
 
     def ssn(self, text: str) -> str | None:
@@ -176,35 +201,56 @@ class Pseudonyms:
         return _filled(text, self._digits(digits, "ssn"))
 
     def phone(self, text: str) -> str | None:
-        head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|", text)[0]
-        digits = re.sub(r"\D", "", text[len(head) :])
-        if not 6 <= len(digits) <= 14:
+        digits = re.sub(r"\D", "", text)
+        country = (COUNTRY.match(digits) or [""])[0] if text[0] == "+" else ""
+        if not 6 <= len(digits) - len(country) <= 14:
             return None
-        return head + _filled(text[len(head) :], self._digits(digits, "phone" + head))
+        new = self._digits(digits[len(country) :], "phone+" + (country or "1"))  # (212) 555-0100 is +1 212 555 0100
+        return _filled(text, country + new)
+
+    def _swapped(self, kind: str, found: str, text: str, start: int) -> tuple[str, int] | None:
+        """The pseudonym of the number at start, and where it ends; found is the longest candidate."""
+        gaps = [m.span() for m in GAP.finditer(found)] if kind in ("phone", "card", "iban") else []
+        ends = [len(found), *(a for a, _ in reversed(gaps))]
+        if kind == "phone":
+            ten = [end for end in ends if found.startswith("+1") and sum(map(str.isdigit, found[:end])) == 11]
+            for a, b in () if ten else gaps:
+                other = OTHER.match(text, start + b)
+                if other and self._swapped(_kind(other), other[0], text, start + b):
+                    ends = [end for end in ends if end <= a]
+                    break
+            ends = ten or ends
+        for end in ends:
+            if kind == "card" and sum(map(str.isdigit, found[:end])) < 13:
+                break
+            out = getattr(self, kind)(found[:end])
+            if out is not None:
+                return out, start + end
+        return None
+
+    def _numbers(self, text: str, at: int, to: int) -> tuple[str, int]:
+        """text[at:to] with pseudonyms for its numbers, and how many."""
+        text, parts, n, done, at = text[at:to], [], 0, 0, 0
+        while found := NUMBER.search(text, at):
+            if swapped := self._swapped(_kind(found), found[0], text, found.start()):
+                parts += [text[done : found.start()], swapped[0]]
+                n, done = n + 1, swapped[1]
+                at = done
+            else:
+                at = found.start() + 1  # another number may begin inside
+        return "".join([*parts, text[done:]]), n
 
     def text(self, text: str) -> tuple[str, int]:
         """The text with pseudonyms, and how many."""
         if not HINT.search(text):
             return text, 0
-        n = 0
-
-        def swap(found: re.Match) -> str:
-            nonlocal n
-            kind = next(k for k in ("iban", "ip", "iso", "date", "ssn", "phone", "card") if found[k] is not None)
-            out = getattr(self, kind)(found[0])
-            n += out is not None
-            return found[0] if out is None else out
-
-        def swap_mail(found: re.Match) -> str:
-            nonlocal n
-            n += 1
-            return self.mail(found[0])
-
-        parts, end = [], 0  # numbers are not looked for inside mail addresses
+        parts, end, n = [], 0, 0  # numbers are not looked for inside mail addresses
         for found in MAIL.finditer(text) if "@" in text else ():
-            parts += [NUMBER.sub(swap, text[end : found.start()]), swap_mail(found)]
-            end = found.end()
-        return "".join([*parts, NUMBER.sub(swap, text[end:])]), n
+            between, k = self._numbers(text, end, found.start())
+            parts += [between, self.mail(found[0])]
+            end, n = found.end(), n + k + 1
+        rest, k = self._numbers(text, end, len(text))
+        return "".join([*parts, rest]), n + k
 
 
 @lru_cache(maxsize=8)

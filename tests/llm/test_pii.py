@@ -67,3 +67,36 @@ def test_table(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == want
     assert sum(r.n_found for r in got) == 2002
     assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+PHONE, CARD, IBAN, IP = "+1 (826) 555-4081", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "190.137.223.204"
+NEIGHBOURS = [(PHONE, " ", IP), (PHONE, " ", CARD), (PHONE, " ", "2024-02-29"), (PHONE, " 17 ", "123-45-6789"), ("+49 30 1234567", " ", IP), (CARD, " 12/26 ", IP), ("4111111111111111", " 123 ", IBAN), (IBAN, " 1234 ", PHONE), (IBAN, " ", CARD), ("378282246310005", " 7 ", "31/12/1999"), (IP, " ", PHONE), (CARD, " ", "+49 30 1234567")]
+
+
+@pytest.mark.parametrize(("a", "between", "b"), NEIGHBOURS)
+def test_neighbours_get_the_pseudonyms_they_get_alone(a, between, b):
+    one = pii.Pseudonyms(KEY)
+    want = one.text(a)[0] + between + one.text(b)[0]
+    assert one.text(a + between + b) == (want, 2)
+    assert pii.Pseudonyms(KEY, back=True).text(want) == (a + between + b, 2)
+
+
+def test_a_card_after_another_number():
+    one = pii.Pseudonyms(KEY)
+    assert one.text("no 7 " + CARD) == ("no 7 " + one.text(CARD)[0], 1)
+    assert one.text("+4111111111111111")[1] == 1
+
+
+def test_one_telephone_number_in_several_notations():
+    one, plain = pii.Pseudonyms(KEY), lambda s: "".join(c for c in s if c.isdigit())
+    assert len({plain(one.text(x)[0]) for x in ("+4930123456", "+49 30 123456", "+49 (30) 12-34-56")}) == 1
+    assert "1" + plain(one.text("(212) 555-0100")[0]) == plain(one.text("+1 212 555 0100")[0])
+    assert plain(one.text("+35312345678")[0])[:3] == "353"
+
+
+def test_slash_dates_day_first():
+    one, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, back=True)
+    for day in range(13, 32):
+        new = one.text(f"{day}/12/1999")[0]
+        assert new != f"{day}/12/1999" and back.text(new)[0] == f"{day}/12/1999"
+        assert new.split("/") == one.text(f"{day}.12.1999")[0].split(".")
