@@ -21,7 +21,15 @@ from pyspark.sql import functions as F
 from somalog.llm.license_texts import KNOWN
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that claims copyright, with what stands before it in comments.
+#: A line that claims copyright, with what stands before it in comments. A line that only begins
+#: with the word (copyright notice, holder, owner, law ...) is a licence's own, as are list items (c).
+CLAIM = (
+    "(^|\n)[ \t#*/;-]*("
+    "copyright(?![ \t\r]*($|\n))(?![ \t]+(notice|holder|owner|law|licen[cs]e|permission|statement|interest|status|disclaimer|protection|infringe|infring|treat|treaty|right|act|claim|and|or|on|in|of|is|are|for|to|under)(s|es|ing|ement|ies)?\\b)"
+    "|\\(c\\)(?=[ \t]*(copyright|©)|[^\n]*\\b(19|20)[0-9]{2}\\b|[^\n]*all rights reserved)"
+    "|©|all rights reserved)[^\n]*"
+)
+#: The rule of oracle_sql, which takes any line that begins with the word or with (c) as a claim.
 COPYRIGHT = "(^|\n)[ \t#*/;-]*(copyright|\\(c\\)|©|all rights reserved)[^\n]*"
 PUNCTUATION = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
 #: Spellings that count as the same, the second one kept (fixed values).
@@ -53,7 +61,7 @@ SPELLINGS = (
 def canonical(text: Column) -> Column:
     """The form in which texts are compared."""
     text = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    text = F.regexp_replace(text, COPYRIGHT, "\n")
+    text = F.regexp_replace(text, CLAIM, "\n")
     text = F.regexp_replace(text, PUNCTUATION, " ")
     for other, kept in SPELLINGS:
         text = F.replace(text, F.lit(other), F.lit(kept))
@@ -90,7 +98,7 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame
 
 
 def oracle_sql(known: Sequence[tuple[str, str]] = KNOWN) -> str:
-    """The same in SQL, over a table documents."""
+    """The same in SQL, over a table documents, but for lines that CLAIM and COPYRIGHT tell apart."""
 
     def form(x: str) -> str:
         quoted = lambda s: "'" + s.replace("'", "''") + "'"

@@ -1,3 +1,5 @@
+import textwrap
+
 from somalog.llm import license_scan
 from somalog.llm.license_texts import KNOWN
 
@@ -30,3 +32,21 @@ def test_known_texts_differ_and_find_themselves(spark):
 def test_spellings_keep_beginnings():
     for other, kept in license_scan.SPELLINGS:
         assert other[:3] == kept[:3] and " " not in other[:3]
+
+
+def test_known_texts_match_at_any_line_width(spark):
+    wrap = lambda t, width: "\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in t.split("\n"))
+    rows = [(name, "Copyright (c) 2020 Some One\n\n" + wrap(t, width)) for name, t in KNOWN for width in range(12, 101)]
+    assert any("\ncopyright notice" in t for _, t in rows) and any("\nCOPYRIGHT HOLDER" in t for _, t in rows)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    wrong = [rows[r.doc_id] for r in license_scan.scan(docs).collect() if r.license_id != rows[r.doc_id][0]]
+    assert not wrong
+
+
+def test_lines_that_claim_copyright(spark):
+    mit = next(t for name, t in KNOWN if name == "MIT" and t.startswith("Permission"))
+    claims = ["Copyright 2019, 2020 A", "copyright by A", "# Copyright (C) A", "Copyright © A", "Copyright The A Authors", "(c) 2020 A", "(c) Copyright A", "© A", "All rights reserved.", "Copyright: 2020 A"]
+    others = ["copyright notice", "Copyright holders of this", "(c) you must retain it", "copyright law", "copyright"]
+    docs = spark.createDataFrame([(i, f"{line}\n{mit}") for i, line in enumerate(claims + others)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.scan(docs).collect()}
+    assert got == {i: "MIT" if i < len(claims) else None for i in range(len(claims + others))}
