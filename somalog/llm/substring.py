@@ -9,6 +9,9 @@ are to go. Edges are far more than documents, so they are kept compact all the w
   the edges' hashes. Equal edges have equal minimizers and always meet in one bucket.
 * Before that, each chunk of documents settles what repeats inside it. However often a passage
   occurs, a bucket gets it once from a chunk, so no bucket fills up with one hot passage.
+* Windows around a hot phrase, or over the edge of a hot passage, share a minimizer but differ.
+  Minimizers are counted on a sample first, and edges of hot ones are dealt by minimizer and
+  window, each edge by itself. Equal edges still meet; only where they meet depends on the sample.
 * A bucket compares the edges that meet in it and emits repeated ones as paths: consecutive
   edges of one document whose earlier occurrences are consecutive in one source document,
   with the source's coordinates. A path ends where the graph branches.
@@ -36,6 +39,10 @@ from pyspark.sql import functions as F
 
 WIDTH, MER = 20, 5
 CHUNK_WORDS = 1_500_000
+#: Edges from which a minimizer is hot, one document in so many is counted for that, and the
+#: least edges of a minimizer in a chunk that count.
+HOT, SAMPLE, COUNTED = 200_000, 8, 3
+NONE = np.empty(0, np.uint64)
 #: Buckets for each input partition.
 BUCKETS = 4
 _BASE = 0x9E3779B97F4A7C15
@@ -124,15 +131,17 @@ class _Chunk:
         self.key, self.least, self.start, self.index = (x[keep] for x in (self.key, self.least, self.start, self.index))
         return out
 
-    def packed(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """The edges by bucket, in runs of one document that share a minimizer."""
+    def packed(self, buckets: int, hot: np.ndarray = NONE) -> Iterator[tuple[int, bytes]]:
+        """The edges by bucket, in runs of one document that share a minimizer; hot ones alone."""
         if not len(self.key):
             return
+        alone = np.isin(self.least, hot)
         new = np.ones(len(self.key), bool)
-        new[1:] = (self.index[1:] != self.index[:-1]) | (self.start[1:] != self.start[:-1] + 1) | (self.least[1:] != self.least[:-1])
+        new[1:] = (self.index[1:] != self.index[:-1]) | (self.start[1:] != self.start[:-1] + 1) | (self.least[1:] != self.least[:-1]) | alone[1:]
         head = np.nonzero(new)[0]
         size = np.diff(np.append(head, len(new)))
-        bucket = (_mixed(self.least[head]) % np.uint64(buckets)).astype(np.int64)
+        dealt = np.where(alone[head], self.least[head] ^ _mixed(self.key[head]), self.least[head])
+        bucket = (_mixed(dealt) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.nonzero(np.diff(bucket[order]))[0] + 1
         for runs in np.split(order, cuts):
@@ -160,37 +169,57 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
 _EDGES = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())])
 
 
-def _edges(buckets: int, width: int, mer: int, chunk_words: int):
+def _chunks(batches: Iterator[pa.RecordBatch], width: int, mer: int, chunk_words: int) -> Iterator[_Chunk]:
+    held, n = [], 0
+    for batch in batches:
+        ids, uids, texts = (batch.column(c) for c in ("doc", "uid", "text"))
+        for k in range(batch.num_rows):
+            words = texts[k].as_py().split()
+            if len(words) < width:
+                continue
+            held.append((ids[k].as_py(), uids[k].as_py(), np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))))
+            n += len(words)
+            if n >= chunk_words:
+                yield _Chunk(held, width, mer)
+                held, n = [], 0
+    if held:
+        yield _Chunk(held, width, mer)
+
+
+def _edges(buckets: int, width: int, mer: int, chunk_words: int, hot: np.ndarray):
     """Rows with a bucket and its packed edges, and rows with a path settled in its chunk."""
 
-    def flush(docs: list) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(docs, width, mer)
-        paths = chunk.settle()
-        if len(paths):  # they ride along, in buckets of their documents
-            bucket = pa.array((_mixed(paths["uid"].to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32))
-            yield pa.record_batch([bucket, pa.nulls(len(paths), pa.binary()), *(pa.array(paths[c]) for c in ("doc", "uid", "start", "n", "source", "source_start"))], schema=_EDGES)
-        for bucket, blob in chunk.packed(buckets):
-            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), *(pa.array([0], _EDGES.field(k).type) for k in range(2, 8))], schema=_EDGES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, width, mer, chunk_words):
+            paths = chunk.settle()
+            if len(paths):  # they ride along, in buckets of their documents
+                bucket = pa.array((_mixed(paths["uid"].to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32))
+                yield pa.record_batch([bucket, pa.nulls(len(paths), pa.binary()), *(pa.array(paths[c]) for c in ("doc", "uid", "start", "n", "source", "source_start"))], schema=_EDGES)
+            for bucket, blob in chunk.packed(buckets, hot):
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), *(pa.array([0], _EDGES.field(k).type) for k in range(2, 8))], schema=_EDGES)
+
+    return run
+
 
+def _counts(width: int, mer: int, chunk_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            ids, uids, texts = (batch.column(c) for c in ("doc", "uid", "text"))
-            for k in range(batch.num_rows):
-                words = texts[k].as_py().split()
-                if len(words) < width:
-                    continue
-                held.append((ids[k].as_py(), uids[k].as_py(), np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))))
-                n += len(words)
-                if n >= chunk_words:
-                    yield from flush(held)
-                    held, n = [], 0
-        if held:
-            yield from flush(held)
+        for chunk in _chunks(batches, width, mer, chunk_words):
+            chunk.settle()
+            least, n = np.unique(chunk.least, return_counts=True)
+            often = n >= COUNTED
+            yield pa.record_batch([pa.array(least[often].view(np.int64)), pa.array(n[often])], names=["least", "n"])
 
     return run
 
 
+def hot_minimizers(keyed: DataFrame, width: int, mer: int, chunk_words: int, hot: int) -> np.ndarray:
+    """Minimizers of about `hot` edges or more, counted on one document in SAMPLE; they are
+    fewer than all edges / hot."""
+    sample = keyed.where(F.pmod("uid", F.lit(SAMPLE)) == 0)
+    counted = sample.mapInArrow(_counts(width, mer, chunk_words), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    return np.array([r.least for r in counted.where(F.col("n") * SAMPLE >= hot).collect()], np.int64).view(np.uint64)
+
+
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     edges = rows["blob"].notna()
     settled = rows.loc[~edges, ["doc", "uid", "start", "n", "source", "source_start"]]
@@ -206,12 +235,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(LAST)).cast("long").alias("doc"), F.xxhash64(text).alias("uid"), text.cast("binary").alias("text"))
 
 
-def repeated_paths(docs: DataFrame, width: int = WIDTH, mer: int = MER, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def repeated_paths(docs: DataFrame, width: int = WIDTH, mer: int = MER, chunk_words: int = CHUNK_WORDS, hot: int = HOT) -> DataFrame:
     """(doc, uid, start, n, source, source_start): n consecutive windows of a document, from
     word `start` on, that stand earlier in `source` from word `source_start` on."""
     keyed = _keyed(docs).drop("doc_id")
     buckets = max(8, BUCKETS * keyed.rdd.getNumPartitions())
-    edges = keyed.mapInArrow(_edges(buckets, width, mer, chunk_words), "bucket int, blob binary, " + SPANS)
+    often = hot_minimizers(keyed, width, mer, chunk_words, hot)
+    edges = keyed.mapInArrow(_edges(buckets, width, mer, chunk_words, often), "bucket int, blob binary, " + SPANS)
     return edges.groupBy("bucket").applyInPandas(_meet, SPANS)
 
 
@@ -239,9 +269,9 @@ def _kept(width: int):
     return run
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, mer: int = MER, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, mer: int = MER, chunk_words: int = CHUNK_WORDS, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept): a document's words without those that a
     window of `width` words covers that stands earlier in the corpus."""
-    paths = repeated_paths(docs, width, mer, chunk_words).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
+    paths = repeated_paths(docs, width, mer, chunk_words, hot).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
     glued = _keyed(docs).join(paths.hint("shuffle_hash"), ["doc", "uid"], "left").select("doc_id", "text", "paths")
     return glued.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")

@@ -74,3 +74,27 @@ def test_paths_name_an_earlier_source(spark):
 
 def test_empty_table(spark):
     assert substring.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_phrase_in_every_document_is_dealt_to_many_buckets(spark):
+    rng = random.Random(6)
+    phrase, words = [f"hot{i}" for i in range(16)], [f"w{i}" for i in range(5000)]
+    rows = [(i, " ".join(rng.choices(words, k=25) + phrase + rng.choices(words, k=25))) for i in range(400)]
+    rows += [(1000 + i, t) for i, t in rows[::7]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    often = substring.hot_minimizers(substring._keyed(docs).drop("doc_id"), 20, 5, 1_000_000, 400)
+    assert 1 <= len(often) <= 4
+    assert not len(substring.hot_minimizers(substring._keyed(docs).drop("doc_id"), 20, 5, 1_000_000, 1_000_000))
+    held = [(i, i, np.array([substring.xxhash.xxh3_64_intdigest(w.encode()) for w in t.split()], np.uint64)) for i, t in rows[:400]]
+
+    def largest(hot):
+        sizes = {}
+        for bucket, blob in substring._Chunk(list(held), 20, 5).packed(64, hot):
+            key, least, *_ = substring._unpacked(blob)
+            sizes[bucket] = sizes.get(bucket, 0) + int(np.isin(least, often).sum())
+        return max(sizes.values()), sum(sizes.values())
+
+    (before, all_before), (after, all_after) = largest(substring.NONE), largest(often)
+    assert all_before == all_after and after * 8 < before
+    for hot in (1, 400, 1_000_000):
+        assert sorted(map(tuple, substring.dedup(docs, hot=hot).drop("kept").collect()), key=str) == plain(rows)
