@@ -12,16 +12,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate data: what the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset (local tests) a temporary folder is made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for intermediate data: what the cluster names in spark.checkpoint.dir,
+    or the context's own. Only a local session, whose executors are its own threads, gets a
+    temporary one; on a cluster others would not see it, so there this raises."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 

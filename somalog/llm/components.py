@@ -3,7 +3,8 @@
 Each round points every node's larger neighbours (large star), then its smaller ones (small
 star), at the smallest node it sees; rounds are logarithmic in the longest path. Only node
 minima are aggregated (with partial aggregation), so a hub with any number of links is never
-gathered in one place.
+gathered in one place: what hubs point at is broadcast (a node is a hub from HUB edges on, so
+there are fewer hubs than edges / HUB), and only other nodes' edges are shuffled to meet it.
 """
 
 from __future__ import annotations
@@ -13,21 +14,31 @@ from pyspark.sql import functions as F
 
 from somalog.llm.common import cut
 
+HUB = 50_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """edges (a, b) and least, which the table least (a, least, n) has for a."""
+    hubs = F.broadcast(least.where(F.col("n") >= hub).select("a", F.col("least").alias("_hub")))
+    marked = edges.join(hubs, "a", "left")
+    rest = marked.where("_hub IS NULL").drop("_hub").join(least.where(F.col("n") < hub).select("a", "least"), "a")
+    return rest.union(marked.where("_hub IS NOT NULL").select("a", "b", F.col("_hub").alias("least")))
+
+
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a != b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both.where("b > a"), least, hub).select(F.col("b").alias("a"), F.col("least").alias("b")).where("a != b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(down, least, hub).select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("a", F.col("least").alias("b"))).where("a != b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(a long, b long) to (node, component): each node that has an edge to another node, and
     the smallest node of its component. Nodes without such an edge are left out."""
     state, last = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
@@ -35,4 +46,4 @@ def components(edges: DataFrame) -> DataFrame:
         mark = state.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if mark == last or mark["n"] == 0:
             return state.select(F.col("a").alias("node"), F.col("b").alias("component")).union(state.select(F.col("b"), F.col("b"))).distinct()
-        last, state = mark, cut(_small_star(_large_star(state)))
+        last, state = mark, cut(_small_star(_large_star(state, hub), hub))

@@ -19,9 +19,9 @@ A task emits a spanning forest of the links it finds, not the links: a group of
 gives fewer than n rows in each order, and components are the same.
 
 Defined results: null and empty texts have fingerprint 0, and link as any other; equal texts
-share a fingerprint; a null doc_id gets its group's component but never names one (null, if no
-member has a doc_id); repeated rows stay; an empty table gives an empty result; other columns
-are ignored.
+share a fingerprint; a null doc_id links as any other row and gets its group's component, but
+never names one (null, if no member has a doc_id); repeated rows stay; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -137,22 +137,29 @@ class _Forest:
         return label
 
 
+def _differ(x: np.ndarray) -> np.ndarray:
+    """How many bits each fingerprint of x has set; its last axis holds a fingerprint's words."""
+    return np.bitwise_count(x[..., 0]) if x.shape[-1] == 1 else np.bitwise_count(x).sum(axis=-1, dtype=np.int32)
+
+
 def _tree(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Levels from the leaves up: shared mask, shared pattern, and members a node."""
     levels, ones, none, span = [], words, words, 1
     while not levels or len(ones) > FAN:
         fan = FAN if levels else LEAF
         cuts = np.arange(0, len(ones), fan)
-        ones, none, span = np.bitwise_and.reduceat(ones, cuts), np.bitwise_or.reduceat(none, cuts), span * fan
+        ones, none, span = np.bitwise_and.reduceat(ones, cuts, axis=0), np.bitwise_or.reduceat(none, cuts, axis=0), span * fan
         levels.append((ones | ~none, ones, span))
     return levels
 
 
-def linked(words: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of positions, of the links among words sorted by Gray rank."""
-    n, forest = len(words), _Forest(len(words))
+def linked(words: np.ndarray, distance: int, forest: _Forest | None = None) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of positions, of the links among words sorted by Gray rank.
+    A forest that is given grows by them."""
+    words = words.reshape(len(words), -1)
+    n, forest = len(words), forest or _Forest(len(words))
     for gap in range(1, min(8, n - 1) + 1):  # neighbours in Gray order differ least
-        near = np.nonzero(np.bitwise_count(words[gap:] ^ words[:-gap]) <= distance)[0]
+        near = np.nonzero(_differ(words[gap:] ^ words[:-gap]) <= distance)[0]
         forest.link(near, near + gap)
     levels = _tree(words)
     label = forest.labels()
@@ -171,7 +178,7 @@ def linked(words: np.ndarray, distance: int) -> list[tuple[int, int]]:
             todo += [(level, a[CHUNK:], b[CHUNK:])]
             a, b = a[:CHUNK], b[:CHUNK]
         mask, pattern, span = levels[level]
-        open_ = (np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= distance) & ~same(level, a, b)
+        open_ = (_differ((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= distance) & ~same(level, a, b)
         a, b = a[open_], b[open_]
         if not len(a):
             continue
@@ -185,7 +192,7 @@ def linked(words: np.ndarray, distance: int) -> list[tuple[int, int]]:
         found = False
         for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
             left, right = words[x * span : (x + 1) * span], words[y * span : (y + 1) * span]
-            i, j = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= distance)
+            i, j = np.nonzero(_differ(left[:, None] ^ right[None, :]) <= distance)
             found |= forest.link(i + x * span, j + y * span)
             if found and k % 32 == 31 and k + 1 < len(a):  # what is joined by now needs no more comparing
                 label = forest.labels()
@@ -266,18 +273,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     doc_id that a chain of links of at most `distance` differing bits reaches."""
     prints = cut(with_fingerprint(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    joined = components(_links(distinct.where("rep IS NOT NULL"), distance))
-    groups = distinct.join(joined, distinct["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    joined = cut(components(_links(distinct.select("fp", F.col("fp").alias("rep")), distance)))
+    least = joined.join(distinct, joined["node"] == distinct["fp"]).groupBy("component").agg(F.min("rep").alias("least"))
+    named = joined.join(least, "component").select(F.col("node").alias("fp"), "least")
+    groups = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return prints.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """docs without all but one row of each group of near copies: the one with the smallest
-    doc_id (null last), and of several texts under that doc_id the one with the smallest hash.
-    Here all fingerprints link, those without a doc_id too, and every group keeps a row."""
-    row = F.xxhash64("doc_id", "text")
-    prints = cut(docs.select("doc_id", row.alias("_row"), _fingerprints(F.col("text").cast("binary")).alias("fp")))
-    joined = components(_links(cut(prints.select("fp", F.col("fp").alias("rep")).distinct()), distance))
-    grouped = prints.join(joined, prints["fp"] == joined["node"], "left").withColumn("_group", F.coalesce("component", "fp"))
-    least = grouped.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
-    return docs.withColumn("_row", row).join(least.select("least._row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

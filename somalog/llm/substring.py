@@ -57,7 +57,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _rolling(words: np.ndarray, width: int) -> np.ndarray:
+def rolling(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of `width` words; element i is that of the run from i on."""
     done, out, power, block, step = 0, None, 1, words, 1
     while True:
@@ -114,7 +114,7 @@ class _Chunk:
         docs.sort(key=lambda x: x[:2])
         sizes = np.array([len(w) for _, _, w in docs])
         words = np.concatenate([w for _, _, w in docs])
-        hashes, least = _rolling(words, width), _least(_rolling(words, mer), width - mer + 1)
+        hashes, least = rolling(words, width), _least(rolling(words, mer), width - mer + 1)
         within = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         whole = np.nonzero((within + width <= np.repeat(sizes, sizes))[: len(hashes)])[0]
         self.key, self.least, self.start = hashes[whole], least[whole], within[whole]

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from test_simhash import plain_components, plain_fingerprint
+from test_near_copies import plain_groups
 from test_toxicity import tables
 
 from somalog.llm import mixing, pieces, pii, toxicity
@@ -19,9 +19,8 @@ def test_against_plain_stages(spark, tmp_path):
     scores = toxicity.score(table, toxicity.train(table, labels)).collect()
     toxic = {(r.doc_id, r.text) for r in scores if r.score >= 0.7}
     rows = [r for r in rows if (r["doc_id"], r["text"]) not in toxic]
-    named = {r["doc_id"]: plain_fingerprint(r["text"]) for r in rows if r["doc_id"] is not None}
-    groups = plain_components(named)
-    kept = {r["doc_id"]: r for r in rows if r["doc_id"] is not None and groups[r["doc_id"]] == r["doc_id"]}
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    kept = {rows[i]["doc_id"]: rows[i] for i in set(plain_groups([r["text"] for r in rows]))}
     names = pii.Pseudonyms(pii.key_of(spark))
     for r in kept.values():
         r["text"] = r["text"] and names.text(r["text"])[0]

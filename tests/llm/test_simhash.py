@@ -77,9 +77,6 @@ def test_near_duplicates_against_all_pairs(spark):
             assert r.component_id == want[1]
         else:
             assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", want[r.doc_id])
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
 def test_empty_table(spark):
@@ -87,12 +84,27 @@ def test_empty_table(spark):
     assert simhash.near_duplicates(docs).count() == 0
 
 
-def test_keep_one_keeps_a_row_of_every_group(spark):
-    rng = random.Random(4)
-    one, two, three, four = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(4))
-    rows = [(None, one), (None, two), (None, two), (5, three), (5, four), (5, four), (None, four), (7, three), (8, None), (None, "")]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, one), (None, two), (5, three), (5, four), (8, None)], key=str)
+def flipped(monkeypatch, prints):
+    """Fingerprints by text, instead of those that texts have."""
+    from pyspark.sql import functions as F
+
+    mapped = F.create_map(*(F.lit(x) for pair in prints.items() for x in pair))
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda docs: docs.select("doc_id", mapped[F.col("text")].alias("fp")))
+
+
+def test_rows_without_doc_id_link_and_bridge(spark, monkeypatch):
+    flipped(monkeypatch, {"a": 0, "b": 0b111, "c": 0b111111, "d": 1 << 40, "e": 0b11 << 40, "f": 0x7FFF << 45})
+    rows = [(7, "a"), (None, "b"), (9, "c"), (None, "d"), (None, "e"), (3, "f")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.fingerprint[-12:], str(r.doc_id), r.component_id) for r in got) == sorted(
+        [("0" * 12, "7", 7), ("0" * 11 + "7", "None", 7), ("0" * 10 + "3f", "9", 7), ("010000000000", "None", 7), ("030000000000", "None", 7), ("e00000000000", "3", 3)]
+    )
+
+
+def test_hubs(spark):
+    rows = [(0, i) for i in range(1, 300)] + [(i, i + 1000) for i in range(1, 200)] + [(5000, 5001)]
+    got = {r.node: r.component for r in simhash.components(spark.createDataFrame(rows, "a long, b long"), hub=10).collect()}
+    assert got == {**{i: 0 for i in range(300)}, **{i + 1000: 0 for i in range(1, 200)}, 5000: 5000, 5001: 5000}
 
 
 def test_links_of_fingerprints_by_themselves(spark):

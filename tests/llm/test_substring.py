@@ -42,14 +42,14 @@ def corpus(seed):
     return rows + [rows[5], rows[50], (rows[60][0], rows[61][1]), (None, texts[3]), (None, texts[70])]
 
 
-def test_rolling_hashes_and_minima():
+def testrolling_hashes_and_minima():
     words = np.random.default_rng(1).integers(0, 1 << 63, 200).astype(np.uint64)
     for width in (1, 2, 3, 5, 7, 16, 20, 31):
-        got = substring._rolling(words, width)
+        got = substring.rolling(words, width)
         want = [sum(int(w) * pow(substring._BASE, k, 1 << 64) for k, w in enumerate(words[i : i + width])) % (1 << 64) for i in range(200 - width + 1)]
         assert (got == substring._mixed(np.array(want, np.uint64))).all()
         assert (substring._least(words, width) == [min(words[i : i + width]) for i in range(200 - width + 1)]).all()
-    assert len(substring._rolling(words[:4], 5)) == 0 and len(substring._rolling(words[:19], 20)) == 0
+    assert len(substring.rolling(words[:4], 5)) == 0 and len(substring.rolling(words[:19], 20)) == 0
 
 
 def test_against_plain_windows(spark):
