@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somalog.llm import mixing, pieces, pii, simhash, toxicity
+from somalog.llm import mixing, near_copies, pieces, pii, toxicity
 from somalog.llm.common import checkpoint_root
 from somalog.llm.queries import vocabulary_path
 from somalog.session import ship
@@ -29,8 +29,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, a similarity of 0.8 or more),
+    the one with the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
