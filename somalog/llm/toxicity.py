@@ -1,19 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are learned from labelled documents. Both hold a part that zstandard
-trains on the words of ordinary documents. The toxic dictionary also holds beginnings of words
-that toxic documents use far more often than ordinary ones; the ordinary one has unmatchable filler of
-the same length there, so that both put everything else at the same distance. A text is cut into
-windows of `window` words, each is compressed with either dictionary, and the difference in
-length is the evidence that the window gives. (Dictionaries trained by zstandard alone on the two
-kinds of text don't tell them apart: toxic documents are ordinary but for a few words, and the
-trainer picks what is frequent, not what differs.) Every window starts with a marker that both
-dictionaries hold, which keeps zstandard from storing short windows raw. A logistic function of
-a document's strongest windows, fitted on the labelled documents, gives the score.
+Two zstandard dictionaries are trained on labelled documents, one on ordinary text and one on
+toxic text. A text is cut into windows of `window` words, each is compressed with either
+dictionary, and the difference in length is the evidence that the window gives. A logistic
+function of a document's strongest windows gives the score. It is calibrated on labelled documents
+by cross-fitting: those of each fold are judged by dictionaries trained on the other folds.
+
+Toxic documents are ordinary but for a few words, and zstandard's trainer picks what is frequent,
+not what differs. Trained on all words of either kind the dictionaries don't tell them apart.
+So the trainer gets, of the toxic documents, the beginnings of their words that toxic documents
+have far more often than ordinary ones, as often as they hold them, and of the ordinary documents
+all words. The toxic dictionary stands behind the ordinary one's content, and
+the ordinary one is filled up to the same length, so whatever is ordinary is found by both at the
+same distance. Every window starts with a marker that both dictionaries hold, which keeps
+zstandard from storing short windows raw.
 
 Labels are learned from a sample of at most `per_class` documents of each class, taken by hash of
-doc_id from the rows that are not held out. A text and its near copies in the sample
-count once. Everything is scored, whole texts.
+doc_id from the rows that are not held out. A text and its near copies in the sample count once
+(of copies, the text of least hash). Everything is scored, whole texts.
 
 Defined results: null and empty texts have no evidence and get the score of that; a document
 without doc_id is scored and not held out; repeated rows are scored alike; without labels of
@@ -40,11 +44,13 @@ from pyspark.sql import types as T
 from somalog.llm.common import cut
 
 PER_CLASS, STEMS, WINDOW, BASE_BYTES = 4000, range(4, 9), 8, 16_000
-STEMS_KEPT, WORDS = 2000, 20_000
+STEMS_KEPT, WORDS, FOLDS = 2000, 20_000, 5
 #: A telling stem is in this share of toxic documents at least, its log odds are higher by ODDS,
 #: and its likelihood ratio statistic rules out chance among some 100,000 stems.
 RARE, ODDS, SURPRISE = 0.005, 2.5, 30.0
-_SPLIT = b"\x00"
+#: Bytes of the toxic dictionary for each byte of different beginnings, at least so many, and the
+#: length of the runs that its trainer picks.
+OWN_SHARE, OWN_LEAST, OWN_RUN = 2, 1024, 48
 #: So many bytes of a word are numbered, with these.
 DEPTH, PLACES = 8, bytes(range(1, 9))
 FEATURES = 5
@@ -98,15 +104,16 @@ def coded(word: bytes) -> bytes:
     return bytes(out) + word[n:]
 
 
-def _pieces(telling: dict[bytes, int]) -> list[bytes]:
-    """Telling stems, often ones last: each grown as long as it keeps half of its documents."""
-    found = {}
-    for stem in sorted(telling):
-        if not any(stem[:n] in telling for n in STEMS if n < len(stem)):
-            while more := [s for s in telling if len(s) == len(stem) + 1 and s.startswith(stem) and 2 * telling[s] >= telling[stem]]:
-                stem = max(more, key=lambda s: (telling[s], s))
-            found[stem] = telling[stem]
-    return [coded(s) for s in sorted(found, key=lambda s: (found[s], s))]
+def _beginnings(text: bytes, telling: frozenset[bytes]) -> list[bytes]:
+    """The longest telling beginnings of a text's words that have one."""
+    return [max(found, key=len) for w in _words(text) if (found := [s for s in _stems(w) if s in telling])]
+
+
+def _samples(counts: dict[bytes, int], least: int, most: int, rng: random.Random) -> list[bytes]:
+    """Coded words as samples for the trainer: one for each `least` times a word occurs, `most` at most."""
+    out = [coded(word) for word in sorted(counts) for _ in range(min(1 + counts[word] // least, most))]
+    rng.shuffle(out)
+    return out
 
 
 def _counted(texts: DataFrame, of) -> DataFrame:
@@ -123,10 +130,10 @@ def _counted(texts: DataFrame, of) -> DataFrame:
     return texts.mapInPandas(run, "item binary, toxic int, n long").groupBy("item").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("ordinary"))
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, k: int = 24) -> bytes:
     """Dictionary content that zstandard picks from the samples, without its entropy tables."""
     try:
-        whole = zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes()
+        whole = zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         return b"".join(samples)[-size:]
     repeats = b"".join(x.to_bytes(4, "little") for x in (1, 4, 8))  # they end the tables
@@ -180,46 +187,74 @@ def _fitted(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, window: int = WINDOW) -> Model | None:
-    """A model from the labelled documents that are not held out; None without both classes."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = cut(known)
+def _sampled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text, toxic, fold) of the sample without near copies, and the labels' numbers."""
+    known = cut(labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 x per_class rows
-    texts = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(sample, "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic", _least_shingles("text").alias("least")))
-    for k in range(len(_ORDERS)):  # a text and its near copies count once, or one group of copies would decide what is telling
-        texts = texts.withColumn("_k", F.col("least")[k]).dropDuplicates(["_k", "toxic"])
-    texts = cut(texts.select("text", "toxic"))
-    size = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # 2 x per_class rows at most
+    first = lambda *keys: F.min_by(F.struct(*keys), F.struct(F.xxhash64("text"), F.sha2("text", 256))).alias("first")
+    texts = texts.groupBy("doc_id").agg(first("text", "toxic")).select("first.*").withColumn("least", _least_shingles("text"))
+    texts = cut(texts)
+    for k in range(len(_ORDERS)):  # a group of copies would decide by itself what is telling
+        texts = texts.groupBy(F.col("least")[k].alias("_k"), "toxic").agg(first("text", "least")).select("toxic", "first.*")
+    return cut(texts.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))), n
+
+
+def _dictionaries(learned: DataFrame) -> tuple[bytes, bytes, bytes] | None:
+    """The toxic and the ordinary dictionary, and the marker; None without texts of both classes."""
+    size = {r.toxic: r.n for r in learned.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return None
-
-    stems = _counted(texts, lambda text: {g for w in set(_words(text)) for g in _stems(w)})
+    stems = _counted(learned, lambda text: {g for w in set(_words(text)) for g in _stems(w)})
     p, q, share = F.col("toxic").cast("double"), F.col("ordinary").cast("double"), size[1] / (size[0] + size[1])
     odds = F.log((p + 0.5) / (size[1] + 1)) - F.log((q + 0.5) / (size[0] + 1))
     surprise = 2 * (p * F.log(p / ((p + q) * share)) + F.when(q > 0, q * F.log(q / ((p + q) * (1 - share)))).otherwise(0.0))
     chosen = stems.where((p >= max(3.0, RARE * size[1])) & (odds > ODDS)).where(surprise > SURPRISE)
-    telling = {bytes(r.item): r.toxic for r in chosen.orderBy(F.desc("toxic"), "item").limit(STEMS_KEPT).collect()}
-    common = _counted(texts.where("toxic = 0"), _words).orderBy(F.desc("ordinary"), "item").limit(WORDS).collect()
+    telling = frozenset(bytes(r.item) for r in chosen.orderBy(F.desc("toxic"), "item").limit(STEMS_KEPT).collect())
+    words = _counted(learned.where("toxic = 1"), lambda text: _beginnings(text, telling))
+    of_toxic = {bytes(r.item): r.toxic for r in words.orderBy(F.desc("toxic"), "item").limit(WORDS).collect()}
+    words = _counted(learned.where("toxic = 0"), _words)
+    of_ordinary = {bytes(r.item): r.ordinary for r in words.orderBy(F.desc("ordinary"), "item").limit(WORDS).collect()}
 
     rng = random.Random(8)
-    samples = [coded(bytes(r.item)) for r in common for _ in range(min(1 + r.ordinary // 50, 30))]
-    rng.shuffle(samples)
-    base = _trained(samples, BASE_BYTES)
-    own = _SPLIT.join(_pieces(telling)) + _SPLIT  # what is most frequent stands last, and so nearest
+    base = _trained(_samples(of_ordinary, 50, 30, rng), BASE_BYTES)
+    own = _trained(_samples(of_toxic, 1, 30, rng), max(OWN_LEAST, OWN_SHARE * sum(len(coded(w)) for w in of_toxic)), OWN_RUN)
     marker, filler = (bytes(rng.randrange(128, 192) for _ in range(k)) for k in (48, len(own)))
-    toxic, ordinary = base + own + marker, base + filler + marker
+    return base + own + marker, base + filler + marker, marker
+
+
+def _judged(texts: DataFrame, dictionaries: tuple[bytes, bytes, bytes], window: int) -> DataFrame:
+    """(f0, f1, ..., toxic) of texts (text, toxic)."""
+    columns = [f"f{k}" for k in range(FEATURES)]
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = _Evidence(toxic, ordinary, marker, window)
+        judge = _Evidence(*dictionaries, window)
         for batch in batches:
-            x = pd.DataFrame([judge.features(t) for t in batch["text"]], columns=[f"f{k}" for k in range(FEATURES)], dtype=float)
-            yield x.assign(toxic=batch["toxic"].to_numpy())
+            yield pd.DataFrame([judge.features(t) for t in batch["text"]], columns=columns, dtype=float).assign(toxic=batch["toxic"].to_numpy())
 
-    rows = texts.mapInPandas(evidence, ", ".join(f"f{k} double" for k in range(FEATURES)) + ", toxic int").orderBy(*(f"f{k}" for k in range(FEATURES)), "toxic").toPandas()
-    prior = math.log(n[1] / n[0]) - math.log(size[1] / size[0])
-    return Model(toxic, ordinary, marker, _fitted(rows[[f"f{k}" for k in range(FEATURES)]].to_numpy(float), rows["toxic"].to_numpy(float), prior), window)
+    return texts.mapInPandas(evidence, ", ".join(f"{c} double" for c in columns) + ", toxic int")
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, window: int = WINDOW) -> Model | None:
+    """A model from the labelled documents that are not held out; None without both classes."""
+    texts, n = _sampled(docs, labels, per_class)
+    whole = _dictionaries(texts)
+    if not whole:
+        return None
+    rows = None
+    for fold in range(FOLDS):  # those that no dictionary was trained on
+        if others := _dictionaries(texts.where(F.col("fold") != fold)):
+            judged = _judged(texts.where(F.col("fold") == fold), others, window)
+            rows = rows.union(judged) if rows else judged
+    if rows is None:
+        return None
+    rows = rows.orderBy(*rows.columns).toPandas()  # 2 x per_class rows at most
+    y = rows.pop("toxic").to_numpy(float)
+    if not 0 < y.sum() < len(y):
+        return None
+    prior = math.log(n[1] / n[0]) - math.log(y.sum() / (len(y) - y.sum()))
+    return Model(*whole, _fitted(rows.to_numpy(float), y, prior), window)
 
 
 def _scores(model: Model | None):

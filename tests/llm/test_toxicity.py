@@ -55,3 +55,38 @@ def test_without_labels_or_rows(spark):
 def test_coded_words():
     assert toxicity.coded(b"") == b"" and toxicity.coded(b"ab") == b"\x01a\x02b"
     assert toxicity.coded(b"abcdefghij").endswith(b"\x08hij")
+
+
+def plain_score(model, text):
+    import math
+
+    import zstandard
+
+    def compressor(content):
+        params = zstandard.ZstdCompressionParameters.from_level(3, min_match=6, strategy=zstandard.STRATEGY_LAZY, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
+        return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+
+    words = (text or "").lower().encode().split()
+    numbered = lambda w: b"".join(bytes([i + 1, c]) for i, c in enumerate(w[:8])) + w[8:]
+    windows = [model.marker + b"".join(map(numbered, words[i : i + model.window])) for i in range(0, len(words), model.window)]
+    gains = sorted((len(compressor(model.ordinary).compress(w)) - len(compressor(model.toxic).compress(w)) for w in windows), reverse=True)
+    gains = [g for g in gains if g > 4]
+    x = [*[*gains, 0, 0][:2], math.log1p(sum(gains)), math.log1p(sum(g > 6 for g in gains)), math.log1p(len(words) // model.window), 1]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+
+def test_scores_against_plain_compression(spark):
+    docs, labels, _ = tables(spark, 200)
+    docs = docs.unionByName(spark.createDataFrame([(900, "word idiot " * 5000, "x"), (901, "ß " * 9 + "sc", "x")], docs.schema))
+    model = toxicity.train(docs, labels)
+    assert len(model.toxic) == len(model.ordinary) and model.toxic != model.ordinary
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.score - plain_score(model, r.text)) < 1e-9
+
+
+def test_copies_in_the_sample_do_not_depend_on_order(spark):
+    docs, labels, _ = tables(spark, 200)
+    copies = docs.where("doc_id % 3 = 0").selectExpr("doc_id + 7000 AS doc_id", "concat(text, ' more') AS text", "score")
+    both = docs.unionByName(copies)
+    more = labels.unionByName(labels.where("doc_id % 3 = 0").selectExpr("doc_id + 7000 AS doc_id", "quality", "toxic"))
+    assert toxicity.train(both, more) == toxicity.train(both.orderBy("text").repartition(7), more.repartition(2))
