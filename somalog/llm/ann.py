@@ -14,7 +14,8 @@ are a sample of `pivots` vectors by hash of vec_id; every vector is indexed.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
 take no part; vectors of another length than the query's are no candidates; equal scores go by
-vec_id; repeated rows of one vec_id are one; a null vec_id takes no part; with too few
+vec_id; repeated rows of one vec_id are one, and of different vectors under one vec_id the
+least, component by component, counts; a null vec_id takes no part; with too few
 candidates a query gets all there are; other columns are ignored.
 """
 
@@ -34,10 +35,14 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<double>) of the vectors that take part."""
+    """(vec_id, embedding array<double>) of the vectors that take part, brought near length 1 by a
+    power of two, which changes no cosine and keeps squares of huge and tiny components in range."""
     fine = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     some = F.exists("embedding", lambda x: x != 0)
-    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(fine).where(some)
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(fine).where(some)
+    one = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    power = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("embedding", F.abs)))))
+    return one.withColumn("_by", power).select("vec_id", F.transform("embedding", lambda x: x / F.col("_by")).alias("embedding"))
 
 
 def unique(vectors: DataFrame, ids: int) -> DataFrame:
@@ -110,7 +115,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIV
     among those with another vec_id. Both tables have vec_id and embedding."""
     fine = usable(vectors)
     index = cut(unique(fine, k + 1))
-    asked = cut(usable(queries).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "embedding"))
+    asked = cut(usable(queries).select(F.col("vec_id").alias("query_id"), "embedding"))
     shards, blocks = max(1, -(-index.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
     first = Window.partitionBy(F.size("embedding")).orderBy("_h", "vec_ids")
     sample = index.withColumn("_h", F.xxhash64("vec_ids")).orderBy("_h", "vec_ids").limit(4 * pivots).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= pivots)

@@ -34,3 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
 def n_words(text: Column) -> Column:
     """The number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name like this one that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

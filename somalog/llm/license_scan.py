@@ -3,8 +3,8 @@
 A text is brought to a canonical form (case, copyright lines, punctuation and white space,
 equivalent spellings), and its SHA-256 is looked up among the digests of known licences, brought
 to the same form. Units that are looked up are a document's whole text and each of its lines,
-which is where documents carry one-line notices. The known digests are a fixed table of a few
-rows; they alone are broadcast.
+which is where documents carry one-line notices. The known texts are a table (license_id, text),
+such as from_folder reads, or the built-in list of a few rows, whose digests are broadcast.
 
 Defined results: a null text is empty, and empty units match nothing; rows are looked up one by
 one, so repeated rows repeat; notices of rows that share doc_id and text are counted once a row;
@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somalog.llm.common import cut
 from somalog.llm.license_texts import KNOWN
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,22 +75,31 @@ def beginning(text: Column) -> Column:
     return F.translate(F.substring(F.regexp_extract(text, "[A-Za-z0-9\\x{80}-\\x{10FFFF}]+", 0), 1, 3), UPPER, LOWER)
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license_id, beginning): one row for each canonical form, a few tens in all."""
-    rows = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in known))
-    texts = spark.range(1, numPartitions=1).select(F.inline(rows)).withColumn("form", canonical(F.col("text")))
+def from_folder(spark: SparkSession, path: str) -> DataFrame:
+    """(license_id, text): a folder's text files, each named by its licence."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    return files.select(F.regexp_replace("name", r"\.(?:txt|text|md)\z", "").alias("license_id"), "text")
+
+
+def known_digests(spark: SparkSession, known: DataFrame | Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+    """(digest, license_id, beginning): one row for each canonical form that is not empty."""
+    if not isinstance(known, DataFrame):
+        rows = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in known))
+        known = spark.range(1, numPartitions=1).select(F.inline(rows))
+    texts = known.select("license_id", "text").withColumn("form", canonical(F.col("text"))).where("form <> ''")
     return texts.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(beginning(F.col("form"))).alias("beginning"))
 
 
-def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
     """(doc_id, text_sha256, license_id, n_notices, notices): the digest of the whole text's
     canonical form, the licence it is (or null), how many lines are notices, and of which
     licences (in order, joined by commas; or null)."""
-    digests = F.broadcast(known_digests(docs.sparkSession, known))
+    digests = known_digests(docs.sparkSession, known)
+    digests = cut(digests) if isinstance(known, DataFrame) else F.broadcast(digests)
     text = F.coalesce("text", F.lit(""))
     whole = docs.select("doc_id", F.xxhash64(text).alias("key"), F.sha2(canonical(F.col("text")), 256).alias("text_sha256"))
     whole = whole.join(digests.select(F.col("digest").alias("text_sha256"), "license_id"), "text_sha256", "left")
-    begin = [r.beginning for r in digests.select("beginning").distinct().collect()]  # of a fixed table
+    begin = [r.beginning for r in digests.select("beginning").distinct().collect()]  # three characters each
     lines = docs.select("doc_id", F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n"))).where(beginning(F.col("col")).isin(begin))
     found = lines.select("doc_id", "key", "pos", F.sha2(canonical(F.col("col")), 256).alias("digest")).join(digests, "digest")  # no known form is empty
     notices = found.groupBy("doc_id", "key").agg(F.countDistinct("pos").alias("n"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))

@@ -182,8 +182,9 @@ def measured(index: DataFrame, root: str) -> DataFrame:
     schema = pa.schema([(k, pa.int64() if v == "long" else pa.string()) for k, v in kinds.items()])
 
     def of(read, digest: str, length: int) -> tuple:
-        size = header(read(0, HEAD_BYTES))
-        stored = read(0, length)
+        head = read(0, HEAD_BYTES)
+        size = header(head)
+        stored = head + read(HEAD_BYTES, length - HEAD_BYTES)
         payload = samples(stored)
         return digest, *size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), length, hashlib.sha256(stored).hexdigest(), feature(payload)
 

@@ -64,11 +64,17 @@ def mix(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
     """
     sized = sized.drop("source_size", "target", "taken")
     buckets = max(1, -(-sized.count() // rows_per_bucket))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    key = lambda id_: F.md5(F.coalesce(id_.cast("string"), F.lit("null")).cast("binary"))
+    no_key = key(F.lit(None))
     keyed = (
-        sized.withColumn("_sid", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
-        .withColumn("_key", F.md5(name.cast("binary")))
-        .withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("int"))
+        sized.select(F.struct(*(F.col(f"`{c}`") for c in sized.columns)).alias("_row"), "doc_id", "source", "size")
+        .withColumn("_sid", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
+        .withColumn("_key", key(F.col("doc_id")))
+        .withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("int"))
+        # rows without doc_id share a key: in its bucket they are dealt by size, which is next in order
+        .withColumn("_part", F.when(F.col("doc_id").isNull(), F.col("size") + 1).when(F.col("_key") > no_key, F.lit((1 << 62))).otherwise(F.lit(0)).cast("long"))
+        .withColumn("_bucket", F.struct("_range", "_part"))
+        .drop("_range", "_part")
     )
     totals = keyed.groupBy("_sid", "source", "_bucket").agg(F.sum("size").alias("_words"))
     targets = source_targets(totals.groupBy("_sid", "source").agg(F.sum("_words").alias("source_size")), weights, share, epochs)
@@ -83,7 +89,7 @@ def mix(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
         .join(offsets, ["_sid", "_bucket"])
         .withColumn("_whole", F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(budget / F.col("source_size"))).cast("long"))
         .withColumn("taken", taken.cast("long"))
-        .drop("_sid", "_key", "_bucket", "_inside", "_offset", "_whole")
+        .select("_row.*", "source_size", "target", "taken")
     )
 
 

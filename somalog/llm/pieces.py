@@ -4,9 +4,10 @@ A text's best segmentation has the greatest sum of piece scores (of equal ones,
 reached by its longest piece). The search goes from left to right and keeps scores for one
 piece length only; whenever the backpointers of all positions that a later piece could start at
 pass through one boundary, the pieces up to there are final and leave as ids. In vocabularies
-where no piece goes on with the word mark after another character, that is known beforehand
-for the end of every word, and the ids of words that come again are remembered (a bounded
-number).
+where no piece goes on with the word mark after another character, all paths converge at the end
+of every word, so words can be searched by themselves and the ids of those that come again are
+remembered (a bounded number). That is an exact shortcut: tests hold it against the stream over
+whole texts.
 
 The vocabulary file is read, never trained; its path is a parameter. Characters without a piece
 are encoded as UTF-8 byte pieces, and so is the word mark itself where a text holds it, so
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from somalog.llm.common import free
+
 MARK, UNKNOWN_PENALTY = "▁", 10.0
 REMEMBERED, LONG, CHECK_EVERY = 120_000, 48, 32
 #: So many texts' ids leave a task at once.
@@ -184,12 +187,12 @@ def load(path: str) -> Pieces:
     return Pieces([(model.id_to_piece(k), model.get_score(k), kind(k)) for k in range(model.get_piece_size())])
 
 
-def _encoded(path: str):
+def _encoded(path: str, source: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             ids, sizes, exact = array("i"), [], []
-            for text in batch.column(batch.schema.get_field_index("_text")):
+            for text in batch.column(batch.schema.get_field_index(source)):
                 text = text.as_py()
                 if text is None:
                     sizes.append(None)
@@ -202,7 +205,7 @@ def _encoded(path: str):
             ends = np.cumsum([0, *(n or 0 for n in sizes)])
             offsets = pa.array(ends, pa.int32(), mask=np.array([*(n is None for n in sizes), False]))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32)))
-            rest = batch.drop_columns(["_text"])
+            rest = batch.drop_columns([source])
             yield pa.RecordBatch.from_arrays([*rest.columns, lists, pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())], names=[*rest.schema.names, "ids", "n_ids", "exact"])
 
     return run
@@ -210,9 +213,10 @@ def _encoded(path: str):
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs and ids array<int>, n_ids long, and exact, true if decoding the ids gave the text."""
-    docs = docs.drop("ids", "n_ids", "exact", "_text")
+    docs = docs.drop("ids", "n_ids", "exact")
+    text = free(docs, "_text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids array<int>, n_ids long, exact boolean"])
-    return docs.withColumn("_text", F.col("text")).mapInArrow(_encoded(path), schema)
+    return docs.withColumn(text, F.col("text")).mapInArrow(_encoded(path, text), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -5,9 +5,11 @@ octets for IPv4 addresses, digit counts for telephone and social security number
 a whole number below the size of its format, and permuted there by a keyed Feistel network with
 cycle walking. So a card number becomes a valid card number of the same length, a date a date in
 the same notation (dates after the 12th stay after the 12th, so slash dates keep their reading:
-month first, or day first where only that is a date); the same value gets the same pseudonym wherever and however it is written,
+month first, or day first where only that is a date, and months and days of one digit stay so,
+which keeps the notation); the same value gets the same pseudonym wherever and however it is written,
 different values get different ones, and the key's holder can turn them back. Mail addresses
-are treated alike: letters stay letters and digits digits before the @.
+are treated alike: letters stay letters and digits digits before the @, whatever their case; the host
+and letters outside A-Z stay.
 
 Numbers often stand next to each other. What fails validation is tried again without its last
 groups of digits, and then from later groups on; a telephone number ends where another number
@@ -33,8 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used where the session names no key; a deployment sets KEY_SETTING.
-KEY_SETTING, DEFAULT_KEY = "spark.somalog.pii.key", "only for tests and examples"
+from somalog.llm.common import free
+
+#: The session's setting that holds the key; Spark redacts settings of such a name.
+KEY_SETTING = "spark.somalog.pii.secret"
 ROUNDS = 10
 FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 
@@ -141,7 +145,9 @@ class Pseudonyms:
 
     def mail(self, text: str) -> str:
         local, _, host = text.partition("@")
-        return f"{self._mixed(local, 'mail ' + host.lower())}@{host}"
+        small = "".join(c.lower() if c.isascii() else c for c in local)
+        new = self._mixed(small, "mail " + host.lower())
+        return "".join(c.upper() if "A" <= old <= "Z" else c for c, old in zip(new, local, strict=True)) + f"@{host}"
 
     def card(self, text: str) -> str | None:
         digits = re.sub(r"\D", "", text)
@@ -172,10 +178,11 @@ class Pseudonyms:
             return None
         if not 0 <= x < DAYS:
             return None
-        while True:  # walk on until the day is on the same side of the 12th
+        like = lambda day, month: (day > 12, day > 9, month > 9)
+        while True:  # walk on until the day is on the same side of the 12th, and digits are as many
             x = self._permuted(x, DAYS, "date")
             out = date.fromordinal(FIRST_DAY + x)
-            if (out.day > 12) == (day > 12):
+            if like(out.day, out.month) == like(day, month):
                 return out
 
     def iso(self, text: str) -> str | None:
@@ -184,21 +191,24 @@ class Pseudonyms:
 
     def date(self, text: str) -> str | None:
         sep = "." if "." in text else "/"
-        a, b, year = text.split(sep)
-        a, b, year = int(a), int(b), int(year)
+        widths = [len(x) for x in text.split(sep)]
+        a, b, year = map(int, text.split(sep))
         day_first = sep == "." or a > 12 >= b  # day first with dots, month first with slashes if that is a date
         day = self._day(year, b, a) if day_first else self._day(year, a, b)
         if not day:
             return None
-        pad = 2 if len(text) == 10 else 1
         first, second = (day.day, day.month) if day_first else (day.month, day.day)
-        return f"{first:0{pad}d}{sep}{second:0{pad}d}{sep}{day.year}"
+        return f"{first:0{widths[0]}d}{sep}{second:0{widths[1]}d}{sep}{day.year}"
 
     def ssn(self, text: str) -> str | None:
+        fine = lambda d: d[:3] not in ("000", "666") and d[3:5] != "00" and d[5:] != "0000"
         digits = text.replace("-", "")
-        if digits[:3] in ("000", "666") or digits[3:5] == "00" or digits[5:] == "0000":
+        if not fine(digits):
             return None
-        return _filled(text, self._digits(digits, "ssn"))
+        digits = self._digits(digits, "ssn")
+        while not fine(digits):  # walk on until it is a valid number
+            digits = self._digits(digits, "ssn")
+        return _filled(text, digits)
 
     def phone(self, text: str) -> str | None:
         digits = re.sub(r"\D", "", text)
@@ -259,7 +269,11 @@ def _pseudonyms(key: bytes, back: bool) -> Pseudonyms:
 
 
 def key_of(spark: SparkSession) -> bytes:
-    return spark.conf.get(KEY_SETTING, DEFAULT_KEY).encode()
+    """The key that the session sets; there is no other."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} to the key of the pseudonyms")
+    return key.encode()
 
 
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
@@ -272,5 +286,6 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
         return pd.DataFrame([(None, 0) if t is None else names.text(t) for t in texts], columns=["text", "n_found"])
 
     docs = docs.drop("n_found")
-    columns = [F.col("_swapped.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("_swapped", swap("text")).select(*columns, "_swapped.n_found")
+    new = free(docs, "_swapped")
+    columns = [F.col(f"{new}.text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn(new, swap("text")).select(*columns, f"{new}.n_found")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from somalog.llm.common import cut
+from somalog.llm.common import cut, free
 
 PER_CLASS, STEMS, WINDOW, BASE_BYTES = 4000, range(4, 9), 8, 16_000
 STEMS_KEPT, WORDS, FOLDS = 2000, 20_000, 5
@@ -257,11 +257,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, window
     return Model(*whole, _fitted(rows.to_numpy(float), y, prior), window)
 
 
-def _scores(model: Model | None):
+def _scores(model: Model | None, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Evidence(model.toxic, model.ordinary, model.marker, model.window) if model else None
         for batch in batches:
-            at = batch.schema.get_field_index("_bytes")
+            at = batch.schema.get_field_index(text)
             out = np.zeros(batch.num_rows)
             if judge:
                 x = np.array([judge.features(t.as_py()) for t in batch.column(at)], float).reshape(-1, FEATURES)
@@ -274,6 +274,7 @@ def _scores(model: Model | None):
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs and a column score between 0 and 1; the text is read, and nothing else."""
-    docs = docs.drop("score", "_bytes")
+    docs = docs.drop("score")
+    text = free(docs, "_bytes")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
-    return docs.withColumn("_bytes", F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(_scores(model), schema)
+    return docs.withColumn(text, F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(_scores(model, text), schema)

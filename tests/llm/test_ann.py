@@ -64,3 +64,11 @@ def test_footrule_from_inverted_files():
 def test_empty_table(spark):
     docs = table(spark, [])
     assert ann.search(docs, docs).count() == 0
+
+
+def test_huge_and_tiny_norms_and_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0]), (1, [1e-200, 0.0]), (2, [1e200, 1e200]), (3, [1e-310, -1e-310]), (4, [-1e308, 0.0]), (5, [3.0, 4.0]), (5, [0.6, 9.0]), (5, [3.0, 4.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in ann.search(vectors, vectors.where("vec_id = 50")).collect()}
+    want = {1: 1.0, 2: 0.5**0.5, 3: 0.5**0.5, 4: -1.0, 5: 0.6 / (0.36 + 81) ** 0.5}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)

@@ -50,3 +50,13 @@ def test_lines_that_claim_copyright(spark):
     docs = spark.createDataFrame([(i, f"{line}\n{mit}") for i, line in enumerate(claims + others)], "doc_id long, text string")
     got = {r.doc_id: r.license_id for r in license_scan.scan(docs).collect()}
     assert got == {i: "MIT" if i < len(claims) else None for i in range(len(claims + others))}
+
+
+def test_known_texts_from_a_table_and_a_folder(spark, tmp_path):
+    long = "Some Licence\n\n" + " ".join(f"Clause {i} says that one may honour it." for i in range(900))
+    (tmp_path / "Some-1.0.txt").write_text("Copyright (c) 2001 A. Body\n" + long)
+    (tmp_path / "Short-2").write_text("One line licence.\n")
+    docs = spark.createDataFrame([(1, long.upper().replace("HONOUR", "HONOR")), (2, "x\nONE line licence\ny"), (3, None)], "doc_id long, text string")
+    for known in (license_scan.from_folder(spark, str(tmp_path)), spark.createDataFrame([("Some-1.0", long), ("Short-2", "one line license"), ("None", None)], "license_id string, text string")):
+        got = {r.doc_id: (r.license_id, r.n_notices, r.notices) for r in license_scan.scan(docs, known).collect()}
+        assert got == {1: ("Some-1.0", 0, None), 2: (None, 1, "Short-2"), 3: (None, 0, None)}

@@ -1,5 +1,8 @@
+import hashlib
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from somalog.llm import mixing
 
 
@@ -64,3 +67,19 @@ def test_empty_table_and_no_words(spark):
     assert mixing.mix(mixing.with_size(docs(spark, []))).count() == 0
     got = mixing.mix(mixing.with_size(docs(spark, [(1, "a", None, "", 0), (2, None, "", "", 0)]))).collect()
     assert [r.taken for r in got] == [0, 0]
+
+
+def test_rows_without_doc_id_are_dealt_by_size(spark):
+    rows = [(None if i % 2 else i, "s", i % 7, i) for i in range(60)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long, _key long").withColumn("_row", F.lit("kept")).withColumn("_bucket", F.lit(3))
+    got = mixing.mix(sized, share=0.6, rows_per_bucket=20)
+    assert got.columns == [*sized.columns, "source_size", "target", "taken"]
+    got = got.collect()
+    total, budget = sum(r[2] for r in rows), int(got[0].target)
+    assert sum(r.taken for r in got) == budget and budget == int(total * 0.6)
+    md5 = lambda x: hashlib.md5(str(x if x is not None else "null").encode()).hexdigest()
+    order, before, want = sorted(rows, key=lambda r: (md5(r[0]), r[0] is not None, r[0] or 0, r[2])), 0, []
+    for r in order:
+        want.append((str(r[0]), r[2], max(0, min(r[2], budget - before))))
+        before += r[2]
+    assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted(want)

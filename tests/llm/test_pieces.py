@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 
 from somalog.llm import pieces
+from somalog.llm.queries import vocabulary_path
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = ["", " ", "  a", "a ", "Hello world", "line\n\tnext", "漢字😀é", "a▁b ▁", "▁", "x" * 3000, "ab" * 2000 + " end", " " * 300, "été naïve Straße", "\x00\x7f"]
@@ -89,3 +90,13 @@ def test_table(spark):
             assert r.exact and r.ids == model.encode(r.text).tolist() and r.n_ids == len(r.ids)
     assert {r.doc_id: r.text for r in pieces.decode(encoded.drop("text"), PATH).collect()} == {r[0]: r[1] for r in rows}
     assert pieces.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_words_by_themselves_against_the_stream_over_whole_texts(spark):
+    model = pieces.load(vocabulary_path())
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for text in texts:
+        if pieces.MARK not in text:
+            assert model.encode(text).tolist() == [k for group in model.stream(f" {text}" if text else "") for k in group]
+    docs = spark.createDataFrame([(1, "a b", 2)], "doc_id long, text string, _text long")
+    assert pieces.encode(docs, vocabulary_path()).first()._text == 2

@@ -100,3 +100,44 @@ def test_slash_dates_day_first():
         new = one.text(f"{day}/12/1999")[0]
         assert new != f"{day}/12/1999" and back.text(new)[0] == f"{day}/12/1999"
         assert new.split("/") == one.text(f"{day}.12.1999")[0].split(".")
+
+
+def test_random_values_come_back_and_stay_valid():
+    one, back, rng = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, back=True), random.Random(3)
+    for _ in range(1000):
+        ssn = f"{rng.choice([1, 665, 667, 899]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+        d, m, y = rng.randint(1, 28), rng.randint(1, 12), rng.randint(1900, 2099)
+        pad = rng.choice(["d", "02d"])
+        phone = f"+49{rng.randint(30, 999)}{rng.randint(10**5, 10**7)}"
+        ip = ".".join(str(rng.randrange(256)) for _ in range(4))
+        mail = f"{rng.choice('aBcD')}{rng.randint(0, 999)}x{rng.choice('Yz')}@Host{rng.randint(1, 9)}.org"
+        for value in (ssn, f"{d:{pad}}.{m:{pad}}.{y}", f"{m:{pad}}/{d:{pad}}/{y}", f"{y}-{m:02d}-{d:02d}", phone, ip, mail):
+            new, n = one.text(value)
+            assert n == 1 and back.text(new) == (value, 1), value
+            assert len(new) == len(value) or value == ip
+        new = one.text(ssn)[0]
+        assert new[:3] not in ("000", "666") and new[4:6] != "00" and new[7:] != "0000"
+
+
+def test_values_written_differently_stay_linked():
+    one = pii.Pseudonyms(KEY)
+    digits = lambda text: "".join(c for c in one.text(text)[0] if c.isdigit())
+    assert digits("+491701234567") == digits("+49 170 1234567") == digits("+49-170-1234567")
+    assert one.text("Max@x.com")[0].lower() == one.text("max@x.com")[0] == one.text("MAX@X.com")[0].lower()
+    assert [int(x) for x in one.text("3.4.2020")[0].split(".")] == [int(x) for x in one.text("03.04.2020")[0].split(".")]
+
+
+def test_key_comes_from_the_session(spark):
+    with pytest.raises(ValueError):
+        pii.key_of(spark)
+    spark.conf.set(pii.KEY_SETTING, "k")
+    try:
+        assert pii.key_of(spark) == b"k"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "on 2020-03-04", 5, "kept")], "doc_id long, text string, _swapped int, __swapped string")
+    got = pii.pseudonymize(docs, KEY).collect()[0]
+    assert (got._swapped, got["__swapped"], got.n_found) == (5, "kept", 1) and got.text != "on 2020-03-04"

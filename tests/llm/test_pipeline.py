@@ -3,7 +3,7 @@ from test_near_copies import plain_groups
 from test_toxicity import tables
 
 from somalog.llm import mixing, pieces, pii, toxicity
-from somalog.llm.queries import vocabulary_path
+from somalog.llm.queries import pseudonym_key, vocabulary_path
 
 
 def test_against_plain_stages(spark, tmp_path):
@@ -21,7 +21,7 @@ def test_against_plain_stages(spark, tmp_path):
     rows = [r for r in rows if (r["doc_id"], r["text"]) not in toxic]
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"]))
     kept = {rows[i]["doc_id"]: rows[i] for i in set(plain_groups([r["text"] for r in rows]))}
-    names = pii.Pseudonyms(pii.key_of(spark))
+    names = pii.Pseudonyms(pseudonym_key(spark))
     for r in kept.values():
         r["text"] = r["text"] and names.text(r["text"])[0]
     taken = {r.doc_id: r.taken for r in mixing.mix(mixing.with_size(spark.createDataFrame(list(kept.values()), table.schema))).collect()}
