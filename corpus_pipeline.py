@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from somalog.llm import mixing, near_copies, pieces, pii, toxicity
 from somalog.llm.common import checkpoint_root
-from somalog.llm.queries import vocabulary_path
+from somalog.llm.queries import pseudonym_key, vocabulary_path
 from somalog.session import ship
 
 REJECTED_FROM = 0.7
@@ -36,7 +36,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal numbers and dates."""
-    return pii.pseudonymize(docs, pii.key_of(spark)).select(*docs.columns)
+    return pii.pseudonymize(docs, pseudonym_key(spark)).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
