@@ -15,14 +15,21 @@ are to go. Edges are far more than documents, so they are kept compact all the w
 * A bucket compares the edges that meet in it and emits repeated ones as paths: consecutive
   edges of one document whose earlier occurrences are consecutive in one source document,
   with the source's coordinates. A path ends where the graph branches.
-* Paths of all buckets and chunks are joined to their document by its coordinates and glued
-  there into long spans.
+* Paths of all buckets and chunks that go on where another one ends, in the document and in the
+  source, are compacted to spans: one for each stretch of a diagonal of the two.
+* Each span is verified: documents are joined to the stretches that are asked of them, as copy or
+  as source, each stretch is digested (SHA-256 of its words), and a span stands if both digests
+  are equal. Of one that does not stand each window is verified by itself. Only verified windows
+  are removed, so no hash decides that a word goes.
+* Verified spans are joined to their documents, and the words they cover leave.
 
-Edges are equal if 112 bits of two hashes agree (64 of the minimizer, 48 of the window).
+Edges meet if 112 bits of two hashes agree (64 of the minimizer, 48 of the window). Should windows
+of different words ever agree in these, the later one stays, even if it has yet another source.
 
 Defined results: null and empty texts have no words; occurrences are ordered by doc_id (null
-last), then by start; rows that share a doc_id share its coordinates, so a repeated row does not
-repeat itself; an empty table gives an empty result; other columns are ignored.
+last, those by a hash of the text), then by start; rows that share a doc_id share its coordinates,
+as do equal texts without one, so a repeated row does not repeat itself; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,21 +41,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from somalog.llm.common import cut
+
 WIDTH, MER = 20, 5
 CHUNK_WORDS = 1_500_000
 #: Edges from which a minimizer is hot, one document in so many is counted for that, and the
 #: least edges of a minimizer in a chunk that count.
 HOT, SAMPLE, COUNTED = 200_000, 8, 3
 NONE = np.empty(0, np.uint64)
-#: Buckets for each input partition.
-BUCKETS = 4
+#: About so many edges meet in a bucket.
+BUCKET_EDGES = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _LOW48 = np.uint64((1 << 48) - 1)
 LAST = (1 << 63) - 1
-SPANS = "doc long, uid long, start int, n int, source long, source_start int"
+SPANS = "doc long, uid long, start int, n int, source long, source_uid long, source_start int"
+_PATH = ("doc", "uid", "start", "n", "source", "source_uid", "source_start")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -80,19 +90,20 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return x if step == width else np.minimum(x[: len(x) - (width - step)], x[width - step :])
 
 
-def earlier(key: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def earlier(key: np.ndarray, check: np.ndarray, doc: np.ndarray, uid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the edges that also occur at a smaller (doc, start), and of those first
-    occurrences. Edges are equal if key and check are."""
+    occurrences. Edges are equal if key and check are. Without doc_id, texts are told apart by uid."""
+    uid = np.where(doc == LAST, uid, 0)
     order = np.argsort(key)
     ranked = key[order]
     equal = ranked[1:] == ranked[:-1]
     pick = order[np.concatenate((equal, [False])) | np.concatenate(([False], equal))] if len(key) > 1 else order[:0]
     if not len(pick):
         return pick, pick
-    pick = pick[np.lexsort((start[pick], doc[pick], check[pick], key[pick]))]
+    pick = pick[np.lexsort((start[pick], uid[pick], doc[pick], check[pick], key[pick]))]
     new = np.concatenate(([True], (key[pick[1:]] != key[pick[:-1]]) | (check[pick[1:]] != check[pick[:-1]])))
     lead = pick[np.nonzero(new)[0][np.cumsum(new) - 1]]
-    later = (doc[pick] != doc[lead]) | (start[pick] != start[lead])
+    later = (doc[pick] != doc[lead]) | (uid[pick] != uid[lead]) | (start[pick] != start[lead])
     return pick[later], lead[later]
 
 
@@ -100,11 +111,11 @@ def _paths(at: np.ndarray, lead: np.ndarray, doc: np.ndarray, uid: np.ndarray, s
     """Repeated edges as paths with their source's coordinates."""
     order = np.lexsort((start[at], uid[at], doc[at]))
     at, lead = at[order], lead[order]
-    d, u, s, sd, ss = doc[at], uid[at], start[at], doc[lead], start[lead]
+    d, u, s, sd, su, ss = doc[at], uid[at], start[at], doc[lead], uid[lead], start[lead]
     new = np.ones(len(at), bool)
-    new[1:] = (d[1:] != d[:-1]) | (u[1:] != u[:-1]) | (s[1:] != s[:-1] + 1) | (sd[1:] != sd[:-1]) | (ss[1:] != ss[:-1] + 1)
+    new[1:] = (d[1:] != d[:-1]) | (u[1:] != u[:-1]) | (s[1:] != s[:-1] + 1) | (sd[1:] != sd[:-1]) | (su[1:] != su[:-1]) | (ss[1:] != ss[:-1] + 1)
     head = np.nonzero(new)[0]
-    return pd.DataFrame({"doc": d[head], "uid": u[head], "start": s[head].astype(np.int32), "n": np.diff(np.append(head, len(at))).astype(np.int32), "source": sd[head], "source_start": ss[head].astype(np.int32)})
+    return pd.DataFrame({"doc": d[head], "uid": u[head], "start": s[head].astype(np.int32), "n": np.diff(np.append(head, len(at))).astype(np.int32), "source": sd[head], "source_uid": su[head], "source_start": ss[head].astype(np.int32)})
 
 
 class _Chunk:
@@ -124,7 +135,7 @@ class _Chunk:
     def settle(self) -> pd.DataFrame:
         """Paths that repeat inside the chunk; their edges leave it."""
         doc, uid = self.ids[self.index], self.uids[self.index]
-        at, lead = earlier(self.key, self.least, doc, self.start)
+        at, lead = earlier(self.key, self.least, doc, uid, self.start)
         out = _paths(at, lead, doc, uid, self.start)
         keep = np.ones(len(self.key), bool)
         keep[at] = False
@@ -166,7 +177,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     return key, np.repeat(least, size), np.repeat(ids[index], size), np.repeat(uids[index], size), np.repeat(start.astype(np.int64), size) + inside
 
 
-_EDGES = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())])
+_EDGES = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("source_uid", pa.int64()), ("source_start", pa.int32())])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], width: int, mer: int, chunk_words: int) -> Iterator[_Chunk]:
@@ -194,9 +205,9 @@ def _edges(buckets: int, width: int, mer: int, chunk_words: int, hot: np.ndarray
             paths = chunk.settle()
             if len(paths):  # they ride along, in buckets of their documents
                 bucket = pa.array((_mixed(paths["uid"].to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32))
-                yield pa.record_batch([bucket, pa.nulls(len(paths), pa.binary()), *(pa.array(paths[c]) for c in ("doc", "uid", "start", "n", "source", "source_start"))], schema=_EDGES)
+                yield pa.record_batch([bucket, pa.nulls(len(paths), pa.binary()), *(pa.array(paths[c]) for c in _PATH)], schema=_EDGES)
             for bucket, blob in chunk.packed(buckets, hot):
-                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), *(pa.array([0], _EDGES.field(k).type) for k in range(2, 8))], schema=_EDGES)
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), *(pa.array([0], _EDGES.field(k).type) for k in range(2, 9))], schema=_EDGES)
 
     return run
 
@@ -207,26 +218,27 @@ def _counts(width: int, mer: int, chunk_words: int):
             chunk.settle()
             least, n = np.unique(chunk.least, return_counts=True)
             often = n >= COUNTED
-            yield pa.record_batch([pa.array(least[often].view(np.int64)), pa.array(n[often])], names=["least", "n"])
+            yield pa.record_batch([pa.array([None, *least[often].view(np.int64).tolist()], pa.int64()), pa.array([len(chunk.least), *n[often].tolist()], pa.int64())], names=["least", "n"])
 
     return run
 
 
-def hot_minimizers(keyed: DataFrame, width: int, mer: int, chunk_words: int, hot: int) -> np.ndarray:
-    """Minimizers of about `hot` edges or more, counted on one document in SAMPLE; they are
-    fewer than all edges / hot."""
+def hot_minimizers(keyed: DataFrame, width: int, mer: int, chunk_words: int, hot: int) -> tuple[np.ndarray, int]:
+    """Minimizers of about `hot` edges or more, counted on one document in SAMPLE, and about how
+    many edges there are; the minimizers are fewer than edges / hot."""
     sample = keyed.where(F.pmod("uid", F.lit(SAMPLE)) == 0)
     counted = sample.mapInArrow(_counts(width, mer, chunk_words), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
-    return np.array([r.least for r in counted.where(F.col("n") * SAMPLE >= hot).collect()], np.int64).view(np.uint64)
+    rows = counted.where(F.col("least").isNull() | (F.col("n") * SAMPLE >= hot)).collect()
+    return np.array([r.least for r in rows if r.least is not None], np.int64).view(np.uint64), sum(r.n * SAMPLE for r in rows if r.least is None)
 
 
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     edges = rows["blob"].notna()
-    settled = rows.loc[~edges, ["doc", "uid", "start", "n", "source", "source_start"]]
+    settled = rows.loc[~edges, list(_PATH)]
     if not edges.any():
         return settled
     key, least, doc, uid, start = (np.concatenate(x) for x in zip(*map(_unpacked, rows.loc[edges, "blob"]), strict=True))
-    at, lead = earlier(_mixed(key ^ least), least, doc, start)
+    at, lead = earlier(_mixed(key ^ least), least, doc, uid, start)
     return pd.concat([settled.astype(np.int64), _paths(at, lead, doc, uid, start)])
 
 
@@ -236,15 +248,67 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_paths(docs: DataFrame, width: int = WIDTH, mer: int = MER, chunk_words: int = CHUNK_WORDS, hot: int = HOT) -> DataFrame:
-    """(doc, uid, start, n, source, source_start): n consecutive windows of a document, from
-    word `start` on, that stand earlier in `source` from word `source_start` on."""
+    """(doc, uid, start, n, source, source_uid, source_start): n consecutive windows of a document,
+    from word `start` on, that stand earlier in `source` from word `source_start` on."""
     keyed = _keyed(docs).drop("doc_id")
-    buckets = max(8, BUCKETS * keyed.rdd.getNumPartitions())
-    often = hot_minimizers(keyed, width, mer, chunk_words, hot)
+    often, n = hot_minimizers(keyed, width, mer, chunk_words, hot)
+    buckets = max(8, -(-n // BUCKET_EDGES))
     edges = keyed.mapInArrow(_edges(buckets, width, mer, chunk_words, often), "bucket int, blob binary, " + SPANS)
     return edges.groupBy("bucket").applyInPandas(_meet, SPANS)
 
 
+def compacted(paths: DataFrame) -> DataFrame:
+    """Paths to spans: paths that go on where the one before ends, in both documents, as one."""
+    diagonal = Window.partitionBy("doc", "uid", "source", "source_uid", F.col("start") - F.col("source_start")).orderBy("start")
+    end = F.lag(F.col("start") + F.col("n")).over(diagonal)
+    numbered = paths.withColumn("_new", F.coalesce((end < F.col("start")).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(diagonal))
+    key = ["doc", "uid", "source", "source_uid", (F.col("start") - F.col("source_start")).alias("_diagonal"), "_island"]
+    last = (F.max(F.col("start") + F.col("n")) - F.min("start")).cast("int")
+    return numbered.groupBy(*key).agg(F.min("start").alias("start"), last.alias("n"), F.min("source_start").alias("source_start")).select(*_PATH)
+
+
+def _digests(width: int):
+    schema = pa.schema([("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, uid, text, asked in zip(batch.column("doc").to_pylist(), batch.column("uid").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                words = text.split()
+                rows += [(doc, uid, x["start"], x["n"], hashlib.sha256(b" ".join(words[x["start"] : x["start"] + x["n"] + width - 1])).digest()) for x in asked]
+            if rows:
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _stretches(keyed: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """(doc, uid, start, n, digest) of the stretches that spans are and that they come from."""
+    copies = spans.select("doc", "uid", "start", "n")
+    sources = spans.select(F.col("source").alias("doc"), F.col("source_uid").alias("uid"), F.col("source_start").alias("start"), "n")
+    asked = copies.union(sources).distinct().groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
+    found = keyed.join(asked.hint("shuffle_hash"), ["doc", "uid"]).select("doc_id", "doc", "uid", "text", "asked")
+    return found.mapInArrow(_digests(width), "doc long, uid long, start int, n int, digest binary").distinct()
+
+
+def _compared(keyed: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """spans and equal, whether the words of a span are its source's."""
+    digests = _stretches(keyed, spans, width)
+    source = digests.select(F.col("doc").alias("source"), F.col("uid").alias("source_uid"), F.col("start").alias("source_start"), "n", F.col("digest").alias("_source"))
+    both = spans.join(digests, ["doc", "uid", "start", "n"]).join(source, ["source", "source_uid", "source_start", "n"])
+    return both.select(*_PATH, (F.col("digest") == F.col("_source")).alias("equal"))
+
+
+def verified(keyed: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """The spans (doc, uid, start, n) whose words are their source's, and of others the windows
+    for which this holds."""
+    compared = _compared(keyed, spans, width)
+    at = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    windows = compared.where("NOT equal AND n > 1").select("*", at.alias("_at"))
+    moved = windows.select("doc", "uid", (F.col("start") + F.col("_at")).alias("start"), F.lit(1).alias("n"), "source", "source_uid", (F.col("source_start") + F.col("_at")).alias("source_start"))
+    return compared.where("equal").union(_compared(keyed, moved, width).where("equal")).select("doc", "uid", "start", "n")
+
+
 def _kept(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
@@ -272,6 +336,8 @@ def _kept(width: int):
 def dedup(docs: DataFrame, width: int = WIDTH, mer: int = MER, chunk_words: int = CHUNK_WORDS, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept): a document's words without those that a
     window of `width` words covers that stands earlier in the corpus."""
-    paths = repeated_paths(docs, width, mer, chunk_words, hot).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
-    glued = _keyed(docs).join(paths.hint("shuffle_hash"), ["doc", "uid"], "left").select("doc_id", "text", "paths")
+    spans = cut(compacted(repeated_paths(docs, width, mer, chunk_words, hot)))
+    keyed = _keyed(docs)
+    paths = verified(keyed, spans, width).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
+    glued = keyed.join(paths.hint("shuffle_hash"), ["doc", "uid"], "left").select("doc_id", "text", "paths")
     return glued.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
