@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +43,18 @@ def free(df: DataFrame, name: str) -> str:
     while name in taken:
         name = f"_{name}"
     return name
+
+
+def write(df: DataFrame) -> tuple[DataFrame, str]:
+    """df computed once as a table in the shared folder, and where it is. In loops this is better
+    than cut(): what is read again has the table's size, while a checkpoint keeps the estimate of
+    the plan behind it, which joins multiply round by round."""
+    path = f"{checkpoint_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that is no longer read."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

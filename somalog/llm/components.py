@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somalog.llm.common import cut
+from somalog.llm.common import cut, remove, write
 
 HUB = 50_000
 
@@ -41,9 +41,16 @@ def _small_star(edges: DataFrame, hub: int) -> DataFrame:
 def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(a long, b long) to (node, component): each node that has an edge to another node, and
     the smallest node of its component. Nodes without such an edge are left out."""
-    state, last = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    spark = edges.sparkSession
+    state, path = write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    last = None
     while True:
         mark = state.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if mark == last or mark["n"] == 0:
-            return state.select(F.col("a").alias("node"), F.col("b").alias("component")).union(state.select(F.col("b"), F.col("b"))).distinct()
-        last, state = mark, cut(_small_star(_large_star(state, hub), hub))
+            break
+        last, (ahead, next_path) = mark, write(_small_star(_large_star(state, hub), hub))
+        remove(spark, path)
+        state, path = ahead, next_path
+    found = cut(state.select(F.col("a").alias("node"), F.col("b").alias("component")).union(state.select(F.col("b"), F.col("b"))).distinct())
+    remove(spark, path)
+    return found

@@ -14,11 +14,12 @@ lower-cased) is `similarity` or more. It goes in steps:
   of pairs at the threshold itself some 0.95 do; closer ones nearly always). A node gives a spanning
   forest of its pairs within `SPREAD` standard deviations of the threshold's distance, nearest
   pairs first.
-* The exact similarity of the forests' pairs decides. First each set is compared with its nearest
-  neighbour; of the other pairs only those are compared whose sets are not in one component by
-  then. So a group of n near copies costs some n comparisons, not n squared.
+* The exact similarity of the forests' pairs decides. In a few rounds each set is compared with
+  its nearest neighbour among those that are not in its component yet, and then all pairs between
+  components that are left. A forest has fewer pairs than members, so a group of n near copies
+  costs at most n comparisons a table, not n squared.
 * Sets that a forest joined, but no comparison, go through the index once more with their
-  component: in each node a set is compared with its `NEAREST` nearest of every other component.
+  component: in each node a set is compared with the `NEAREST` nearest that are in other components.
 
 Only pairs that reach the similarity become links. A link may be missed in two ways: no table has
 the pair in a node, or its sets are in components whose other pairs looked nearer in every table
@@ -47,7 +48,7 @@ WORDS = 4
 BITS = 64 * WORDS
 #: A node holds about 1 / 2 ** ROOM of what one bit for each doubling of the sets would leave it.
 LEAST_HEAD, ROOM = 14, 3
-NEAREST = 4
+NEAREST, ROUNDS = 2, 2
 #: So many texts' sets leave a task at once.
 ROWS = 500
 
@@ -94,13 +95,13 @@ def _prints(shingle: int):
 
 
 def _sets(shingle: int):
-    """Rows (text) to rows (set, items)."""
+    """Rows (text) to rows (set, items), items being 32 bits of each hash."""
 
     def run(batches):
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             sets = [shingles(t.as_py(), shingle) for t in batch.column("text")]
             ends = np.cumsum([0, *map(len, sets)])
-            items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).astype(np.uint32).view(np.int32)))
             yield pa.record_batch([pa.array([name(x) for x in sets]), items], names=["set", "items"])
 
     return run
@@ -190,13 +191,13 @@ def _between(words: np.ndarray, home: np.ndarray, most: int, block: int = 128) -
 
 
 def _nearest(pairs: np.ndarray, home: np.ndarray, n: int) -> np.ndarray:
-    """The pairs of different homes in which one is among the other's n nearest of its home."""
+    """The pairs of different homes in which one is among the other's n nearest."""
     pairs = pairs[:, home[pairs[0]] != home[pairs[1]]]
     keep = np.zeros(pairs.shape[1], bool)
     for a, b in ((0, 1), (1, 0)):
-        order = np.lexsort((pairs[b], pairs[2], home[pairs[b]], pairs[a]))
-        x, other = pairs[a][order], home[pairs[b]][order]
-        new = np.concatenate(([True], (x[1:] != x[:-1]) | (other[1:] != other[:-1])))[: len(order)]
+        order = np.lexsort((pairs[b], pairs[2], pairs[a]))
+        x = pairs[a][order]
+        new = np.concatenate(([True], x[1:] != x[:-1]))[: len(order)]
         start = np.nonzero(new)[0]
         place = np.arange(len(order)) - start[np.cumsum(new) - 1] if len(order) else order
         keep[order[place < n]] = True
@@ -236,7 +237,7 @@ def _forests(node: np.ndarray, home: np.ndarray, prints: np.ndarray, orders: np.
 
 
 def _apart(node: np.ndarray, home: np.ndarray, prints: np.ndarray, orders: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions, and their distances: each member's nearest of every other home."""
+    """Pairs of positions, and their distances: each member's nearest of other homes."""
     order, heads, sizes, end, words = _laid_out(node, home, prints, orders)
     home = home[order]
     found = [_nearest(_small_pairs(sizes, end, words, most), home, NEAREST)]
@@ -301,26 +302,38 @@ def with_group(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
     n = distinct.count()
     pairs = cut(_met(distinct.select("set", F.col("set").alias("home"), "fp"), n, similarity, recall, _forests))
     ends = cut(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
-    whole = docs.select(text.alias("text")).mapInArrow(_sets(shingle), "set long, items array<long>")
+    whole = docs.select(text.alias("text")).mapInArrow(_sets(shingle), "set long, items array<int>")
     sets = cut(whole.join(ends, "set", "left_semi").groupBy("set").agg(F.any_value("items").alias("items")))
 
-    way = lambda v: pairs.select(F.col(v).alias("v"), F.struct("d", F.xxhash64("a", "b").alias("tie"), "a", "b").alias("n"))
-    nearest = way("a").union(way("b")).groupBy("v").agg(F.min("n").alias("n")).select("n.a", "n.b").distinct()
-    first = cut(_compared(nearest, sets, similarity))
-    second = cut(_compared(_unjoined(pairs.join(nearest, ["a", "b"], "left_anti"), first), sets, similarity).union(first))
-    home = components(second).select(F.col("node").alias("set"), F.col("component").alias("home"))
+    none = pairs.select("a", "b").limit(0)
+    links = _linked(pairs, none, sets, similarity)
+    home = components(links).select(F.col("node").alias("set"), F.col("component").alias("home"))
     placed = distinct.join(ends, "set", "left_semi").join(home, "set", "left").select("set", F.coalesce("home", "set").alias("home"), "fp")
-    third = _met(placed, n, similarity, recall, _apart).join(pairs, ["a", "b"], "left_anti").select("a", "b")
-    joined = cut(components(_compared(third, sets, similarity).union(second)))
+    more = cut(_met(placed, n, similarity, recall, _apart).join(pairs, ["a", "b"], "left_anti"))
+    joined = components(_linked(more, links, sets, similarity))
     return rows.join(joined, rows["set"] == joined["node"], "left").select("doc_id", "row", F.coalesce("component", "set").alias("group"))
 
 
+def _linked(pairs: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """links and those of the pairs (a, b, d) that are similar enough, as far as they join
+    components: in ROUNDS rounds every set is compared with its nearest one of another component,
+    and then all pairs of different components that are left, at once."""
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        way = lambda v, pairs=pairs: pairs.select(F.col(v).alias("v"), F.struct("d", F.xxhash64("a", "b").alias("tie"), "a", "b").alias("n"))
+        now = pairs if last else way("a").union(way("b")).groupBy("v").agg(F.min("n").alias("n")).select("n.a", "n.b").distinct()
+        links = cut(links.union(_compared(now.select("a", "b"), sets, similarity)))
+        if last:
+            return links
+        pairs = cut(_unjoined(pairs.join(now, ["a", "b"], "left_anti"), links))
+
+
 def _unjoined(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are in no component of the links together."""
-    home = cut(components(links))
+    """The pairs (a, b, d) that are in no component of the links together."""
+    home = components(links)
     for v in ("a", "b"):
         pairs = pairs.join(home.select(F.col("node").alias(v), F.col("component").alias(f"home_{v}")), v, "left")
-    return pairs.where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b")
+    return pairs.where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b", "d")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:

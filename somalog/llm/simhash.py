@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     doc_id that a chain of links of at most `distance` differing bits reaches."""
     prints = cut(with_fingerprint(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    joined = cut(components(_links(distinct.select("fp", F.col("fp").alias("rep")), distance)))
+    joined = components(_links(distinct.select("fp", F.col("fp").alias("rep")), distance))
     least = joined.join(distinct, joined["node"] == distinct["fp"]).groupBy("component").agg(F.min("rep").alias("least"))
     named = joined.join(least, "component").select(F.col("node").alias("fp"), "least")
     groups = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
