@@ -28,8 +28,10 @@ LABEL_REPAIRS = (
     (r"\bWE\s*TIGHT\b", "WEIGHT"),
     (r"\bHETGHT\b", "HEIGHT"),
     (r"\bHETGHI\b", "HEIGHT"),
+    (r"\bH[ET]?\s*T?GHI\b", "HEIGHT"),
     (r"\bGENOE?R?\b", "GENDER"),
     (r"\b(?:AGT|ACE|AGF)\b", "AGE"),
+    (r"\bCLOTH(?:LS|L5|FS|ES)\s+WET?GHT\b", "CLOTHES WEIGHT"),
     (r"\bFAI\b", "FAT"),
     (r"\bFAT\s+[17]\s*%", "FAT %"),
     (r"\b(?:T|1|\[)?BW\s+[17]\s*%", "TBW %"),
@@ -37,12 +39,19 @@ LABEL_REPAIRS = (
     (r"\bLBW\b", "TBW"),
     (r"\bFEM\b", "FFM"),
     (r"\bFT\s*M\b", "FFM"),
+    (r"(?m)^\s*[I|]M(?=\s+[0-9BOSG])", "FFM"),
     (r"\bMUGCLE\b", "MUSCLE"),
     (r"\bMUSOLE\b", "MUSCLE"),
     (r"PHYS\s*TQUE", "PHYSIQUE"),
+    (r"PHYSITQUE", "PHYSIQUE"),
     (r"\bOBE\s+SE\b", "OBESE"),
     (r"\bBI0ELECTRICAL\b", "BIOELECTRICAL"),
     (r"\bBTOELECTRICAL\b", "BIOELECTRICAL"),
+    (r"\bK?B\s*[LT]?OELEC\s*TRI\s*CA[IL]\b", "BIOELECTRICAL"),
+    (r"\bK?B[T]?OELECTRICAL\b", "BIOELECTRICAL"),
+    (r"\bK?B\s*T?OELECTRICAL\b", "BIOELECTRICAL"),
+    (r"\bBIOELECTRICAL\s+OATA\b", "BIOELECTRICAL DATA"),
+    (r"(VISCERAL\s+FAT\s+RATING\s*)[&B](?=\W|$)", "$18"),
     (r"\bBM\s*[I1|]\b", "BMI"),
     (r"\bDES\s*TRABLE\b", "DESIRABLE"),
     (r"\bPNPUT\b", "INPUT"),

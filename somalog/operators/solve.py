@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,25 +69,20 @@ def range_cost(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
 
 def best_assignment(cost: np.ndarray) -> list[int] | None:
     """For each row the column of the cheapest one-to-one choice (of equal ones, the smallest
-    columns first). Subsets of used columns are kept with their cheapest prefix."""
+    columns first). Columns are dealt out one by one, and the cheapest choice for each set of
+    rows that have one is kept: 2 ** rows sets, however many columns there are."""
     rows, columns = cost.shape
     if columns < rows or rows > 8:
         return None
-    if columns > 16:  # more columns than subsets can be kept of: only the `rows` cheapest of a row matter
-        keep = sorted({int(c) for r in cost for c in np.argsort(r, kind="stable")[:rows]})
-        found = best_assignment(cost[:, keep]) if len(keep) < columns else None
-        return [keep[c] for c in found] if found is not None else list(min(permutations(range(columns), rows), key=lambda p: sum(cost[i, c] for i, c in enumerate(p))))
-    layer: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-    for r in range(rows):
-        ahead: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for used, (total, path) in layer.items():
-            for c in range(columns):
-                if not used >> c & 1:
-                    option = (total + float(cost[r, c]), (*path, c))
-                    if used | 1 << c not in ahead or option < ahead[used | 1 << c]:
-                        ahead[used | 1 << c] = option
-        layer = ahead
-    return list(min(layer.values())[1])
+    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, (columns,) * rows)}
+    for c in range(columns):
+        for served, (total, path) in sorted(best.items(), reverse=True):  # larger sets first: a column serves one row
+            for r in range(rows):
+                if not served >> r & 1:
+                    option = (total + float(cost[r, c]), (*path[:r], c, *path[r + 1 :]))
+                    if served | 1 << r not in best or option < best[served | 1 << r]:
+                        best[served | 1 << r] = option
+    return list(best[(1 << rows) - 1][1])
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from somalog.functions import scalars as fn
-from somalog.operators import asof, consensus, layout, merge, reports, sessions, solve, view
+from somalog.operators import asof, consensus, indicators, layout, merge, reports, sessions, solve, view
 from somalog.sources import health_export, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,9 +175,16 @@ def changed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def reviewed_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored value that was reviewed is kept; else the new one counts."""
-    joined = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
-    reviewed = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    return joined.select("doc_id", F.when(reviewed, F.col("quality")).otherwise((F.col("n_chars") % 2).cast("int")).alias("reading"), reviewed.alias("reviewed"))
+
+    def shown(value: Column, source: Column) -> Column:
+        text = F.concat(F.lit("0: "), (value * 5).cast("string"), F.lit("%"))
+        parts = (F.lit("0").alias("level"), (value * 5).cast("int").alias("section_percent"), text.alias("reading"), F.lit(None).cast("double").alias("position"), F.lit(None).cast("double").alias("confidence"), source.alias("source"), F.lit(None).cast("string").alias("locator"))
+        return F.create_map(F.lit("bmi"), F.struct(*parts)).alias("indicators")
+
+    logs = _t(spark, sf_dir, "documents").select("doc_id", shown(F.col("n_chars") % 2, F.lit(indicators.GRAPH)))
+    stored = _t(spark, sf_dir, "labels").select("doc_id", shown(F.col("quality"), F.when(F.col("toxic") == 1, indicators.MANUAL).otherwise(indicators.GRAPH)))
+    kept = indicators.carried_over(logs, stored, "doc_id").select("doc_id", F.col("indicators")["bmi"].alias("i"))
+    return kept.select("doc_id", (F.col("i.section_percent") / 5).cast("int").alias("reading"), (F.col("i.source") == indicators.MANUAL).alias("reviewed"))
 
 
 _PERIOD = "CASE WHEN o_orderkey % 97 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m') END"
@@ -197,7 +204,7 @@ def period_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT period, row_number() OVER (ORDER BY CASE WHEN period = 'unknown' THEN NULL ELSE period END DESC NULLS LAST) AS file_rank FROM (SELECT DISTINCT {_PERIOD} AS period FROM orders)""")
 def period_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month files, newest first and the unknown month last."""
-    order = W.orderBy(F.when(F.col("period") != "unknown", F.col("period")).desc_nulls_last())
+    order = W.orderBy(store.file_rank(F.col("period")))  # a row a month
     return _periods(spark, sf_dir).select("period").distinct().withColumn("file_rank", F.row_number().over(order).cast("long"))
 
 
@@ -343,7 +350,11 @@ def derive_and_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A missing value is derived from its identity; one that is there is checked against it."""
     expected = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     printed = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_extendedprice"))
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(printed, fn.round1(expected)).alias("price"), printed.isNull().alias("derived"), F.coalesce(F.abs(printed - expected) > 0.25, F.lit(False)).alias("warned"))
+    rules = reports._Rules(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", printed.alias("price"), expected.alias("expected")))
+    rules.derive("price", fn.round1(F.col("expected")), "from price and discount")
+    rules.warn(F.abs(F.col("price") - F.col("expected")) > 0.25, "does not match")
+    noted = F.array_contains("derived_fields", "metrics.price")
+    return rules.rows.select("l_orderkey", "l_linenumber", "price", noted.alias("derived"), F.array_contains("warnings", "does not match").alias("warned"))
 
 
 @query("""SELECT p_partkey, (CAST(p_partkey % 2 = 0 AS INTEGER) + CAST(p_partkey % 3 = 0 AS INTEGER) + CAST(p_partkey % 5 = 0 AS INTEGER) + 1) / CAST(4 AS DOUBLE) AS completeness FROM part""")
@@ -499,8 +510,12 @@ def text_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, for data that a query derives and reads."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-derived-")
+    """A new folder in the shared checkpoint folder, for data that a query derives and reads; only
+    a local session may do without one."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-derived-")
     return f"{root}/derived-{uuid.uuid4().hex}"
 
 
@@ -537,10 +552,12 @@ _LOG = "o_custkey % 500"
 
 
 @query(f"""WITH r AS (SELECT o_orderkey, {_LOG} AS id, strftime(o_orderdate, '%Y-%m') AS period, o_orderkey % 4 = 0 AS second FROM orders),
-k AS (SELECT *, row_number() OVER (PARTITION BY period, id ORDER BY second DESC, o_orderkey DESC) AS back FROM r)
+b AS (SELECT *, row_number() OVER (PARTITION BY second, id ORDER BY o_orderkey DESC) AS last FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY period, id ORDER BY second DESC) AS back FROM b WHERE last = 1)
 SELECT period, id, o_orderkey AS seq FROM k WHERE back = 1""")
 def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders saved as logs in two batches by month and id, and read again: the last one stays."""
+    """orders saved as logs in two batches, and read again: of an id the last one of a batch stays,
+    whatever its month, and of a month and id the last batch's."""
     root, key = _scratch(spark), F.concat(F.lit("log:"), F.expr(_LOG).cast("string"))
     raw = F.to_json(F.struct(key.alias("id"), F.lit("order").alias("kind"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("start_at"), F.col("o_orderkey").alias("seq")))
     logs = _t(spark, sf_dir, "orders").select(raw.alias("raw"), F.col("o_orderkey").alias("place"))

@@ -8,9 +8,10 @@ nothing changed.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from somalog.functions import scalars as fn
@@ -58,12 +59,9 @@ def file_rank(period: Column) -> Column:
 
 def all_logs(spark: SparkSession, root: str) -> DataFrame:
     """All records after the merge in reading order: newest month first, older months as later
-    arrivals, so an id in two months is the older month's. (Only the newest month counts as
-    stored; records inside it are not compared.)"""
+    arrivals, so an id in two months is the older month's, and twice in a month the later one."""
     rows = parsed(read(spark, root))
-    rank = file_rank(F.col("period"))
-    newest_rank = read(spark, root).agg(F.min(rank)).first()[0] or ""  # of a partition column
-    ranked = rows.withColumn("_rank", rank).withColumn("_incoming", F.col("_rank") != newest_rank).withColumn("_seq", F.struct("_rank", "place")).withColumn("_upload", merge.upload_key(F.col("kind"), F.col("source.type"), F.col("source.filename")))
+    ranked = rows.withColumn("_rank", file_rank(F.col("period"))).withColumn("_incoming", F.lit(True)).withColumn("_seq", F.struct("_rank", "place")).withColumn("_upload", merge.upload_key(F.col("kind"), F.col("source.type"), F.col("source.filename")))
     kept = merge.merged(ranked, ["id", "_upload"], "_seq", "_incoming").drop("_rank", "_incoming", "_seq", "_upload")
     return kept.withColumn("event_time", fn.event_time(F.col("measured_at_local"), F.col("start_at")))
 
@@ -74,16 +72,26 @@ def newest(spark: SparkSession, root: str) -> DataFrame:
     return parsed(read(spark, root).join(months, "period", "left_semi"))
 
 
-def _replace(months: DataFrame, root: str, spark: SparkSession) -> None:
-    staged = f"{root}/staged"
-    months.write.mode("overwrite").parquet(staged)  # a month is read and rewritten in one job
-    spark.read.schema(STORED).parquet(staged).repartition("period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(_files(root))
+def _staged(rows: DataFrame, root: str) -> tuple[DataFrame, str]:
+    """rows as a table of their own beside the months, which they are read from and replace."""
+    staged = f"{root}/staged-{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    return rows.sparkSession.read.schema(rows.schema).parquet(staged), staged
+
+
+def _replace(months: DataFrame, root: str) -> None:
+    """Rewrite the months of staged rows. Files follow ranges of month and order, so a large month
+    has several tasks."""
+    dealt = months.repartitionByRange("period", "place")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(_files(root))
 
 
 def save(spark: SparkSession, root: str, incoming: DataFrame) -> int:
-    """Merge records (raw, place) into the months they belong to; how many are new or changed.
-    Months are rewritten only if they hold such a record."""
+    """Merge records (raw, place) among themselves and then into the months they belong to; how many
+    are new or changed. Months are rewritten only if they hold such a record."""
     coming = parsed(incoming.select("raw", "place").withColumn("period", F.lit("")))
+    named = coming.withColumn("_incoming", F.lit(True)).withColumn("_upload", merge.upload_key(F.col("kind"), F.col("source.type"), F.col("source.filename")))
+    coming = merge.merged(named, ["id", "_upload"], "place", "_incoming").drop("_incoming", "_upload")
     coming = coming.withColumn("period", fn.period(fn.event_time(F.col("measured_at_local"), F.col("start_at"))))
     stored = parsed(read(spark, root)).join(coming.select("period").distinct(), "period", "left_semi")
     both = stored.withColumn("_incoming", F.lit(False)).unionByName(coming.withColumn("_incoming", F.lit(True)))
@@ -93,12 +101,15 @@ def save(spark: SparkSession, root: str, incoming: DataFrame) -> int:
     after = merge.merged(keyed, ["_id", "_upload"], "_seq", "_incoming")
     before = stored.groupBy("period", "id").agg(F.min_by("raw", "place").alias("_stored"))
     marked = after.join(before, ["period", "id"], "left").withColumn("_new", F.col("_incoming") & (F.col("_stored").isNull() | ~fn.canonical_json(F.col("raw")).eqNullSafe(fn.canonical_json(F.col("_stored")))))
-    months = marked.groupBy("period").agg(F.count_if("_new").alias("n")).where("n > 0")
+    order = ["period", fn.event_time(F.col("measured_at_local"), F.col("start_at")), "id", "_seq"]
+    dealt = marked.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = dealt.select("raw", F.monotonically_increasing_id().alias("place"), "period", "_new")  # rises with the ranges
+    rows, staged = _staged(placed, root)
+    months = rows.groupBy("period").agg(F.count_if("_new").alias("n")).where("n > 0")
     changed = sum(r.n for r in months.collect())  # a row a month
     if changed:
-        order = fn.event_time(F.col("measured_at_local"), F.col("start_at"))
-        placed = marked.join(months, "period", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("period").orderBy(order, "id", "_seq")).cast("long"))
-        _replace(placed.select("raw", "place", "period"), root, spark)
+        _replace(rows.join(months, "period", "left_semi").select("raw", "place", "period"), root)
+    _remove(spark, staged)
     return changed
 
 
@@ -120,7 +131,9 @@ def delete(spark: SparkSession, root: str, id_: str) -> bool:
     left = rows.where(F.col("period").isin(hit) & (F.col("id") != id_)).select("raw", "place", "period")
     emptied = set(hit) - {r.period for r in left.select("period").distinct().collect()}
     if set(hit) - emptied:
-        _replace(left, root, spark)
+        rows, staged = _staged(left, root)
+        _replace(rows, root)
+        _remove(spark, staged)
     for period in emptied:
         _remove(spark, f"{_files(root)}/period={period}")
     return True

@@ -173,3 +173,22 @@ def test_layout(spark):
 def test_review_summary(spark):
     logs = spark.createDataFrame([("a", 1.0, 2), ("b", None, 0), ("c", 3.0, 4)], "start string, average double, n long")
     assert tuple(sessions.review_summary(logs, "start", "average", "n").first()) == (3, "a", "c", 2, 2, 6)
+
+
+def test_assignment_of_many_ranges_to_eight_values():
+    import itertools
+
+    import numpy as np
+
+    from somalog.operators import solve
+
+    rng = np.random.default_rng(3)
+    cost = rng.random((8, 60))
+    cost[:, 20:] += 1
+    found = solve.best_assignment(cost)
+    assert len(set(found)) == 8 and sum(cost[range(8), found]) <= min(sum(cost[range(8), rng.permutation(20)[:8]]) for _ in range(3000))
+    for _ in range(20):
+        cost = rng.random((3, 19))
+        best = min(itertools.permutations(range(19), 3), key=lambda p: (sum(cost[range(3), p]), p))
+        assert solve.best_assignment(cost) == list(best)
+    assert solve.best_assignment(np.zeros((2, 3))) == [0, 1]

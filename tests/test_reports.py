@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from somalog.operators import reports
 
 RECEIPT = """BODY COMPOSITION ANALYZER
@@ -110,3 +112,9 @@ def test_records_and_review_fields(spark):
     assert got["tanita:pending"].metrics == {"weight_kg": 80.0} and got["tanita:2030-01-15T18:45:00"].metrics["bmi"] == 24.7
     shown = docs(spark, ("a", REPORT, "")).select(reports.review_fields(reports.F.col("text"), reports.REPORT_SIGNS, reports.F.array(reports.F.lit("metrics.weight_kg")))).first()[0]
     assert shown[0] == "measured_at_local" and "analysis.score" in shown and "metrics.weight_kg" not in shown
+
+
+def test_label_repairs(spark):
+    said = {"HTGHI 170": "HEIGHT 170", "CLOTHL5 WEGHT 1": "CLOTHES WEIGHT 1", "a\n |M 55.5": "A\nFFM 55.5", "PHYSITQUE": "PHYSIQUE", "KB LOELEC TRI CAI OATA": "BIOELECTRICAL DATA", "VISCERAL FAI RATING &": "VISCERAL FAT RATING 8", "visceral fat rating B\n": "VISCERAL FAT RATING 8\n", "KBTOELECTRICAL": "BIOELECTRICAL"}
+    got = {r.t: r.x for r in spark.createDataFrame([(t,) for t in said], "t string").select("t", reports.labelled(F.col("t")).alias("x")).collect()}
+    assert got == said

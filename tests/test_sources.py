@@ -139,3 +139,16 @@ def test_array_files(spark, tmp_path):
     assert [(r.period, r.place, json.loads(r.raw)["id"]) for r in got] == [("2031-04", 0, "a"), ("2031-04", 1, "b")]
     with pytest.raises(Exception, match="needs id and kind"):
         store.parsed(batch(spark, {"id": "", "kind": "x"}).selectExpr("raw", "place", "'' AS period")).collect()
+
+
+def test_batches_and_months_are_merged_before_they_are_stored(spark, tmp_path):
+    root = str(tmp_path)
+    record = lambda id_, at, v: f'{{"id":"{id_}","kind":"k","start_at":"{at}T00:00:00","v":{v}}}'
+    batch = [(record("a", "2024-01-05", 1), 0), (record("a", "2024-02-05", 2), 1), (record("b", "2024-01-06", 3), 2)]
+    assert store.save(spark, root, spark.createDataFrame(batch, "raw string, place long")) == 2
+    assert sorted((r.period, r.raw) for r in store.read(spark, root).collect()) == [("2024-01", batch[2][0]), ("2024-02", batch[1][0])]
+    assert store.save(spark, root, spark.createDataFrame(batch[1:], "raw string, place long")) == 0
+    month = spark.createDataFrame([(record("c", "2024-03-01", 1), 0, "2024-03"), (record("c", "2024-03-02", 2), 1, "2024-03")], "raw string, place long, period string")
+    month.write.mode("append").partitionBy("period").parquet(f"{root}/events")
+    assert [r.raw for r in store.all_logs(spark, root).where("id = 'c'").collect()] == [month.collect()[1].raw]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("staged")]
