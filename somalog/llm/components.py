@@ -18,7 +18,10 @@ HUB = 50_000
 
 
 def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """edges (a, b) and least, which the table least (a, least, n) has for a."""
+    """edges (a, b) and least, which the table least (a, least, n) has for a; hub is 0 if there
+    are too few edges for a hub."""
+    if not hub:
+        return edges.join(least.select("a", "least"), "a")
     hubs = F.broadcast(least.where(F.col("n") >= hub).select("a", F.col("least").alias("_hub")))
     marked = edges.join(hubs, "a", "left")
     rest = marked.where("_hub IS NULL").drop("_hub").join(least.where(F.col("n") < hub).select("a", "least"), "a")
@@ -48,7 +51,8 @@ def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
         mark = state.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if mark == last or mark["n"] == 0:
             break
-        last, (ahead, next_path) = mark, write(_small_star(_large_star(state, hub), hub))
+        some = hub if 2 * mark["n"] >= hub else 0
+        last, (ahead, next_path) = mark, write(_small_star(_large_star(state, some), some))
         remove(spark, path)
         state, path = ahead, next_path
     found = cut(state.select(F.col("a").alias("node"), F.col("b").alias("component")).union(state.select(F.col("b"), F.col("b"))).distinct())

@@ -14,9 +14,8 @@ lower-cased) is `similarity` or more. It goes in steps:
   of pairs at the threshold itself some 0.95 do; closer ones nearly always). A node gives a spanning
   forest of its pairs within `SPREAD` standard deviations of the threshold's distance, nearest
   pairs first.
-* The exact similarity of the forests' pairs decides. In a few rounds each set is compared with
-  its nearest neighbour among those that are not in its component yet, and then all pairs between
-  components that are left. A forest has fewer pairs than members, so a group of n near copies
+* The exact similarity of the forests' pairs decides. First each set is compared with its
+  nearest neighbour, and then all pairs that are left between components. A forest has fewer pairs than members, so a group of n near copies
   costs at most n comparisons a table, not n squared.
 * Sets that a forest joined, but no comparison, go through the index once more with their
   component: in each node a set is compared with the `NEAREST` nearest that are in other components.
@@ -48,7 +47,7 @@ WORDS = 4
 BITS = 64 * WORDS
 #: A node holds about 1 / 2 ** ROOM of what one bit for each doubling of the sets would leave it.
 LEAST_HEAD, ROOM = 14, 3
-NEAREST, ROUNDS = 2, 2
+NEAREST = 2
 #: So many texts' sets leave a task at once.
 ROWS = 500
 
@@ -305,35 +304,23 @@ def with_group(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
     whole = docs.select(text.alias("text")).mapInArrow(_sets(shingle), "set long, items array<int>")
     sets = cut(whole.join(ends, "set", "left_semi").groupBy("set").agg(F.any_value("items").alias("items")))
 
-    none = pairs.select("a", "b").limit(0)
-    links = _linked(pairs, none, sets, similarity)
+    way = lambda v: pairs.select(F.col(v).alias("v"), F.struct("d", F.xxhash64("a", "b").alias("tie"), "a", "b").alias("n"))
+    nearest = way("a").union(way("b")).groupBy("v").agg(F.min("n").alias("n")).select("n.a", "n.b").distinct()
+    links = cut(_compared(nearest, sets, similarity))
+    links = cut(_compared(_unjoined(pairs.join(nearest, ["a", "b"], "left_anti"), links), sets, similarity).union(links))
     home = components(links).select(F.col("node").alias("set"), F.col("component").alias("home"))
     placed = distinct.join(ends, "set", "left_semi").join(home, "set", "left").select("set", F.coalesce("home", "set").alias("home"), "fp")
-    more = cut(_met(placed, n, similarity, recall, _apart).join(pairs, ["a", "b"], "left_anti"))
-    joined = components(_linked(more, links, sets, similarity))
+    more = _met(placed, n, similarity, recall, _apart).join(pairs, ["a", "b"], "left_anti").select("a", "b")
+    joined = components(_compared(more, sets, similarity).union(links))
     return rows.join(joined, rows["set"] == joined["node"], "left").select("doc_id", "row", F.coalesce("component", "set").alias("group"))
 
 
-def _linked(pairs: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """links and those of the pairs (a, b, d) that are similar enough, as far as they join
-    components: in ROUNDS rounds every set is compared with its nearest one of another component,
-    and then all pairs of different components that are left, at once."""
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        way = lambda v, pairs=pairs: pairs.select(F.col(v).alias("v"), F.struct("d", F.xxhash64("a", "b").alias("tie"), "a", "b").alias("n"))
-        now = pairs if last else way("a").union(way("b")).groupBy("v").agg(F.min("n").alias("n")).select("n.a", "n.b").distinct()
-        links = cut(links.union(_compared(now.select("a", "b"), sets, similarity)))
-        if last:
-            return links
-        pairs = cut(_unjoined(pairs.join(now, ["a", "b"], "left_anti"), links))
-
-
 def _unjoined(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs (a, b, d) that are in no component of the links together."""
+    """The pairs (a, b) that are in no component of the links together."""
     home = components(links)
     for v in ("a", "b"):
         pairs = pairs.join(home.select(F.col("node").alias(v), F.col("component").alias(f"home_{v}")), v, "left")
-    return pairs.where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b", "d")
+    return pairs.where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
