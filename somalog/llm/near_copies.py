@@ -17,12 +17,15 @@ lower-cased) is `similarity` or more. It goes in steps:
 * The exact similarity of the forests' pairs decides. First each set is compared with its
   nearest neighbour, and then all pairs that are left between components. A forest has fewer pairs than members, so a group of n near copies
   costs at most n comparisons a table, not n squared.
-* Sets that a forest joined, but no comparison, go through the index once more with their
-  component: in each node a set is compared with the `NEAREST` nearest that are in other components.
-
-Only pairs that reach the similarity become links. A link may be missed in two ways: no table has
-the pair in a node, or its sets are in components whose other pairs looked nearer in every table
-and were not similar enough.
+* Sets that a forest holds go through the index once more, with their component, size, and the
+  numbers of their hashes in each of `BINS` bins. Bins that differ by d in all mean d differing
+  shingles at least, which rules most pairs below the similarity out exactly. Every near pair of
+  different components that is not ruled out is compared, so no set has a cap on its partners.
+
+Only pairs that reach the similarity become links. A link is missed only where no table has the
+pair in a node, or its fingerprints differ beyond `SPREAD`. Pairs of different components that
+neither fingerprints nor bins can tell from near copies are all compared; the bins are sharp up to
+some hundreds of shingles a text, beyond which pairs just under the similarity stay in.
 """
 
 from __future__ import annotations
@@ -47,7 +50,7 @@ WORDS = 4
 BITS = 64 * WORDS
 #: A node holds about 1 / 2 ** ROOM of what one bit for each doubling of the sets would leave it.
 LEAST_HEAD, ROOM = 14, 3
-NEAREST = 2
+BINS = 64
 #: So many texts' sets leave a task at once.
 ROWS = 500
 
@@ -81,6 +84,12 @@ def wide_fingerprint(of: np.ndarray) -> bytes:
     return np.packbits(counts * 2 > n).tobytes()
 
 
+def bins(of: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each bin (255 stands for more)."""
+    place = (of * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 _PRINT = T.StructType([T.StructField("set", T.LongType()), T.StructField("fp", T.BinaryType())])
 
 
@@ -94,14 +103,14 @@ def _prints(shingle: int):
 
 
 def _sets(shingle: int):
-    """Rows (text) to rows (set, items), items being 32 bits of each hash."""
+    """Rows (text) to rows (set, bins, items), items being 32 bits of each hash."""
 
     def run(batches):
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             sets = [shingles(t.as_py(), shingle) for t in batch.column("text")]
             ends = np.cumsum([0, *map(len, sets)])
             items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).astype(np.uint32).view(np.int32)))
-            yield pa.record_batch([pa.array([name(x) for x in sets]), items], names=["set", "items"])
+            yield pa.record_batch([pa.array([name(x) for x in sets]), pa.array([bins(x) for x in sets]), items], names=["set", "bins", "items"])
 
     return run
 
@@ -136,12 +145,12 @@ def _ranks(prints: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """A binary column of fingerprints as rows of bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
+    """A binary column of values of one length as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def _posted(head: int, orders: np.ndarray):
-    """Rows (set, home, fp) to one row a table, with its node."""
+    """Rows with a fingerprint fp to one row a table, with its node."""
 
     def run(batches):
         for batch in batches:
@@ -149,7 +158,7 @@ def _posted(head: int, orders: np.ndarray):
                 prints = _matrix(batch.column("fp"))
                 for k, order in enumerate(orders):
                     node = (_ranks(prints, order) >> np.uint64(64 - head)).astype(np.int64) | (k << 32)
-                    yield pa.record_batch([pa.array(node), *(batch.column(c) for c in ("set", "home", "fp"))], names=["node", "set", "home", "fp"])
+                    yield pa.record_batch([pa.array(node), *batch.columns], names=["node", *batch.schema.names])
 
     return run
 
@@ -171,13 +180,13 @@ def _small_pairs(sizes: np.ndarray, end: np.ndarray, words: np.ndarray, most: in
     return np.concatenate(found, axis=1)
 
 
-def _between(words: np.ndarray, home: np.ndarray, most: int, block: int = 128) -> np.ndarray:
-    """Near pairs, and their distances, of different homes; rows come sorted by home, so that
-    blocks of one home are passed over."""
+def _between(words: np.ndarray, home: np.ndarray, most: int, fits, block: int = 128) -> np.ndarray:
+    """Near pairs of different homes that may fit; rows come sorted by home, so that blocks of
+    one home are passed over."""
     cuts = np.arange(0, len(words), block)
     ones, none = np.bitwise_and.reduceat(words, cuts, axis=0), np.bitwise_or.reduceat(words, cuts, axis=0)
     first, last, mask = home[cuts], home[np.minimum(cuts + block, len(home)) - 1], ones | ~none
-    found = [np.zeros((3, 0), np.int64)]
+    found = [np.zeros((2, 0), np.int64)]
     for x in range(len(cuts)):
         ys = np.arange(x, len(cuts))
         apart = np.bitwise_count((ones[x] ^ ones[ys]) & mask[x] & mask[ys]).sum(axis=1, dtype=np.int64) <= most
@@ -185,22 +194,22 @@ def _between(words: np.ndarray, home: np.ndarray, most: int, block: int = 128) -
             a, b = slice(x * block, (x + 1) * block), slice(y * block, (y + 1) * block)
             d = np.bitwise_count(words[a, None] ^ words[None, b]).sum(axis=2, dtype=np.int64)
             i, j = np.nonzero((d <= most) & (home[a, None] < home[None, b]))
-            found.append(np.stack([i + x * block, j + y * block, d[i, j]]))
+            i, j = i + x * block, j + y * block
+            may = fits(i, j)
+            found.append(np.stack([i[may], j[may]]))
     return np.concatenate(found, axis=1)
 
 
-def _nearest(pairs: np.ndarray, home: np.ndarray, n: int) -> np.ndarray:
-    """The pairs of different homes in which one is among the other's n nearest."""
-    pairs = pairs[:, home[pairs[0]] != home[pairs[1]]]
-    keep = np.zeros(pairs.shape[1], bool)
-    for a, b in ((0, 1), (1, 0)):
-        order = np.lexsort((pairs[b], pairs[2], pairs[a]))
-        x = pairs[a][order]
-        new = np.concatenate(([True], x[1:] != x[:-1]))[: len(order)]
-        start = np.nonzero(new)[0]
-        place = np.arange(len(order)) - start[np.cumsum(new) - 1] if len(order) else order
-        keep[order[place < n]] = True
-    return pairs[:, keep]
+def _may_fit(size: np.ndarray, counts: np.ndarray, similarity: float):
+    """Whether sets at positions a and b may have the similarity s: then no more than
+    (1 - s) / (1 + s) of both sizes together differ."""
+
+    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        apart = np.abs(counts[a].astype(np.int16) - counts[b]).sum(axis=1, dtype=np.int64)
+        apart = np.maximum(apart, np.abs(size[a] - size[b]))
+        return apart * (1 + similarity) <= (size[a] + size[b]) * (1 - similarity) + 1e-6
+
+    return fits
 
 
 def _laid_out(node: np.ndarray, home: np.ndarray, prints: np.ndarray, orders: np.ndarray):
@@ -217,7 +226,7 @@ def _laid_out(node: np.ndarray, home: np.ndarray, prints: np.ndarray, orders: np
     return order, heads, sizes, np.repeat(heads + sizes, sizes), prints[order].view(np.uint64)
 
 
-def _forests(node: np.ndarray, home: np.ndarray, prints: np.ndarray, orders: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _forests(orders: np.ndarray, most: int, node: np.ndarray, home: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions, and their distances: a forest of the near pairs inside each node."""
     order, heads, sizes, end, words = _laid_out(node, home, prints, orders)
     forest = _Forest(len(node))
@@ -235,24 +244,30 @@ def _forests(node: np.ndarray, home: np.ndarray, prints: np.ndarray, orders: np.
     return order[pairs], _distance(words, pairs[:, 0], pairs[:, 1])
 
 
-def _apart(node: np.ndarray, home: np.ndarray, prints: np.ndarray, orders: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions, and their distances: each member's nearest of other homes."""
-    order, heads, sizes, end, words = _laid_out(node, home, prints, orders)
-    home = home[order]
-    found = [_nearest(_small_pairs(sizes, end, words, most), home, NEAREST)]
-    for k in np.nonzero(sizes > SMALL)[0].tolist():
-        at, to = int(heads[k]), int(heads[k] + sizes[k])
-        found.append(_nearest(_between(words[at:to], home[at:to], most), home[at:to], NEAREST) + np.array([[at], [at], [0]]))
-    pairs = np.concatenate(found, axis=1)
-    return order[pairs[:2].T], pairs[2]
+def _apart(similarity: float):
+    def of(orders: np.ndarray, most: int, node: np.ndarray, home: np.ndarray, prints: np.ndarray, size: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of positions, and their distances: near ones of different homes that may fit."""
+        order, heads, sizes, end, words = _laid_out(node, home, prints, orders)
+        home, fits = home[order], _may_fit(size[order].astype(np.int64), counts[order], similarity)
+        small = _small_pairs(sizes, end, words, most)[:2]
+        small = small[:, home[small[0]] != home[small[1]]]
+        found = [small[:, fits(small[0], small[1])]]
+        for k in np.nonzero(sizes > SMALL)[0].tolist():
+            at, to = int(heads[k]), int(heads[k] + sizes[k])
+            inside = lambda i, j, at=at: fits(i + at, j + at)
+            found.append(_between(words[at:to], home[at:to], most, inside) + at)
+        pairs = np.concatenate(found, axis=1).T
+        return order[pairs], _distance(words, pairs[:, 0], pairs[:, 1])
+
+    return of
 
 
 def _searched(orders: np.ndarray, most: int, of):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int32())])
 
     def done(parts):
-        node, ids, home, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
-        pairs, d = of(node, home, prints, orders, most)
+        node, ids, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+        pairs, d = of(orders, most, node, *columns)
         if len(pairs):
             a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], schema=schema)
@@ -260,10 +275,10 @@ def _searched(orders: np.ndarray, most: int, of):
     def run(batches):
         held = []
         for batch in batches:  # sorted by node, which may reach into the next batch
-            node, ids, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "set", "home"))
-            if not len(node):
+            if not batch.num_rows:
                 continue
-            now = (node, ids, home, _matrix(batch.column("fp")))
+            now = tuple(_matrix(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            node = now[0]
             last = int(np.searchsorted(node, node[-1]))
             if last or (held and held[-1][0][-1] != node[0]):
                 yield from done([*held, *([tuple(x[:last] for x in now)] if last else [])])
@@ -276,10 +291,12 @@ def _searched(orders: np.ndarray, most: int, of):
 
 
 def _met(prints: DataFrame, n: int, similarity: float, recall: float, of) -> DataFrame:
-    """(set, home, fp), of n distinct sets, to pairs (a, b, d): a < b, and d bits differ."""
+    """(set, home, fp, and what else `of` takes), of n distinct sets, to pairs (a, b, d): a < b,
+    and d bits differ."""
     head, n_tables = tables(n, similarity, recall)
     orders, most = _bit_orders(n_tables), reach(similarity)
-    index = prints.mapInArrow(_posted(head, orders), "node long, set long, home long, fp binary").repartition("node").sortWithinPartitions("node")
+    schema = T.StructType([T.StructField("node", T.LongType()), *prints.schema.fields])
+    index = prints.mapInArrow(_posted(head, orders), schema).repartition("node").sortWithinPartitions("node")
     return index.mapInArrow(_searched(orders, most, of), "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
@@ -301,23 +318,29 @@ def with_group(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
     n = distinct.count()
     pairs = cut(_met(distinct.select("set", F.col("set").alias("home"), "fp"), n, similarity, recall, _forests))
     ends = cut(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
-    whole = docs.select(text.alias("text")).mapInArrow(_sets(shingle), "set long, items array<int>")
-    sets = cut(whole.join(ends, "set", "left_semi").groupBy("set").agg(F.any_value("items").alias("items")))
+    whole = docs.select(text.alias("text")).mapInArrow(_sets(shingle), "set long, bins binary, items array<int>")
+    sets = cut(whole.join(ends, "set", "left_semi").groupBy("set").agg(F.any_value("bins").alias("bins"), F.any_value("items").alias("items")))
 
     way = lambda v: pairs.select(F.col(v).alias("v"), F.struct("d", F.xxhash64("a", "b").alias("tie"), "a", "b").alias("n"))
     nearest = way("a").union(way("b")).groupBy("v").agg(F.min("n").alias("n")).select("n.a", "n.b").distinct()
-    links = cut(_compared(nearest, sets, similarity))
-    links = cut(_compared(_unjoined(pairs.join(nearest, ["a", "b"], "left_anti"), links), sets, similarity).union(links))
-    home = components(links).select(F.col("node").alias("set"), F.col("component").alias("home"))
-    placed = distinct.join(ends, "set", "left_semi").join(home, "set", "left").select("set", F.coalesce("home", "set").alias("home"), "fp")
-    more = _met(placed, n, similarity, recall, _apart).join(pairs, ["a", "b"], "left_anti").select("a", "b")
-    joined = components(_compared(more, sets, similarity).union(links))
+    home = components(_compared(nearest, sets, similarity))
+    rest = _unjoined(pairs.join(nearest, ["a", "b"], "left_anti"), home)
+    home = components(_compared(rest, sets, similarity).union(_stars(home)))
+    of_set = home.select(F.col("node").alias("set"), F.col("component").alias("home"))
+    known = distinct.join(sets.select("set", F.size("items").alias("size"), "bins"), "set").join(of_set, "set", "left")
+    placed = known.select("set", F.coalesce("home", "set").alias("home"), "fp", "size", "bins")
+    more = _met(placed, n, similarity, recall, _apart(similarity)).join(pairs, ["a", "b"], "left_anti").select("a", "b")
+    joined = components(_compared(more, sets, similarity).union(_stars(home)))
     return rows.join(joined, rows["set"] == joined["node"], "left").select("doc_id", "row", F.coalesce("component", "set").alias("group"))
 
 
-def _unjoined(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are in no component of the links together."""
-    home = components(links)
+def _stars(home: DataFrame) -> DataFrame:
+    """(node, component) as edges (a, b), which are in components already."""
+    return home.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _unjoined(pairs: DataFrame, home: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are in different components of home (node, component)."""
     for v in ("a", "b"):
         pairs = pairs.join(home.select(F.col("node").alias(v), F.col("component").alias(f"home_{v}")), v, "left")
     return pairs.where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b")

@@ -90,3 +90,15 @@ def test_keep_one_keeps_a_row_of_every_group(spark):
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, one), (None, two), (5, three), (5, four), (8, None)], key=str)
     assert near_copies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bins_rule_no_near_copies_out():
+    rng = random.Random(9)
+    sets = [near_copies.shingles(t.encode()) for t in texts(rng, 12, 8, 12)]
+    size = np.array([len(x) for x in sets], np.int64)
+    counts = np.array([np.frombuffer(near_copies.bins(x), np.uint8) for x in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    may = near_copies._may_fit(size, counts, 0.8)(a, b)
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    near = both * 5 >= 4 * (size[a] + size[b] - both)
+    assert near.any() and may[near].all() and may.sum() < near.sum() + 0.1 * len(a)
