@@ -65,3 +65,45 @@ def number_vote(votes: DataFrame, key: list[str], value: str, rank: str, observe
     spoken = votes.where(F.col(value).isNotNull())
     inorder = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(value).cast("double").alias("v"), F.coalesce(F.col(observed), F.lit(False)).alias("s"))))
     return spoken.groupBy(*key).agg(inorder.alias("_a")).select(*key, vote(F.col("_a.v"), F.col("_a.s")).alias("_w")).select(*key, "_w.*")
+
+
+def best_parse(parses: DataFrame, key: str, completeness: str, place: str) -> DataFrame:
+    """The most complete of each key's parses, the first of equals; one aggregate, no window."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in parses.columns))
+    merit = F.struct(F.coalesce(completeness, F.lit(0.0)).alias("c"), (-F.col(place)).alias("p"))
+    return parses.groupBy(key).agg(F.max_by(whole, merit).alias("_best")).select("_best.*")
+
+
+def path_union(parses: DataFrame, key: str, paths: str, rank: str) -> DataFrame:
+    """(key, paths): the paths that any parse of a key lists, in order of rank; a key has as many
+    parses as a report has readings, a few."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.coalesce(paths, F.array().cast("array<string>")).alias("p"))))
+    return parses.groupBy(key).agg(listed.alias("_l")).select(key, F.array_distinct(F.flatten("_l.p")).alias(paths))
+
+
+#: How complete a parse has to be for its route to end the cascade, by kind of report (fixed values).
+EMBEDDED_ENOUGH = {"tanita": 0.9, "accuniq": 0.75}
+CLOUD_ENOUGH = {"tanita": 0.75, "accuniq": 0.65}
+LEAST_EMBEDDED = 40
+
+
+def cascade(parses: DataFrame, key: str) -> DataFrame:
+    """parses (key, route, source, completeness, n_chars, place, ...) to the parse of each key that
+    counts; a key without a usable parse has none.
+
+    The routes are tried in order: embedded text, if it is longer than LEAST_EMBEDDED and complete
+    enough; cloud recognition, if complete enough; local recognition, unless the cloud's parse is of
+    the same source and more complete; else what the cloud gave.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in parses.columns))
+    merit = F.struct(F.coalesce("completeness", F.lit(0.0)).alias("c"), (-F.col("place")).alias("p"))
+    best = parses.groupBy(key).agg(*(F.max_by(F.when(F.col("route") == r, whole), F.when(F.col("route") == r, merit)).alias(r) for r in ("embedded", "cloud", "local")))
+
+    def enough(route: str, least: dict[str, float]) -> Column:
+        table = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
+        return F.coalesce(F.col(f"{route}.completeness") >= F.try_element_at(table, F.col(f"{route}.source")), F.lit(False))
+
+    at_hand = F.coalesce(F.col("embedded.n_chars") > LEAST_EMBEDDED, F.lit(False)) & enough("embedded", EMBEDDED_ENOUGH)
+    better = F.coalesce((F.col("cloud.source") == F.col("local.source")) & (F.col("cloud.completeness") > F.coalesce("local.completeness", F.lit(0.0))), F.lit(False))
+    chosen = F.when(at_hand, F.col("embedded")).when(enough("cloud", CLOUD_ENOUGH) | better, F.col("cloud")).otherwise(F.coalesce("local", "cloud"))
+    return best.select(chosen.alias("_chosen")).where("_chosen IS NOT NULL").select("_chosen.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from somalog.functions.scalars import blank_to_null, canonical_json, filename_key
@@ -58,3 +58,22 @@ def changed(stored: DataFrame, merged_rows: DataFrame, key: str, payload: str) -
 def sorted_logs(logs: DataFrame, time: Column) -> DataFrame:
     """Oldest first: by event time text, then id, as bytes order them."""
     return logs.orderBy(time, "id")
+
+
+def existing_upload(uploads: DataFrame, stored: DataFrame, key: str, order: str) -> DataFrame:
+    """uploads and existing_id: the id of the first stored log (id, key, order) of the same upload
+    key, if there is one. The stored side is reduced to one row a key before it is joined."""
+    first = stored.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("id", order).alias("existing_id"))
+    return uploads.join(first, key, "left")
+
+
+def log_rank(logs: DataFrame, time: Column, name: str, chunk: int = 13) -> DataFrame:
+    """logs and their place, from 1, in the order of sorted_logs. No window holds all logs: they
+    are numbered inside time chunks (the first characters of the time text: hours), and only the
+    chunks' row counts are summed over time. Null times come first."""
+    cut = F.substring(time, 1, chunk)
+    chunked = logs.withColumn("_at", time).withColumn("_chunk", F.coalesce(cut, F.lit("")))
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = chunked.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n")).select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_chunk").orderBy("_at", "id"))
+    return chunked.withColumn("_inside", inside).join(offsets, "_chunk").withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_at", "_chunk", "_inside", "_before")

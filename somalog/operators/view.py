@@ -101,7 +101,78 @@ def reread(summary: Column, kind: Column) -> list[Column]:
 ACRONYMS = {"id": "ID", "ffm": "FFM", "tbw": "TBW", "bmi": "BMI", "bmr": "BMR", "tdee": "TDEE", "kg": "kg", "kj": "kJ", "kcal": "kcal", "cm": "cm", "bpm": "bpm", "ohm": "Ω", "khz": "kHz"}
 
 
-def field_label(path: Column, labels: dict[str, str] | None = None) -> Column:
+#: What fields are called (fixed values).
+FIELD_LABELS = {
+    "schema_version": "Schema version",
+    "id": "Record ID",
+    "kind": "Record type",
+    "workout_type": "Workout type",
+    "start_at": "Start time",
+    "end_at": "End time",
+    "duration_minutes": "Duration (minutes)",
+    "active_energy_kcal": "Active energy (kcal)",
+    "measured_at_local": "Measured at",
+    "source.type": "Source type",
+    "source.device": "Device",
+    "source.manufacturer": "Manufacturer",
+    "source.filename": "Source file",
+    "input.body_type": "Body type",
+    "input.gender": "Gender",
+    "input.age": "Age",
+    "input.height_cm": "Height (cm)",
+    "input.clothes_weight_kg": "Clothes weight (kg)",
+    "metrics.weight_kg": "Weight (kg)",
+    "metrics.fat_percent": "Body fat (%)",
+    "metrics.fat_mass_kg": "Fat mass (kg)",
+    "metrics.ffm_kg": "Fat-free mass (kg)",
+    "metrics.muscle_mass_kg": "Muscle mass (kg)",
+    "metrics.tbw_kg": "Total body water (kg)",
+    "metrics.tbw_percent": "Total body water (%)",
+    "metrics.bone_mass_kg": "Bone mass (kg)",
+    "metrics.bmr_kj": "BMR (kJ)",
+    "metrics.bmr_kcal": "BMR (kcal)",
+    "metrics.metabolic_age": "Metabolic age",
+    "metrics.visceral_fat_rating": "Visceral fat rating",
+    "metrics.bmi": "BMI",
+    "metrics.ideal_body_weight_kg": "Ideal body weight (kg)",
+    "metrics.degree_of_obesity_percent": "Degree of obesity (%)",
+    "metrics.body_water_l": "Body water (L)",
+    "metrics.protein_kg": "Protein (kg)",
+    "metrics.minerals_kg": "Minerals (kg)",
+    "metrics.tdee_kcal": "TDEE (kcal)",
+    "metrics.physical_age": "Physical age",
+    "analysis.score": "Analysis score",
+    "targets.target_weight_kg": "Target weight (kg)",
+    "targets.weight_control_kg": "Weight control (kg)",
+    "targets.muscle_control_kg": "Muscle control (kg)",
+    "targets.fat_control_kg": "Fat control (kg)",
+    "qualitative.physique_rating": "Physique rating",
+    "qualitative.body_type": "Body type",
+    "qualitative.evaluation": "Evaluation",
+    "bioelectrical.6.25_khz.r_ohm": "R 6.25 kHz (Ω)",
+    "bioelectrical.50_khz.r_ohm": "R 50 kHz (Ω)",
+    "bioelectrical.6.25_khz.x_ohm": "X 6.25 kHz (Ω)",
+    "bioelectrical.50_khz.x_ohm": "X 50 kHz (Ω)",
+    "indicators.fat_percent.reading": "Fat % indicator",
+    "indicators.bmi.reading": "BMI indicator",
+    "indicators.muscle_mass.reading": "Muscle mass indicator",
+    "indicators.bmr.reading": "BMR indicator",
+    "heart_rate_bpm.average_bpm": "Average heart rate (bpm)",
+    "heart_rate_bpm.min_bpm": "Minimum heart rate (bpm)",
+    "heart_rate_bpm.max_bpm": "Maximum heart rate (bpm)",
+    "heart_rate_bpm.samples": "Heart-rate samples",
+    "extraction.method": "Extraction method",
+    "extraction.completeness": "Extraction completeness",
+    "extraction.date_source": "Date source",
+    "extraction.derived_fields": "Derived fields",
+    "extraction.corrected_fields": "Corrected fields",
+    "extraction.conflicted_fields": "Conflicted fields",
+    "extraction.review_fields": "Review fields",
+    "extraction.warnings": "Extraction warnings",
+}
+
+
+def field_label(path: Column, labels: dict[str, str] = FIELD_LABELS) -> Column:
     """A field path in words: a given label, else its segments' words with capitals."""
     acronyms = F.create_map(*(F.lit(x) for pair in ACRONYMS.items() for x in pair))
     word = lambda w: F.coalesce(F.try_element_at(acronyms, F.lower(w)), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from somalog.functions import scalars as fn
-from somalog.operators import asof, consensus, indicators, layout, merge, reports, sessions, solve, view
+from somalog.operators import asof, consensus, edits, indicators, layout, merge, reports, sessions, solve, view
 from somalog.sources import health_export, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -635,7 +635,7 @@ def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oldest first by time text, then id."""
     logs = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.min(_ms("ts")).alias("first_ms"), F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
-    return logs.withColumn("log_rank", F.row_number().over(W.orderBy("at", "user_id")).cast("long")).select("user_id", "first_ms", "log_rank")
+    return merge.log_rank(logs.withColumnRenamed("user_id", "id"), F.col("at"), "log_rank").select(F.col("id").alias("user_id"), "first_ms", "log_rank")
 
 
 @query("""SELECT doc_id, item AS word, pos FROM (SELECT doc_id, unnest(w) AS item, unnest(range(len(w))) AS pos FROM (
@@ -651,6 +651,96 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("page").cast("long").alias("doc_id"), F.col("text").alias("word"), (F.row_number().over(order) - 1).cast("long").alias("pos"))
 
 
+@query("""WITH e AS (SELECT o_orderkey, o_custkey % 100 AS kg, strftime(o_orderdate, '%Y-%m-%d') || 'T' || o_orderkey AS tm, o_orderkey % 5 = 0 AS moved,
+    'tanita:' || o_orderkey AS old FROM orders),
+i AS (SELECT *, CASE WHEN moved OR o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'accuniq:' ELSE 'tanita:' END
+    || CASE WHEN moved THEN tm || 'b' ELSE tm END ELSE old END AS id FROM e)
+SELECT o_orderkey, id, CASE WHEN id <> old THEN old END AS replaced_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN kg ELSE 50 END AS DOUBLE) AS weight_kg,
+    CAST(CASE WHEN o_orderkey % 14 = 0 THEN 512.5 WHEN o_orderkey % 4 = 0 THEN 400 END AS DOUBLE) AS r_ohm,
+    CASE WHEN o_orderkey % 14 = 7 THEN 'Invalid number: 5l2' END AS error FROM i""")
+def record_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as measurements, of which some are edited by path: weights, times (and so ids), and
+    readings of a name with a dot, some of which are no numbers."""
+    key, orders = F.col("o_orderkey"), _t(spark, sf_dir, "orders")
+    at = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'"), key.cast("string"))
+    source = F.struct(F.when(key % 2 == 0, "accuniq_report").otherwise("tanita_receipt").alias("type"))
+    ohm = F.when(key % 4 == 0, F.struct(F.struct(F.lit(400.0).alias("r_ohm")).alias("6.25_khz")))
+    id_ = F.concat(F.lit("tanita:"), key.cast("string"))
+    logs = orders.select("o_orderkey", id_.alias("id"), F.lit(edits.BODY).alias("kind"), source.alias("source"), at.alias("measured_at_local"), F.struct(F.lit(50.0).alias("weight_kg")).alias("metrics"), ohm.alias("bioelectrical"))
+    reading = F.when(key % 2 == 0, "512.5").otherwise("5l2")
+    made = ((3, "metrics.weight_kg", (F.col("o_custkey") % 100).cast("string")), (5, "measured_at_local", F.concat(at, F.lit("b"))), (7, "bioelectrical.6.25_khz.r_ohm", reading))
+    rows = F.array_compact(F.array(*(F.when(key % n == 0, F.struct(F.lit(path).alias("path"), value.alias("value"), F.lit(n).alias("place"))) for n, path, value in made)))
+    fields = {"metrics.weight_kg": "number", "measured_at_local": "text", "bioelectrical.6.25_khz.r_ohm": "number"}
+    found = edits.edited(logs, orders.select(id_.alias("id"), F.inline(rows)), fields)
+    ohms = edits.get_path(F.struct(F.col("bioelectrical")), "bioelectrical.6.25_khz.r_ohm")
+    return found.select("o_orderkey", "id", "replaced_id", F.col("metrics.weight_kg").alias("weight_kg"), ohms.alias("r_ohm"), "error")
+
+
+@query("""WITH r AS (SELECT event_id, least(95, CAST(floor(event_id % 100 / CAST(5 AS DOUBLE) + 0.5) AS INTEGER) * 5) AS pct, user_id % 100 // 5 * 5 AS old FROM events)
+SELECT event_id, pct AS section_percent, CASE WHEN pct = old THEN 'indicator_graph' ELSE 'manual_review' END AS source, CASE WHEN pct = old THEN CAST(0.5 AS DOUBLE) END AS position FROM r""")
+def indicators_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings in steps of five; those that differ from the stored ones count as reviewed."""
+
+    def map_of(percent: Column) -> Column:
+        text = F.concat(F.lit("0: "), percent.cast("string"), F.lit("%"))
+        null = F.lit(None)
+        parts = (F.lit("0").alias("level"), null.cast("int").alias("section_percent"), text.alias("reading"), F.lit(0.5).alias("position"), F.lit(0.9).alias("confidence"), F.lit(indicators.GRAPH).alias("source"), null.cast("string").alias("locator"))
+        return F.create_map(F.lit("bmi"), F.struct(*parts))
+
+    now, before = map_of(F.col("event_id") % 100), map_of(F.floor(F.col("user_id") % 100 / 5) * 5)
+    found = _t(spark, sf_dir, "events").select("event_id", indicators.normalized(now, before)["bmi"].alias("i"))
+    return found.select("event_id", "i.section_percent", "i.source", "i.position")
+
+
+_PLACE = "((l_linenumber * 1000000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT))"
+_PARSES = f"""p AS (SELECT l_orderkey, {_PLACE} AS place, ['embedded', 'cloud', 'local'][l_linenumber % 3 + 1] AS route, CASE WHEN l_suppkey % 2 = 0 THEN 'tanita' ELSE 'accuniq' END AS source,
+    round(l_discount * 100) / CAST(10 AS DOUBLE) AS completeness, CAST(l_quantity AS BIGINT) AS n_chars FROM lineitem)"""
+
+
+def _parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routes = F.array(F.lit("embedded"), F.lit("cloud"), F.lit("local"))
+    return _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.expr(_PLACE).alias("place"), F.element_at(routes, (F.col("l_linenumber") % 3 + 1).cast("int")).alias("route"),
+        F.when(F.col("l_suppkey") % 2 == 0, "tanita").otherwise("accuniq").alias("source"),
+        (F.round(F.col("l_discount").cast("double") * 100) / 10.0).alias("completeness"), F.col("l_quantity").cast("long").alias("n_chars"))
+
+
+@query(f"""WITH {_PARSES} SELECT l_orderkey, place, completeness FROM p QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY completeness DESC, place) = 1""")
+def best_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an order's lines, as parses, the most complete one."""
+    return consensus.best_parse(_parses(spark, sf_dir), "l_orderkey", "completeness", "place").select("l_orderkey", "place", "completeness")
+
+
+@query(f"""WITH {_PARSES}, b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY l_orderkey, route ORDER BY completeness DESC, place) = 1),
+k AS (SELECT DISTINCT l_orderkey FROM p),
+j AS (SELECT k.l_orderkey, e.place AS ep, c.place AS cp, l.place AS lp, e.n_chars > 40 AND e.completeness >= CASE e.source WHEN 'tanita' THEN 0.9 ELSE 0.75 END AS at_hand,
+    c.completeness >= CASE c.source WHEN 'tanita' THEN 0.75 ELSE 0.65 END OR (c.source = l.source AND c.completeness > l.completeness) AS by_cloud
+    FROM k LEFT JOIN b e ON e.l_orderkey = k.l_orderkey AND e.route = 'embedded' LEFT JOIN b c ON c.l_orderkey = k.l_orderkey AND c.route = 'cloud'
+    LEFT JOIN b l ON l.l_orderkey = k.l_orderkey AND l.route = 'local')
+SELECT l_orderkey, CASE WHEN at_hand THEN ep WHEN by_cloud THEN cp ELSE coalesce(lp, cp) END AS place FROM j
+WHERE CASE WHEN at_hand THEN ep WHEN by_cloud THEN cp ELSE coalesce(lp, cp) END IS NOT NULL""")
+def extraction_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an order's lines, as parses of three routes, the one that the cascade ends with."""
+    return consensus.cascade(_parses(spark, sf_dir), "l_orderkey").select("l_orderkey", "place")
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, path, min(place * 10 + nth) AS first FROM (SELECT l_orderkey, {_PLACE} AS place, unnest([l_returnflag, l_linestatus, CAST(l_suppkey % 5 AS VARCHAR)]) AS path, unnest([0, 1, 2]) AS nth FROM lineitem) GROUP BY 1, 2)
+SELECT l_orderkey, string_agg(path, ',' ORDER BY first) AS paths FROM s GROUP BY 1""")
+def path_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an order's lines list, each once, in order."""
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_PLACE).alias("place"), F.array("l_returnflag", "l_linestatus", (F.col("l_suppkey") % 5).cast("string")).alias("paths"))
+    return consensus.path_union(lines, "l_orderkey", "paths", "place").select("l_orderkey", F.array_join("paths", ",").alias("paths"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS k, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS existing_id FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1)
+SELECT o_orderkey, existing_id FROM orders LEFT JOIN s ON k = o_custkey WHERE o_orderkey % 4 <> 0""")
+def existing_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stored order of the same customer, for orders that come in."""
+    orders = _t(spark, sf_dir, "orders")
+    stored = orders.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("id"), "o_custkey", F.struct("o_orderdate", "o_orderkey").alias("seq"))
+    return merge.existing_upload(orders.where("o_orderkey % 4 <> 0"), stored, "o_custkey", "seq").select("o_orderkey", "existing_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
