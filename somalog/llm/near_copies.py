@@ -52,7 +52,7 @@ WORDS = 4
 BITS = 64 * WORDS
 #: A node holds about 1 / 2 ** ROOM of what one bit for each doubling of the sets would leave it.
 LEAST_HEAD, ROOM = 14, 3
-BINS, MARKED = 64, 128
+BINS, MARKED = 64, 256
 #: So many texts' sets leave a task at once.
 ROWS = 500
 
