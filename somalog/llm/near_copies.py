@@ -17,17 +17,16 @@ lower-cased) is `similarity` or more. It goes in steps:
 * The exact similarity of the forests' pairs decides. First each set is compared with its
   nearest neighbour, and then all pairs that are left between components. A forest has fewer pairs than members, so a group of n near copies
   costs at most n comparisons a table, not n squared.
-* Sets that a forest holds go through the index once more, with their component, size, the
-  numbers of their hashes in each of `BINS` bins, and 16 bits of each hash if they are `MARKED`
-  at most. Bins, or marks, that differ by d in all mean d differing shingles at least, which rules
-  most pairs below the similarity out exactly. Every near pair of different components that is not
+* Sets that a forest holds go through the index once more, with their component, size and the
+  numbers of their hashes in each of `BINS` bins. Bins that differ by d in all mean d differing
+  shingles at least, which rules most pairs below the similarity out exactly. Every near pair of different components that is not
   ruled out is given by the first table it shares a node in, and compared: no set has a cap on
   its partners.
 
 Only pairs that reach the similarity become links. A link is missed only where no table has the
 pair in a node, or its fingerprints differ beyond `SPREAD`. Pairs of different components that
-neither fingerprints nor bins and marks can tell from near copies are all compared; beyond `MARKED`
-shingles a text the bins get blunt, and pairs just under the similarity stay in.
+neither fingerprints nor bins can tell from near copies are all compared; the more shingles a text
+has over `BINS`, the blunter the bins get, and pairs just under the similarity stay in.
 """
 
 from __future__ import annotations
@@ -52,7 +51,8 @@ WORDS = 4
 BITS = 64 * WORDS
 #: A node holds about 1 / 2 ** ROOM of what one bit for each doubling of the sets would leave it.
 LEAST_HEAD, ROOM = 14, 3
-BINS, MARKED = 64, 256
+#: Bins that differ are counted in COARSE sums first, which leave few pairs for the rest.
+BINS, COARSE = 512, 64
 #: So many texts' sets leave a task at once.
 ROWS = 500
 
@@ -88,18 +88,10 @@ def wide_fingerprint(of: np.ndarray) -> bytes:
 
 def bins(of: np.ndarray) -> bytes:
     """How many of a set's hashes fall in each bin (255 stands for more)."""
-    place = (of * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
+    place = (of * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     return np.minimum(np.bincount(place, minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-def marks(of: np.ndarray) -> bytes:
-    """16 bits of each hash of a set of up to MARKED, in order, the last one repeated; else zeros."""
-    if not 0 < len(of) <= MARKED:
-        return bytes(2 * MARKED)
-    found = np.unique((of * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16))
-    return np.pad(found, (0, MARKED - len(found)), mode="edge").tobytes()
-
-
 _PRINT = T.StructType([T.StructField("set", T.LongType()), T.StructField("fp", T.BinaryType())])
 
 
@@ -113,15 +105,15 @@ def _prints(shingle: int):
 
 
 def _sets(shingle: int):
-    """Rows (text) to rows (set, bins, marks, items), items being 32 bits of each hash."""
+    """Rows (text) to rows (set, bins, items), items being 32 bits of each hash."""
 
     def run(batches):
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             sets = [shingles(t.as_py(), shingle) for t in batch.column("text")]
             ends = np.cumsum([0, *map(len, sets)])
             items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).astype(np.uint32).view(np.int32)))
-            columns = (pa.array([of(x) for x in sets]) for of in (name, bins, marks))
-            yield pa.record_batch([*columns, items], names=["set", "bins", "marks", "items"])
+            columns = (pa.array([of(x) for x in sets]) for of in (name, bins))
+            yield pa.record_batch([*columns, items], names=["set", "bins", "items"])
 
     return run
 
@@ -214,11 +206,18 @@ def _between(words: np.ndarray, home: np.ndarray, most: int, fits, block: int =
 def _may_fit(size: np.ndarray, counts: np.ndarray, similarity: float):
     """Whether sets at positions a and b may have the similarity s: then no more than
     (1 - s) / (1 + s) of both sizes together differ."""
+    sums = counts.reshape(len(counts), COARSE, -1).sum(axis=2, dtype=np.int32)
 
     def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        apart = np.abs(counts[a].astype(np.int16) - counts[b]).sum(axis=1, dtype=np.int64)
-        apart = np.maximum(apart, np.abs(size[a] - size[b]))
-        return apart * (1 + similarity) <= (size[a] + size[b]) * (1 - similarity) + 1e-6
+        most = (size[a] + size[b]) * (1 - similarity) / (1 + similarity) + 1e-6
+        may = np.abs(size[a] - size[b]) <= most
+        for held in (sums, counts):
+            left = np.nonzero(may)[0]
+            for at in range(0, len(left), 1 << 13):
+                rows = left[at : at + (1 << 13)]
+                apart = np.abs(held[a[rows]].astype(np.int32) - held[b[rows]]).sum(axis=1, dtype=np.int64)
+                may[rows] = apart <= most[rows]
+        return may
 
     return fits
 
@@ -255,30 +254,13 @@ def _forests(orders: np.ndarray, head: int, most: int, node: np.ndarray, home: n
     return order[pairs], _distance(words, pairs[:, 0], pairs[:, 1])
 
 
-def _marks_fit(size: list[int], marked: np.ndarray, similarity: float):
-    """The same, by marks; sets without marks may have the similarity."""
-    codes, sets = marked.view(np.uint16), {}
-
-    def of(x: int) -> frozenset:
-        if x not in sets:
-            sets[x] = frozenset(codes[x].tolist()) if codes[x].any() else None
-        return sets[x]
-
-    def fit(x: int, y: int) -> bool:
-        if of(x) is None or of(y) is None:
-            return True
-        return len(of(x) ^ of(y)) * (1 + similarity) <= (size[x] + size[y]) * (1 - similarity) + 1e-6
-
-    return lambda a, b: np.fromiter(map(fit, a.tolist(), b.tolist()), bool, len(a))
-
-
 def _apart(similarity: float):
-    def of(orders: np.ndarray, head: int, most: int, node: np.ndarray, home: np.ndarray, prints: np.ndarray, size: np.ndarray, counts: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(orders: np.ndarray, head: int, most: int, node: np.ndarray, home: np.ndarray, prints: np.ndarray, size: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of positions, and their distances: near ones of different homes that may fit,
         and that share no node in an earlier table."""
         order, heads, sizes, end, words = _laid_out(node, home, prints, orders)
         home, table = home[order], node[order] >> 32
-        bins_fit, marks_fit = _may_fit(size[order].astype(np.int64), counts[order], similarity), _marks_fit(size[order].tolist(), marked[order], similarity)
+        bins_fit = _may_fit(size[order].astype(np.int64), counts[order], similarity)
 
         def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             may = bins_fit(a, b)
@@ -287,8 +269,6 @@ def _apart(similarity: float):
                 bits = np.unpackbits((words[a[rows]] ^ words[b[rows]]).view(np.uint8), axis=1)
                 for k in range(int(table[a[rows]].max(initial=0))):
                     may[rows] &= bits[:, orders[k][:head]].any(axis=1) | (table[a[rows]] <= k)
-            left = np.nonzero(may)[0]
-            may[left] = marks_fit(a[left], b[left])
             return may
 
         small = _small_pairs(sizes, end, words, most)[:2]
@@ -360,8 +340,8 @@ def with_group(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
     n = distinct.count()
     pairs = cut(_met(distinct.select("set", F.col("set").alias("home"), "fp"), n, similarity, recall, _forests))
     ends = cut(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
-    whole = docs.select(text.alias("text")).mapInArrow(_sets(shingle), "set long, bins binary, marks binary, items array<int>")
-    sets = cut(whole.join(ends, "set", "left_semi").groupBy("set").agg(*(F.any_value(c).alias(c) for c in ("bins", "marks", "items"))))
+    whole = docs.select(text.alias("text")).mapInArrow(_sets(shingle), "set long, bins binary, items array<int>")
+    sets = cut(whole.join(ends, "set", "left_semi").groupBy("set").agg(*(F.any_value(c).alias(c) for c in ("bins", "items"))))
 
     way = lambda v: pairs.select(F.col(v).alias("v"), F.struct("d", F.xxhash64("a", "b").alias("tie"), "a", "b").alias("n"))
     nearest = way("a").union(way("b")).groupBy("v").agg(F.min("n").alias("n")).select("n.a", "n.b").distinct()
@@ -369,8 +349,8 @@ def with_group(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
     rest = _unjoined(pairs.join(nearest, ["a", "b"], "left_anti"), home)
     home = components(_compared(rest, sets, similarity).union(_stars(home)))
     of_set = home.select(F.col("node").alias("set"), F.col("component").alias("home"))
-    known = distinct.join(sets.select("set", F.size("items").alias("size"), "bins", "marks"), "set").join(of_set, "set", "left")
-    placed = known.select("set", F.coalesce("home", "set").alias("home"), "fp", "size", "bins", "marks")
+    known = distinct.join(sets.select("set", F.size("items").alias("size"), "bins"), "set").join(of_set, "set", "left")
+    placed = known.select("set", F.coalesce("home", "set").alias("home"), "fp", "size", "bins")
     more = _met(placed, n, similarity, recall, _apart(similarity)).join(pairs, ["a", "b"], "left_anti").select("a", "b")
     joined = components(_compared(more, sets, similarity).union(_stars(home)))
     return rows.join(joined, rows["set"] == joined["node"], "left").select("doc_id", "row", F.coalesce("component", "set").alias("group"))

@@ -99,10 +99,6 @@ def test_bins_rule_no_near_copies_out():
     counts = np.array([np.frombuffer(near_copies.bins(x), np.uint8) for x in sets])
     a, b = np.triu_indices(len(sets), 1)
     may = near_copies._may_fit(size, counts, 0.8)(a, b)
-    marked = np.array([np.frombuffer(near_copies.marks(x), np.uint8) for x in sets])
-    fine = near_copies._marks_fit(size.tolist(), marked, 0.8)(a, b)
-    short = (size[a] <= near_copies.MARKED) & (size[b] <= near_copies.MARKED)
     both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
     near = both * 5 >= 4 * (size[a] + size[b] - both)
-    assert fine[near].all() and fine[~short].all() and (fine[short] == near[short]).mean() > 0.99
-    assert near.any() and may[near].all() and may.sum() < near.sum() + 0.1 * len(a)
+    assert near.any() and may[near].all() and (may == near).mean() > 0.99
