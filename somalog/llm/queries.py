@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somalog.llm import ann, filter_audit, license_scan, media, mixing, pieces, pii, quality, simhash, substring, toxicity
+from somalog.llm import ann, filter_audit, hard_negatives, license_scan, media, mixing, pieces, pii, quality, simhash, substring, toxicity
 from somalog.llm.common import cut
 
 #: The vocabulary that op5 and the pipeline encode with.
@@ -89,6 +89,12 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = cut(hard_negatives.quantized(_table(spark, sf_dir, "embeddings"), label))
+    return hard_negatives.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
 OP9_SQL = r"""
 WITH d AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -123,4 +129,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle_sql(), "op9_mix_sources": OP9_SQL, "op12_filter_interactions": filter_audit.ORACLE_SQL}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op9_mix_sources": OP9_SQL, "op12_filter_interactions": filter_audit.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
