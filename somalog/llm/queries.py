@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somalog.llm import ann, filter_audit, hard_negatives, license_scan, media, mixing, pieces, pii, quality, simhash, substring, toxicity
+from somalog.llm import ann, filter_audit, hard_negatives, license_scan, media, mixing, ngram_join, pieces, pii, quality, simhash, substring, toxicity
 from somalog.llm.common import cut
 
 #: The vocabulary that op5 and the pipeline encode with.
@@ -85,6 +85,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -129,4 +133,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle_sql(), "op9_mix_sources": OP9_SQL, "op12_filter_interactions": filter_audit.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op9_mix_sources": OP9_SQL, "op11_ngram_join": ngram_join.ORACLE_SQL, "op12_filter_interactions": filter_audit.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
