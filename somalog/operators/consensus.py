@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TOLERANCE = 0.11
 WARNING_WEIGHT = 0.015
@@ -20,9 +18,10 @@ def ranked(candidates: DataFrame, key: str, completeness: str, n_warnings: str,
 
 
 def text_vote(votes: DataFrame, key: list[str], value: str, rank: str, observed: Column) -> DataFrame:
-    """(key, value, n_observed, n, conflicted): the text most often observed, case aside; then the
+    """(key, value, n_observed, n, conflicted): the text most often observed, case and blanks around
+    it aside; then the
     one most often given, then the one of best rank. Written as its best rank has it."""
-    spoken = votes.where(F.col(value).isNotNull()).withColumn("_same", F.lower(value))
+    spoken = votes.where(F.col(value).isNotNull()).withColumn("_same", F.lower(F.trim(value)))
     groups = spoken.groupBy(*key, "_same").agg(
         F.count_if(observed).alias("n_observed"),
         F.count(F.lit(1)).alias("n"),
@@ -33,38 +32,24 @@ def text_vote(votes: DataFrame, key: list[str], value: str, rank: str, observed:
     return best.select(*key, F.col("_b.value").alias("value"), F.col("_b.n_observed").alias("n_observed"), F.col("_b.n").alias("n"), "conflicted")
 
 
-_VOTE = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("n_observed", T.LongType()), T.StructField("n", T.LongType()), T.StructField("conflicted", T.BooleanType())])
-
-
-def _voted(values: Sequence[float], seen: Sequence[bool], tolerance: float) -> tuple[float, int, int, bool]:
-    """The winner among numbers that come in order of rank."""
-    firsts, observed, sizes = [], [], []
-    for v, s in zip(values, seen, strict=True):
-        home = next((k for k, first in enumerate(firsts) if abs(first - v) <= tolerance), len(firsts))
-        if home == len(firsts):
-            firsts.append(v)
-            observed.append(0)
-            sizes.append(0)
-        observed[home] += bool(s)
-        sizes[home] += 1
-    best = max(range(len(firsts)), key=lambda k: (observed[k], sizes[k], -k))
-    return firsts[best], observed[best], sizes[best], sum(n > 0 for n in observed) > 1
-
-
 def number_vote(votes: DataFrame, key: list[str], value: str, rank: str, observed: str, tolerance: float = TOLERANCE) -> DataFrame:
     """The same for numbers, which agree with a group if they are within tolerance of its first.
 
-    Which group a number joins depends on the order, so a field's readings are gathered in one
-    array; a field has as many as a report has readings, a few.
+    Which group a number joins depends on the order, but equal numbers always join the same one. So
+    they are counted first, and what is folded in order of rank is a field's different numbers.
     """
+    spoken = votes.where(F.col(value).isNotNull())
+    alike = spoken.groupBy(*key, F.col(value).cast("double").alias("v")).agg(F.min(rank).alias("r"), F.count_if(F.coalesce(observed, F.lit(False))).alias("o"), F.count(F.lit(1)).alias("n"))
 
-    @F.pandas_udf(_VOTE)
-    def vote(values: pd.Series, seen: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_voted(v, s, tolerance) for v, s in zip(values, seen, strict=True)], columns=_VOTE.names)
+    def joined(groups: Column, x: Column) -> Column:
+        home = F.array_position(F.transform(groups, lambda g: F.abs(g["v"] - x["v"]) <= tolerance), True)
+        grown = F.transform(groups, lambda g, i: F.struct(g["v"].alias("v"), *((g[c] + F.when(i == home - 1, x[c]).otherwise(0)).alias(c) for c in "on")))
+        return F.when(home > 0, grown).otherwise(F.array_append(groups, F.struct(*(x[c].alias(c) for c in "von"))))
 
-    spoken = votes.where(F.col(value).isNotNull())
-    inorder = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(value).cast("double").alias("v"), F.coalesce(F.col(observed), F.lit(False)).alias("s"))))
-    return spoken.groupBy(*key).agg(inorder.alias("_a")).select(*key, vote(F.col("_a.v"), F.col("_a.s")).alias("_w")).select(*key, "_w.*")
+    none = F.array().cast("array<struct<v: double, o: bigint, n: bigint>>")
+    folded = alike.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("r", "v", "o", "n"))).alias("_a")).select(*key, F.aggregate("_a", none, joined).alias("_g"))
+    best = F.array_max(F.transform("_g", lambda g, i: F.struct(g["o"].alias("o"), g["n"].alias("n"), (-i).alias("i"), g["v"].alias("v"))))
+    return folded.withColumn("_b", best).select(*key, F.col("_b.v").alias("value"), F.col("_b.o").alias("n_observed"), F.col("_b.n").alias("n"), (F.size(F.filter("_g", lambda g: g["o"] > 0)) > 1).alias("conflicted"))
 
 
 def best_parse(parses: DataFrame, key: str, completeness: str, place: str) -> DataFrame:

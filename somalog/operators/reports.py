@@ -195,7 +195,7 @@ def _some(name: str) -> Column:
 
 def receipts(docs: DataFrame) -> DataFrame:
     """(doc, text, source_name) to one row a receipt: time, input, metrics after repairs,
-    completeness, warnings and derived fields."""
+    completeness, warnings, derived fields and fields to review."""
     text = docs.select("doc", "source_name", labelled(F.col("text")).alias("t"))
     result = r"RESULT|\n\s*WEIGHT\b"
     cut = text.select(
@@ -250,6 +250,7 @@ def receipts(docs: DataFrame) -> DataFrame:
 
     inputs = F.array_join("input", "\n")
     one_of = lambda words, where: F.coalesce(*(F.when(where.rlike(rf"\b{w}\b"), w) for w in words))
+    physique = fn.blank_to_null(F.regexp_extract(F.regexp_extract("t", r"(?s)PHYSIQUE\s+RATING.*?(?=BIOELECTRICAL|\z)", 0), rf"\b({'|'.join(PHYSIQUES)})\b", 1))
     time = receipt_time(F.col("t"), F.col("source_name"))
     core = rules.rows.withColumn("_core", sum((F.col(c).isNotNull().cast("int") for c in RECEIPT_CORE[1:]), F.col(RECEIPT_CORE[0]).isNotNull().cast("int")))
     return core.select(
@@ -261,14 +262,67 @@ def receipts(docs: DataFrame) -> DataFrame:
         "bmr_kcal",
         limits("FAT%", 2, 70).alias("fat_percent_range"),
         limits("FATMASS", 1, 150).alias("fat_mass_range"),
-        fn.blank_to_null(F.regexp_extract(F.regexp_extract("t", r"(?s)PHYSIQUE\s+RATING.*?(?=BIOELECTRICAL|\z)", 0), rf"\b({'|'.join(PHYSIQUES)})\b", 1)).alias("physique_rating"),
+        physique.alias("physique_rating"),
         impedance(F.col("block_read")).alias("bioelectrical"),
         (F.col("_core") / F.lit(float(len(RECEIPT_CORE)))).alias("completeness"),
         "warnings",
         "derived_fields",
+        receipt_date(F.col("t"), F.col("source_name")).alias("date"),
+        receipt_clock(F.col("t")).alias("time"),
+        receipt_review_fields(F.col("input"), F.col("result_read.label"), F.col("range_read.label"), physique).alias("review_fields"),
     )
 
 
+#: Where a receipt shows that it has a field: section, path, label, labels that rule a line out (fixed values).
+RECEIPT_SIGNS = (
+    ("input", "input.body_type", "BODYTYPE", ()),
+    ("input", "input.gender", "GENDER", ()),
+    ("input", "input.age", "AGE", ()),
+    ("input", "input.height_cm", "HEIGHT", ()),
+    ("input", "input.clothes_weight_kg", "CLOTHESWEIGHT", ()),
+    ("result", "metrics.weight_kg", "WEIGHT", ("IDEAL", "CLOTHES")),
+    ("result", "metrics.fat_percent", "FAT%", ("FATMASS",)),
+    ("result", "metrics.fat_mass_kg", "FATMASS", ()),
+    ("result", "metrics.ffm_kg", "FFM", ()),
+    ("result", "metrics.muscle_mass_kg", "MUSCLEMASS", ()),
+    ("result", "metrics.tbw_kg", "TBW", ("TBW%",)),
+    ("result", "metrics.tbw_percent", "TBW%", ()),
+    ("result", "metrics.bone_mass_kg", "BONEMASS", ()),
+    ("result", "metrics.bmr_kj", "BMR", ()),
+    ("result", "metrics.bmr_kcal", "BMR", ()),
+    ("result", "metrics.metabolic_age", "METABOLICAGE", ()),
+    ("result", "metrics.visceral_fat_rating", "VISCERALFATRATING", ()),
+    ("result", "metrics.bmi", "BMI", ()),
+    ("result", "metrics.ideal_body_weight_kg", "IDEALBODYWEIGHT", ()),
+    ("result", "metrics.degree_of_obesity_percent", "DEGREEOFOBESITY", ()),
+    ("range", "reference_ranges.fat_percent.min", "FAT%", ()),
+    ("range", "reference_ranges.fat_percent.max", "FAT%", ()),
+    ("range", "reference_ranges.fat_mass_kg.min", "FATMASS", ()),
+    ("range", "reference_ranges.fat_mass_kg.max", "FATMASS", ()),
+)
+#: Fields that every receipt has (fixed values).
+ALWAYS_REVIEWED = tuple(f"bioelectrical.{f}.{c}" for f in ("6.25_khz", "50_khz") for c in ("r_ohm", "x_ohm"))
+
+
+def receipt_review_fields(input_lines: Column, result: Column, limits: Column, physique: Column) -> Column:
+    """Paths of the fields that a receipt prints, in order, from its sections' lines; result and
+    limits have their label forms."""
+    parts = {"input": F.transform(input_lines, compact), "result": result, "range": limits}
+
+    def shows(section: str, label: str, exclude: Sequence[str]) -> Column:
+        def test(x: Column) -> Column:
+            fits = x.contains(label)
+            for other in exclude:
+                fits = fits & ~x.contains(other)
+            return fits
+
+        return F.coalesce(F.exists(parts[section], test), F.lit(False))
+
+    shown = [F.when(shows(section, label, exclude), F.lit(path)) for section, path, label, exclude in RECEIPT_SIGNS]
+    rated = F.when(physique.isNotNull(), F.lit("qualitative.physique_rating"))
+    return F.array_compact(F.array(F.lit("measured_at_local"), *shown, rated, *map(F.lit, ALWAYS_REVIEWED)))
+
+
 def _resistances(values: Column) -> Column:
     """The two of some numbers that a resistance falls by nearly 65 between; else the first two."""
     fine = F.array_distinct(F.filter(values, lambda v: v.between(250, 1000)))
@@ -296,17 +350,24 @@ def impedance(read: Column) -> Column:
     return F.when(r.isNotNull() | x.isNotNull(), F.create_map(F.lit("6.25_khz"), at(1), F.lit("50_khz"), at(2)))
 
 
-def receipt_time(text: Column, name: Column) -> Column:
-    """`YYYY-MM-DDTHH:MM:00`: the file name's date before the printed one, the first time that a
-    clock can show, midnight without one; null without a date."""
+def receipt_date(text: Column, name: Column) -> Column:
+    """The file name's date before the printed one; null without either."""
     day = r"(\d{1,2}|[OQ]\d)\s*[/.-]\s*([A-Z]{3})\s*[/.-]\s*([20OQZSLI]{4})"
     month = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.regexp_extract(text, day, 2))
     year = fn.repaired_digits(F.regexp_extract(text, day, 3))
     printed = F.when((month > 0) & year.rlike(r"^20\d{2}\z"), F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(fn.repaired_digits(F.regexp_extract(text, day, 1)), 2, "0")))
-    date = F.coalesce(fn.file_date(name, "-_. "), printed)
+    return F.coalesce(fn.file_date(name, "-_. "), printed)
+
+
+def receipt_clock(text: Column) -> Column:
+    """The first time that a clock can show, as `HH:MM`."""
     clocks = F.transform(F.regexp_extract_all(text, F.lit(r"\b[0-2OQIL]\d\s*[:.]\s*[0-5OQIL]\d\b"), F.lit(0)), lambda x: F.regexp_replace(fn.repaired_digits(x), r"\s*[:.]\s*", ":"))
-    clock = F.try_element_at(F.filter(clocks, lambda x: x.rlike(r"^(?:[01]\d|2[0-3]):[0-5]\d\z")), F.lit(1))
-    return F.concat(date, F.lit("T"), F.coalesce(clock, F.lit("00:00")), F.lit(":00"))
+    return F.try_element_at(F.filter(clocks, lambda x: x.rlike(r"^(?:[01]\d|2[0-3]):[0-5]\d\z")), F.lit(1))
+
+
+def receipt_time(text: Column, name: Column) -> Column:
+    """`YYYY-MM-DDTHH:MM:00`, midnight without a clock; null without a date."""
+    return F.concat(receipt_date(text, name), F.lit("T"), F.coalesce(receipt_clock(text), F.lit("00:00")), F.lit(":00"))
 
 
 def receipt_records(parsed: DataFrame, source_name: Column) -> DataFrame:
