@@ -39,7 +39,7 @@ def number_vote(votes: DataFrame, key: list[str], value: str, rank: str, observe
     they are counted first, and what is folded in order of rank is a field's different numbers.
     """
     spoken = votes.where(F.col(value).isNotNull())
-    alike = spoken.groupBy(*key, F.col(value).cast("double").alias("v")).agg(F.min(rank).alias("r"), F.count_if(F.coalesce(observed, F.lit(False))).alias("o"), F.count(F.lit(1)).alias("n"))
+    alike = spoken.groupBy(*key, F.col(value).cast("double").alias("_v")).agg(F.min(rank).alias("_r"), F.count_if(F.coalesce(observed, F.lit(False))).alias("_o"), F.count(F.lit(1)).alias("_n"))
 
     def joined(groups: Column, x: Column) -> Column:
         home = F.array_position(F.transform(groups, lambda g: F.abs(g["v"] - x["v"]) <= tolerance), True)
@@ -47,7 +47,7 @@ def number_vote(votes: DataFrame, key: list[str], value: str, rank: str, observe
         return F.when(home > 0, grown).otherwise(F.array_append(groups, F.struct(*(x[c].alias(c) for c in "von"))))
 
     none = F.array().cast("array<struct<v: double, o: bigint, n: bigint>>")
-    folded = alike.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("r", "v", "o", "n"))).alias("_a")).select(*key, F.aggregate("_a", none, joined).alias("_g"))
+    folded = alike.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*(F.col(f"_{c}").alias(c) for c in "rvon")))).alias("_a")).select(*key, F.aggregate("_a", none, joined).alias("_g"))
     best = F.array_max(F.transform("_g", lambda g, i: F.struct(g["o"].alias("o"), g["n"].alias("n"), (-i).alias("i"), g["v"].alias("v"))))
     return folded.withColumn("_b", best).select(*key, F.col("_b.v").alias("value"), F.col("_b.o").alias("n_observed"), F.col("_b.n").alias("n"), (F.size(F.filter("_g", lambda g: g["o"] > 0)) > 1).alias("conflicted"))
 

@@ -98,7 +98,8 @@ def checked(rows: DataFrame) -> DataFrame:
     rules.fill("tbw_percent", fn.round1(F.col("tbw_kg") / weight * 100))
     rules.fill("bmr_kj", fn.half_up(F.col("bmr_kcal") * 4.184))
     rules.fill("bmr_kcal", fn.half_up(F.col("bmr_kj") / 4.184))
-    index = weight / (F.col("height_cm") / 100) ** 2
+    metres = F.col("height_cm") / 100
+    index = weight / (metres * metres)
     rules.fill("bmi", fn.round1(index))
     rules.warn(F.abs(weight - fat - ffm) > 0.35, "Weight, fat mass and FFM do not reconcile; review them.")
     rules.warn(F.abs(weight * F.col("fat_percent") / 100 - fat) > 0.45, "Fat %, weight and fat mass do not reconcile; review them.")

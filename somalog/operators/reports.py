@@ -370,8 +370,11 @@ def receipt_time(text: Column, name: Column) -> Column:
     return F.concat(receipt_date(text, name), F.lit("T"), F.coalesce(receipt_clock(text), F.lit("00:00")), F.lit(":00"))
 
 
-def receipt_records(parsed: DataFrame, source_name: Column) -> DataFrame:
-    """Parsed receipts as stored records: identity, source, input, metrics, ranges, extraction."""
+def receipt_records(parsed: DataFrame, source_name: Column, method: str = "ocr") -> DataFrame:
+    """Parsed or merged receipts as stored records: identity, source, input, metrics, ranges, extraction."""
+    none, listed = F.array().cast("array<string>"), set(parsed.columns)
+    of_merge = [F.col(c) if c in listed else none.alias(c) for c in ("corrected_fields", "conflicted_fields")]
+    n = F.col("candidate_count") if "candidate_count" in listed else F.lit(None).cast("long")
     metrics = [c for c in (*RECEIPT_FIELDS, "bmr_kcal") if c not in ("age", "height_cm", "clothes_weight_kg")]
     return parsed.select(
         F.lit(1).alias("schema_version"),
@@ -384,7 +387,7 @@ def receipt_records(parsed: DataFrame, source_name: Column) -> DataFrame:
         F.struct(F.col("fat_percent_range").alias("fat_percent"), F.col("fat_mass_range").alias("fat_mass_kg")).alias("reference_ranges"),
         F.struct("physique_rating").alias("qualitative"),
         "bioelectrical",
-        F.struct("completeness", "warnings", "derived_fields").alias("extraction"),
+        F.struct(F.lit(method).alias("method"), "completeness", "warnings", "derived_fields", *of_merge, n.alias("candidate_count"), "review_fields").alias("extraction"),
     )
 
 

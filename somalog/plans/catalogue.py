@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from somalog.functions import scalars as fn
-from somalog.operators import asof, consensus, edits, indicators, layout, merge, reports, sessions, solve, view
+from somalog.operators import asof, consensus, edits, indicators, layout, merge, parse_merge, reports, sessions, solve, view
 from somalog.sources import health_export, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,13 +375,171 @@ def consensus_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.text_vote(votes, ["l_orderkey"], "vote", "rank", F.col("observed"))
 
 
-@query()
+def _number_vote_sql(entries: str, key: str, tolerance: str) -> str:
+    """Common table expressions that end in voted (key, value, n_observed, n, conflicted): numbers in order of i
+    join the first group whose first number is within the tolerance."""
+    keys = key.split(", ")
+    return f"""{entries},
+folded AS (
+    SELECT {key}, i, v, o, [v] AS firsts, 1 AS g FROM entries WHERE i = 1
+    UNION ALL
+    SELECT {key}, i, v, o, CASE WHEN p = 0 THEN list_append(firsts, v) ELSE firsts END, CASE WHEN p = 0 THEN len(firsts) + 1 ELSE p END
+    FROM (SELECT {", ".join(f"e.{k}" for k in keys)}, e.i, e.v, e.o, f.firsts, coalesce(list_position(list_transform(f.firsts, lambda x: abs(x - e.v) <= {tolerance}), true), 0) AS p
+          FROM folded f JOIN entries e ON {" AND ".join(f"e.{k} = f.{k}" for k in keys)} AND e.i = f.i + 1)),
+groups AS (SELECT {key}, g, arg_min(v, i) AS value, min(i) AS i, count(*) FILTER (WHERE o) AS n_observed, count(*) AS n FROM folded GROUP BY {key}, g),
+voted AS (
+    SELECT {key}, value, n_observed, n, count(*) FILTER (WHERE n_observed > 0) OVER (PARTITION BY {key}) > 1 AS conflicted
+    FROM groups QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY n_observed DESC, n DESC, i) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {_number_vote_sql("entries AS (SELECT l_orderkey, l_discount AS v, l_linestatus = 'F' AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(round(l_extendedprice * 100) AS BIGINT), l_discount) AS i FROM lineitem WHERE l_discount IS NOT NULL)", "l_orderkey", "CAST(0.015 AS DOUBLE)")}
+SELECT * FROM voted""")
 def consensus_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes of numbers within a tolerance; the order of readings decides, which SQL lacks."""
+    """Votes of numbers within a tolerance; the order of readings decides."""
     votes = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("rank"), F.col("l_discount").alias("vote"), (F.col("l_linestatus") == "F").alias("observed"))
     return consensus.number_vote(votes, ["l_orderkey"], "vote", "rank", "observed", 0.015)
 
 
+#: Readings of receipts made of order lines (o, line n): path, and tenths of its number without noise.
+_READ = {
+    "input.age": "10 * (20 + o % 50)",
+    "input.height_cm": "1500 + o % 400",
+    "input.clothes_weight_kg": "5 + o % 10",
+    "metrics.weight_kg": "500 + o % 400",
+    "metrics.fat_percent": "150 + o % 200",
+    "metrics.fat_mass_kg": "80 + o % 150",
+    "metrics.ffm_kg": "400 + o % 300",
+    "metrics.muscle_mass_kg": "375 + o % 300",
+    "metrics.tbw_kg": "250 + o % 200",
+    "metrics.tbw_percent": "450 + o % 150",
+    "metrics.bone_mass_kg": "20 + o % 15",
+    "metrics.bmr_kj": "50000 + 10 * (o % 300)",
+    "metrics.bmr_kcal": "12000 + 10 * (o % 70)",
+    "metrics.visceral_fat_rating": "10 * (1 + o % 12)",
+    "metrics.bmi": "180 + o % 150",
+    "metrics.ideal_body_weight_kg": "550 + o % 100",
+    "reference_ranges.fat_percent.min": "100 + o % 50",
+    "reference_ranges.fat_percent.max": "200 + o % 50",
+    "bioelectrical.6.25_khz.r_ohm": "6000 + o % 900",
+    "bioelectrical.6.25_khz.x_ohm": "-200 - o % 150",
+    "bioelectrical.50_khz.r_ohm": "5300 + o % 900",
+    "bioelectrical.50_khz.x_ohm": "-400 - o % 200",
+}
+_TENTHS = "CASE WHEN (o * 3 + n * 5 + {j}) % 5 = 0 THEN NULL ELSE ({t}) + CASE (o + n * {j}) % 11 WHEN 0 THEN 9 WHEN 1 THEN 1 ELSE 0 END END"
+_READ_TEXTS = {
+    "input.gender": "CASE WHEN (o + n) % 9 = 0 THEN NULL WHEN (o + n) % 4 = 0 THEN 'male ' WHEN (o + n) % 4 = 1 THEN 'FEMALE' ELSE 'MALE' END",
+    "date": "concat('2031-11-1', CAST(o % 9 + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR(2)))",
+    "time": "CASE WHEN n % 4 = 0 THEN NULL ELSE concat('07:0', CAST(n % 3 AS VARCHAR(2))) END",
+}
+_MEASURED = "concat({date}, 'T', coalesce({time}, '00:00'), ':00')".format(**_READ_TEXTS)
+_LISTED, _DERIVED = "(o + n + {j}) % 3 > 0", "(o + n * 7 + {j}) % 8 = 0"
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as readings of a receipt, with the columns of reports.receipts."""
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"))
+    paths = list(_READ)
+    value = {path: F.expr(_TENTHS.format(t=t, j=paths.index(path))).cast("double") / 10 for path, t in _READ.items()}
+    none = F.lit(None)
+    number = lambda path: value.get(path, none).cast("double")
+    marked = lambda test: F.array_compact(F.array(*(F.when(F.expr(test.format(j=j)), F.lit(p)) for j, p in enumerate(paths))))
+    limits = lambda path: F.struct(*(number(f"reference_ranges.{path}.{end}").alias(end) for end in ("min", "max")))
+    ohms = F.create_map(*(x for f in (parse_merge.LOW, parse_merge.HIGH) for x in (F.lit(f), F.struct(*(number(f"bioelectrical.{f}.{c}").alias(c) for c in ("r_ohm", "x_ohm"))))))
+    return lines.select(
+        "o",
+        "n",
+        *(F.expr(_READ_TEXTS.get(path, _MEASURED if path == "measured_at_local" else "CAST(NULL AS STRING)")).alias(c) for path, c in parse_merge.TEXTS.items()),
+        *(number(path).alias(c) for path, c in parse_merge.NUMBERS.items() if "." not in c),
+        limits("fat_percent").alias("fat_percent_range"),
+        limits("fat_mass_kg").alias("fat_mass_range"),
+        ohms.alias("bioelectrical"),
+        (F.expr("(n * 37 + o) % 20") / F.lit(20.0)).alias("completeness"),
+        F.array_repeat(F.lit("w"), F.expr("CAST((o + n) % 3 AS INT)")).alias("warnings"),
+        marked(_DERIVED).alias("derived_fields"),
+        marked(_LISTED).alias("review_fields"),
+    )
+
+
+def _merged_parses_sql() -> str:
+    paths = list(_READ)
+    said = ", ".join(f"{{'path': '{p}', 't': {_TENTHS.format(t=t, j=j)}, 'derived': {_DERIVED.format(j=j)}, 'listed': {_LISTED.format(j=j)}}}" for j, (p, t) in enumerate(_READ.items()))
+    texts = ", ".join(f"{{'path': '{p}', 'v': {t}}}" for p, t in ({"measured_at_local": f"CASE WHEN {_READ_TEXTS['time']} IS NOT NULL THEN {_MEASURED} END"} | _READ_TEXTS).items())
+    column = {p: p.split(".")[-1] if p.startswith(("input.", "metrics.")) else p.replace(".", "_") for p in paths}
+    pivot = ", ".join(f"max(value) FILTER (WHERE path = '{p}') AS {c}" for p, c in column.items())
+    pair = lambda what, off, fits: (
+        f"arg_min([lo, hi], ({off}, n)) FILTER (WHERE lo IS NOT NULL AND hi IS NOT NULL AND {fits}) FROM (SELECT o, n, max(v) FILTER (WHERE path = 'bioelectrical.6.25_khz.{what}') AS lo, max(v) FILTER (WHERE path = 'bioelectrical.50_khz.{what}') AS hi FROM long GROUP BY o, n) GROUP BY o"
+    )
+    sql, last = "", "wide"
+    r1 = lambda x: _R1.format(f"({x})")
+    kj, metres = "CAST(4.184 AS DOUBLE)", "(height_cm / CAST(100 AS DOUBLE))"
+    index = f"weight_kg / ({metres} * {metres})"
+    muscle = r1("ffm_kg - bone_mass_kg")
+    told = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+    rules = (
+        ("muscle_mass_kg", muscle, f"muscle_mass_kg IS NULL OR abs(muscle_mass_kg - {muscle}) > CAST(0.05 AS DOUBLE)"),
+        ("fat_mass_kg", r1("weight_kg - ffm_kg"), "fat_mass_kg IS NULL"),
+        ("fat_percent", r1("fat_mass_kg / weight_kg * 100"), "fat_percent IS NULL"),
+        ("tbw_kg", r1("weight_kg * tbw_percent / 100"), "tbw_kg IS NULL"),
+        ("tbw_percent", r1("tbw_kg / weight_kg * 100"), "tbw_percent IS NULL"),
+        ("bmr_kj", f"floor(bmr_kcal * {kj} + 0.5)", "bmr_kj IS NULL"),
+        ("bmr_kcal", f"floor(bmr_kj / {kj} + 0.5)", "bmr_kcal IS NULL"),
+        ("bmi", r1(index), "bmi IS NULL"),
+    )
+    for k, (name, value, test) in enumerate(rules):
+        warned = f"CASE WHEN _new IS NOT NULL AND abs(muscle_mass_kg - _new) > 0.5 THEN list_append(warnings, 'muscle_mass_kg was read as ' || {told('muscle_mass_kg')} || ', which contradicts other values; it is set to ' || {told('_new')} || '.') ELSE warnings END" if k == 0 else "warnings"
+        sql += f",\nw{k} AS (SELECT * EXCLUDE (_new) REPLACE (coalesce(_new, {name}) AS {name}, CASE WHEN _new IS NOT NULL THEN list_append(corrected, 'metrics.{name}') ELSE corrected END AS corrected, {warned} AS warnings) FROM (SELECT *, CASE WHEN {test} THEN {value} END AS _new FROM {last}))"
+        last = f"w{k}"
+    for k, (test, text) in enumerate((("abs(weight_kg - fat_mass_kg - ffm_kg) > 0.35", "Weight, fat mass and FFM do not reconcile; review them."), ("abs(weight_kg * fat_percent / 100 - fat_mass_kg) > 0.45", "Fat %, weight and fat mass do not reconcile; review them."), (f"abs({index} - bmi) > 0.35", "BMI does not match weight and height; review it."))):
+        sql += f",\nc{k} AS (SELECT * REPLACE (CASE WHEN {test} THEN list_append(warnings, '{text}') ELSE warnings END AS warnings) FROM {last})"
+        last = f"c{k}"
+    listed = lambda test: f"array_to_string(list_filter([{', '.join(repr(p) for p in parse_merge.PATHS)}], lambda p: {test}), ',')"
+    count = lambda names: " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in names)
+    results = [c for c in parse_merge.RESULTS if c in column.values()]
+    ohm = ", ".join(f"coalesce({w[0]}[{k}], bioelectrical_{f.replace('.', '_')}_{w}) AS {w}_{name}" for w in ("r_ohm", "x_ohm") for k, f, name in ((1, parse_merge.LOW, "low"), (2, parse_merge.HIGH, "high")))
+    return f"""WITH RECURSIVE l AS (SELECT l_orderkey AS o, l_linenumber AS n FROM lineitem),
+k AS (
+    SELECT o, n, row_number() OVER (PARTITION BY o ORDER BY ((n * 37 + o) % 20) / CAST(20 AS DOUBLE) - CAST(0.015 AS DOUBLE) * ((o + n) % 3) DESC, n) AS rank FROM l),
+u AS (SELECT o, n, rank, unnest([{said}]) AS x FROM k),
+long AS (SELECT o, n, rank, x.path AS path, CAST(x.t AS DOUBLE) / 10 AS v, x.derived AS derived, x.listed AS listed FROM u),
+{_number_vote_sql("entries AS (SELECT o AS ok, path, v, NOT derived AS o, row_number() OVER (PARTITION BY long.o, path ORDER BY rank) AS i FROM long WHERE v IS NOT NULL)", "ok, path", "CAST(0.11 AS DOUBLE)")},
+tu AS (SELECT o, n, rank, unnest([{texts}]) AS x FROM k),
+ts AS (SELECT o, x.path AS path, lower(trim(x.v)) AS same, count(*) AS n, arg_min(x.v, rank) AS v, min(rank) AS rank FROM tu WHERE x.v IS NOT NULL GROUP BY o, x.path, lower(trim(x.v))),
+tv AS (SELECT o, path, v, count(*) OVER (PARTITION BY o, path) > 1 AS conflicted FROM ts QUALIFY row_number() OVER (PARTITION BY o, path ORDER BY n DESC, rank) = 1),
+tw AS (SELECT o, {", ".join(f"max(v) FILTER (WHERE path = '{p}') AS {p.split('.')[-1]}" for p in ("measured_at_local", *_READ_TEXTS))}, coalesce(list(path) FILTER (WHERE conflicted), []) AS text_conflicts FROM tv GROUP BY o),
+best AS (SELECT o, count(*) AS candidate_count, arg_min({_MEASURED}, rank) AS best_time FROM k GROUP BY o),
+nw AS (SELECT ok AS o, {pivot}, coalesce(list(path) FILTER (WHERE n_observed = 0), []) AS unseen, coalesce(list(path) FILTER (WHERE conflicted), []) AS conflicts FROM voted GROUP BY ok),
+rp AS (SELECT o, {pair("r_ohm", "abs(lo - hi - 65)", "lo > hi").replace(" FROM (", " AS r FROM (", 1)}),
+xp AS (SELECT o, {pair("x_ohm", "abs(abs(hi) - abs(lo) - 22)", "true").replace(" FROM (", " AS x FROM (", 1)}),
+ls AS (SELECT o, list(DISTINCT path) AS listed FROM long WHERE listed GROUP BY o),
+wide AS (
+    SELECT best.o, candidate_count, coalesce(measured_at_local, best_time) AS measured_at_local, date, time, gender, nw.* EXCLUDE (o), r, x, text_conflicts, coalesce(listed, []) AS listed,
+           CAST([] AS VARCHAR[]) AS corrected, CAST([] AS VARCHAR[]) AS warnings
+    FROM best LEFT JOIN tw USING (o) LEFT JOIN nw USING (o) LEFT JOIN rp USING (o) LEFT JOIN xp USING (o) LEFT JOIN ls USING (o)){sql}
+SELECT o AS l_orderkey, measured_at_local, date, time, gender, {", ".join(c for p, c in column.items() if p.startswith(("input.", "metrics.")))},
+       reference_ranges_fat_percent_min AS fat_percent_min, reference_ranges_fat_percent_max AS fat_percent_max, {ohm},
+       ({count(reports.RECEIPT_CORE)}) / CAST(10 AS DOUBLE) AS completeness, CAST({count(results)} AS INTEGER) AS fields_found, candidate_count,
+       array_to_string(warnings, ' ') AS warnings, array_to_string(corrected, ',') AS corrected_fields,
+       {listed("list_contains(unseen, p) OR list_contains(corrected, p)")} AS derived_fields,
+       {listed("(list_contains(conflicts, p) OR list_contains(text_conflicts, p)) AND regexp_matches(p, '^(metrics|input|bioelectrical)[.]')")} AS conflicted_fields,
+       {listed("p = 'measured_at_local' OR list_contains(listed, p)")} AS review_fields
+FROM {last}"""
+
+
+@query(_merged_parses_sql())
+def merged_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as readings of one receipt that see, derive, miss and misread its fields."""
+    rows = parse_merge.merged(_readings(spark, sf_dir), "o", "n")
+    ohm = lambda f, c: F.try_element_at("bioelectrical", F.lit(f))[c]
+    joined = lambda c, by=",": F.array_join(c, by).alias(c)
+    numbers = [path.split(".")[-1] for path in _READ if path.startswith(("input.", "metrics."))]
+    return rows.select(
+        F.col("o").alias("l_orderkey"), "measured_at_local", "date", "time", "gender", *numbers,
+        F.col("fat_percent_range.min").alias("fat_percent_min"), F.col("fat_percent_range.max").alias("fat_percent_max"),
+        *(ohm(f, c).alias(f"{c}_{name}") for c in ("r_ohm", "x_ohm") for f, name in ((parse_merge.LOW, "low"), (parse_merge.HIGH, "high"))),
+        "completeness", "fields_found", "candidate_count", joined("warnings", " "), *(joined(f"{c}_fields") for c in ("corrected", "derived", "conflicted", "review")),
+    )
+
+
 @query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount - CAST(0.015 AS DOUBLE) * l_quantity DESC, l_linenumber) AS candidate_rank FROM lineitem""")
 def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = consensus.ranked(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_discount", "l_quantity", "l_linenumber")
@@ -462,8 +620,8 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT (o_custkey % 10 = 3 AND strftime(o_orderdate, '%Y-%m') = '1996-03')")
 def delete_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletes ids from the one month that they name; the same id in another month stays."""
-    month = F.date_format("o_orderdate", "yyyy-MM")
-    return _t(spark, sf_dir, "orders").where(~((month == "1996-03") & (F.col("o_custkey") % 10 == 3))).select("o_orderkey", "o_custkey")
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("1996-03:"), F.col("o_custkey").cast("string")).alias("id"), F.date_format("o_orderdate", "yyyy-MM").alias("period"))
+    return store.without(orders, orders.where("o_custkey % 10 = 3").select("id")).select("o_orderkey", "o_custkey")
 
 
 @query("""SELECT event_id, user_id, avg(CASE WHEN value > 50 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS fraction FROM events""")

@@ -3,7 +3,7 @@ import zipfile
 
 import pytest
 
-from somalog.sources import health_export, store
+from somalog.sources import commits, health_export, store
 
 STRENGTH, HR, KCAL = health_export.STRENGTH, health_export.HEART_RATE, health_export.ENERGY
 
@@ -123,6 +123,101 @@ def test_store(spark, tmp_path):
     assert store.clear(spark, root) == 2 and store.read(spark, root).count() == 0
 
 
+def interfering(monkeypatch, others):
+    """Before each claim of a version but theirs, the next of others runs, if any is left."""
+    claim, inside = commits.put_if_absent, []
+
+    def late(*args):
+        if others and not inside:
+            inside.append(1)
+            others.pop(0)()
+            inside.pop()
+        return claim(*args)
+
+    monkeypatch.setattr(commits, "put_if_absent", late)
+    monkeypatch.setattr(store, "WAIT_MS", 1)
+
+
+def test_interleaved_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "logs")
+    one, two = batch(spark, body("a", "2031-05-01", "f1", 1)), batch(spark, body("b", "2031-05-02", "f2", 2), body("a", "2031-05-01", "f1", 9))
+    interfering(monkeypatch, [lambda: store.save(spark, root, two)])
+    assert store.save(spark, root, one) == 1  # merged again, after the other
+    assert stored(spark, root) == [("2031-05", "a", 1), ("2031-05", "b", 2)]
+    other = batch(spark, body("c", "2031-06-01", "f3", 3))
+    others = [lambda: store.save(spark, root, other), lambda: store.delete(spark, root, "b")]
+    interfering(monkeypatch, others)
+    assert store.save(spark, root, batch(spark, body("d", "2031-05-07", "f4", 4))) == 1
+    assert stored(spark, root) == [("2031-05", "a", 1), ("2031-05", "d", 4), ("2031-06", "c", 3)]
+    assert [store.read(spark, root, v).count() for v in range(6)] == [0, 2, 2, 3, 2, 3]
+
+
+def test_writers_of_other_months_need_no_second_merge(spark, tmp_path, monkeypatch):
+    root, merges = str(tmp_path / "logs"), []
+    merged = store._merged
+    monkeypatch.setattr(store, "_merged", lambda *args: merges.append(1) or merged(*args))
+    interfering(monkeypatch, [lambda k=k: store.save(spark, root, batch(spark, body(f"x{k}", f"2031-1{k}-01", f"g{k}", k))) for k in range(2)])
+    assert store.save(spark, root, batch(spark, body("a", "2031-05-01", "f1", 1))) == 1
+    assert len(merges) == 3 and [r[1] for r in stored(spark, root)] == ["a", "x0", "x1"]
+
+
+def test_writers_give_up_after_three_attempts(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "logs")
+    interfering(monkeypatch, [lambda k=k: commits.commit(spark, root, commits.newest(spark, root), {"2031-05": f"data/write=w{k}/period=2031-05"}, f"w{k}") for k in range(3)])
+    monkeypatch.setattr(store, "_of", lambda spark, root, manifest: spark.createDataFrame([], store.STORED))
+    with pytest.raises(commits.Conflict):
+        store.save(spark, root, batch(spark, body("a", "2031-05-01", "f1", 1)))
+    assert commits.newest(spark, root).write == "w2" and store.vacuum(spark, root, keep_ms=-1) == 0
+
+
+def test_a_failure_midway_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "logs")
+    store.save(spark, root, batch(spark, body("a", "2031-05-01", "f1", 1)))
+    before = stored(spark, root)
+
+    def crash(*_):
+        raise MemoryError("the driver is gone")
+
+    monkeypatch.setattr(commits, "put_if_absent", crash)
+    for change in (lambda: store.save(spark, root, batch(spark, body("a", "2031-05-01", "f1", 2))), lambda: store.clear(spark, root), lambda: store.delete(spark, root, "a")):
+        with pytest.raises(MemoryError):
+            change()
+        assert stored(spark, root) == before
+    monkeypatch.undo()
+    assert store.vacuum(spark, root) == 0 and store.vacuum(spark, root, keep_ms=-1) == 3 and stored(spark, root) == before
+
+
+def test_a_claim_that_failed_after_it_was_made_counts(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "logs")
+    claim = commits.put_if_absent
+
+    def unsure(*args):
+        claim(*args)
+        return spark.sparkContext._jvm.java.nio.file.Files.size(spark.sparkContext._jvm.java.io.File("/nowhere").toPath())  # an I/O error
+
+    monkeypatch.setattr(commits, "put_if_absent", unsure)
+    assert store.save(spark, root, batch(spark, body("a", "2031-05-01", "f1", 1))) == 1
+    assert stored(spark, root) == [("2031-05", "a", 1)]
+
+
+@pytest.mark.parametrize("scheme", ["file", "other"])
+def test_a_file_is_put_only_once(spark, tmp_path, monkeypatch, scheme):
+    path = f"{tmp_path}/m/1.json"
+    if scheme == "other":  # as on file systems whose rename refuses names that are taken
+        inner = commits._fs
+
+        class Named:
+            def __init__(self, fs):
+                self.fs = fs
+
+            def __getattr__(self, name):
+                return (lambda: "other") if name == "getScheme" else getattr(self.fs, name)
+
+        monkeypatch.setattr(commits, "_fs", lambda spark, p: (lambda target, fs: (target, Named(fs)))(*inner(spark, p)))
+    assert commits.put_if_absent(spark, path, "one") and not commits.put_if_absent(spark, path, "two")
+    assert commits._text(spark, path) == "one" and list(commits.children(spark, f"{tmp_path}/m")) == ["1.json"]
+
+
 def test_older_month_wins_an_id(spark, tmp_path):
     root = str(tmp_path / "logs")
     store.save(spark, root, batch(spark, body("x", "2031-05-01", "f1", 1), body("y", "2031-05-02", "f2", 2)))
