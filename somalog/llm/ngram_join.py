@@ -21,7 +21,11 @@ prefix costs postings and asks more of a pair before it is compared: each text p
   the postings to read, and the candidates to verify, which are at most the postings by l. The
   lists of posted shingles give the pairs of different components and fitting sizes; pairs with
   min(l, k) posted shingles in common are verified exactly, the best of each two components first.
-  Lists over `block` sets are dealt to tasks as pairs of blocks.
+* Crowds: a set whose prefix would reach a list of over `crowd` sets takes l = 1, and brings its
+  shingles along to such lists. There an index of the shingles counts what each set has in common
+  with all others at once, so pairs are decided in place, and only links that join components
+  leave the task. What a list holds of its largest component, which may be most of it, is dealt to tasks
+  in blocks, once; only the others' blocks go to all of them.
 
 The result is exact but for collisions of 64-bit shingle hashes; no list, partner or candidate has
 a cap.
@@ -53,7 +57,9 @@ from somalog.llm.substring import rolling
 SHINGLE, PERCENT = 4, 85
 #: The screen's l is this part of a set.
 SCREEN_PART = 10
-FIRST, LIST_ROWS, STANDING, BLOCK = 2, 1024, 8, 1024
+FIRST, LIST_ROWS, STANDING = 2, 1024, 8
+#: Lists of more sets than CROWD are decided in place, in blocks of so many shingles.
+CROWD, BLOCK = 64, 1 << 20
 #: What verifying a candidate costs, in postings read.
 VERIFY = 32
 #: So many texts' sets leave a task at once; so many posted shingles are settled together.
@@ -263,7 +269,10 @@ def first_links(sets: Sets, percent: int) -> DataFrame:
     return met.select("token", "part", "sid", "items").mapInArrow(_linked(percent), "a long, b long")
 
 
-def _weighed(percent: int, verify: float):
+_POSTING = "token long, df long, sid long, component long, n long, level long"
+
+
+def _weighed(percent: int, verify: float, crowd: int):
     """Rows (sid, component, n, counts: (df, token) sorted) to postings of each set's prefix."""
 
     def run(batches):
@@ -273,10 +282,13 @@ def _weighed(percent: int, verify: float):
             flat, ends = batch.column("counts").flatten(), np.cumsum(np.append(0, np.diff(batch.column("counts").offsets.to_numpy())))
             df, token = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("df", "token"))
             for k, n in enumerate(sizes):
-                level, posted = prefix_level(df[ends[k] : ends[k + 1]], n, percent, verify)
+                own = df[ends[k] : ends[k + 1]]
+                level, posted = prefix_level(own, n, percent, verify)
+                if posted and own[posted - 1] > crowd:
+                    level, posted = 1, posted - level + 1
                 if posted:
-                    own = slice(ends[k], ends[k] + posted)
-                    out.append((token[own], df[own], *(np.full(posted, v, np.int64) for v in (sids[k], homes[k], n, level))))
+                    at = slice(ends[k], ends[k] + posted)
+                    out.append((token[at], df[at], *(np.full(posted, v, np.int64) for v in (sids[k], homes[k], n, level))))
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "df", "sid", "component", "n", "level"])
 
@@ -298,35 +310,99 @@ def prefix_level(df: np.ndarray, n: int, percent: int, verify: float = VERIFY) -
 
 
 def _candidates(percent: int):
-    """Rows (token, x, y, block, sid, component, n, level) sorted by (token, x, y), of two blocks of
-    a list, to pairs (a, b, need) of different components and fitting sizes."""
-
-    def pairs(parts, two: bool):
-        block, sid, home, n, level = (np.concatenate(x) for x in zip(*parts, strict=True))
-        apart = home[:, None] != home[None]
-        if two:  # pairs inside a block have a place of their own
-            apart &= block[:, None] != block[None]
-        i, j = np.nonzero(np.triu(apart, 1))
+    """Rows (token, sid, component, n, level) sorted by token to pairs (a, b, need) of different
+    components and fitting sizes."""
+
+    def pairs(parts):
+        sid, home, n, level = (np.concatenate(x) for x in zip(*parts, strict=True))
+        i, j = np.nonzero(np.triu(home[:, None] != home[None], 1))
         fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
         i, j = i[fits], j[fits]
         if len(i):
             a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
             yield pa.record_batch([pa.array(x) for x in (a, b, np.minimum(level[i], level[j]))], names=["a", "b", "need"])
 
+    def run(batches):
+        at, held = None, []
+        for key, rows in _runs(batches, ["token"]):
+            if key != at:
+                if held:
+                    yield from pairs(held)
+                at, held = key, []
+            held.append([rows.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "component", "n", "level")])
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def joining_links(sid: np.ndarray, home: np.ndarray, items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (sid, sid) that join different homes: a forest of all links between them. Shingles
+    are indexed, so one pass over a set's lists counts what it has in common with every other."""
+    n = np.array([len(x) for x in items])
+    ends = np.cumsum(np.append(0, n))
+    _, ids = np.unique(np.concatenate(items), return_inverse=True)
+    rows = np.repeat(np.arange(len(n)), n)[np.argsort(ids, kind="stable")]
+    sizes = np.bincount(ids)
+    starts = np.cumsum(np.append(0, sizes))
+    _, label, members = np.unique(home, return_inverse=True, return_counts=True)
+    out, largest = [], members.argmax()
+    for a in np.nonzero(label != largest)[0].tolist():  # pairs inside the largest are joined already
+        own = ids[ends[a] : ends[a + 1]]
+        many = sizes[own]
+        places = np.repeat(starts[own] - np.cumsum(np.append(0, many[:-1])), many) + np.arange(many.sum())
+        both = np.bincount(rows[places], minlength=len(n))
+        near = np.nonzero(100 * both >= percent * (n[a] + n - both))[0]
+        others, first = np.unique(label[near], return_index=True)
+        for other, b in zip(others.tolist(), near[first].tolist(), strict=True):
+            if other != label[a]:
+                out.append((int(sid[a]), int(sid[b])))
+        label[np.isin(label, others)] = label[a]
+    return out
+
+
+def _crowded(percent: int):
+    """Rows (token, x, y, sid, component, items) sorted by (token, x, y), of two blocks of a list,
+    to links (a, b)."""
+
+    def links(parts):
+        sid, home = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        found = joining_links(sid, home, [x for p in parts for x in p[2]], percent) if (home != home[0]).any() else []
+        if found:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
     def run(batches):
         at, held = None, []
         for key, rows in _runs(batches, ["token", "x", "y"]):
             if key != at:
                 if held:
-                    yield from pairs(held, at[1] != at[2])
+                    yield from links(held)
                 at, held = key, []
-            held.append([rows.column(c).to_numpy(zero_copy_only=False) for c in ("block", "sid", "component", "n", "level")])
+            ends = np.cumsum(np.append(0, np.diff(rows.column("items").offsets.to_numpy())))
+            items = np.split(rows.column("items").flatten().to_numpy().view(np.uint64).copy(), ends[1:-1])
+            held.append((*(rows.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "component")), items))
         if held:
-            yield from pairs(held, at[1] != at[2])
+            yield from links(held)
 
     return run
 
 
+def crowded_links(prefixes: DataFrame, items: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between components among the sets of long lists."""
+    parts = prefixes.groupBy("token", "component").agg(F.sum("n").alias("shingles"))
+    lists = parts.groupBy("token").agg(F.max(F.struct("shingles", "component")).alias("largest"), F.sum("shingles").alias("all"), F.count(F.lit(1)).alias("components"))
+    up = lambda x: F.ceil(x / block)
+    lists = lists.where("components > 1").select("token", F.col("largest.component").alias("largest"), up(F.col("all") - F.col("largest.shingles")).alias("others"), up(F.col("largest.shingles")).alias("blocks"))
+    dealt = prefixes.join(lists, "token").withColumn("in_largest", F.col("component") == F.col("largest"))
+    own = F.pmod(F.xxhash64("sid"), F.when(F.col("in_largest"), F.col("blocks")).otherwise(F.col("others"))) + F.when(F.col("in_largest"), F.col("others")).otherwise(F.lit(0))
+    last = F.when(F.col("in_largest"), F.col("others")).otherwise(F.col("others") + F.col("blocks")) - 1
+    placed = dealt.select("token", "sid", "component", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    placed = placed.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sid", "component")
+    order = ["token", "x", "y"]
+    met = placed.join(items, "sid").repartition(*order).sortWithinPartitions(*order)
+    return met.select(*order, "sid", "component", "items").mapInArrow(_crowded(percent), "a long, b long")
+
+
 def _verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that have the similarity."""
 
@@ -346,8 +422,8 @@ def with_component(rows: DataFrame, known: DataFrame, name: str = "sid", to: str
     return rows.join(home, name, "left").withColumn(to, F.coalesce(to, name))
 
 
-def candidates(sets: Sets, known: DataFrame, percent: int, verify: float = VERIFY, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b, shared) of sets of different components that their prefixes leave open."""
+def prefixes(sets: Sets, known: DataFrame, percent: int, verify: float = VERIFY, crowd: int = CROWD) -> DataFrame:
+    """The postings that each set with possible partners in other components picks."""
     placed = with_component(sets.held, known)
     posted = placed.select("sid", "component", "n", F.explode("tokens").alias("token"))
     crossing = lambda posted, *more: posted.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), *more).where("low != high").drop("low", "high")
@@ -356,13 +432,14 @@ def candidates(sets: Sets, known: DataFrame, percent: int, verify: float = VERIF
     whole = open_.join(sets.items, "sid").select("sid", "component", "n", F.explode("items").alias("token"))
     counted = crossing(whole, F.count(F.lit(1)).alias("df"))
     counts = whole.join(counted, "token").groupBy("sid", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("counts"))
-    prefixes = counts.mapInArrow(_weighed(percent, verify), "token long, df long, sid long, component long, n long, level long")
-    blocks = F.ceil(F.col("df") / block)  # df is the same for all of a list, and no less than its rows
-    own = prefixes.withColumn("block", F.pmod(F.xxhash64("sid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = own.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sid", "component", "n", "level")
-    order = ["token", "x", "y"]
-    met = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_candidates(percent), "a long, b long, need long")
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need").drop("need")
+    return counts.mapInArrow(_weighed(percent, verify, crowd), _POSTING)
+
+
+def candidates(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, shared) of sets of different components that short lists leave open."""
+    met = postings.select("token", "sid", "component", "n", "level").repartition("token").sortWithinPartitions("token")
+    pairs = met.mapInArrow(_candidates(percent), "a long, b long, need long")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need").drop("need")
 
 
 def _stars(known: DataFrame) -> DataFrame:
@@ -370,31 +447,37 @@ def _stars(known: DataFrame) -> DataFrame:
     return known.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def completed(sets: Sets, known: DataFrame, percent: int, verify: float = VERIFY, block: int = BLOCK) -> DataFrame:
+def completed(sets: Sets, known: DataFrame, percent: int, verify: float = VERIFY, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """(node, component) of sets after all links between the components known."""
-    pairs, _ = write(candidates(sets, known, percent, verify, block))
+    posted, _ = write(prefixes(sets, known, percent, verify, crowd))
+    pairs, _ = write(candidates(posted.where(F.col("df") <= crowd), percent))
+    known = _joined(known, crowded_links(posted.where(F.col("df") > crowd), sets.items, percent, block))
     for best_only in (True, False):
         open_ = with_component(with_component(pairs, known, "a", "home_a"), known, "b", "home_b").where("home_a != home_b")
         if best_only:  # if it holds, what is left between the two needs no comparing
             two = [F.least("home_a", "home_b").alias("p"), F.greatest("home_a", "home_b").alias("q")]
             open_ = open_.groupBy(*two).agg(F.max(F.struct("shared", "a", "b")).alias("best")).select("best.a", "best.b")
-        found, _ = write(_verified(open_, sets.items, percent))
-        if not found.isEmpty():
-            known = components(found.union(_stars(known)))
+        known = _joined(known, _verified(open_, sets.items, percent))
     return known
 
 
-def components_of(sets: Sets, percent: int, first: Callable[[Sets, int], DataFrame] = first_links, verify: float = VERIFY, block: int = BLOCK) -> DataFrame:
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    found, _ = write(links)
+    return known if found.isEmpty() else components(found.union(_stars(known)))
+
+
+def components_of(sets: Sets, percent: int, first: Callable[[Sets, int], DataFrame] = first_links, **parameters) -> DataFrame:
     """(node, component) of all sets that link to others. `first` finds links; what it misses is
     found after it."""
-    return completed(sets, components(first(sets, percent)), percent, verify, block)
+    return completed(sets, components(first(sets, percent)), percent, **parameters)
 
 
-def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, verify: float = VERIFY, block: int = BLOCK) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, **parameters) -> DataFrame:
     """(doc_id, n_shingles, component_id): the size of each document's set, and the smallest doc_id
     that a chain of links reaches."""
     sets = screened(docs, percent, shingle)
-    homes = with_component(sets.sets, components_of(sets, percent, verify=verify, block=block))
+    homes = with_component(sets.sets, components_of(sets, percent, **parameters))
     least = homes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = homes.join(least, "component").select("set", "component_id")
     joined = sets.rows.join(named, "set", "left")

@@ -75,10 +75,10 @@ def test_nothing_is_left_to_the_first_links(spark, monkeypatch):
     """Without first links the prefixes alone find all, in lists of several blocks, at any cost."""
     rows = some_rows(3, groups=6)
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA)
-    for percent, verify, block in ((85, 0.0, 3), (85, 1e6, 1000), (70, 32.0, 16)):
+    for percent, verify, crowd, block in ((85, 0.0, 1000, 1), (85, 1e6, 2, 700), (70, 32.0, 4, 100_000)):
         sets = ngram_join.screened(docs, percent, 4)
         none = sets.held.selectExpr("sid AS a", "sid AS b").limit(0)
-        known = ngram_join.components_of(sets, percent, first=lambda *_: none, verify=verify, block=block)
+        known = ngram_join.components_of(sets, percent, first=lambda *_: none, verify=verify, crowd=crowd, block=block)
         homes = {r.sid: r.component for r in ngram_join.with_component(sets.sets, known).collect()}
         least = {}
         for r in sets.sets.collect():
@@ -109,6 +109,28 @@ def test_group_of_near_copies_is_one_component(spark):
     assert {r[2] for r in got(spark, rows)} == {0}
 
 
+def test_crowds_are_joined_in_place():
+    rng = np.random.default_rng(1)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 100 - k % 12, replace=False), rng.integers(1000, 2000, k % 12).astype(np.uint64)])) for k in range(150)]
+    home = np.array([k if k % 3 else 0 for k in range(150)])
+    parent = {h: h for h in home.tolist()}
+
+    def root(h):
+        while parent[h] != h:
+            h = parent[h]
+        return h
+
+    links = ngram_join.joining_links(np.arange(150), home, sets, 85)
+    assert len(links) < len(set(home.tolist()))
+    for a, b in links:
+        assert ngram_join.similar(sets[a], sets[b], 85) and root(home[a]) != root(home[b])
+        parent[root(home[a])] = root(home[b])
+    for a in range(150):
+        for b in range(a):
+            assert root(home[a]) == root(home[b]) or not ngram_join.similar(sets[a], sets[b], 85)
+
+
 def test_prefixes_grow_where_lists_are_long():
     rare, common = np.array([1] * 10 + [2] * 90), np.array([1] * 10 + [5000] * 90)
     level = lambda df, verify=32.0: ngram_join.prefix_level(df, 100, 85, verify)
