@@ -1,9 +1,10 @@
 """As-of containment join: each sample goes to the session that started last, if it still runs.
 
-Sessions are turned into disjoint intervals first: each ends where the next one starts. So a
-sample is in one interval at most, and the join needs no sort of candidates. Intervals are then
-cut at fixed time buckets, which makes the join an equi-join on (entity, bucket): it shuffles
-evenly, whether there are many entities, one that holds most rows, or none.
+Only the last start matters, not how long sessions run, so samples and sessions are sorted by
+time together, inside chunks of time of an entity, and every sample takes the last session before it
+there. Where a chunk has none before the sample, it is the last session of an earlier chunk, which a
+table with a row a chunk carries over. So a session is one row, whatever its length; a sample is
+shuffled once; and no task holds all of an entity, be it one that has most rows, or the only one.
 """
 
 from __future__ import annotations
@@ -31,18 +32,24 @@ def with_next_start(sessions: DataFrame, by: Sequence[str], start: str, order: s
     return chunked.join(firsts, keys).withColumn("next_start", F.coalesce(F.lead(start).over(inside), F.col("_later"))).drop("_chunk", "_later")
 
 
-def attach(samples: DataFrame, sessions: DataFrame, by: Sequence[str], at: str, start: str, end: str, order: str, tolerance_ms: int = 1000, bucket_ms: int = HOUR) -> DataFrame:
+def attach(samples: DataFrame, sessions: DataFrame, by: Sequence[str], at: str, start: str, end: str, order: str, tolerance_ms: int = 1000, chunk_ms: int = HOUR) -> DataFrame:
     """Inner join of samples to the last session with start <= at, if at <= end + tolerance.
 
     Times are milliseconds. Ties of starts go to the greatest `order`. A session that started
     earlier and runs longer is not considered. Names must not clash but for `by`.
     """
-    last = F.least(F.col(end) + tolerance_ms, F.coalesce(F.col("next_start") - 1, F.col(end) + tolerance_ms))
-    pieces = (
-        with_next_start(sessions.where(F.col(start).isNotNull() & F.col(end).isNotNull()), by, start, order)
-        .withColumn("_last", last)
-        .where(F.col("_last") >= F.col(start))
-        .withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket_ms), F.floor(F.col("_last") / bucket_ms))))
-    )
-    dealt = samples.where(F.col(at).isNotNull()).withColumn("_bucket", F.floor(F.col(at) / bucket_ms))
-    return dealt.join(pieces, [*by, "_bucket"]).where(F.col(at).between(F.col(start), F.col("_last"))).drop("_bucket", "_last", "next_start")
+    known = lambda rows, *names: rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*by, *names)))
+    packed = lambda rows: F.struct(*(F.col(f"`{c}`") for c in rows.columns if c not in by))
+    begun = known(sessions, start, end).select(*by, F.col(start).alias("_t"), F.col(order).alias("_o"), packed(sessions).alias("_session"))
+    taken = known(samples, at).select(*by, F.col(at).alias("_t"), packed(samples).alias("_sample"))
+    both = taken.unionByName(begun, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("_t") / chunk_ms))
+    keys = [*by, "_chunk"]
+
+    lasts = both.groupBy(*keys).agg(F.max_by("_session", F.when(F.col("_session").isNotNull(), F.struct("_t", "_o"))).alias("_last"))
+    earlier = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
+    carried = lasts.select(*keys, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+
+    sofar = Window.partitionBy(*keys).orderBy("_t", F.col("_session").isNull(), "_o").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_seen", F.last("_session", ignorenulls=True).over(sofar)).where("_sample IS NOT NULL")
+    found = seen.join(carried, keys).select(*by, "_sample", F.coalesce("_seen", "_carried").alias("_session"))
+    return found.where(F.col(f"_sample.{at}") <= F.col(f"_session.{end}") + tolerance_ms).select(*by, "_sample.*", "_session.*")

@@ -90,6 +90,12 @@ def asof_global_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.statistics(sessions.distinct_samples(matched, "session_id", "at", None, "value"), "session_id")
 
 
+@query(f"""WITH {_KEYED} SELECT session_id, user_id, next_ms AS next_start FROM n""")
+def next_session_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _session_rows(_t(spark, sf_dir, "events"))
+    return asof.with_next_start(rows, ["user_id"], "start_ms", "session_id").select("session_id", "user_id", "next_start")
+
+
 @query(f"""WITH {_KEYED}
 SELECT m.session_id, m.event_id, m.user_id, m.at_ms - s.start_ms AS offset_ms FROM m JOIN s USING (session_id)""")
 def asof_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,10 +33,24 @@ def test_asof_against_plain(spark, seed):
     points = spark.createDataFrame(samples, "u long, at long, s long")
     got = asof.attach(points, table, ["u"], "at", "start", "end", "pos")
     assert sorted((r.s, r.pos) for r in got.collect()) == plain_asof(rows, samples)
-    one = asof.attach(points.drop("u"), table.drop("u"), [], "at", "start", "end", "pos", bucket_ms=10 * hour)
+    one = asof.attach(points.drop("u"), table.drop("u"), [], "at", "start", "end", "pos", chunk_ms=10 * hour)
     assert sorted((r.s, r.pos) for r in one.collect()) == plain_asof([(0, *r[1:]) for r in rows], [(0, *s[1:]) for s in samples])
 
 
+def test_asof_long_sessions_and_nulls(spark):
+    """A session of ten million hours is one row; nulls take no part; ties of starts over chunks."""
+    hour = asof.HOUR
+    sessions = [("a", 0, 10**7 * hour, 1), ("b", 5, 6, 2), ("b", 5, 10**7 * hour, 3), (None, 0, 10**7 * hour, 4), ("c", None, 9, 5), ("c", 0, None, 6)]
+    samples = [("a", 9 * 10**6 * hour, 1), ("a", 10**7 * hour + 1000, 2), ("a", 10**7 * hour + 1001, 3), ("a", -1, 4), ("b", 7 * hour, 5), ("b", 5, 6), (None, 5, 7), ("c", 5, 8), ("a", None, 9), ("d", 5, 10)]
+    table = spark.createDataFrame(sessions, "u string, start long, end long, pos long")
+    points = spark.createDataFrame(samples, "u string, at long, s long")
+    got = asof.attach(points, table, ["u"], "at", "start", "end", "pos")
+    assert sorted((r.s, r.pos) for r in got.collect()) == [(1, 1), (2, 1), (5, 3), (6, 3)] and got.columns == ["u", "at", "s", "start", "end", "pos"]
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    assert asof.attach(points.limit(0), table, ["u"], "at", "start", "end", "pos").count() == 0
+    assert asof.attach(points, table.limit(0), ["u"], "at", "start", "end", "pos").count() == 0
+
+
 def plain_merge(rows):
     kept = [r for r in rows if not r[1]]
     for r in rows:
