@@ -15,6 +15,10 @@ the ordinary one is filled up to the same length, so whatever is ordinary is fou
 same distance. Every window starts with a marker that both dictionaries hold, which keeps
 zstandard from storing short windows raw.
 
+Words of fewer than four bytes can't tell (STEMS are the lengths of beginnings), and of longer ones
+only the beginning does. The dictionaries are fitted on bounded counts: the STEMS_KEPT most frequent
+telling beginnings, and the WORDS most frequent words of ordinary text.
+
 Labels are learned from a sample of at most `per_class` documents of each class, taken by hash of
 doc_id from the rows that are not held out. A text and its near copies in the sample count once
 (of copies, the text of least hash). Everything is scored, whole texts.
@@ -29,7 +33,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +48,7 @@ from pyspark.sql import types as T
 from somalog.llm.common import cut, free
 
 PER_CLASS, STEMS, WINDOW, BASE_BYTES = 4000, range(4, 9), 8, 16_000
+#: At most so many telling beginnings, and so many of the most frequent words of either kind, are learned.
 STEMS_KEPT, WORDS, FOLDS = 2000, 20_000, 5
 #: A telling stem is in this share of toxic documents at least, its log odds are higher by ODDS,
 #: and its likelihood ratio statistic rules out chance among some 100,000 stems.
@@ -116,18 +121,32 @@ def _samples(counts: dict[bytes, int], least: int, most: int, rng: random.Random
     return out
 
 
-def _counted(texts: DataFrame, of) -> DataFrame:
-    """(item, toxic, n): how often of(text) yields an item, summed in each batch first."""
+def _counted(texts: DataFrame, of, variants: Sequence[int | None]) -> DataFrame:
+    """(item, variant, toxic, ordinary): in how many of each label's texts, or how often, of(text,
+    variant) yields an item. A variant leaves out the texts of its fold, None (written -1) no text. Where
+    of doesn't depend on the variant, texts are read once and a fold is taken from the whole."""
+    names = {v: -1 if v is None else v for v in variants}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for label, part in batch.groupby("toxic"):
-                found = Counter()
+            for (label, fold), part in batch.groupby(["toxic", "fold"]):
+                found: dict[int, Counter] = {}
                 for text in part["text"]:
-                    found.update(of(text))
-                yield pd.DataFrame({"item": list(found), "toxic": label, "n": list(found.values())})
+                    for variant, items in of(text):
+                        if variant is None or variant != fold:
+                            found.setdefault(names.get(variant, -1), Counter()).update(items)
+                for variant, counts in found.items():
+                    yield pd.DataFrame({"item": list(counts), "variant": variant, "fold": fold, "toxic": label, "n": list(counts.values())})
+
+    of_label = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0))
+    return texts.mapInPandas(run, "item binary, variant int, fold int, toxic int, n long").groupBy("item", "variant", "fold").agg(of_label(1).alias("toxic"), of_label(0).alias("ordinary"))
+
 
-    return texts.mapInPandas(run, "item binary, toxic int, n long").groupBy("item").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("ordinary"))
+def _without_folds(counts: DataFrame, folds: Sequence[int]) -> DataFrame:
+    """(item, variant, toxic, ordinary) of all folds (-1), and of all but each, from counts by fold."""
+    whole = counts.groupBy("item").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary")), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("toxic", "ordinary")))).alias("of"))
+    left = lambda v: F.struct(F.lit(v).alias("variant"), *((F.col(c) - F.coalesce(F.try_element_at("of", F.lit(v))[c], F.lit(0))).alias(c) for c in ("toxic", "ordinary")))
+    return whole.select("item", F.inline(F.array(*map(left, (-1, *folds)))))
 
 
 def _trained(samples: list[bytes], size: int, k: int = 24) -> bytes:
@@ -201,22 +220,33 @@ def _sampled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFr
     return cut(texts.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))), n
 
 
-def _dictionaries(learned: DataFrame) -> tuple[bytes, bytes, bytes] | None:
-    """The toxic and the ordinary dictionary, and the marker; None without texts of both classes."""
-    size = {r.toxic: r.n for r in learned.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(size) < 2:
-        return None
-    stems = _counted(learned, lambda text: {g for w in set(_words(text)) for g in _stems(w)})
-    p, q, share = F.col("toxic").cast("double"), F.col("ordinary").cast("double"), size[1] / (size[0] + size[1])
-    odds = F.log((p + 0.5) / (size[1] + 1)) - F.log((q + 0.5) / (size[0] + 1))
-    surprise = 2 * (p * F.log(p / ((p + q) * share)) + F.when(q > 0, q * F.log(q / ((p + q) * (1 - share)))).otherwise(0.0))
-    chosen = stems.where((p >= max(3.0, RARE * size[1])) & (odds > ODDS)).where(surprise > SURPRISE)
-    telling = frozenset(bytes(r.item) for r in chosen.orderBy(F.desc("toxic"), "item").limit(STEMS_KEPT).collect())
-    words = _counted(learned.where("toxic = 1"), lambda text: _beginnings(text, telling))
-    of_toxic = {bytes(r.item): r.toxic for r in words.orderBy(F.desc("toxic"), "item").limit(WORDS).collect()}
-    words = _counted(learned.where("toxic = 0"), _words)
-    of_ordinary = {bytes(r.item): r.ordinary for r in words.orderBy(F.desc("ordinary"), "item").limit(WORDS).collect()}
-
+def _dictionaries(learned: DataFrame, folds: Sequence[int] = ()) -> dict[int | None, tuple[bytes, bytes, bytes]]:
+    """The toxic and the ordinary dictionary, and the marker: of all texts (None), and for each of
+    folds of the others. Without texts of both classes there are none. Each count is one pass over
+    the texts, of all variants."""
+    sizes = {(r.toxic, r.fold): r.n for r in learned.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = {v: [sum(n for (c, f), n in sizes.items() if c == label and f != v) for label in (0, 1)] for v in (-1, *folds)}
+    usable = [v for v, n in size.items() if all(n)]
+    if not usable:
+        return {}
+    stems = cut(_without_folds(_counted(learned, lambda text: [(None, {g for w in set(_words(text)) for g in _stems(w)})], [None]), folds))
+    telling = {}
+    for v in usable:
+        p, q, (n0, n1) = F.col("toxic").cast("double"), F.col("ordinary").cast("double"), size[v]
+        share = n1 / (n0 + n1)
+        odds = F.log((p + 0.5) / (n1 + 1)) - F.log((q + 0.5) / (n0 + 1))
+        surprise = 2 * (p * F.log(p / ((p + q) * share)) + F.when(q > 0, q * F.log(q / ((p + q) * (1 - share)))).otherwise(0.0))
+        chosen = stems.where(F.col("variant") == v).where((p >= max(3.0, RARE * n1)) & (odds > ODDS)).where(surprise > SURPRISE)
+        telling[v] = frozenset(bytes(r.item) for r in chosen.orderBy(F.desc("toxic"), "item").limit(STEMS_KEPT).collect())
+
+    beginnings = cut(_counted(learned.where("toxic = 1"), lambda text: [(v, _beginnings(text, known)) for v, known in telling.items()], usable).groupBy("item", "variant").agg(F.sum("toxic").alias("n")))
+    words = cut(_without_folds(_counted(learned.where("toxic = 0"), lambda text: [(None, _words(text))], [None]), folds))
+    most = lambda rows, v, c: {bytes(r.item): r.n for r in rows.where((F.col("variant") == v) & (F.col(c) > 0)).orderBy(F.desc(c), "item").limit(WORDS).select("item", F.col(c).alias("n")).collect()}
+    return {None if v == -1 else v: _from_counts(most(beginnings, v, "n"), most(words, v, "ordinary")) for v in usable}
+
+
+def _from_counts(of_toxic: dict[bytes, int], of_ordinary: dict[bytes, int]) -> tuple[bytes, bytes, bytes]:
+    """The dictionaries of counted beginnings and words, and their marker."""
     rng = random.Random(8)
     base = _trained(_samples(of_ordinary, 50, 30, rng), BASE_BYTES)
     own = _trained(_samples(of_toxic, 1, 30, rng), max(OWN_LEAST, OWN_SHARE * sum(len(coded(w)) for w in of_toxic)), OWN_RUN)
@@ -239,14 +269,13 @@ def _judged(texts: DataFrame, dictionaries: tuple[bytes, bytes, bytes], window:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, window: int = WINDOW) -> Model | None:
     """A model from the labelled documents that are not held out; None without both classes."""
     texts, n = _sampled(docs, labels, per_class)
-    whole = _dictionaries(texts)
-    if not whole:
+    trained = _dictionaries(texts, range(FOLDS))
+    if None not in trained:
         return None
     rows = None
-    for fold in range(FOLDS):  # those that no dictionary was trained on
-        if others := _dictionaries(texts.where(F.col("fold") != fold)):
-            judged = _judged(texts.where(F.col("fold") == fold), others, window)
-            rows = rows.union(judged) if rows else judged
+    for fold in (v for v in trained if v is not None):  # judged by what no text of the fold went into
+        judged = _judged(texts.where(F.col("fold") == fold), trained[fold], window)
+        rows = rows.union(judged) if rows else judged
     if rows is None:
         return None
     rows = rows.orderBy(*rows.columns).toPandas()  # 2 x per_class rows at most
@@ -254,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, window
     if not 0 < y.sum() < len(y):
         return None
     prior = math.log(n[1] / n[0]) - math.log(y.sum() / (len(y) - y.sum()))
-    return Model(*whole, _fitted(rows.to_numpy(float), y, prior), window)
+    return Model(*trained[None], _fitted(rows.to_numpy(float), y, prior), window)
 
 
 def _scores(model: Model | None, text: str):

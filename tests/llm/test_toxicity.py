@@ -84,6 +84,41 @@ def test_scores_against_plain_compression(spark):
         assert abs(r.score - plain_score(model, r.text)) < 1e-9
 
 
+def plain_counts(texts):
+    """The counts that the dictionaries are made of, of (text, toxic)."""
+    import math
+    from collections import Counter
+
+    size = Counter(y for _, y in texts)
+    stems = {y: Counter(g for t, label in texts if label == y for g in {w[:n] for w in t.lower().split() for n in range(4, 9) if n <= len(w)}) for y in (0, 1)}
+    share, telling = size[1] / len(texts), set()
+    for g, p in stems[1].items():
+        q = stems[0][g]
+        odds = math.log((p + 0.5) / (size[1] + 1)) - math.log((q + 0.5) / (size[0] + 1))
+        surprise = 2 * (p * math.log(p / ((p + q) * share)) + (q * math.log(q / ((p + q) * (1 - share))) if q else 0))
+        if p >= max(3, 0.005 * size[1]) and odds > 2.5 and surprise > 30:
+            telling.add(g)
+    found = Counter()
+    for t, y in texts:
+        if y:
+            found.update(max(own, key=len) for w in t.lower().split() if (own := [w[:n] for n in range(4, 9) if n <= len(w) and w[:n] in telling]))
+    return found, Counter(w for t, y in texts if not y for w in t.lower().split())
+
+
+def test_what_is_trained(spark):
+    """Dictionaries of all texts, and of all but a fold, are made of plain counts over those texts."""
+    docs, labels, truth = tables(spark, 240)
+    rows = [(r.text.encode(), truth[r.doc_id], r.doc_id % 3) for r in docs.collect() if r.doc_id in truth and r.text]
+    learned = spark.createDataFrame([(bytearray(t), y, f) for t, y, f in rows], "text binary, toxic int, fold int")
+    got = toxicity._dictionaries(learned, range(3))
+    assert set(got) == {None, 0, 1, 2}
+    for fold, trained in got.items():
+        counts = plain_counts([(t, y) for t, y, f in rows if f != fold])
+        assert counts[0] and any(b"idio" in g for g in counts[0])
+        assert trained == toxicity._from_counts(*map(dict, counts))
+    assert toxicity._dictionaries(learned.where("toxic = 1"), range(3)) == {}
+
+
 def test_copies_in_the_sample_do_not_depend_on_order(spark):
     docs, labels, _ = tables(spark, 200)
     copies = docs.where("doc_id % 3 = 0").selectExpr("doc_id + 7000 AS doc_id", "concat(text, ' more') AS text", "score")
