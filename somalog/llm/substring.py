@@ -287,7 +287,7 @@ def _stretches(keyed: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     copies = spans.select("doc", "uid", "start", "n")
     sources = spans.select(F.col("source").alias("doc"), F.col("source_uid").alias("uid"), F.col("source_start").alias("start"), "n")
     asked = copies.union(sources).distinct().groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
-    found = keyed.join(asked.hint("shuffle_hash"), ["doc", "uid"]).select("doc_id", "doc", "uid", "text", "asked")
+    found = keyed.join(asked, ["doc", "uid"]).select("doc_id", "doc", "uid", "text", "asked")
     return found.mapInArrow(_digests(width), "doc long, uid long, start int, n int, digest binary").distinct()
 
 
@@ -302,11 +302,14 @@ def _compared(keyed: DataFrame, spans: DataFrame, width: int) -> DataFrame:
 def verified(keyed: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     """The spans (doc, uid, start, n) whose words are their source's, and of others the windows
     for which this holds."""
-    compared = _compared(keyed, spans, width)
+    compared = cut(_compared(keyed, spans, width))
+    same, other = compared.where("equal").select("doc", "uid", "start", "n"), compared.where("NOT equal AND n > 1")
+    if other.isEmpty():  # else only a collision of hashes gets here, and texts are read again
+        return same
     at = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    windows = compared.where("NOT equal AND n > 1").select("*", at.alias("_at"))
+    windows = other.select("*", at.alias("_at"))
     moved = windows.select("doc", "uid", (F.col("start") + F.col("_at")).alias("start"), F.lit(1).alias("n"), "source", "source_uid", (F.col("source_start") + F.col("_at")).alias("source_start"))
-    return compared.where("equal").union(_compared(keyed, moved, width).where("equal")).select("doc", "uid", "start", "n")
+    return same.union(_compared(keyed, moved, width).where("equal").select("doc", "uid", "start", "n"))
 
 
 def _kept(width: int):
@@ -339,5 +342,5 @@ def dedup(docs: DataFrame, width: int = WIDTH, mer: int = MER, chunk_words: int
     spans = cut(compacted(repeated_paths(docs, width, mer, chunk_words, hot)))
     keyed = _keyed(docs)
     paths = verified(keyed, spans, width).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
-    glued = keyed.join(paths.hint("shuffle_hash"), ["doc", "uid"], "left").select("doc_id", "text", "paths")
+    glued = keyed.join(paths, ["doc", "uid"], "left").select("doc_id", "text", "paths")
     return glued.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
