@@ -83,3 +83,11 @@ def test_rows_without_doc_id_are_dealt_by_size(spark):
         want.append((str(r[0]), r[2], max(0, min(r[2], budget - before))))
         before += r[2]
     assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted(want)
+
+
+def test_rows_without_doc_id_mix_alike_in_any_order(spark):
+    rows = [(None if i % 3 else i, "s", f"word{i} x y" if i % 2 else f"a{i} b", f"l{i % 5}", i % 4) for i in range(120)]
+    rows += [(None, "s", "same same", "l", k) for k in range(30)]  # told apart by other columns alone
+    table = docs(spark, rows)
+    mixes = [sorted(map(tuple, mixing.mixed_rows(t, share=0.7, rows_per_bucket=40).collect()), key=str) for t in (table, table.orderBy("text").repartition(7), table.repartition(3, "_inside"))]
+    assert mixes[0] == mixes[1] == mixes[2] and 100 < len(mixes[0]) < 150
