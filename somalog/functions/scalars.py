@@ -170,14 +170,16 @@ def band_reading(name: Column, position: Column) -> Column:
     return _reading(name, position, 100)
 
 
-def position_reading(name: Column, position: Column) -> Column:
-    """The same, but a section ends at 95 %."""
-    return _reading(name, position, 95)
+def position_reading(name: Column, position: Column, ticks: Column | None = None) -> Column:
+    """The same, but a section ends at 95 %. ticks: an array of the positions between sections, where they
+    are not equally long."""
+    return _reading(name, position, 95, ticks)
 
 
-def _reading(name: Column, position: Column, most: int) -> Column:
+def _reading(name: Column, position: Column, most: int, ticks: Column | None = None) -> Column:
     def of(levels: tuple[str, ...]) -> Column:
-        level, percent = _sections(levels, position, most)
+        bounds = None if ticks is None else (F.lit(0.0), *(F.get(ticks, F.lit(i)) for i in range(len(levels) - 1)), F.lit(1.0))
+        level, percent = _sections(levels, position, most, bounds)
         return F.struct(level.alias("level"), percent.alias("section_percent"), reading(level, percent).alias("reading"))
 
     return F.when(name.isin("fat_percent", "bmi"), of(FOUR_LEVELS)).otherwise(of(THREE_LEVELS))
