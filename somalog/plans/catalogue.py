@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from somalog.functions import scalars as fn
-from somalog.operators import asof, consensus, edits, indicators, layout, merge, parse_merge, reports, sessions, solve, view
+from somalog.operators import asof, consensus, edits, indicators, layout, merge, parse_merge, raster, reports, sessions, solve, view
 from somalog.sources import health_export, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -911,3 +911,93 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+#: Bars of receipts drawn for suppliers (k): where each ends, and its ticks' shift.
+_DRAWN = {"fat_percent": "45 + (k * 7) % 100", "bmi": "45 + (k * 13) % 100", "muscle_mass": "45 + (k * 17) % 170", "bmr": "CASE WHEN k % 4 = 0 THEN NULL ELSE 45 + (k * 29) % 170 END"}
+_SHIFT = "k % 5 - 2"
+_WIDE, _HIGH, _HEADER = 250, 700, (340, 347)
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of receipts as lines of pixels: a header, four bars with a mark at their right end, and ticks."""
+    k, y = F.col("k"), F.col("y")
+    rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(_HIGH - 1))))
+    light, dark = (lambda n, c=c: F.repeat(F.lpad(F.hex(c), 2, "0"), n.cast("int") if isinstance(n, Column) else F.lit(n)) for c in (200 + k % 40, k % 30))
+    line = F.when(y.between(*_HEADER), dark(_WIDE))
+    for i, name in enumerate(raster.BARS):
+        if name:
+            top, end = int(_HEADER[1] + (raster.FIRST_BAR + raster.NEXT_BAR * i) * _WIDE), F.expr(_DRAWN[name])
+            line = line.when(y.between(top, top + 9) & end.isNotNull(), F.concat(light(8), dark(end - 7), light(235 - end), dark(7), light(7)))
+            sections = 4 if name in ("fat_percent", "bmi") else 3
+            at = [8 + int(234 * s / sections + 0.5) + F.expr(_SHIFT) for s in range(1, sections)]
+            gaps = [at[0], *(b - a - 1 for a, b in zip(at[:-1], at[1:], strict=True))]
+            line = line.when(y.between(top + 13, top + 18), F.concat(*(x for gap in gaps for x in (light(gap), dark(1))), light(_WIDE - 1 - at[-1])))
+    return rows.select(k.alias("image"), "y", F.unhex(line.otherwise(light(_WIDE))).alias("line"))
+
+
+def _read_bars_sql(position: str, most: int, ticks: bool, rest: str) -> str:
+    """Readings of the bars drawn: names, ends and levels are given, positions and sections worked out."""
+    bars = " UNION ALL ".join(f"SELECT s_suppkey AS k, '{name}' AS name, {end.replace('k', 's_suppkey')} AS e, {4 if name in ('fat_percent', 'bmi') else 3} AS n FROM supplier" for name, end in _DRAWN.items())
+    tick = "CAST(floor(CAST(234 AS DOUBLE) * s / n + CAST(0.5 AS DOUBLE)) + (k % 5 - 2) AS DOUBLE) / 234" if ticks else "CAST(s AS DOUBLE) / n"
+    bounds = f"list_concat([CAST(0 AS DOUBLE)], list_concat(list_transform(range(1, n), lambda s: {tick}), [CAST(1 AS DOUBLE)]))"
+    return f"""WITH b AS ({bars}),
+p AS (SELECT CAST(k AS BIGINT) AS image, name, CASE n WHEN 4 THEN ['-', '0', '+', '++'] ELSE ['-', '0', '+'] END AS levels, {position} AS p, {bounds} AS bounds FROM b WHERE e IS NOT NULL),
+s AS (SELECT *, list_position(list_transform(bounds[2:], lambda x: p < x), true) AS i FROM p),
+r AS (SELECT *, CAST(greatest(0, least({most}, floor((p - bounds[i]) / (bounds[i + 1] - bounds[i]) * 100 / 5 + CAST(0.5 AS DOUBLE)) * 5)) AS INTEGER) AS section_percent FROM s)
+SELECT image, name, levels[i] AS level, section_percent, levels[i] || ': ' || section_percent || '%' AS reading, floor(p * 1000 + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS position, {rest} FROM r"""
+
+
+@query(_read_bars_sql("CAST(e - 6 AS DOUBLE) / 236", 100, False, "CAST(0.99 AS DOUBLE) AS confidence, 'layout' AS locator"))
+def indicator_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars found below the header of images and read by their place in the line."""
+    return raster.indicators(_drawn(spark, sf_dir))
+
+
+@query(_read_bars_sql("CAST(e - 8 AS DOUBLE) / 234", 95, True, "CAST(0.8 AS DOUBLE) AS confidence"))
+def refined_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars read between their ends and by the ticks between their sections."""
+    return raster.refined(_drawn(spark, sf_dir))
+
+
+_PLACED = "row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(round(l_extendedprice * 100) AS BIGINT), l_linenumber, l_partkey, l_quantity)"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT l_orderkey, l_quantity AS v, {_PLACED} AS i FROM lineitem),
+f AS (
+    SELECT l_orderkey, i, [[v]] AS groups, 1 AS g FROM v WHERE i = 1
+    UNION ALL
+    SELECT l_orderkey, i, CASE WHEN p = 0 THEN list_append(groups, [v]) ELSE list_transform(groups, lambda x, k: CASE WHEN k = p THEN list_append(x, v) ELSE x END) END, CASE WHEN p = 0 THEN len(groups) + 1 ELSE p END
+    FROM (SELECT v.*, f.groups, coalesce(list_position(list_transform(f.groups, lambda x: abs(v.v - list_aggregate(x, 'median')) <= 10), true), 0) AS p
+          FROM f JOIN v ON v.l_orderkey = f.l_orderkey AND v.i = f.i + 1))
+SELECT l_orderkey, i AS place, CAST(g - 1 AS BIGINT) AS cluster FROM f""")
+def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order join the first group whose median quantity is near, in order of their price."""
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_PLACED).cast("long").alias("place"), "l_quantity")
+    return raster.greedy_clusters(rows, ["l_orderkey"], "place", "l_quantity").select("l_orderkey", "place", "cluster")
+
+
+_PRINTED = ("INDICATOR", "FAT %", "BMI 22", "VISCERAL FAT RATING", "MUSCLE MASS", "BMR", "PHYSIQUE RATING", "other words")
+
+
+def _label_anchors_sql() -> str:
+    sql, last = "", "h"
+    for k, (name, text) in enumerate(zip((n for n, _ in raster.LABELS), _PRINTED[1:7], strict=True)):
+        sql += f",\nc{k} AS (SELECT {last}.o, {last}.c, {last}.found, min(l.n) AS x FROM {last} LEFT JOIN l ON l.o = {last}.o AND l.n > {last}.c AND l.t = '{text}' GROUP BY ALL)"
+        sql += f",\nd{k} AS (SELECT o, coalesce(x, c) AS c, CASE WHEN x IS NULL THEN found ELSE list_append(found, {{'name': '{name}', 'n': x}}) END AS found FROM c{k})"
+        last = f"d{k}"
+    return f"""WITH l AS (SELECT l_orderkey AS o, {_PLACED} AS n, [{", ".join(f"'{t}'" for t in _PRINTED)}][CAST((l_partkey + l_linenumber) % 8 + 1 AS INTEGER)] AS t FROM lineitem
+    UNION ALL SELECT o_orderkey, 0, 'INDICATOR' FROM orders),
+h AS (SELECT o, min(n) AS c, CAST([] AS STRUCT(name VARCHAR, n BIGINT)[]) AS found FROM l WHERE t = 'INDICATOR' GROUP BY o){sql},
+u AS (SELECT o, found, unnest(range(1, len(found) + 1)) AS i FROM {last})
+SELECT o AS l_orderkey, found[i].name AS name, CAST(10 * found[i].n + 8 AS DOUBLE) AS bottom, CAST(10 * found[i + 1].n AS DOUBLE) AS next_top FROM u WHERE found[i].name IN ('fat_percent', 'bmi', 'muscle_mass', 'bmr')"""
+
+
+@query(_label_anchors_sql())
+def label_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of an order's lines, as lines of text under a heading, in the order they are printed in."""
+    texts = F.array(*map(F.lit, _PRINTED))
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.expr(_PLACED).cast("long").alias("place"), F.get(texts, (F.col("l_partkey") + F.col("l_linenumber")) % 8).alias("text"))
+    heads = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.lit(0).cast("long").alias("place"), F.lit("INDICATOR").alias("text"))
+    placed = lines.union(heads).withColumn("top", (F.col("place") * 10).cast("double")).withColumn("bottom", F.col("top") + 8)
+    return raster.anchors(placed).select(F.col("image").alias("l_orderkey"), "name", "bottom", "next_top")
