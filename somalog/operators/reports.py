@@ -391,8 +391,9 @@ def receipt_records(parsed: DataFrame, source_name: Column, method: str = "ocr")
     )
 
 
-def review_fields(text: Column, signs: dict[str, str], derived: Column) -> Column:
+def review_fields(text: Column, signs: dict[str, str], derived: Column | None) -> Column:
     """Paths whose sign a text shows, in order, without those that were derived."""
+    derived = F.array().cast("array<string>") if derived is None else derived
     shown = F.array_compact(F.array(F.lit("measured_at_local"), *(F.when(text.rlike(f"(?i){sign}"), path) for path, sign in signs.items())))
     return F.array_except(F.array_distinct(shown), F.coalesce(derived, F.array().cast("array<string>")))
 
@@ -457,8 +458,8 @@ def printed_reports(docs: DataFrame) -> DataFrame:
     names = [*TABLE_GROUPS]
     rows = table.select("*", *(fn.comma_number(F.regexp_extract("flat", TABLE, k)).alias(name) for k, name in enumerate(names, 1)), *(fn.comma_number(F.regexp_extract("flat", f"(?i){p}", 1)).alias(name) for name, p in PRINTED.items()))
 
-    body = F.regexp_extract("t", r"(?is)Body\s+Composition\s+Analysis(.*?)(?:Shows\s+a\s+measurement|Thank\s+you|Selvas\s+Healthcare|\z)", 1)
-    loose = F.regexp_replace(F.when(body == "", F.col("t")).otherwise(body), r"\([\d.,]+\s*~\s*[\d.,]+\)", " ")
+    body_text = F.regexp_extract("t", r"(?is)Body\s+Composition\s+Analysis(.*?)(?:Shows\s+a\s+measurement|Thank\s+you|Selvas\s+Healthcare|\z)", 1)
+    loose = F.regexp_replace(F.when(body_text == "", F.col("t")).otherwise(body_text), r"\([\d.,]+\s*~\s*[\d.,]+\)", " ")
     numbers = table.where("table = ''").select("doc", F.posexplode(F.regexp_extract_all(loose, F.lit(r"(?<![A-Za-z])(-?\d+(?:[.,]\d+)?)(?![A-Za-z])"), F.lit(1))).alias("pos", "v"))
     solution = solve.composition(numbers.withColumn("v", fn.comma_number(F.col("v"))), "doc", "pos", "v").select("doc", *(F.col(k).alias(f"_{v}") for k, v in SOLVED.items()))
     rows = rows.join(solution, "doc", "left")
@@ -475,10 +476,12 @@ def printed_reports(docs: DataFrame) -> DataFrame:
     rules.warn((F.col("table") == "") & F.col("_weight_kg").isNull(), "The composition table was only partially recognized; review its values.")
     rules.warn(F.abs(F.col("weight_kg") - F.col("ffm_kg") - F.col("fat_mass_kg")) > 0.25, "Weight, fat-free mass and fat mass do not reconcile; review them.")
     core = sum((F.col(c).isNotNull().cast("int") for c in REPORT_CORE[1:]), F.col(REPORT_CORE[0]).isNotNull().cast("int"))
-    limits = lambda key: F.when(F.col(f"{key}_min").isNotNull() & F.col(f"{key}_max").isNotNull(), F.struct(F.col(f"{key}_min").alias("min"), F.col(f"{key}_max").alias("max"))).alias(f"{key}_range")
+    ranged = with_ranges(rules.rows, F.when(F.col("table") == "", F.when(body_text == "", F.col("t")).otherwise(body_text)))
     kind = F.trim(F.regexp_extract("t", r"(?i)Body\s+Type\s*:\s*([^\r\n]+)", 1))
     evaluation = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("t", r"(?is)Comprehensive\s+Evaluation\s+(.*?)(?=\s+Analysis\b)", 1), r"(?i)\+More", ""), r"\s+", " "))
-    return rules.rows.select(
+    found = [F.when(F.col(f"{key}_range").isNotNull(), F.lit(f"reference_ranges.{name}.{end}")) for name, key in RANGED.items() for end in ("min", "max")]
+    review = F.array_distinct(F.concat(review_fields(F.col("t"), REPORT_SIGNS, None), F.array_compact(F.array(*found))))
+    return ranged.select(
         "doc",
         report_time(F.col("t"), F.col("source_name")).alias("measured_at_local"),
         "fat_percent",
@@ -487,10 +490,50 @@ def printed_reports(docs: DataFrame) -> DataFrame:
         fn.comma_number(F.regexp_extract("t", r"(?is)\bAnalysis\b.{0,180}?\b(\d{1,3})\b", 1)).alias("score"),
         fn.blank_to_null(kind).alias("body_type"),
         fn.blank_to_null(evaluation).alias("evaluation"),
-        *(limits(k) for k in ("body_water", "protein", "muscle_mass", "minerals", "ffm", "fat_mass", "weight")),
+        *(f"{key}_range" for key in RANGED.values()),
         (core / F.lit(float(len(REPORT_CORE)))).alias("completeness"),
         "warnings",
         "derived_fields",
+        F.array_except(review, "derived_fields").alias("review_fields"),
+    )
+
+
+#: Metrics of a printed report that have a range, in the order they are printed in.
+RANGED = {"body_water_l": "body_water", "protein_kg": "protein", "muscle_mass_kg": "muscle_mass", "minerals_kg": "minerals", "ffm_kg": "ffm", "fat_mass_kg": "fat_mass", "weight_kg": "weight"}
+
+
+def with_ranges(rows: DataFrame, loose: Column) -> DataFrame:
+    """rows, which have metrics and the ends of ranges read from a table, with <key>_range (min, max).
+    Ranges that stand in loose text are dealt to the metrics one to one at the least cost (see
+    solve.assigned_ranges); there are none if the text has fewer than metrics."""
+    pairs = F.transform(F.regexp_extract_all(loose, F.lit(_R), F.lit(0)), lambda x: F.struct(*(fn.comma_number(F.regexp_extract(x, _R, k)).alias(end) for k, end in ((1, "min"), (2, "max")))))
+    known = F.filter(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in RANGED)), lambda x: x["value"].isNotNull())
+    rows = rows.withColumn("_pairs", F.filter(pairs, lambda p: p["min"].isNotNull() & p["max"].isNotNull())).withColumn("_known", known)
+    rows = rows.withColumn("_dealt", solve.assigned_ranges(F.col("_known.value"), F.col("_pairs.min"), F.col("_pairs.max")))
+
+    def limits(name: str, key: str) -> Column:
+        low, high = F.col(f"{key}_min"), F.col(f"{key}_max")
+        at = F.get("_dealt", F.array_position("_known.name", F.lit(name)).cast("int") - 1)
+        return F.coalesce(F.when(low.isNotNull() & high.isNotNull(), F.struct(low.alias("min"), high.alias("max"))), F.get("_pairs", at)).alias(f"{key}_range")
+
+    return rows.select(*(c for c in rows.columns if c not in ("_pairs", "_known", "_dealt")), *(limits(*x) for x in RANGED.items()))
+
+
+def report_records(parsed: DataFrame, source_name: Column, method: str = "pdf-text") -> DataFrame:
+    """Parsed printed reports as stored records: identity, source, metrics, targets, ranges, extraction."""
+    filled = lambda names: F.map_filter(F.create_map(*(x for c in names for x in (F.lit(c), F.col(c)))), lambda k, v: v.isNotNull())
+    return parsed.select(
+        F.lit(1).alias("schema_version"),
+        fn.stamp_id("accuniq:", F.col("measured_at_local"), F.lit(None).cast("string")).alias("id"),
+        F.lit("body_composition").alias("kind"),
+        "measured_at_local",
+        F.struct(F.lit("accuniq_report").alias("type"), F.lit("ACCUNIQ").alias("device"), F.lit("Selvas Healthcare Inc.").alias("manufacturer"), fn.blank_to_null(source_name).alias("filename")).alias("source"),
+        filled([*RANGED, "fat_percent", "bmr_kcal", "tdee_kcal", "physical_age"]).alias("metrics"),
+        filled(["target_weight_kg", "weight_control_kg", "muscle_control_kg", "fat_control_kg"]).alias("targets"),
+        F.struct("score").alias("analysis"),
+        F.struct(*(F.col(f"{key}_range").alias(name) for name, key in RANGED.items())).alias("reference_ranges"),
+        F.struct("body_type", "evaluation").alias("qualitative"),
+        F.struct(F.lit(method).alias("method"), "completeness", "warnings", "derived_fields", "review_fields").alias("extraction"),
     )
 
 

@@ -322,15 +322,15 @@ def first_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", fn.number(F.regexp_extract("props", r"([+-]?\d+(?:\.\d+)?)", 1)).alias("first_number"))
 
 
-@query(r"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '>([^<>]{1,80})<', 1)) AS raw FROM pages),
-d AS (SELECT page_id, trim(regexp_replace(raw, '[ \t\r\n]+', ' ', 'g')) AS v FROM c),
-e AS (SELECT page_id, v, len(string_split(v, ' ')) AS words, length(v) AS size FROM d WHERE v <> '')
-SELECT page_id, v AS best FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY words DESC, size DESC, v) AS r FROM e) WHERE r = 1""")
+@query("""SELECT c_custkey, 'input.body_type' AS path, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || ' ' || c_name ELSE c_mktsegment END AS value FROM customer
+UNION ALL SELECT c_custkey, 'input.gender', CASE WHEN c_custkey % 2 = 0 THEN 'NOT SAID' ELSE 'FEMALE' END FROM customer""")
 def best_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all candidates the one of most words, then the longest."""
-    found = F.transform(F.regexp_extract_all("html", F.lit(r">([^<>]{1,80})<"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " ")))
-    merit = F.transform(F.filter(found, lambda x: x != ""), lambda x: F.struct((-F.size(F.split(x, " "))).alias("w"), (-F.length(x)).alias("n"), x.alias("v")))
-    return _t(spark, sf_dir, "pages").select("page_id", F.array_min(merit)["v"].alias("best")).where("best IS NOT NULL")
+    """Of all texts found for a field the one of most words, then the longest, of made receipts."""
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    again = F.when(key % 3 == 0, F.concat(F.lit("\nBODY TYPE = "), segment, F.lit("  "), F.col("c_name"), F.lit(" ,"))).otherwise(F.lit(""))
+    text = F.concat(F.lit("Body Type: "), segment, F.lit("\nGENDER male\nAGE 30"), again, F.lit("\nGender: "), F.when(key % 2 == 0, F.lit("NOT SAID")).otherwise(F.lit("FEMALE")), F.lit("\nRESULT"))
+    docs = _t(spark, sf_dir, "customer").select(key.alias("doc"), text.alias("text"), F.lit("Tanita.jpg").alias("source_name"))
+    return reports.recovered_texts(docs).withColumnRenamed("doc", "c_custkey")
 
 
 @query("""SELECT c_custkey, 'id' AS path, 'number' AS kind, CAST(c_custkey AS VARCHAR) AS value FROM customer
@@ -783,9 +783,11 @@ def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT l_orderkey, count(*) FILTER (WHERE l_quantity > 25) AS n FROM lineitem GROUP BY 1)
 SELECT o_orderkey, o_custkey FROM orders JOIN w ON l_orderkey = o_orderkey WHERE n > 0 AND o_totalprice BETWEEN 1000 AND 200000""")
 def plausible_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with a plausible value that some other row knows: range filter and existence."""
+    """Records with a plausible number behind their label that some other row knows."""
     known = _t(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _t(spark, sf_dir, "orders").where(F.col("o_totalprice").between(1000, 200_000)).join(known, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
+    read = reports.read_lines(F.array(F.lit("PRICE OF 1 PIECE"), F.concat(F.lit("TOTAL "), F.col("o_totalprice").cast("string"))))
+    priced = _t(spark, sf_dir, "orders").withColumn("total", reports.value_behind(read, "TOTAL", ("PIECE",), 1000, 200_000, 0)).where("total IS NOT NULL")
+    return priced.join(known, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
 @query("""SELECT o_orderkey, TRY_CAST(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(o_custkey AS VARCHAR) WHEN 2 THEN '255' ELSE NULL END AS DOUBLE) AS value FROM orders""")

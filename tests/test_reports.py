@@ -91,6 +91,22 @@ def test_printed_reports(spark):
     assert got["c"].completeness == 0
 
 
+def test_ranges_and_records_of_printed_reports(spark):
+    loose = REPORT.replace("Body Water L ", "").replace("Protein kg ", "")
+    few = loose.replace("(8.1 ~ 9.9)", "")
+    rows = docs(spark, ("table", REPORT, "2031-11-03 scan.pdf"), ("loose", loose, ""), ("few", few, ""), ("none", None, ""))
+    parsed = reports.printed_reports(rows)
+    got = {r.doc: r for r in parsed.collect()}
+    ranges = {"body_water": (29.8, 36.4), "protein": (8.1, 9.9), "muscle_mass": (38.5, 45.9), "minerals": (2.8, 3.6), "ffm": (41.0, 49.9), "fat_mass": (11.2, 18.0), "weight": (52.0, 70.4)}
+    for doc in ("table", "loose"):
+        assert {k: tuple(got[doc][f"{k}_range"]) for k in ranges} == ranges
+        assert "reference_ranges.minerals_kg.max" in got[doc].review_fields and "metrics.fat_percent" not in got[doc].review_fields
+    assert all(got["few"][f"{k}_range"] is None for k in ranges) and got["none"].review_fields == ["measured_at_local"]
+    (record,) = reports.report_records(parsed.where("doc = 'loose'"), F.lit("scan.pdf")).collect()
+    assert record.id == "accuniq:2031-11-03T07:05:00" and record.metrics["weight_kg"] == 62.5 and record.targets == {"target_weight_kg": 64.0, "weight_control_kg": 1.5, "muscle_control_kg": 4.0, "fat_control_kg": -2.5}
+    assert tuple(record.reference_ranges.fat_mass_kg) == (11.2, 18.0) and record.analysis.score == 73.0 and record.source.manufacturer and record.extraction.method == "pdf-text"
+
+
 def test_free_texts(spark):
     rows = docs(spark, ("a", "BODY TYPE: Standard\nBody Type: Standard muscular build Values", "accuniq"), ("b", "GENDER MALE AGE 3", "tanita"))
     got = {(r.doc, r.path): r.value for r in reports.recovered_texts(rows).collect()}
