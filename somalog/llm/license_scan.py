@@ -30,8 +30,14 @@ CLAIM = (
     "|\\(c\\)(?=[ \t]*(copyright|©)|[^\n]*\\b(19|20)[0-9]{2}\\b|[^\n]*all rights reserved)"
     "|©|all rights reserved)[^\n]*"
 )
-#: The rule of oracle_sql, which takes any line that begins with the word or with (c) as a claim.
-COPYRIGHT = "(^|\n)[ \t#*/;-]*(copyright|\\(c\\)|©|all rights reserved)[^\n]*"
+#: The same for one line, for engines whose patterns can't look ahead: what claims, and what doesn't though it begins so.
+_LEAD = "^[ \t#*/;-]*"
+LINE_CLAIMS = (f"{_LEAD}(©|all rights reserved)", f"{_LEAD}\\(c\\)([ \t]*(copyright|©)|.*\\b(19|20)[0-9]{{2}}\\b|.*all rights reserved)")
+LINE_COPYRIGHT = f"{_LEAD}copyright"
+LINE_NO_CLAIM = (
+    f"{_LEAD}copyright[ \t\r]*$",
+    f"{_LEAD}copyright[ \t]+(notice|holder|owner|law|licen[cs]e|permission|statement|interest|status|disclaimer|protection|infringe|infring|treat|treaty|right|act|claim|and|or|on|in|of|is|are|for|to|under)(s|es|ing|ement|ies)?\\b",
+)
 PUNCTUATION = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
 #: Spellings that count as the same, the second one kept (fixed values).
 SPELLINGS = (
@@ -108,12 +114,15 @@ def scan(docs: DataFrame, known: DataFrame | Sequence[tuple[str, str]] = KNOWN)
 
 
 def oracle_sql(known: Sequence[tuple[str, str]] = KNOWN) -> str:
-    """The same in SQL, over a table documents, but for lines that CLAIM and COPYRIGHT tell apart."""
+    """The same in SQL, over a table documents."""
 
     def form(x: str) -> str:
         quoted = lambda s: "'" + s.replace("'", "''") + "'"
         x = f"translate(coalesce({x}, ''), '{UPPER}', '{LOWER}')"
-        x = f"regexp_replace({x}, {quoted(COPYRIGHT)}, chr(10), 'g')"
+        claims = " OR ".join(f"regexp_matches(line, {quoted(p)})" for p in LINE_CLAIMS)
+        no_claim = " OR ".join(f"regexp_matches(line, {quoted(p)})" for p in LINE_NO_CLAIM)
+        claims += f" OR (regexp_matches(line, {quoted(LINE_COPYRIGHT)}) AND NOT ({no_claim}))"
+        x = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda line: CASE WHEN {claims} THEN '' ELSE line END), chr(10))"
         x = f"regexp_replace({x}, {quoted(PUNCTUATION)}, ' ', 'g')"
         for other, kept in SPELLINGS:
             x = f"replace({x}, '{other}', '{kept}')"

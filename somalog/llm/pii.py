@@ -18,6 +18,9 @@ groups that follow with a blank count as its digits, up to fourteen. Of overlapp
 that are all valid the first counts, and of those the longest (one card number in ten is valid
 by chance).
 
+Not found, and left as they are: dates before 1900 or after 2099, local telephone numbers without
+an area code in brackets or a country code (212-555-0100), and numbers with 00 in place of a plus.
+
 Defined results: a null text stays null, an empty one empty; repeated rows change alike;
 an empty table gives an empty result; other columns pass, but for `n_found`.
 """

@@ -1,5 +1,7 @@
 import textwrap
 
+import duckdb
+
 from somalog.llm import license_scan
 from somalog.llm.license_texts import KNOWN
 
@@ -60,3 +62,17 @@ def test_known_texts_from_a_table_and_a_folder(spark, tmp_path):
     for known in (license_scan.from_folder(spark, str(tmp_path)), spark.createDataFrame([("Some-1.0", long), ("Short-2", "one line license"), ("None", None)], "license_id string, text string")):
         got = {r.doc_id: (r.license_id, r.n_notices, r.notices) for r in license_scan.scan(docs, known).collect()}
         assert got == {1: ("Some-1.0", 0, None), 2: (None, 1, "Short-2"), 3: (None, 0, None)}
+
+
+def test_sql_agrees_on_wrapped_and_claiming_lines(spark):
+    wrap = lambda t, width: "\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in t.split("\n"))
+    lines = ["Copyright", "copyright \t", "Copyright notices are kept", "copyright owner x", "Copyright Acme", "copyrighted", "(c) keep this", "(c) 2001 me", "(C) Copyright", "# (c) you. All rights reserved", "\u00a9 x", "all rights reserved.", "copyright andes", "copyright and", "Copyright\r", "text (c) 2001", "copyright of 2001", " * Copyright 1999\r"]
+    mit = next(t for name, t in KNOWN if name == "MIT" and t.startswith("Permission"))
+    rows = [wrap(t, width) for _, t in KNOWN for width in (20, 33, 72)] + [f"{line}\n{mit}" for line in lines] + ["\n".join(lines), None, ""]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = license_scan.scan(docs)
+    base = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841  read by the SQL
+    base.sql("CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM documents")
+    want = base.sql(f"SELECT {', '.join(got.columns)} FROM ({license_scan.oracle_sql()})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want, key=lambda r: r[0])
