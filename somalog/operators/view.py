@@ -175,7 +175,7 @@ FIELD_LABELS = {
 def field_label(path: Column, labels: dict[str, str] = FIELD_LABELS) -> Column:
     """A field path in words: a given label, else its segments' words with capitals."""
     acronyms = F.create_map(*(F.lit(x) for pair in ACRONYMS.items() for x in pair))
-    word = lambda w: F.coalesce(F.try_element_at(acronyms, F.lower(w)), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)))
+    word = lambda w: F.coalesce(F.try_element_at(acronyms, F.lower(w)), F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
     segment = lambda s: F.array_join(F.transform(F.filter(F.split(F.replace(s, F.lit("_"), F.lit(" ")), r"\s+"), lambda w: w != ""), word), " ")
     made = F.array_join(F.transform(F.split(path, r"\."), segment), " · ")
     if not labels:

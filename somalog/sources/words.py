@@ -24,5 +24,6 @@ def word_boxes(responses: DataFrame) -> DataFrame:
     blocks = F.flatten(F.transform(F.coalesce(F.col("r.fullTextAnnotation.pages"), F.array()), lambda p: F.coalesce(p["blocks"], F.array())))
     words = F.flatten(F.transform(F.flatten(F.transform(blocks, lambda b: F.coalesce(b["paragraphs"], F.array()))), lambda p: F.coalesce(p["words"], F.array())))
     nested = F.transform(words, lambda w: _boxed(F.array_join(F.transform(w["symbols"], lambda s: s["text"]), ""), w["boundingBox"]["vertices"]))
-    flat = F.transform(F.slice(F.coalesce(F.col("r.textAnnotations"), F.array()), 2, 1_000_000), lambda a: _boxed(a["description"], a["boundingPoly"]["vertices"]))
+    given = F.coalesce(F.col("r.textAnnotations"), F.array())
+    flat = F.transform(F.slice(given, F.lit(2), F.size(given)), lambda a: _boxed(a["description"], a["boundingPoly"]["vertices"]))
     return parsed.select("page", F.inline(F.when(F.size(nested) > 0, nested).otherwise(flat))).where(F.col("text") != "")
