@@ -7,8 +7,9 @@ distance between the orders (with places beyond the prefix taken as `prefix`). T
 `rerank` of vectors with the least footrule distance is then ranked by exact cosine in double
 precision.
 
-The index is cut into shards of a bounded number of vectors and queries into blocks; each task
-holds one shard and one block, and gives its best `k` for each query. Equal vectors are
+The index is cut into shards of a bounded number of vectors, each dealt to a task once. The
+queries, a small share of all rows, are sent to every shard and stream past its inverted files, so a
+task holds one shard and a batch of queries, and gives its best `k` for each. Equal vectors are
 indexed as one, with the k + 1 smallest ids, which is all that any answer can hold. Pivots
 are a sample of `pivots` vectors by hash of vec_id; every vector is indexed.
 
@@ -21,16 +22,20 @@ candidates a query gets all there are; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from somalog.llm.common import cut
 
 PIVOTS, PREFIX, RERANK = 256, 64, 0.35
-SHARD_ROWS, BLOCK_ROWS = 8192, 4096
+SHARD_ROWS = 16_384
 SALTS = 64
+#: So many rows are taken from Arrow at once.
+ROWS = 1024
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -96,36 +101,54 @@ class Shard:
 
 
 def _searched(pivots: dict[int, np.ndarray], k: int, prefix: int, rerank: float):
-    def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(index) and len(queries):
-            vectors = np.stack(index["embedding"].to_numpy())
-            shard = Shard(vectors, pivots.get(vectors.shape[1], vectors[:0]), prefix)
-            ids = index["vec_ids"].to_numpy()
-            for query, (at, score) in zip(queries["query_id"].to_numpy(), shard.search(np.stack(queries["embedding"].to_numpy()), k, rerank), strict=True):
-                found = [(-s, v) for a, s in zip(at.tolist(), score.tolist(), strict=True) for v in ids[a] if v != query]
-                out += [(query, v, -s) for s, v in sorted(found)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+    """Rows sorted by shard (dim, shard), vectors before queries, to each shard's best of each query."""
+
+    def found(shard: Shard, ids: list[list[int]], asked: list[dict]):
+        for r, (at, score) in zip(asked, shard.search(np.array([r["embedding"] for r in asked]), k, rerank), strict=True):
+            best = sorted((-s, v) for a, s in zip(at.tolist(), score.tolist(), strict=True) for v in ids[a] if v != r["query_id"])
+            yield from ((r["query_id"], v, -s) for s, v in best[:k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, vectors, shard = None, [], [], None
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
+            out, asked = [], []
+            for r in batch.to_pylist():
+                if (r["dim"], r["shard"]) != at:
+                    if shard and asked:
+                        out += found(shard, ids, asked)
+                    at, ids, vectors, shard, asked = (r["dim"], r["shard"]), [], [], None, []
+                if r["query_id"] is None:
+                    ids.append(r["vec_ids"])
+                    vectors.append(np.array(r["embedding"]))
+                elif vectors:
+                    if not shard:
+                        shard = Shard(np.stack(vectors), pivots.get(r["dim"], np.zeros((0, r["dim"]))), prefix)
+                    asked.append(r)
+            if shard and asked:
+                out += found(shard, ids, asked)
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries the k vectors of largest cosine
     among those with another vec_id. Both tables have vec_id and embedding."""
     fine = usable(vectors)
     index = cut(unique(fine, k + 1))
     asked = cut(usable(queries).select(F.col("vec_id").alias("query_id"), "embedding"))
-    shards, blocks = max(1, -(-index.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
+    shards = max(1, -(-index.count() // shard_rows))
     first = Window.partitionBy(F.size("embedding")).orderBy("_h", "vec_ids")
     sample = index.withColumn("_h", F.xxhash64("vec_ids")).orderBy("_h", "vec_ids").limit(4 * pivots).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= pivots)
     chosen: dict[int, list] = {}
     for r in sample.orderBy("_n").select("embedding").collect():  # at most 4 x pivots rows
         chosen.setdefault(len(r.embedding), []).append(np.array(r.embedding) / np.linalg.norm(r.embedding))
-    key = ["dim", "shard", "block"]
-    left = index.select("vec_ids", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_ids"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = asked.select("query_id", "embedding", F.size("embedding").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    left = index.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_ids"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query_id"), "vec_ids", "embedding")
+    right = asked.select(F.size("embedding").alias("dim"), everywhere.alias("shard"), "query_id", F.lit(None).cast("array<long>").alias("vec_ids"), "embedding")
     run = _searched({d: np.stack(x) for d, x in chosen.items()}, k, prefix, rerank)
-    found = left.withColumn("shard", F.col("shard").cast("int")).groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, FOUND)
+    dealt = left.union(right).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("query_id").isNotNull())
+    found = dealt.mapInArrow(run, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -24,8 +24,8 @@ def test_exact_when_all_are_reranked(spark):
     rows += [(1000, None), (1050, []), (1100, [0.0] * 8), (1150, [float("nan")] + [1.0] * 7), (1200, [float("inf")] + [1.0] * 7), (1250, [1.0] * 7), (1251, [2.0] * 7), (None, [1.0] * 8), (1300, [None] * 8), rows[100]]
     docs = table(spark, rows)
     want = plain(rows)
-    for shard_rows, block_rows in ((100_000, 100_000), (50, 3)):
-        got = ann.search(docs, docs.where("vec_id % 50 = 0"), rerank=1.0, shard_rows=shard_rows, block_rows=block_rows).collect()
+    for shard_rows in (100_000, 50):
+        got = ann.search(docs, docs.where("vec_id % 50 = 0"), rerank=1.0, shard_rows=shard_rows).collect()
         assert {r.query_id for r in got} == {q for q, found in want.items() if found}
         for q, found in want.items():
             mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
