@@ -27,6 +27,12 @@ Only pairs that reach the similarity become links. A link is missed only where n
 pair in a node, or its fingerprints differ beyond `SPREAD`. Pairs of different components that
 neither fingerprints nor bins can tell from near copies are all compared; the more shingles a text
 has over `BINS`, the blunter the bins get, and pairs just under the similarity stay in.
+
+Defined results: null and empty texts have no shingles and are one group, of which one row stays; a
+text of fewer words than a shingle has its whole sequence as one; a row without doc_id groups as any
+other, and stays only if no member of its group has a doc_id; rows of equal doc_id and text are one
+document, of which any one row stays, also where other columns differ; different texts under one
+doc_id are told apart; an empty table gives an empty result; other columns pass.
 """
 
 from __future__ import annotations
