@@ -3,6 +3,12 @@
 toxicity drops what it rejects, SimHash near-dedup keeps one document of each group, PII puts
 pseudonyms in, mixing repeats and cuts documents to its sources' budgets, and SentencePiece
 encodes what is there. Each stage is written and read again before the next one runs.
+
+Defined results: a null or empty text is not toxic unless the labels say that such texts are, counts as
+one document with all others of its kind in near-dedup, and has no words to mix, so it takes no part in
+the mix; a null doc_id or source passes all stages (a null source is a source of its own); different texts
+under one doc_id are documents each, repeated rows one; an empty table gives an empty result; other
+columns pass all stages but the last, which returns its own.
 """
 
 from __future__ import annotations
