@@ -12,6 +12,7 @@ position in the line; `refined` finds both ends and the ticks of a bar and reads
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -242,32 +243,32 @@ def bar_ends(dark: np.ndarray) -> tuple[int, int, int] | None:
     return (int(fill[0]), int(fill[1]), int(edge[1])) if fill[1] < edge[0] - 8 else None
 
 
-def clusters(values: Sequence[float], tolerance: float = 10) -> list[list[int]]:
-    """Places of values, in groups: each value joins the first group whose median is near, as it is
-    by then, and else starts one."""
-    found: list[list[int]] = []
-    for k, v in enumerate(values):
-        home = next((c for c in found if abs(v - np.median([values[i] for i in c])) <= tolerance), None)
-        if home is None:
-            found.append([k])
-        else:
-            home.append(k)
-    return found
+def clusters(values: Sequence[float], tolerance: float = 10) -> list[int]:
+    """The group of each value: a value joins the first group whose median is near, as it is by
+    then, and else starts one."""
+    found, of = [], []  # groups sorted by value
+    for v in values:
+        home = next((k for k, c in enumerate(found) if abs(v - (c[(len(c) - 1) // 2] + c[len(c) // 2]) / 2) <= tolerance), len(found))
+        if home == len(found):
+            found.append([])
+        insort(found[home], v)
+        of.append(home)
+    return of
 
 
 def greedy_clusters(rows: DataFrame, by: Sequence[str], order: str, value: str, tolerance: float = 10) -> DataFrame:
     """rows and cluster, from 0 in order of the first members. The fold depends on the order, so a
-    group is one task's work; groups are lines of one bar, or as few."""
+    group is one array; groups are lines of one bar, or as few."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable").reset_index(drop=True)
-        of = np.zeros(len(part), np.int64)
-        for k, members in enumerate(clusters(part[value].tolist(), tolerance)):
-            of[members] = k
-        return part.assign(cluster=of)
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def fold(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: clusters(x.tolist(), tolerance))
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("cluster", T.LongType())])
-    return rows.groupBy(*by).applyInPandas(fold, schema)
+    rest = [c for c in rows.columns if c not in (*by, order)]
+    groups = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("_rows"))
+    folded = groups.withColumn("_of", fold(F.transform("_rows", lambda x: x[value].cast("double"))))
+    cells = lambda x, i: F.struct(*(x[c].alias(c) for c in (order, *rest)), F.get("_of", i).alias("cluster"))
+    return folded.select(*by, F.inline(F.transform("_rows", cells))).select(*rows.columns, "cluster")
 
 
 _ENDS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("left", "end", "right")])
