@@ -54,10 +54,12 @@ def _data(root: str) -> str:
 
 
 def _of(spark: SparkSession, root: str, manifest: Manifest) -> DataFrame:
-    if not manifest.months:
-        return spark.createDataFrame([], STORED)
-    paths = [f"{root}/{folder}" for folder in manifest.months.values()]
-    return spark.read.schema(f"{STORED}, write string").option("basePath", _data(root)).parquet(*paths).drop("write")
+    rows = spark.createDataFrame([], STORED)
+    for base, schema in ((_data(root), f"{STORED}, write string"), (f"{root}/{commits.OLDER}", STORED)):
+        if paths := [path for folder in manifest.months.values() if (path := f"{root}/{folder}").startswith(f"{base}/")]:
+            found = spark.read.schema(schema).option("basePath", base).parquet(*paths).drop("write")
+            rows = rows.union(found) if len(paths) < len(manifest.months) else found
+    return rows
 
 
 def read(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
@@ -141,7 +143,7 @@ def save(spark: SparkSession, root: str, incoming: DataFrame) -> int:
 
     def change(rows: DataFrame) -> tuple[DataFrame, set[str], int]:
         placed = _merged(parsed(rows).join(coming.select("period").distinct(), "period", "left_semi"), coming)
-        staged.append(f"{root}/staged/{uuid.uuid4().hex}")
+        staged.append(f"{root}/staged-{uuid.uuid4().hex}")
         placed.write.parquet(staged[-1])
         placed = spark.read.schema(placed.schema).parquet(staged[-1])
         n = {r.period: r.n for r in placed.where("_new").groupBy("period").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a month

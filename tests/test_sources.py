@@ -244,6 +244,9 @@ def test_batches_and_months_are_merged_before_they_are_stored(spark, tmp_path):
     assert sorted((r.period, r.raw) for r in store.read(spark, root).collect()) == [("2024-01", batch[2][0]), ("2024-02", batch[1][0])]
     assert store.save(spark, root, spark.createDataFrame(batch[1:], "raw string, place long")) == 0
     month = spark.createDataFrame([(record("c", "2024-03-01", 1), 0, "2024-03"), (record("c", "2024-03-02", 2), 1, "2024-03")], "raw string, place long, period string")
-    month.write.mode("append").partitionBy("period").parquet(f"{root}/events")
-    assert [r.raw for r in store.all_logs(spark, root).where("id = 'c'").collect()] == [month.collect()[1].raw]
+    older = f"{root}/older"  # as stores were before they had versions
+    month.write.mode("append").partitionBy("period").parquet(f"{older}/events")
+    assert [r.raw for r in store.all_logs(spark, older).where("id = 'c'").collect()] == [month.collect()[1].raw]
+    assert store.save(spark, older, spark.createDataFrame(batch, "raw string, place long")) == 2
+    assert sorted(r.period for r in store.read(spark, older).collect()) == ["2024-01", "2024-02", "2024-03", "2024-03"] and store.read(spark, older, 0).count() == 2
     assert not [p for p in tmp_path.iterdir() if p.name.startswith("staged")]
