@@ -70,6 +70,8 @@ NUMBER_REPAIRS = (
 )
 #: Letters inside numbers, and the digits they are read for; B stands for three (fixed values).
 DIGIT_LETTERS, B_DIGITS = (("OQ", "0"), ("IL|", "1"), ("Z", "2"), ("S", "5"), ("G", "6")), ("6", "8", "5")
+#: What a line holds if any of NUMBER_REPAIRS, DIGIT_LETTERS or the readings of B, S and H changes it.
+REPAIRABLE = r"[\d.,][BOQIL|ZSG]|[BOQIL|ZSGH]\d|[.,]\s*[BIL|]|[.,]{2}|[OQ]\s*[.,]|A\s*G[.,]|[.,]\s+\d|[/_]|\d-\d|\d\s+\d"
 #: Receipt fields: section, label, excluded labels, least, most, lines looked ahead (fixed values).
 RECEIPT_FIELDS = {
     "age": ("input", "AGE", (), 10, 100, 0),
@@ -114,7 +116,8 @@ def compact(line: Column) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    """The numbers that a line may hold, likelier readings first."""
+    """The numbers that a line may hold, likelier readings first. Most lines hold nothing to repair,
+    and all their readings are alike."""
     plain = F.regexp_replace(line, r"(^|\s)[BSH](?=\d{2,3}[.,])", "$1")
     readings = []
     for b in B_DIGITS:
@@ -122,8 +125,10 @@ def tokens(line: Column) -> Column:
         for letters, digit in (("B", b), *DIGIT_LETTERS):
             text = F.regexp_replace(text, rf"(?<=[0-9.,])[{letters}](?=[0-9.,A-Z]|\z)|[{letters}](?=[0-9])", digit)
         readings.append(F.regexp_replace(text, r"H(?=\d)", "5"))
-    found = [F.regexp_extract_all(_rewritten(text, NUMBER_REPAIRS), F.lit(r"[-+]?\d+(?:[.,]\d+)?"), F.lit(0)) for text in (*readings, plain, line)]
-    return F.array_distinct(F.transform(F.flatten(F.array(*found)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double")))
+    numbers = lambda text: F.regexp_extract_all(text, F.lit(r"[-+]?\d+(?:[.,]\d+)?"), F.lit(0))
+    repaired = F.flatten(F.array(*(numbers(_rewritten(text, NUMBER_REPAIRS)) for text in (*readings, plain, line))))
+    found = F.when(line.rlike(REPAIRABLE), repaired).otherwise(numbers(line))
+    return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double")))
 
 
 def section(text: Column, starts: str, ends: str) -> Column:
@@ -137,10 +142,11 @@ def lines(text: Column) -> Column:
 
 
 def read_lines(rows: Column) -> Column:
-    """For each line its label form, and the numbers of it and of up to three lines after it."""
+    """For each line its label form, and it and up to three lines after it as one text; numbers are
+    read of those only that a field asks for."""
     return F.transform(
         rows,
-        lambda x, i: F.struct(compact(x).alias("label"), *(tokens(F.array_join(F.slice(rows, i + 1, n + 1), " ") if n else x).alias(f"ahead{n}") for n in range(4))),
+        lambda x, i: F.struct(compact(x).alias("label"), *((F.array_join(F.slice(rows, i + 1, n + 1), " ") if n else x).alias(f"ahead{n}") for n in range(4))),
     )
 
 
@@ -156,7 +162,7 @@ def values_behind(read: Column, label: str, exclude: Sequence[str], least: float
             test = test & ~x["label"].contains(other)
         return test
 
-    return F.flatten(F.transform(F.filter(read, fits), lambda x: F.filter(x[f"ahead{ahead}"], lambda v: v.between(least, most))))
+    return F.flatten(F.transform(F.filter(read, fits), lambda x: F.filter(tokens(x[f"ahead{ahead}"]), lambda v: v.between(least, most))))
 
 
 class _Rules:
@@ -339,7 +345,8 @@ def _reactances(values: Column, most: int) -> Column:
 def impedance(read: Column) -> Column:
     """Map of frequency to (r_ohm, x_ohm) from the lines of the impedance block: labelled rows
     first, then the first row of two resistances, and the reactances in the three lines after it."""
-    placed = F.transform(read, lambda x, i: F.struct(i.alias("i"), x["label"].alias("label"), x["ahead0"].alias("v"), _resistances(x["ahead0"]).alias("r")))
+    valued = F.transform(read, lambda x: F.struct(x["label"].alias("label"), tokens(x["ahead0"]).alias("v")))
+    placed = F.transform(valued, lambda x, i: F.struct(i.alias("i"), x["label"].alias("label"), x["v"].alias("v"), _resistances(x["v"]).alias("r")))
     labelled_r = F.filter(placed, lambda p: p["label"].rlike("^(?:R|K)") & (F.size(p["v"]) >= 2) & p["r"].isNotNull())
     any_r = F.filter(placed, lambda p: p["r"].isNotNull())
     r = F.coalesce(F.try_element_at(labelled_r, F.lit(1)), F.try_element_at(any_r, F.lit(1)))
