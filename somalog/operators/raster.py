@@ -184,15 +184,26 @@ def layout_places(headers: DataFrame, above: float = 0.018, below: float = 0.055
 def anchors(text_lines: DataFrame) -> DataFrame:
     """(image, name, bottom, next_top) of lines of text (image, place, text, top, bottom): labels as
     they follow each other below the heading. Each label is the first line that fits after the label
-    before it; one that is missing is passed over. A page has a bounded number of lines."""
-    page = text_lines.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("place", "text", "top", "bottom"))).alias("lines"))
-    first = lambda pattern, after: F.array_min(F.filter(F.transform("lines", lambda x, i: F.when(x["text"].rlike(pattern) & (i >= after), i)), lambda i: i.isNotNull()))
-    rows = page.withColumn("_at", first(HEADING, F.lit(0))).where("_at IS NOT NULL").withColumn("_after", F.col("_at") + 1)
-    for name, pattern in LABELS:
-        rows = rows.withColumn(f"_{name}", first(pattern, F.col("_after"))).withColumn("_after", F.coalesce(F.col(f"_{name}") + 1, F.col("_after")))
-    found = F.array_compact(F.array(*(F.when(F.col(f"_{name}").isNotNull(), F.struct(F.lit(name).alias("name"), F.get("lines", F.col(f"_{name}"))["top"].alias("top"), F.get("lines", F.col(f"_{name}"))["bottom"].alias("bottom"))) for name, _ in LABELS)))
-    placed = rows.withColumn("found", found).withColumn("found", F.transform("found", lambda x, i: F.struct(x["name"].alias("name"), x["bottom"].alias("bottom"), F.get("found", i + 1)["top"].alias("next_top"))))
-    return placed.select("image", F.inline("found")).where(F.col("name").isin([bar for bar in BARS if bar]))
+    before it; one that is missing is passed over. A page has a bounded number of lines; patterns are
+    tried on single lines, and only lines that fit one are gathered."""
+    fits = F.array_compact(F.array(*(F.when(F.col("text").rlike(pattern), F.lit(k)) for k, pattern in enumerate((HEADING, *(p for _, p in LABELS))))))
+    marked = text_lines.withColumn("_fits", fits).where(F.size("_fits") > 0)
+    page = marked.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("place", "text", "top", "bottom", "_fits"))).alias("lines"))
+    names = F.array(F.lit("heading"), *(F.lit(name) for name, _ in LABELS))
+
+    def next_place(at: Column, k: Column) -> Column:
+        """at with the place of the first line that fits k after those found; null without one."""
+        after = F.coalesce(F.array_max(at) + 1, F.lit(0))
+        return F.array_append(at, F.array_min(F.transform("lines", lambda x, i: F.when((i >= after) & F.array_contains(x["_fits"], k), i))))
+
+    def placed(at: Column) -> Column:
+        below = lambda p: F.get("lines", F.array_min(F.filter(at, lambda q: q > p)))["top"]
+        cell = lambda p, i: F.struct(F.get(names, i).alias("name"), F.get("lines", p)["bottom"].alias("bottom"), below(p).alias("next_top"))
+        return F.array_compact(F.transform(at, lambda p, i: F.when(F.get(at, F.lit(0)).isNotNull() & p.isNotNull() & F.get(names, i).isin([bar for bar in BARS if bar]), cell(p, i))))
+
+    # one fold, not a column a label: columns that refer to each other in lambdas are worked out anew for each line
+    found = F.aggregate(F.array(*map(F.lit, range(len(LABELS) + 1))), F.array().cast("array<int>"), next_place, placed)
+    return page.select("image", F.inline(found))
 
 
 def anchored_places(found: DataFrame, of: DataFrame) -> DataFrame:

@@ -198,3 +198,15 @@ def test_brightness(spark):
     rows = spark.createDataFrame([(y, bytearray(x.tobytes())) for y, x in enumerate(rgb)], "y int, line binary")
     got = [list(r[0]) for r in rows.orderBy("y").select(raster.brightness(F.col("line"))).collect()]
     assert got == [[int(0.299 * r + 0.587 * g + 0.114 * b + 0.5) for r, g, b in zip(x[::3].tolist(), x[1::3].tolist(), x[2::3].tolist(), strict=True)] for x in rgb]
+
+
+def test_anchors_of_a_long_page(spark):
+    """Work is a page's lines times the labels, not to the power of the labels."""
+    texts = ["FAT %", "INDICATOR", *(["BMR", "FAT %", "other", "BMI 22"] * 60), "MUSCLE MASS", "BMR"]
+    rows = [(k, n, t, n * 10.0, n * 10.0 + 8) for k in range(2) for n, t in enumerate(texts)]
+    rows += [(2, n, t, n * 10.0, n * 10.0 + 8) for n, t in enumerate(("FAT %", "BMI"))]
+    table = spark.createDataFrame(rows, "image int, place int, text string, top double, bottom double")
+    got = sorted(map(tuple, raster.anchors(table).collect()))
+    end = len(texts) - 2
+    want = [("bmi", 58.0, end * 10.0), ("bmr", end * 10.0 + 18, None), ("fat_percent", 38.0, 50.0), ("muscle_mass", end * 10.0 + 8, end * 10.0 + 10)]
+    assert got == [(k, *x) for k in range(2) for x in want]
