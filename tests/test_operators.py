@@ -228,3 +228,33 @@ def test_orders_of_eight_lines_are_assigned_in_time(spark):
     assert time.process_time() - began < 6
     for k in range(0, 6000, 400):
         assert got[k] == solve.best_assignment(solve.range_cost(v[k][:, None], low[k][None, :], low[k][None, :] + 3))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rows_of_words_against_all_rows(seed):
+    """Rows that are over change nothing, whatever the heights; long pages stay cheap."""
+    rng = np.random.default_rng(seed)
+    n = 400
+    top = np.round(rng.random(n) * (60, 600, 3000)[seed % 3], 1)
+    bottom = top + np.round(rng.choice([-2, 0.5, 8, 12, 90], n, p=[0.05, 0.1, 0.5, 0.3, 0.05]) + rng.random(n), 1)
+    order = np.argsort((top + bottom) / 2, kind="stable")
+    top, bottom = top[order], bottom[order]
+    got, plain = (f(top, bottom, (top + bottom) / 2) for f in (layout.rows_of, layout._plain_rows))
+    assert got[0].tolist() == plain[0].tolist() and got[1].tolist() == plain[1].tolist()
+    long = np.repeat(np.arange(6000.0) * 30, 10)
+    began = time.process_time()
+    assert layout.rows_of(long, long + 12, long + 6)[0].tolist() == np.repeat(np.arange(6000), 10).tolist()
+    assert time.process_time() - began < 2
+
+
+def test_pages_that_span_batches(spark):
+    words = [(f"p{p}" if p else None, f"{p}-{i}", i % 10 * 20.0, i % 10 * 20.0 + 15, i // 10 * 30.0, i // 10 * 30.0 + 12) for p in range(4) for i in range(p * 37 + 5)]
+    random.Random(2).shuffle(words)
+    table = spark.createDataFrame(words, "page string, text string, left double, right double, top double, bottom double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        got = layout.words_to_rows(table).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(f"p{p}" if p else None, i // 10, i % 10, f"{p}-{i}") for p in range(4) for i in range(p * 37 + 5)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
