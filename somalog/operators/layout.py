@@ -37,7 +37,7 @@ def dominant_cluster(rows: DataFrame, by: Sequence[str], value: str, order: str,
     counted = rows.withColumn("_size", near).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     best = counted.groupBy(*by).agg(F.max(F.struct(F.col("_size"), (-F.col(order)).alias("o"), F.col(value).alias("centre"))).alias("b"), F.max("_total").alias("sample_size"))
     best = best.where((F.col("b._size") >= 3) & (F.col("b._size") >= 0.25 * F.col("sample_size")))
-    members = rows.join(best, list(by)).where(F.col(value).between(F.col("b.centre") - float(tolerance), F.col("b.centre") + float(tolerance)))
+    members = rows.hint("merge").join(best, list(by)).where(F.col(value).between(F.col("b.centre") - float(tolerance), F.col("b.centre") + float(tolerance)))
     return members.groupBy(*by).agg(F.median(value).alias("position"), F.count(F.lit(1)).alias("cluster_size"), F.max("sample_size").alias("sample_size"))
 
 

@@ -50,10 +50,16 @@ def brightness(lines: pd.Series) -> pd.Series:
     return lines.map(lambda x: None if x is None else np.floor(_pixels(x).reshape(-1, 3) @ weights + 0.5).astype(np.uint8).tobytes())
 
 
+def _with(rows: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that broadcasts neither side: sizes of exploded or decoded lines are estimated far too
+    small, and images would go to the driver."""
+    return rows.hint("merge").join(other, on, how)
+
+
 def cropped(lines: DataFrame, sizes: DataFrame, top: float, bottom: float) -> DataFrame:
     """The lines between two shares of an image's height, numbered anew. sizes: (image, width, height)."""
     first, last = F.floor(F.col("height") * top), F.ceil(F.col("height") * bottom)
-    return lines.join(sizes, "image").where((F.col("y") >= F.greatest(F.lit(0), first)) & (F.col("y") < F.least("height", last))).select("image", (F.col("y") - F.greatest(F.lit(0), first)).alias("y"), "line")
+    return _with(lines, sizes, "image").where((F.col("y") >= F.greatest(F.lit(0), first)) & (F.col("y") < F.least("height", last))).select("image", (F.col("y") - F.greatest(F.lit(0), first)).alias("y"), "line")
 
 
 def sizes(lines: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ def resized(lines: DataFrame, of: DataFrame, width: int = WIDTH) -> DataFrame:
     def picked(line: pd.Series, wide: pd.Series) -> pd.Series:
         return pd.Series([_pixels(x)[(np.arange(width) * 2 + 1) * w // (2 * width)].tobytes() if w > width else x for x, w in zip(line, wide, strict=True)])
 
-    rows = lines.join(of, "image")
+    rows = _with(lines, of, "image")
     now = F.when(F.col("width") > width, F.floor(F.col("height") * width / F.col("width") + 0.5)).otherwise(F.col("height"))
     # the lines y' whose centre (2 y' + 1) height / (2 now) lies in line y
     first, last = (F.ceil(((F.col("y") + k) * 2 * F.col("_now") / F.col("height") - 1) / 2) for k in (0, 1))
@@ -90,7 +96,7 @@ def ranges(lines: DataFrame) -> DataFrame:
     counts = lines.select("image", "line").mapInArrow(_counted, f"image {lines.schema['image'].dataType.simpleString()}, bin int, n long")
     bins = counts.groupBy("image", "bin").agg(F.sum("n").alias("n"))
     low, high = (layout.histogram_percentile(bins, ["image"], f).withColumnRenamed("percentile", name) for f, name in ((DARKEST, "low"), (BRIGHTEST, "high")))
-    return low.join(high, "image").select("image", "low", F.greatest("high", F.col("low") + LEAST_RANGE).alias("high"))
+    return _with(low, high, "image").select("image", "low", F.greatest("high", F.col("low") + LEAST_RANGE).alias("high"))
 
 
 def _stretched(line: bytes, low: int, high: int) -> np.ndarray:
@@ -118,7 +124,7 @@ def _dark_share(lines: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
 def with_model(lines: DataFrame) -> DataFrame:
     """lines of images that are large enough, with width, height, low, high of their image."""
     of = sizes(lines).where((F.col("width") >= LEAST_WIDTH) & (F.col("height") >= LEAST_HEIGHT))
-    return lines.join(of.join(ranges(lines), "image"), "image")
+    return _with(lines, _with(of, ranges(lines), "image"), "image")
 
 
 def header_bands(lines: DataFrame) -> DataFrame:
@@ -165,7 +171,7 @@ def scanned(lines: DataFrame, places: DataFrame, tolerance: float = 0.014) -> Da
     """places (image, name, locator, top, bottom) to (image, name, locator, position, cluster_size,
     sample_size): where most lines between top and bottom say that the bar ends."""
     inside = (F.col("y") >= F.greatest(F.lit(0), F.floor("top"))) & (F.col("y") < F.least("height", F.ceil("bottom")))
-    ends = lines.join(places, "image").where(inside).withColumn("end", _bar_ends("line", "low", "high")).where("end IS NOT NULL")
+    ends = _with(lines, places, "image").where(inside).withColumn("end", _bar_ends("line", "low", "high")).where("end IS NOT NULL")
     return layout.dominant_cluster(ends.select("image", "name", "locator", "y", "end"), ["image", "name", "locator"], "end", "y", tolerance)
 
 
@@ -210,7 +216,7 @@ def anchored_places(found: DataFrame, of: DataFrame) -> DataFrame:
     """Where bars are by the labels above them; of: (image, width)."""
     reach = F.col("bottom") + 0.07 * F.col("width")
     half = F.when(F.col("next_top") > F.col("bottom"), F.col("bottom") + (F.col("next_top") - F.col("bottom")) * 0.38)
-    return found.join(of, "image").select("image", "name", F.lit("vision_label").alias("locator"), (F.col("bottom") + 0.002 * F.col("width")).alias("top"), F.least(reach, half).alias("bottom"))
+    return _with(found, of, "image").select("image", "name", F.lit("vision_label").alias("locator"), (F.col("bottom") + 0.002 * F.col("width")).alias("top"), F.least(reach, half).alias("bottom"))
 
 
 def indicators(lines: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -220,7 +226,7 @@ def indicators(lines: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     model = with_model(lines)
     headers = header_bands(model).groupBy("image").agg(F.max("run_end").alias("bottom"))
     of = sizes(lines).select("image", "width")
-    places = layout_places(headers.join(of, "image"))
+    places = layout_places(_with(headers, of, "image"))
     if labels is not None:
         places = places.unionByName(anchored_places(labels, of))
     found = scanned(model, places).withColumn("share", F.col("cluster_size") / F.col("sample_size"))
@@ -299,7 +305,7 @@ def bar_geometry(lines: DataFrame, headers: DataFrame) -> DataFrame:
     with_model's lines and headers (image, bottom, width)."""
     places = layout_places(headers, 0.03, 0.06).withColumnsRenamed({"top": "_top", "bottom": "_bottom"})
     inside = (F.col("y") >= F.greatest(F.lit(0), F.floor("_top"))) & (F.col("y") < F.least("height", F.ceil("_bottom")))
-    ends = lines.join(places, "image").where(inside).select("image", "name", "y", _per_line(bar_ends, REFINED_DARK)("line", "low", "high").alias("e")).select("image", "name", "y", "e.*").where("left IS NOT NULL")
+    ends = _with(lines, places, "image").where(inside).select("image", "name", "y", _per_line(bar_ends, REFINED_DARK)("line", "low", "high").alias("e")).select("image", "name", "y", "e.*").where("left IS NOT NULL")
     grouped = greedy_clusters(ends, ["image", "name"], "y", "end").groupBy("image", "name", "cluster").agg(
         *(F.floor(F.median(c) + 0.5).cast("int").alias(c) for c in ("left", "end", "right")), F.median(F.col("end") - F.col("left")).alias("_long"), F.max("y").alias("last_y"), F.count(F.lit(1)).alias("n"),
     )
@@ -324,21 +330,22 @@ def ticks(lines: DataFrame, bars: DataFrame) -> DataFrame:
     asked = bars.select("*", F.explode(F.sequence(F.lit(1), _sections(F.col("name")) - 1)).alias("section")).withColumn("_at", F.col("left") + span * F.col("section") / _sections(F.col("name")))
     asked = asked.withColumn("first", F.greatest(F.col("left") + 5, F.floor(F.col("_at") - span * 0.055)).cast("int")).withColumn("last", F.least(F.col("right") - 5, F.ceil(F.col("_at") + span * 0.055)).cast("int"))
     inside = (F.col("y") >= F.least(F.col("height") - 1, F.col("last_y") + 3)) & (F.col("y") < F.least(F.col("height"), F.col("last_y") + F.floor(0.08 * F.col("width") + 0.5)))
-    below = lines.join(asked, "image").where(inside)
+    below = _with(lines, asked, "image").where(inside)
     dark = below.select("image", "name", "section", F.explode(_dark_places("line", "low", "high", "first", "last")).alias("x")).groupBy("image", "name", "section", "x").agg(F.count(F.lit(1)).alias("n"))
     best = dark.groupBy("image", "name", "section").agg(F.max_by("x", F.struct("n", -F.col("x"))).alias("_x"))
-    return asked.join(best, ["image", "name", "section"], "left").select("image", "name", "section", F.coalesce("_x", F.when(F.col("first") <= F.col("last"), F.col("first")), F.floor(F.col("_at") + 0.5)).cast("int").alias("x"))
+    return _with(asked, best, ["image", "name", "section"], "left").select("image", "name", "section", F.coalesce("_x", F.when(F.col("first") <= F.col("last"), F.col("first")), F.floor(F.col("_at") + 0.5)).cast("int").alias("x"))
 
 
 def refined(lines: DataFrame) -> DataFrame:
     """(image, name, level, section_percent, reading, position, confidence) of bars read between their ends
     and by the ticks between their sections; images without a header have none."""
     model = with_model(lines)
-    headers = header_bands(model).groupBy("image").agg(F.max("run_end").alias("bottom")).join(sizes(lines).select("image", "width"), "image")
+    headers = header_bands(model).groupBy("image").agg(F.max("run_end").alias("bottom"))
+    headers = _with(headers, sizes(lines).select("image", "width"), "image")
     bars = bar_geometry(model, headers)
     bounds = ticks(model, bars).groupBy("image", "name").agg(F.array_sort(F.collect_list(F.struct("section", "x"))).alias("t"))  # three at most
     share = lambda x: (x - F.col("left")) / (F.col("right") - F.col("left"))
-    rows = bars.join(bounds, ["image", "name"]).withColumn("at", share(F.col("end"))).withColumn("ticks", F.transform("t.x", share))
+    rows = _with(bars, bounds, ["image", "name"]).withColumn("at", share(F.col("end"))).withColumn("ticks", F.transform("t.x", share))
     confidence = F.least(F.lit(0.95), 0.62 + F.least(F.lit(0.25), F.col("n") * 0.018))
     band = rows.withColumn("band", fn.position_reading(F.col("name"), F.col("at"), F.col("ticks")))
     return band.select("image", "name", "band.*", (F.floor(F.col("at") * 1000 + 0.5) / 1000.0).alias("position"), (F.floor(confidence * 100 + 0.5) / 100.0).alias("confidence"))

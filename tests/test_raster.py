@@ -210,3 +210,9 @@ def test_anchors_of_a_long_page(spark):
     end = len(texts) - 2
     want = [("bmi", 58.0, end * 10.0), ("bmr", end * 10.0 + 18, None), ("fat_percent", 38.0, 50.0), ("muscle_mass", end * 10.0 + 8, end * 10.0 + 10)]
     assert got == [(k, *x) for k in range(2) for x in want]
+
+
+def test_images_are_never_broadcast(spark):
+    pages = lines(spark, {1: picture(np.random.default_rng(0), {"bmi": 120, "bmr": 90})})
+    for found in (raster.refined(pages), raster.indicators(pages)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
