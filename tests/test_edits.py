@@ -90,3 +90,9 @@ def test_path_union_lookup_and_rank(spark):
 def test_known_labels(spark):
     paths = spark.createDataFrame([("bioelectrical.6.25_khz.r_ohm",), ("metrics.bmr_kj",), ("metrics.new_kg",)], "p string")
     assert [r.l for r in paths.select(view.field_label(F.col("p")).alias("l")).collect()] == ["R 6.25 kHz (Ω)", "BMR (kJ)", "Metrics · New kg"]
+
+
+def test_path_union_of_equal_ranks(spark):
+    """Of equal ranks the places in the lists decide."""
+    parses = spark.createDataFrame([(1, ["N", "F", "2"], 7), (1, ["A", "F", "1"], 7), (1, ["Z"], 3)], "k int, p array<string>, r long")
+    assert consensus.path_union(parses, "k", "p", "r").first().p == ["Z", "A", "N", "F", "1", "2"]
