@@ -62,3 +62,24 @@ def test_number_votes_in_order_of_rank(spark):
     rows = [(1, r, v, o) for r, (v, o) in enumerate([(1.0, False), (1.1, False), (1.2, True), (0.9, False), (1.2, True), (5.0, True)])] + [(2, 0, None, True)]
     votes = spark.createDataFrame(rows, T._parse_datatype_string("o int, r int, v double, n boolean"))
     assert [tuple(r) for r in consensus.number_vote(votes, ["o"], "v", "r", "n").collect()] == [(1, 1.2, 2, 2, True)]
+
+
+def test_readings_are_shuffled_once_and_whole(spark):
+    docs = spark.createDataFrame([("a", text(["WEIGHT 58.4kg"]), "")], "doc string, text string, source_name string")
+    plan = parse_merge.merged(reports.receipts(docs).withColumn("key", F.lit(1).cast("long") + F.length("doc")), "key", "doc")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Generate " not in plan
+
+
+def test_batches_end_anywhere(spark, monkeypatch):
+    def weights(k):
+        return ["WEIGHT {}kg".format(50 + k * 7 % 13 / 10), "FAT MASS 14.{}kg".format(k % 3), "BMI 2{}.4".format(k % 5)]
+
+    texts = [text(weights(k), r=f"{700 + k % 4}.4 648.1", foot="03/NOV/2022 07:05" if k % 3 else "") for k in range(40)] + [None, ""]
+    docs = spark.createDataFrame([(f"{k:02}", t, "") for k, t in enumerate(texts)], "doc string, text string, source_name string")
+    parses = reports.receipts(docs).withColumn("key", F.when(F.col("doc") < "33", 1).otherwise(F.col("doc").cast("int")))
+    rows = parse_merge.readings(parses, "key", "doc").sort("key", F.col("_merit").desc(), "_place").drop("_merit", "_place").toArrow()
+    whole = [r for b in parse_merge._merged_batches(iter(rows.combine_chunks().to_batches())) for r in b.to_pylist()]
+    monkeypatch.setattr(parse_merge, "OPEN_ROWS", 2)  # what is open goes on in short
+    parts = [r for b in parse_merge._merged_batches(iter(rows.to_batches(max_chunksize=3))) for r in b.to_pylist()]
+    assert len(whole) == 10 and whole[0]["candidate_count"] == 33
+    assert parts == whole
