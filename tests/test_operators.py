@@ -258,3 +258,20 @@ def test_pages_that_span_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = [(f"p{p}" if p else None, i // 10, i % 10, f"{p}-{i}") for p in range(4) for i in range(p * 37 + 5)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_numbers_of_many_items_are_solved_together(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for parts in (1 << 20, 16):  # choices compared at once
+        monkeypatch.setattr(solve, "MOST_CHOICES", parts)
+        for n in (7, 9):
+            v = rng.integers(1, 20, (12, n)) / rng.choice([1.0, 2.0], (12, 1))
+            found = [None if np.isnan(x[-1]) else tuple(x) for x in solve.solutions(v)]
+            assert found == [plain_solution(x) for x in v] and any(found)
+    table = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([40, 40, 12, 52, 4, 56, 14, 70])] + [(2, i % 3, 5.0) for i in range(50)] + [(None, i, 5.0 + i) for i in range(9)], "k int, p int, v double")
+    rows = solve.composition(table.repartition(3), "k", "p", "v")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert [(r.k, r.weight) for r in rows.collect()] == [(1, 70.0)]
