@@ -442,11 +442,14 @@ PRINTED = {
 SOLVED = {"weight": "weight_kg", "ffm": "ffm_kg", "fat": "fat_mass_kg", "muscle": "muscle_mass_kg", "minerals": "minerals_kg", "water": "body_water_l", "protein": "protein_kg"}
 
 
+#: How a printed report tells its time.
+STAMP = r"(?i)Date/Time\s+of\s+measurement\s*:\s*(\d{2,4})[./-](\d{1,2})[./-](\d{1,4})\s+(\d{1,2}):(\d{2})"
+
+
 def report_time(text: Column, name: Column) -> Column:
     """The printed time; of the ways to read its date the one that the file name has, else the
     first that the calendar has."""
-    stamp = r"(?i)Date/Time\s+of\s+measurement\s*:\s*(\d{2,4})[./-](\d{1,2})[./-](\d{1,4})\s+(\d{1,2}):(\d{2})"
-    a, b, c, hour, minute = (F.regexp_extract(text, stamp, k) for k in range(1, 6))
+    a, b, c, hour, minute = (F.regexp_extract(text, STAMP, k) for k in range(1, 6))
     iso = lambda y, m, d: F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"))
     short = (F.length(a) == 2) & (F.length(c) == 2)
     ways = F.array(F.when(short, iso(F.concat(F.lit("20"), a), b, c)), F.when(short, iso(F.concat(F.lit("20"), c), b, a)), F.when(F.length(a) == 4, iso(a, b, c)))
@@ -463,13 +466,17 @@ def printed_reports(docs: DataFrame) -> DataFrame:
     base = docs.select("doc", "source_name", text.alias("t"), F.regexp_replace(text, r"\s+", " ").alias("flat"))
     table = base.select("*", F.regexp_extract("flat", TABLE, 0).alias("table"))
     names = [*TABLE_GROUPS]
-    rows = table.select("*", *(fn.comma_number(F.regexp_extract("flat", TABLE, k)).alias(name) for k, name in enumerate(names, 1)), *(fn.comma_number(F.regexp_extract("flat", f"(?i){p}", 1)).alias(name) for name, p in PRINTED.items()))
-
     body_text = F.regexp_extract("t", r"(?is)Body\s+Composition\s+Analysis(.*?)(?:Shows\s+a\s+measurement|Thank\s+you|Selvas\s+Healthcare|\z)", 1)
-    loose = F.regexp_replace(F.when(body_text == "", F.col("t")).otherwise(body_text), r"\([\d.,]+\s*~\s*[\d.,]+\)", " ")
-    numbers = table.where("table = ''").select("doc", F.posexplode(F.regexp_extract_all(loose, F.lit(r"(?<![A-Za-z])(-?\d+(?:[.,]\d+)?)(?![A-Za-z])"), F.lit(1))).alias("pos", "v"))
-    solution = solve.composition(numbers.withColumn("v", fn.comma_number(F.col("v"))), "doc", "pos", "v").select("doc", *(F.col(k).alias(f"_{v}") for k, v in SOLVED.items()))
-    rows = rows.join(solution, "doc", "left")
+    # every step is a column of its own, so it is computed once
+    rows = table.select("*", body_text.alias("body"), F.regexp_extract("t", STAMP, 0).alias("stamp"))
+    rows = rows.withColumn("body", F.when(F.col("body") == "", F.col("t")).otherwise(F.col("body")))
+    loose = F.regexp_replace("body", r"\([\d.,]+\s*~\s*[\d.,]+\)", " ")
+    numbers = F.transform(F.regexp_extract_all(loose, F.lit(r"(?<![A-Za-z])(-?\d+(?:[.,]\d+)?)(?![A-Za-z])"), F.lit(1)), fn.comma_number)
+    rows = rows.withColumn("_v", F.when(F.col("table") == "", solve.plausible(numbers)))
+    rows = rows.select("*", F.regexp_extract_all("table", F.lit(_N), F.lit(1)).alias("cells"), solve.solution(F.col("_v")).alias("_s"))
+    cell = {name: fn.comma_number(F.get("cells", F.lit(k))).alias(name) for k, name in enumerate(TABLE_GROUPS)}
+    printed = {name: fn.comma_number(F.regexp_extract("flat", f"(?i){p}", 1)).alias(name) for name, p in PRINTED.items()}
+    rows = rows.select("doc", "source_name", "t", "flat", "table", "body", "stamp", *cell.values(), *printed.values(), *(F.col(f"_s.{k}").alias(f"_{v}") for k, v in SOLVED.items()))
     for name in SOLVED.values():
         rows = rows.withColumn(name, F.coalesce(name, f"_{name}"))
     for name, pattern in (("fat_mass_kg", r"Body\s+Fat\s+kg"), ("body_water_l", r"Body\s+Water\s+(?:L\s*)?"), ("protein_kg", r"Protein\s+kg"), ("minerals_kg", r"Minerals\s+kg")):
@@ -483,14 +490,14 @@ def printed_reports(docs: DataFrame) -> DataFrame:
     rules.warn((F.col("table") == "") & F.col("_weight_kg").isNull(), "The composition table was only partially recognized; review its values.")
     rules.warn(F.abs(F.col("weight_kg") - F.col("ffm_kg") - F.col("fat_mass_kg")) > 0.25, "Weight, fat-free mass and fat mass do not reconcile; review them.")
     core = sum((F.col(c).isNotNull().cast("int") for c in REPORT_CORE[1:]), F.col(REPORT_CORE[0]).isNotNull().cast("int"))
-    ranged = with_ranges(rules.rows, F.when(F.col("table") == "", F.when(body_text == "", F.col("t")).otherwise(body_text)))
+    ranged = with_ranges(rules.rows, F.when(F.col("table") == "", F.col("body")))
     kind = F.trim(F.regexp_extract("t", r"(?i)Body\s+Type\s*:\s*([^\r\n]+)", 1))
     evaluation = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("t", r"(?is)Comprehensive\s+Evaluation\s+(.*?)(?=\s+Analysis\b)", 1), r"(?i)\+More", ""), r"\s+", " "))
     found = [F.when(F.col(f"{key}_range").isNotNull(), F.lit(f"reference_ranges.{name}.{end}")) for name, key in RANGED.items() for end in ("min", "max")]
     review = F.array_distinct(F.concat(review_fields(F.col("t"), REPORT_SIGNS, None), F.array_compact(F.array(*found))))
     return ranged.select(
         "doc",
-        report_time(F.col("t"), F.col("source_name")).alias("measured_at_local"),
+        report_time(F.col("stamp"), F.col("source_name")).alias("measured_at_local"),
         "fat_percent",
         *SOLVED.values(),
         *PRINTED,

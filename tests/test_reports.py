@@ -154,3 +154,12 @@ def test_tokens_of_lines_without_repairs_are_read_once(spark):
     got = table.select("x", reports.tokens(F.col("x")).alias("a"), every_reading(F.col("x")).alias("b"), F.col("x").rlike(reports.REPAIRABLE).alias("slow")).collect()
     assert [(r.x, r.a, r.b) for r in got if r.a != r.b] == []
     assert not any(r.slow for r in got if " " in r.x and len(r.x) > 10)
+
+
+def test_loose_numbers_are_solved_in_their_row(spark):
+    text = "Body Composition Analysis\n40 40,0 12 52 4 56 14 70 (60 ~ 80)\nThank you 11"
+    docs = spark.createDataFrame([("a", text, ""), ("b", text.replace("14 70", ""), "")], "doc string, text string, source_name string")
+    parsed = reports.printed_reports(docs).select("doc", "weight_kg", "ffm_kg", "protein_kg")
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted(tuple(r) for r in parsed.collect()) == [("a", 70.0, 56.0, 12.0), ("b", None, None, None)]
