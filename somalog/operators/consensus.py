@@ -60,10 +60,11 @@ def best_parse(parses: DataFrame, key: str, completeness: str, place: str) -> Da
 
 
 def path_union(parses: DataFrame, key: str, paths: str, rank: str) -> DataFrame:
-    """(key, paths): the paths that any parse of a key lists, in order of rank and then of
-    their places in the lists; a key has as many parses as a report has readings, a few."""
-    item = F.transform(F.coalesce(paths, F.array().cast("array<string>")), lambda p, i: F.struct(F.col(rank).alias("r"), i.alias("i"), p.alias("p")))
-    return parses.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(item))).alias("_l")).select(key, F.array_distinct("_l.p").alias(paths))
+    """(key, paths): the paths that any parse of a key lists, in order of rank (without one last) and
+    then of their places in the lists; a key has as many parses as a report has readings, a few."""
+    item = F.transform(F.coalesce(paths, F.array().cast("array<string>")), lambda p, i: F.struct(F.col(rank).isNull().alias("last"), F.col(rank).alias("r"), i.alias("i"), p.alias("p")))
+    listed = F.array_sort(F.filter(F.flatten(F.collect_list(item)), lambda x: x["p"].isNotNull()))
+    return parses.groupBy(key).agg(listed.alias("_l")).select(key, F.array_distinct("_l.p").alias(paths))
 
 
 #: How complete a parse has to be for its route to end the cascade, by kind of report (fixed values).

@@ -96,3 +96,25 @@ def test_path_union_of_equal_ranks(spark):
     """Of equal ranks the places in the lists decide."""
     parses = spark.createDataFrame([(1, ["N", "F", "2"], 7), (1, ["A", "F", "1"], 7), (1, ["Z"], 3)], "k int, p array<string>, r long")
     assert consensus.path_union(parses, "k", "p", "r").first().p == ["Z", "A", "N", "F", "1", "2"]
+
+
+def test_path_union_follows_its_sql_on_odd_lines(spark, tmp_path):
+    """Places are rounded, lines without a place come last, and what is no path is left out."""
+    import duckdb
+
+    import __spark_entry__
+
+    lines = [
+        (1, 5, 0, 1, 3.4, "A", "F"), (1, 5, 1, 1, 3.6, "R", "O"), (1, 5, 2, 1, 2.2, "N", "O"),  # 3, 4 and 2
+        (2, 5, 0, 1, 1.5, "A", "F"), (2, 5, 3, 1, 1.4, "R", "F"), (2, 5, 2, 1, 0.5, "N", "O"),  # 2, 1 and 0
+        (3, 5, 0, 1, 0.9, "A", "F"), (3, 5, 1, 1, 0.4, "R", "F"), (3, 5, 0, 1, 2.5, "N", "F"), (3, 5, 0, 1, 3.3, "Z", "F"),  # 1, 0, 2 and 3
+        (4, None, 4, 1, 1.0, "A", "F"), (4, 9, 4, 2, 1.0, "R", "F"), (5, 5, 1, 1, None, "A", "F"), (5, 5, 1, 1, 1.0, None, "F"),
+        (6, 5, None, 1, 1.0, None, None), (7, 5, None, 1, 1.0, None, "F"), (None, 5, -7, 1, 1.0, "", "F"),
+    ]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_orderkey: r.paths for r in __spark_entry__.queries()["path_union"](spark, str(tmp_path)).collect()}
+    assert got == {1: "N,O,2,A,F,0,R,1", 2: "N,O,2,R,F,3,A,0", 3: "R,F,1,A,0,N,Z", 4: "R,F,4,A", 5: "F,1,A", 6: None, 7: "F", None: ",F,-2"}
+    with duckdb.connect() as base:
+        base.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        assert got == dict(base.execute(__spark_entry__.oracle_sql()["path_union"]).fetchall())
