@@ -275,3 +275,30 @@ def test_numbers_of_many_items_are_solved_together(spark, monkeypatch):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert [(r.k, r.weight) for r in rows.collect()] == [(1, 70.0)]
+
+
+def test_items_of_any_size_are_solved(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    for parts in (1 << 20, 32):  # sums compared at once
+        monkeypatch.setattr(solve, "MOST_CHOICES", parts)
+        for n in (7, 8, 9):
+            for v in (rng.integers(1, 20, n) / 2, rng.choice(rng.integers(1, 90, 6) / 10, n), rng.integers(80, 90, n) * 1.0, np.append(rng.integers(1, 12, n - 1), 250.0)):
+                found = solve.widest(v)
+                assert (None if np.isnan(found[-1]) else tuple(found)) == plain_solution(v)
+    monkeypatch.undo()
+    for v in (rng.integers(1, 300, 30) / 10, rng.random(30) * 40, rng.permutation(np.tile(np.arange(1.0, 16), 4))):
+        assert solve.widest(v).tolist() == solve.solutions(v[None, :])[0].tolist()
+
+
+def test_keys_of_many_numbers_are_solved(spark):
+    import numpy as np
+
+    solvable = [40, 40, 12, 52, 4, 56, 14, 70]
+    items = {"21": [5] * 13 + solvable, "many": [5] * 3000 + solvable[::-1], "different": [5] * 9 + solvable + [80 + k / 8 for k in range(21)], "none": range(100, 131), "few": solvable[:6] * 9}
+    table = spark.createDataFrame([(k, i, float(x)) for k, v in items.items() for i, x in enumerate(v)], "k string, p int, v double")
+    got = {r.k: tuple(r)[1:] for r in solve.composition(table.repartition(3), "k", "p", "v").collect()}
+    want = (70.0, 56.0, 14.0, 52.0, 4.0, 40.0, 12.0, 0.0)
+    different = solve.solutions(np.array(items["different"][6:], float)[None, :])[0]
+    assert got == {"21": want, "many": want, "different": tuple(different)} and different[0] == 82.5
