@@ -300,5 +300,7 @@ def test_keys_of_many_numbers_are_solved(spark):
     table = spark.createDataFrame([(k, i, float(x)) for k, v in items.items() for i, x in enumerate(v)], "k string, p int, v double")
     got = {r.k: tuple(r)[1:] for r in solve.composition(table.repartition(3), "k", "p", "v").collect()}
     want = (70.0, 56.0, 14.0, 52.0, 4.0, 40.0, 12.0, 0.0)
+    plan = solve.composition(table, "k", "p", "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
     different = solve.solutions(np.array(items["different"][6:], float)[None, :])[0]
     assert got == {"21": want, "many": want, "different": tuple(different)} and different[0] == 82.5
